@@ -104,7 +104,8 @@ def dataset_summary(spark, sf_dir):
 def _profile_sql() -> str:
     """Whole numbers with nulls read as floats; every form names its columns its own way."""
     names = {
-        "avg_weight": ("float64", "wtd_avg_wt"),
+        "avg_price": ("float64", "wtd_Avg_Price"),
+        "avg_weight": ("object", "wtd_avg_wt"),
         "slug_id": ("int64", None),
         "quality_grade_name": ("object", None),
         "published_date": ("object", "published_Date"),
@@ -132,7 +133,7 @@ def profile(spark, sf_dir):
         for frame in star_reports(spark, sf_dir).values()
     ]
     shown = [
-        "avg_weight", "wtd_avg_wt", "slug_id", "quality_grade_name", "published_date", "published_Date", "class",
+        "avg_price", "wtd_Avg_Price", "avg_weight", "wtd_avg_wt", "slug_id", "quality_grade_name", "published_date", "published_Date", "class",
     ]
     return (
         schema_profile(frames, skip=["id"])

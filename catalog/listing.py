@@ -142,12 +142,12 @@ def suggest_weight(spark, sf_dir):
     return sug.suggest_weight(star_lots(spark, sf_dir, SEARCH_NEEDS), **NOTHING)
 
 
-OTHER = {"species": "Goats", "weight_min": 330, "weight_max": 335, "state": "NOWHERE", "date_from": "2001-01-01"}
+OTHER = {"species": "Goats", "weight_min": 320, "weight_max": 330, "state": "NOWHERE", "date_from": "2001-01-01"}
 
 
 @query("suggest_states", lots(f"""
     SELECT market_state AS state, count(*) AS count FROM lots
-    WHERE {BASE} AND avg_weight BETWEEN 330 AND 335 AND report_date >= DATE '2001-01-01'
+    WHERE {BASE} AND avg_weight BETWEEN 320 AND 330 AND report_date >= DATE '2001-01-01'
     GROUP BY 1 ORDER BY count DESC, state LIMIT 5"""))
 def suggest_states(spark, sf_dir):
     return sug.suggest_states(star_lots(spark, sf_dir, SEARCH_NEEDS), **OTHER)
@@ -185,13 +185,13 @@ def suggestions(spark, sf_dir):
     return sug.suggestions(star_lots(spark, sf_dir, SEARCH_NEEDS), **NOTHING)
 
 
-FAR = {**OTHER, "weight_min": 328}
+FAR = {**OTHER, "weight_min": 310}
 
 
 @query("suggestions_states", lots(f"""
     SELECT 'states_nearby' AS kind, market_state AS state, CAST(NULL AS INTEGER) AS low,
       CAST(NULL AS INTEGER) AS high, count(*) AS count
-    FROM lots WHERE {BASE} AND avg_weight BETWEEN 328 AND 335 AND report_date >= DATE '2001-01-01'
+    FROM lots WHERE {BASE} AND avg_weight BETWEEN 310 AND 330 AND report_date >= DATE '2001-01-01'
     GROUP BY market_state ORDER BY count DESC, state LIMIT 5"""))
 def suggestions_states(spark, sf_dir):
     """No such state: only leaving the state open finds lots."""

@@ -48,7 +48,7 @@ def resolve_aliases(spark, sf_dir):
 def coerce_numeric(spark, sf_dir):
     columns = ("avg_price", "avg_weight", "head_count")
     return raw_reports(spark, sf_dir).select(
-        "id", *[text.coerce_numeric(F.col(name)).alias(name) for name in columns]
+        "id", *[F.expr(text.coerce_numeric(name)).alias(name) for name in columns]
     )
 
 
@@ -56,7 +56,7 @@ def coerce_numeric(spark, sf_dir):
 def to_int_trunc(spark, sf_dir):
     columns = ("avg_weight", "head_count", "receipts")
     return raw_reports(spark, sf_dir).select(
-        "id", *[text.to_int_trunc(text.coerce_numeric(F.col(name))).alias(name) for name in columns]
+        "id", *[F.expr(text.to_int_trunc(text.coerce_numeric(name))).alias(name) for name in columns]
     )
 
 
@@ -66,7 +66,7 @@ def to_int_trunc(spark, sf_dir):
     FROM raw"""))
 def clean_string(spark, sf_dir):
     return raw_reports(spark, sf_dir).select(
-        "id", *[text.clean_string(F.col(name)).alias(name) for name in ("class", "quality_grade_name")]
+        "id", *[F.expr(text.clean_string(name)).alias(name) for name in ("class", "quality_grade_name")]
     )
 
 
@@ -76,7 +76,7 @@ def clean_string(spark, sf_dir):
     FROM raw"""))
 def null_tokens(spark, sf_dir):
     return raw_reports(spark, sf_dir).select(
-        "id", *[text.null_tokens(F.col(name)).alias(name) for name in ("quality_grade_name", "avg_price")]
+        "id", *[F.expr(text.null_tokens(name)).alias(name) for name in ("quality_grade_name", "avg_price")]
     )
 
 
@@ -87,8 +87,8 @@ def null_tokens(spark, sf_dir):
 def parse_report_date(spark, sf_dir):
     return raw_reports(spark, sf_dir).select(
         "id",
-        dates.iso_date(dates.parse_date(F.col("report_date"))).alias("report_date"),
-        dates.iso_stamp(dates.parse_stamp(F.col("published_date"))).alias("published_date"),
+        dates.iso_date(F.expr(dates.parse_date("report_date"))).alias("report_date"),
+        dates.iso_stamp(F.expr(dates.parse_stamp("published_date"))).alias("published_date"),
     )
 
 
@@ -134,8 +134,7 @@ def lot_id(spark, sf_dir):
 
 @query("drop_non_lots", lots("SELECT id FROM lots"))
 def drop_non_lots(spark, sf_dir):
-    rows = norm.coerce_numbers(norm.with_raw_inputs(raw_reports(spark, sf_dir)))
-    return norm.drop_non_lots(rows).select("id")
+    return norm.drop_non_lots(norm.tidy_rows(raw_reports(spark, sf_dir))).select("id")
 
 
 @query("dropped_rows", raw("""

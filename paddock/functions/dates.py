@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # --- fixed values: date spellings met in reports ---
-STAMP_FORMAT = "M/d/yyyy H:m:s"
-DAY_FORMATS = ("M/d/yyyy", "yyyy-M-d")
+# month/day/year, the same with hour:minute:second, and year-month-day
+STAMP_SHAPE = (
+    "^(?:[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?: [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})?"
+    "|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2})$"
+)
+SLASHED = "^([0-9]+)/([0-9]+)/([0-9]+)(.*)$"
 
 
-def parse_stamp(text: Column) -> Column:
-    """Report text to a timestamp without zone; null if no known spelling fits."""
-    forms = (STAMP_FORMAT, *DAY_FORMATS)
-    tries = [F.try_to_timestamp(text, F.lit(form)) for form in forms]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+def parse_stamp(text: str) -> str:
+    """SQL of report text as a timestamp without zone; null if no known spelling fits.
 
+    The text is put in ISO order and cast: unlike parsing by pattern, that raises and
+    catches nothing for text that is no date.
+    """
+    iso = f"regexp_replace(regexp_substr({text}, '{STAMP_SHAPE}'), '{SLASHED}', '$3-$1-$2$4')"
+    return f"try_cast({iso} as timestamp_ntz)"
 
-def parse_date(text: Column) -> Column:
-    return parse_stamp(text).cast("date")
+
+def parse_date(text: str) -> str:
+    return f"cast({parse_stamp(text)} as date)"
 
 
 def iso_date(day: Column) -> Column:
@@ -28,13 +35,6 @@ def iso_stamp(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def iso_report_text(text: Column) -> Column:
-    """Report text as ISO text: a date, a timestamp, or the text unchanged."""
-    stamp = F.try_to_timestamp(text, F.lit(STAMP_FORMAT))
-    days = [F.try_to_timestamp(text, F.lit(form)) for form in DAY_FORMATS]
-    return F.coalesce(iso_stamp(stamp), iso_date(F.coalesce(*days)), text)
-
-
 def report_month(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 

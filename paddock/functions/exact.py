@@ -20,13 +20,12 @@ def ratio(num: Column, den: Column) -> Column:
 
     Both must be at least zero.
     """
-    den = F.nullif(den, F.lit(0))
-    return int_div(num * 2 + den, den * 2)
+    return int_div(num * 2 + den, F.nullif(den, F.lit(0)) * 2)
 
 
 def signed_ratio(num: Column, den: Column) -> Column:
     """As ``ratio`` with ``num`` of either sign, halves away from zero."""
-    return F.when(num < 0, -ratio(-num, den)).otherwise(ratio(num, den))
+    return int_div(num * 2 + F.when(num < 0, -den).otherwise(den), F.nullif(den, F.lit(0)) * 2)
 
 
 def round_half_up(x: Column, digits: int = 0) -> Column:

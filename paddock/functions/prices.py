@@ -10,34 +10,32 @@ from .. import schema as S
 from .exact import E4, money_text, ratio, signed_ratio, to_cents
 
 
-class Prices(NamedTuple):
-    per_lb: Column
-    per_head: Column
-    per_cwt: Column
-
-
-def derive_prices(price_e4: Column, unit: Column, weight_e4: Column) -> Prices:
-    """The three comparable prices of a lot, all in 1e-4 dollars.
+def derive_prices(price_e4: str, unit: str, weight_e4: str) -> dict[str, str]:
+    """SQL of the three comparable prices of a lot, all in 1e-4 dollars.
 
     Per pound is rounded to 1e-4 dollars first; per head and per hundredweight come
     from that rounded value, to whole cents.  ``weight_e4`` is the weight before
     truncation, in 1e-4 lb; without a weight above zero the prices needing it are
     null.
     """
-    weight = F.when(weight_e4 > 0, weight_e4)
-    lb_from_cwt = signed_ratio(price_e4, F.lit(100))
-    head_from_cwt = signed_ratio(lb_from_cwt * weight, F.lit(100 * E4)) * 100
-    lb_from_head = signed_ratio(price_e4 * E4, weight)
-    cwt_from_head = lb_from_head * 100
-
-    def by_unit(if_cwt: Column, if_head: Column) -> Column:
-        return F.when(unit == S.PER_CWT, if_cwt).when(unit == S.PER_UNIT, if_head)
-
-    return Prices(
-        by_unit(lb_from_cwt, lb_from_head),
-        by_unit(head_from_cwt, price_e4),
-        by_unit(price_e4, cwt_from_head),
-    )
+    weight = f"if({weight_e4} > 0, {weight_e4}, null)"
+    lb_from_cwt = _nearest(price_e4, "100")
+    lb_from_head = _nearest(f"{price_e4} * {E4}", weight)
+    head_from_cwt = _nearest(f"try_multiply({lb_from_cwt}, {weight})", str(100 * E4))
+
+    def by_unit(if_cwt: str, if_head: str) -> str:
+        return f"case {unit} when '{S.PER_CWT}' then {if_cwt} when '{S.PER_UNIT}' then {if_head} end"
+
+    return {
+        "price_per_lb_e4": by_unit(lb_from_cwt, lb_from_head),
+        "price_per_head_e4": by_unit(f"{head_from_cwt} * 100", price_e4),
+        "price_per_cwt_e4": by_unit(price_e4, f"{lb_from_head} * 100"),
+    }
+
+
+def _nearest(num: str, den: str) -> str:
+    """SQL of the nearest whole quotient, halves away from zero; ``den`` above zero."""
+    return f"((2 * ({num}) + if(({num}) < 0, -1, 1) * ({den})) div (2 * ({den})))"
 
 
 def display_price(shown: str) -> Column:

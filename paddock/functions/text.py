@@ -1,11 +1,12 @@
-"""Cleaning raw report text."""
+"""Cleaning raw report text.
 
-from __future__ import annotations
+These functions take and give SQL text: a raw row has some forty columns, and text
+reaches the planner in one call where column objects need hundreds.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 from .. import schema as S
-from .exact import E4
 
 # --- fixed values: characters counted as white space at the ends of text ---
 WHITESPACE = (
@@ -13,36 +14,42 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-LARGEST_NUMBER = 9.0e13
+NUMBER_PATTERN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def _literal(text: str) -> str:
+    escaped = "".join(f"\\u{ord(c):04x}" if not c.isprintable() or c in "'\\\xa0" else c for c in text)
+    return f"'{escaped}'"
+
+
+_TOKENS = ", ".join(_literal(token) for token in S.NULL_TOKENS)
+_SPACES = _literal(WHITESPACE)
 
 
-def null_tokens(text: Column) -> Column:
+def null_tokens(text: str) -> str:
     """Spellings of a missing value become null."""
-    return F.when(~text.isin(*S.NULL_TOKENS), text)
+    return f"if({text} in ({_TOKENS}), null, {text})"
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+def strip(text: str) -> str:
+    return f"btrim({text}, {_SPACES})"
 
 
-def clean_string(text: Column) -> Column:
+def clean_string(text: str) -> str:
     """Stripped text; empty becomes null."""
-    return F.nullif(strip(text), F.lit(""))
+    return f"nullif({strip(text)}, '')"
 
 
-def coerce_numeric(text: Column) -> Column:
-    """Text to double; null where the whole text is not one finite number."""
-    bare = strip(text)
-    number = F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
-    return F.when(F.abs(number) < LARGEST_NUMBER, number)
+def coerce_numeric(text: str) -> str:
+    """Text to double; null where the whole text is not one number."""
+    return f"try_cast(regexp_substr({strip(text)}, '{NUMBER_PATTERN}') as double)"
 
 
-def to_units_e4(number: Column) -> Column:
-    """A double to whole 1e-4 units."""
-    return F.floor(number * E4 + 0.5)
+def to_units_e4(number: str) -> str:
+    """A double to whole 1e-4 units; null from 1e10 up, where no price or weight is."""
+    return f"cast(try_cast(round(({number}) * 10000) as decimal(14, 0)) as bigint)"
 
 
-def to_int_trunc(number: Column) -> Column:
-    """Toward zero, as ``bigint``."""
-    return number.cast("bigint")
+def to_int_trunc(number: str) -> str:
+    """Toward zero, as ``bigint``; null beyond its range."""
+    return f"try_cast({number} as bigint)"

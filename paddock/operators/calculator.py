@@ -193,14 +193,12 @@ def profitability_at_gain(lots: DataFrame, as_of: str, gain: int) -> DataFrame:
 
 def convert_units(lots: DataFrame) -> DataFrame:
     """Every lot's price per hundredweight, pound and head."""
-    prices = derive_prices(F.col("avg_price_e4"), F.col("price_unit"), F.col("avg_weight") * E4)
+    prices = derive_prices("avg_price_e4", "price_unit", f"avg_weight * {E4}")
     return lots.select(
         "id",
         "price_unit",
         dollars(F.col("avg_price_e4")).alias("avg_price"),
-        dollars(prices.per_cwt).alias("price_per_cwt"),
-        dollars(prices.per_lb).alias("price_per_lb"),
-        dollars(prices.per_head).alias("price_per_head"),
+        *[dollars(F.expr(price)).alias(name.removesuffix("_e4")) for name, price in prices.items()],
     )
 
 

@@ -21,9 +21,7 @@ Conditions = list[Column]
 
 
 def keep(lots: DataFrame, conditions: Conditions) -> DataFrame:
-    for condition in conditions:
-        lots = lots.filter(condition)
-    return lots
+    return lots.filter(reduce(Column.__and__, conditions)) if conditions else lots
 
 
 def all_of(conditions: Conditions) -> Column:
@@ -145,11 +143,11 @@ def date_window(lots: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def auctions(lots: DataFrame) -> DataFrame:
-    return lots.filter(~F.col("is_summary"))
+    return lots.filter("not is_summary")
 
 
 def priced_per_lb(lots: DataFrame) -> DataFrame:
-    return auctions(lots).filter(F.col("price_per_lb_e4").isNotNull())
+    return lots.filter("not is_summary and price_per_lb_e4 is not null")
 
 
 def weight_range(lots: DataFrame, weight_min=None, weight_max=None) -> DataFrame:

@@ -10,16 +10,13 @@ from .. import schema as S
 from ..functions import labels
 from ..functions.dates import parse_date, parse_stamp, report_month
 from ..functions.prices import derive_prices
-from ..functions.text import (
-    clean_string,
-    coerce_numeric,
-    null_tokens,
-    strip,
-    to_int_trunc,
-    to_units_e4,
-)
+from ..functions.text import clean_string, coerce_numeric, null_tokens, strip, to_int_trunc, to_units_e4
+from .filters import date_window
 
 LINEAGE = ("id", "source_file", "source_row", "ingest_seq")
+PRICE_INPUTS = {
+    "avg_price_e4": "avg_price", "price_min_e4": "avg_price_min", "price_max_e4": "avg_price_max",
+}
 
 
 def canonical_name(name: str) -> str:
@@ -34,12 +31,11 @@ def resolve_aliases(df: DataFrame) -> DataFrame:
     in case.
     """
     names = df.columns
-    placed = df.toDF(*[f"c{i}" for i in range(len(names))])
     sources: dict[str, list[str]] = {}
     for i, name in sorted(enumerate(names), key=lambda item: item[1] in S.ALIASES):
         sources.setdefault(canonical_name(name), []).append(f"c{i}")
-    return placed.select(
-        *[F.coalesce(*[F.col(c) for c in found]).alias(name) for name, found in sources.items()]
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).selectExpr(
+        *[f"coalesce({', '.join(found)}) as `{name}`" for name, found in sources.items()]
     )
 
 
@@ -51,28 +47,36 @@ def union_reports(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def with_raw_inputs(raw: DataFrame) -> DataFrame:
-    """Exactly the columns a lot reads, absent ones as null, null spellings as null."""
-    present = set(raw.columns)
-    inputs = [
-        (null_tokens(F.col(name)) if name in present else F.lit(None).cast("string")).alias(name)
-        for name in S.RAW_INPUTS
-    ]
-    return raw.select(*inputs, *[name for name in LINEAGE if name in present])
-
+def tidy_rows(raw: DataFrame) -> DataFrame:
+    """Exactly the columns a lot reads: stripped text, and numbers as ``n_<column>``.
 
-def coerce_numbers(rows: DataFrame) -> DataFrame:
-    """Add ``n_<raw column>`` doubles for every numeric raw column."""
-    numeric = ["avg_price", "avg_price_min", "avg_price_max", *S.INTEGER_COLUMNS.values()]
-    return rows.withColumns({f"n_{name}": coerce_numeric(F.col(name)) for name in numeric})
+    Absent columns and spellings of a missing value are null.
+    """
+    present = set(raw.columns)
+    numbers = [*PRICE_INPUTS.values(), *S.INTEGER_COLUMNS.values()]
+    known = raw.selectExpr(
+        *[
+            f"{null_tokens(f'`{name}`')} as `{name}`" if name in present else f"cast(null as string) as `{name}`"
+            for name in S.RAW_INPUTS
+        ],
+        *[name for name in LINEAGE if name in present],
+    )
+    texts = [name for name in S.RAW_INPUTS if name not in numbers]
+    return known.selectExpr(
+        *[f"{strip(f'`{name}`')} as `{name}`" for name in texts if name != "_section"],
+        "_section",
+        *[f"{coerce_numeric(name)} as n_{name}" for name in numbers],
+        *(["slug_id"] if "id" not in present else []),
+        *[name for name in LINEAGE if name in present],
+    )
 
 
 def not_a_lot() -> Column:
-    """Why a row is no lot; null for lots.  Expects ``coerce_numbers`` columns."""
+    """Why a tidy row is no lot; null for lots."""
     return (
         F.when(F.col("_section").eqNullSafe(S.HEADER_SECTION), "report header")
-        .when(strip(F.col("class")).isin(*S.EXCLUDED_CLASSES), "excluded class")
-        .when(F.col("n_avg_price").isNull(), "no price")
+        .when(F.col("class").isin(*S.EXCLUDED_CLASSES), "excluded class")
+        .when(~F.coalesce(F.abs("n_avg_price") < S.NUMBER_LIMIT, F.lit(False)), "no price")
     )
 
 
@@ -82,9 +86,9 @@ def drop_non_lots(rows: DataFrame) -> DataFrame:
 
 def dropped_rows(raw: DataFrame) -> DataFrame:
     """Rows that are no lots, counted by reason."""
-    rows = coerce_numbers(with_raw_inputs(raw))
     return (
-        rows.select(not_a_lot().alias("reason"))
+        tidy_rows(raw)
+        .select(not_a_lot().alias("reason"))
         .filter("reason is not null")
         .groupBy("reason")
         .agg(F.count("*").alias("rows"))
@@ -102,40 +106,37 @@ def lot_id() -> Column:
 
 
 def project_lots(rows: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFrame:
-    """Typed lots from ``drop_non_lots`` rows that have an ``id``."""
-    weight_e4 = to_units_e4(F.col("n_avg_weight"))
-    prices = derive_prices(
-        to_units_e4(F.col("n_avg_price")), strip(F.col("price_unit")), weight_e4
+    """Typed lots from tidy rows that have an ``id``.
+
+    Numbers are scaled in a step of their own, so that the prices derived from them
+    refer to finished columns.
+    """
+    integers = {lot: f"n_{raw}" for lot, raw in S.INTEGER_COLUMNS.items()}
+    texts = {lot: raw for lot, raw in S.TEXT_COLUMNS.items()}
+    scaled = rows.selectExpr(
+        "id",
+        "report_date as report_date_raw",
+        "published_date as published_date_raw",
+        *[f"nullif(`{raw}`, '') as {lot}" for lot, raw in texts.items()],
+        *[f"{to_int_trunc(number)} as {lot}" for lot, number in integers.items()],
+        *[f"{to_units_e4(f'n_{raw}')} as {lot}" for lot, raw in PRICE_INPUTS.items()],
+        f"{to_units_e4('n_avg_weight')} as weight_e4",
+        *[name for name in ("ingest_seq",) if name in rows.columns],
     )
-    report_date = parse_date(strip(F.col("report_date")))
-    derived = {
-        "report_date": report_date,
-        "published_date": parse_stamp(strip(F.col("published_date"))),
-        "is_summary": labels.is_summary(
-            strip(F.col("market_type_category")),
-            to_int_trunc(F.col("n_slug_id")),
-            summary_slugs,
-        ),
-        "breed_type": labels.breed_type(strip(F.col("class"))),
-        "avg_price_e4": to_units_e4(F.col("n_avg_price")),
-        "price_min_e4": to_units_e4(F.col("n_avg_price_min")),
-        "price_max_e4": to_units_e4(F.col("n_avg_price_max")),
-        "price_per_lb_e4": prices.per_lb,
-        "price_per_head_e4": prices.per_head,
-        "price_per_cwt_e4": prices.per_cwt,
-        "buyer_intent": labels.buyer_intent(strip(F.col("commodity"))),
-        "report_date_raw": F.col("report_date"),
-        "published_date_raw": F.col("published_date"),
-        "report_month": report_month(report_date),
-    }
-    for name, source in S.TEXT_COLUMNS.items():
-        derived[name] = clean_string(F.col(source))
-    for name, source in S.INTEGER_COLUMNS.items():
-        derived[name] = to_int_trunc(F.col(f"n_{source}"))
-    derived["id"] = F.col("id")
-    lineage = [name for name in ("ingest_seq",) if name in rows.columns]
-    return rows.select(
-        *[derived[field.name].alias(field.name) for field in S.LOTS_SCHEMA.fields], *lineage
+    prices = derive_prices("avg_price_e4", "price_unit", "weight_e4")
+    typed = scaled.withColumns(
+        {
+            **{name: F.expr(price) for name, price in prices.items()},
+            "report_date": F.expr(parse_date("report_date_raw")),
+            "published_date": F.expr(parse_stamp("published_date_raw")),
+            "is_summary": labels.is_summary(F.col("market_type"), F.col("slug_id"), summary_slugs),
+            "breed_type": labels.breed_type(F.col("animal_class")),
+            "buyer_intent": labels.buyer_intent(F.col("commodity")),
+        }
+    )
+    lots = typed.withColumn("report_month", report_month(F.col("report_date")))
+    return lots.select(
+        *S.LOTS_SCHEMA.fieldNames(), *[name for name in ("ingest_seq",) if name in rows.columns]
     )
 
 
@@ -145,7 +146,7 @@ def normalise(raw: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFrame:
     The raw frame needs an ``id``, or a ``source_row`` to make the positional id
     from.  One narrow pass: no shuffle, no Python.
     """
-    rows = drop_non_lots(coerce_numbers(with_raw_inputs(raw)))
+    rows = drop_non_lots(tidy_rows(raw))
     if "id" not in raw.columns:
         rows = rows.withColumn("id", lot_id())
     return project_lots(rows, summary_slugs)
@@ -165,6 +166,4 @@ def keep_final(lots: DataFrame) -> DataFrame:
 
 def retention(lots: DataFrame, as_of: str, days: int = S.FETCH_DAYS) -> DataFrame:
     """The rolling active set of the last ``days`` days."""
-    from .filters import date_window
-
     return date_window(lots, as_of, days)

@@ -62,6 +62,9 @@ NULL_TOKENS = (
     "n/a", "nan", "null",
 )
 
+# Prices and weights from here up are unreadable: 1e-4 units of them could overflow.
+NUMBER_LIMIT = 1.0e10
+
 # --- fixed values: carcass yield per cent by dressing ---
 CARCASS_YIELD_PCT = {"High": 54, "Average": 50, "Low": 46}
 

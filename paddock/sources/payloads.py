@@ -53,6 +53,6 @@ def flatten_sections(payloads: DataFrame, columns: Sequence[str] = S.RAW_INPUTS)
 
 def fetch_window(rows: DataFrame, as_of: str, days: int = S.FETCH_DAYS) -> DataFrame:
     """Rows published in the ``days`` days up to and including ``as_of``."""
-    published = parse_date(strip(F.col("published_date")))
+    published = F.expr(parse_date(strip("published_date")))
     first = F.lit(days_before(as_of, days)).cast("date")
     return rows.filter(published.between(first, F.lit(as_of).cast("date")))

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions import labels
-from ..functions.dates import report_month
 from ..functions.exact import E4
 from ..functions.prices import derive_prices
 
@@ -45,6 +44,7 @@ JOINS = {
 # Typed values of a raw row: name -> (dimensions besides part, expression).
 VALUES = {
     "id": ((), "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"),
+    "seq": ((), "l_orderkey + l_linenumber"),
     "section": ((), "if(l_linenumber = 7, 'Report Header', 'Report Details')"),
     "report_date": ((), "cast(l_shipdate as date)"),
     "published_date": (("orders",), "o_orderdate"),
@@ -145,25 +145,30 @@ def star_rows(spark: SparkSession, sf_dir: str, values: Iterable[str]) -> DataFr
         if dim in needed:
             right = table(spark, sf_dir, dim)
             rows = rows.join(right, rows[key] == right[own_key], "left")
-    return rows.select(*[F.expr(VALUES[name][1]).alias(name) for name in values])
+    return rows.selectExpr(*[f"{VALUES[name][1]} as {name}" for name in values])
+
+
+PRICES = derive_prices("(price_cents * 100)", "price_unit", f"(avg_weight * {E4})")
+
+LOT_SQL = {
+    "avg_price_e4": "price_cents * 100",
+    "price_min_e4": "(price_cents - price_spread) * 100",
+    "price_max_e4": "(price_cents + price_spread) * 100",
+    "report_date_raw": "date_format(report_date, 'MM/dd/yyyy')",
+    "published_date_raw": "date_format(published_date, 'MM/dd/yyyy HH:mm:ss')",
+    "report_month": "date_format(report_date, 'yyyy-MM')",
+    **PRICES,
+}
 
 
 def _lot_column(name: str) -> Column:
-    price_e4 = F.col("price_cents") * 100
-    if name.startswith("price_per_"):
-        prices = derive_prices(price_e4, F.col("price_unit"), F.col("avg_weight") * E4)
-        return getattr(prices, name.removeprefix("price_").removesuffix("_e4"))
-    return {
-        "avg_price_e4": lambda: price_e4,
-        "price_min_e4": lambda: price_e4 - F.col("price_spread") * 100,
-        "price_max_e4": lambda: price_e4 + F.col("price_spread") * 100,
-        "is_summary": lambda: labels.is_summary(F.col("market_type")),
-        "breed_type": lambda: labels.breed_type(F.col("animal_class")),
-        "buyer_intent": lambda: labels.buyer_intent(F.col("commodity")),
-        "report_month": lambda: report_month(F.col("report_date")),
-        "report_date_raw": lambda: F.date_format("report_date", "MM/dd/yyyy"),
-        "published_date_raw": lambda: F.date_format("published_date", "MM/dd/yyyy HH:mm:ss"),
-    }.get(name, lambda: F.col(name))()
+    if name == "is_summary":
+        return labels.is_summary(F.col("market_type"))
+    if name == "breed_type":
+        return labels.breed_type(F.col("animal_class"))
+    if name == "buyer_intent":
+        return labels.buyer_intent(F.col("commodity"))
+    return F.expr(LOT_SQL.get(name, name))
 
 
 ALL_LOT_COLUMNS = tuple(field.name for field in S.LOTS_SCHEMA.fields)
@@ -175,57 +180,50 @@ def star_lots(spark: SparkSession, sf_dir: str, columns: str | None = None) -> D
     values = ["section", "animal_class", "price_cents"]
     for name in wanted:
         values += DERIVED.get(name, (name,))
+    excluded = ", ".join(f"'{name}'" for name in S.EXCLUDED_CLASSES)
     rows = star_rows(spark, sf_dir, values).filter(
-        (F.col("section") != S.HEADER_SECTION)
-        & ~F.col("animal_class").isin(*S.EXCLUDED_CLASSES)
-        & F.col("price_cents").isNotNull()
+        f"section <> '{S.HEADER_SECTION}' and animal_class not in ({excluded}) and price_cents is not null"
     )
     return rows.select(*[_lot_column(name).alias(name) for name in wanted])
 
 
 # --- the same rows as report files hold them: text, untidy, spelled three ways ---
 
-def _untidy(name: str) -> Column:
+def _untidy(name: str) -> str:
     """Text with stray white space, or one of several spellings of nothing."""
-    spaced = F.expr(
-        f"case seq % 3 when 0 then {name} when 1 then concat('  ', {name}, '\\t') "
-        f"else concat({name}, ' \\n') end"
-    )
-    nothing = F.expr("element_at(array('', 'N/A', '   ', null, 'NaN'), 1 + seq % 5)")
-    return F.coalesce(spaced, nothing)
+    spaced = f"case seq % 3 when 0 then {name} when 1 then concat('  ', {name}, '\\t') else concat({name}, ' \\n') end"
+    nothing = "element_at(array('', 'N/A', '   ', null, 'NaN'), cast(1 + seq % 5 as int))"
+    return f"coalesce({spaced}, {nothing})"
 
 
-def _number_text(name: str, decimals: str = "''") -> Column:
-    text = F.expr(f"concat(if(seq % 2 = 0, ' ', ''), {name}, {decimals})")
-    return F.coalesce(text, F.expr("if(seq % 2 = 0, 'abc', 'N/A')"))
+def _number(name: str, decimals: str = "''") -> str:
+    text = f"concat(if(seq % 2 = 0, ' ', ''), {name}, {decimals})"
+    return f"coalesce({text}, if(seq % 2 = 0, 'abc', 'N/A'))"
 
 
-def _money(expression: str) -> str:
-    return f"concat({expression} div 100, '.', lpad({expression} % 100, 2, '0'))"
+def _money(cents: str) -> str:
+    return f"concat({cents} div 100, '.', lpad({cents} % 100, 2, '0'))"
 
 
 RAW_TEXT = {
-    "_section": lambda: F.col("section"),
-    "slug_id": lambda: F.expr("cast(slug_id as string)"),
-    "report_date": lambda: F.expr(
-        "case seq % 3 when 0 then date_format(report_date, 'MM/dd/yyyy') "
-        "when 1 then date_format(report_date, 'M/d/yyyy') "
-        "else date_format(report_date, 'yyyy-MM-dd') end"
-    ),
-    "published_date": lambda: F.date_format("published_date", "MM/dd/yyyy HH:mm:ss"),
-    "avg_price": lambda: F.expr(f"coalesce({_money('price_cents')}, 'N/A')"),
-    "avg_price_min": lambda: F.expr(_money("(price_cents - price_spread)")),
-    "avg_price_max": lambda: F.expr(_money("(price_cents + price_spread)")),
-    "avg_weight": lambda: _number_text("avg_weight", "if(seq % 3 = 0, '.0', '')"),
-    "avg_weight_min": lambda: _number_text("weight_min"),
-    "avg_weight_max": lambda: _number_text("weight_max"),
-    "weight_break_low": lambda: _number_text("weight_break_low"),
-    "weight_break_high": lambda: _number_text("weight_break_high"),
-    "head_count": lambda: _number_text("head_count", "if(seq % 4 = 0, '.9', '')"),
-    "receipts": lambda: _number_text("receipts"),
-    "receipts_week_ago": lambda: _number_text("receipts_week_ago"),
-    "receipts_year_ago": lambda: _number_text("receipts_year_ago"),
-    "final_ind": lambda: F.col("final_ind"),
+    "_section": "section",
+    "slug_id": "cast(slug_id as string)",
+    "report_date": "case seq % 3 when 0 then date_format(report_date, 'MM/dd/yyyy') "
+    "when 1 then date_format(report_date, 'M/d/yyyy') else date_format(report_date, 'yyyy-MM-dd') end",
+    "published_date": "date_format(published_date, 'MM/dd/yyyy HH:mm:ss')",
+    "avg_price": f"coalesce({_money('price_cents')}, 'N/A')",
+    "avg_price_min": _money("(price_cents - price_spread)"),
+    "avg_price_max": _money("(price_cents + price_spread)"),
+    "avg_weight": _number("avg_weight", "if(seq % 3 = 0, '.0', '')"),
+    "avg_weight_min": _number("weight_min"),
+    "avg_weight_max": _number("weight_max"),
+    "weight_break_low": _number("weight_break_low"),
+    "weight_break_high": _number("weight_break_high"),
+    "head_count": _number("head_count", "if(seq % 4 = 0, '.9', '')"),
+    "receipts": _number("receipts"),
+    "receipts_week_ago": _number("receipts_week_ago"),
+    "receipts_year_ago": _number("receipts_year_ago"),
+    "final_ind": "final_ind",
 }
 
 # Canonical name -> spelling in each form of file.
@@ -238,19 +236,12 @@ FORMS = {
 
 def star_reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw report rows by form of file, all text, each with its ``id``."""
-    values = [name for name in VALUES]
-    rows = star_rows(spark, sf_dir, values).withColumn(
-        "seq", F.expr("cast(element_at(split(id, '-'), 1) as bigint) + cast(element_at(split(id, '-'), 2) as bigint)")
-    )
-    raw_of = {raw: lot for lot, raw in S.TEXT_COLUMNS.items()}
-    texts = {
-        name: RAW_TEXT[name]() if name in RAW_TEXT else _untidy(raw_of[name])
-        for name in S.RAW_INPUTS
-    }
-    forms = {}
-    for i, (form, spelling) in enumerate(FORMS.items()):
-        part = rows.filter(F.col("slug_id") % len(FORMS) == i)
-        forms[form] = part.select(
-            *[texts[name].alias(spelling.get(name, name)) for name in S.RAW_INPUTS], "id"
+    rows = star_rows(spark, sf_dir, VALUES)
+    raw_of = {raw: _untidy(lot) for lot, raw in S.TEXT_COLUMNS.items()}
+    texts = {name: RAW_TEXT.get(name) or raw_of[name] for name in S.RAW_INPUTS}
+    return {
+        form: rows.filter(f"slug_id % {len(FORMS)} = {i}").selectExpr(
+            *[f"{text} as `{spelling.get(name, name)}`" for name, text in texts.items()], "id"
         )
-    return forms
+        for i, (form, spelling) in enumerate(FORMS.items())
+    }

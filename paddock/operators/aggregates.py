@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schema as S
 from ..functions import labels
 from ..functions.dates import iso_date, iso_stamp, week_label
-from ..functions.exact import dollars, round_half_up
+from ..functions.exact import dollars, ratio, round_half_up
 from ..functions.measures import (
     change_pct,
     direction_by_sign,
@@ -86,7 +86,7 @@ def compare_markets(
         rows.groupBy(*group_by)
         .agg(
             head_weighted_avg("price_per_lb_e4").alias("lb_e4"),
-            head_avg_cents(weighted_sum("price_per_head_e4"), weight_sum("price_per_head_e4")),
+            ratio(weighted_sum("price_per_head_e4"), weight_sum("price_per_head_e4") * 100).alias("head_cents"),
             F.count("*").alias("lot_count"),
             head_sum().alias("head_count"),
         )
@@ -102,12 +102,6 @@ def compare_markets(
     )
 
 
-def head_avg_cents(num_e4: Column, den: Column) -> Column:
-    from ..functions.exact import ratio
-
-    return ratio(num_e4, den * 100).alias("head_cents")
-
-
 def compare_trend(
     lots: DataFrame, as_of: str, species: str, period: int = S.MARKET_DAYS
 ) -> DataFrame:
@@ -270,18 +264,17 @@ def _facet(lots: DataFrame, column: str, name: str, keep_null: bool = False) ->
 
 
 def facet_markets(lots: DataFrame) -> DataFrame:
-    """Counts by market name; of several places of one name the least is shown."""
-    place = F.min(F.struct("market_state", "market_city")).alias("place")
+    """Counts by market name; of several places of one name the least is shown.
+
+    Lots are counted by place first: choosing a place then sorts places, not lots.
+    """
+    places = auctions(lots).groupBy("market_name", "market_state", "market_city").agg(
+        F.count("*").alias("lots")
+    )
     return (
-        auctions(lots)
-        .groupBy(F.col("market_name").alias("name"))
-        .agg(place, F.count("*").alias("count"))
-        .select(
-            "name",
-            F.col("place.market_state").alias("state"),
-            F.col("place.market_city").alias("city"),
-            "count",
-        )
+        places.groupBy(F.col("market_name").alias("name"))
+        .agg(F.min(F.struct("market_state", "market_city")).alias("place"), F.sum("lots").alias("count"))
+        .select("name", F.expr("place.market_state as state"), F.expr("place.market_city as city"), "count")
         .orderBy(F.desc("count"), "name")
     )
 

@@ -91,7 +91,11 @@ def price_histogram(rows: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
 
 
 def _fences(prices: DataFrame) -> DataFrame:
-    """Quartiles and the 1.5 IQR fences of each commodity, in 1e-4 dollars, exact."""
+    """Quartiles and the 1.5 IQR fences of each commodity, in 1e-4 dollars, exact.
+
+    The state is a commodity's distinct prices with their counts.  Prices are quoted
+    in cents, so there are some hundred thousand of them however many lots there are.
+    """
     quartiles = F.percentile("avg_price_e4", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("lots"))
     q1, q3 = F.col("q")[0], F.col("q")[2]
     return (

@@ -56,8 +56,16 @@ def price_histogram(rows: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
     A species with a single price gets a range of one dollar around it.
     """
     prices = cwt_prices(rows.filter(F.col("species").isin("Sheep", "Goats")), "species")
-    edges = prices.groupBy("species").agg(
-        F.min("avg_price_e4").alias("low"), F.max("avg_price_e4").alias("high")
+    # The count is only there to ask for the same columns as below, so that the
+    # counted prices are computed once and both readers share them.
+    edges = (
+        prices.groupBy("species")
+        .agg(
+            F.min("avg_price_e4").alias("low"),
+            F.max("avg_price_e4").alias("high"),
+            F.sum("lots").alias("n"),
+        )
+        .filter("n > 0")
     )
     half_dollar = F.when(F.col("low") == F.col("high"), 5_000).otherwise(0)
     edges = edges.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
+from ..session import store
 from .filters import all_of, days_before, lot_conditions
 
 NEARBY_STATES = 5
@@ -71,7 +72,8 @@ def suggestions(lots: DataFrame, **conditions) -> DataFrame:
     """Every wider search that finds lots, if the given one finds none.
 
     Rows are ``kind, state, low, high, count``.  All searches are counted by state in
-    one scan, which keeps only rows some search matches.
+    one scan, which keeps only rows some search matches; the short list of counts is
+    written out, since each kind of suggestion reads it.
     """
     searches = {"found": conditions, **_widened(**conditions)}
     flags: dict[str, Column] = {
@@ -80,11 +82,8 @@ def suggestions(lots: DataFrame, **conditions) -> DataFrame:
     matched = F.lit(False)
     for flag in flags.values():
         matched = matched | flag
-    cells = (
-        lots.filter(matched)
-        .groupBy("market_state")
-        .agg(*[F.count(F.when(flag, 1)).alias(kind) for kind, flag in flags.items()])
-    )
+    counts = [F.count(F.when(flag, 1)).alias(kind) for kind, flag in flags.items()]
+    cells = store(lots.filter(matched).groupBy("market_state").agg(*counts), "suggestions")
     found = cells.agg(F.coalesce(F.sum("found"), F.lit(0))).scalar()
 
     low, high = widened_weights(conditions.get("weight_min"), conditions.get("weight_max"))

@@ -152,3 +152,28 @@ def convert_units(spark, sf_dir):
     FROM (SELECT *, CASE dressing WHEN 'High' THEN 54 WHEN 'Average' THEN 50 WHEN 'Low' THEN 46 END AS pct FROM lots)"""))
 def carcass_value(spark, sf_dir):
     return calc.carcass_value(star_lots(spark, sf_dir, "id dressing avg_weight price_per_head_e4"))
+
+
+REQUESTS = f"""
+    SELECT *, target - buy_weight AS gain, (target - buy_weight) * feed_e2 * 10000 AS feed, buy_cents * loss_bp AS shrink,
+      buy_cents * 10000 + (target - buy_weight) * feed_e2 * 10000 + buy_cents * loss_bp AS total
+    FROM (SELECT *, 90 + CAST(slug_id % 7 AS BIGINT) * 10 AS target, CASE WHEN slug_id % 2 = 0 THEN 40 ELSE 55 END AS feed_e2,
+      CASE WHEN slug_id % 3 = 0 THEN 250 ELSE 300 END AS loss_bp FROM ({BUY}))"""
+AT_REQUEST = NEAR_TARGET.replace(
+    "buy_weight + 40 AS target", "90 + CAST(slug_id % 7 AS BIGINT) * 10 AS target")
+
+
+@query("profitability_requests", margins(
+    REQUESTS, AT_REQUEST, "c.species = m.species AND c.animal_class = m.animal_class AND c.target = m.target"))
+def requests(spark, sf_dir):
+    """A calculator request for every lot, each with its own target, feed cost and loss."""
+    rows = star_lots(spark, sf_dir, NEEDS + " slug_id")
+    asked = calc.profit_defaults(rows).select(
+        "id", "species", "animal_class",
+        dollars(F.col("purchase_price_e4")).alias("purchase_price_per_head"),
+        (F.col("purchase_weight_e2") / 100).alias("purchase_weight"),
+        F.expr("90.0D + slug_id % 7 * 10").alias("target_sell_weight"),
+        F.expr("if(slug_id % 2 = 0, 0.40D, 0.55D)").alias("feed_cost_per_lb_gain"),
+        F.expr("if(slug_id % 3 = 0, 2.5D, 3.0D)").alias("mortality_pct"),
+    )
+    return calc.profitability_requests(asked, rows, AS_OF)

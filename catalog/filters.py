@@ -70,9 +70,9 @@ register(
     dressing="High,Low", age="Young (2-4 yrs)",
 )
 register(
-    "weight_bracket", "weight_break_low = 100 AND weight_break_high = 150 AND NOT is_summary",
+    "weight_bracket", "weight_break_low >= 100 AND weight_break_high <= 200 AND NOT is_summary",
     "weight_break_low weight_break_high",
-    bracket="100-150",
+    bracket="100-200",
 )
 
 

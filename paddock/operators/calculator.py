@@ -164,15 +164,13 @@ def profitability(
     )
 
 
-def profitability_at_gain(lots: DataFrame, as_of: str, gain: int) -> DataFrame:
-    """Break-even and margin of every lot, each grown by ``gain`` pounds.
+def with_market_at_target(rows: DataFrame, lots: DataFrame, as_of: str) -> DataFrame:
+    """Add the market average near each row's own target weight, and the margin.
 
-    Every lot has its own target, so the market is looked up by weight band: the
-    distinct species, class and target are joined with the market's sums by weight,
-    and only that short list is joined back to the lots.
+    The market is looked up by weight band: the distinct species, class and target are
+    joined with the market's sums by weight, and only that short list is joined back.
     """
-    target = F.col("purchase_weight_e2") / 100 + gain
-    rows = with_class_key(with_break_even(profit_defaults(lots), target))
+    rows = with_class_key(rows)
     keys = ["species", "class_key"]
     market = band_sums(
         rows.select(*keys, "target_weight_e2").distinct(),
@@ -183,7 +181,14 @@ def profitability_at_gain(lots: DataFrame, as_of: str, gain: int) -> DataFrame:
         S.MARKET_BAND_LB * 100,
         ["num", "den"],
     ).select(*keys, "target_weight_e2", ratio(F.col("num"), F.col("den")).alias("market_avg_e4"))
-    return with_margin(with_market(rows, market, [*keys, "target_weight_e2"])).select(
+    return with_margin(with_market(rows, market, [*keys, "target_weight_e2"]))
+
+
+def profitability_at_gain(lots: DataFrame, as_of: str, gain: float) -> DataFrame:
+    """Break-even and margin of every lot, each grown by ``gain`` pounds."""
+    target = F.col("purchase_weight_e2") / 100 + gain
+    rows = with_break_even(profit_defaults(lots), target)
+    return with_market_at_target(rows, lots, as_of).select(
         "id",
         (F.col("target_weight_e2") / 100).alias("target_weight"),
         *break_even_columns(),
@@ -191,6 +196,43 @@ def profitability_at_gain(lots: DataFrame, as_of: str, gain: int) -> DataFrame:
     )
 
 
+def profitability_requests(requests: DataFrame, lots: DataFrame, as_of: str) -> DataFrame:
+    """Answer calculator requests, one per row.
+
+    A request has ``purchase_price_per_head`` and ``purchase_weight``, may have
+    ``target_sell_weight``, ``feed_cost_per_lb_gain`` and ``mortality_pct``, and is
+    compared with the market if it names a ``species`` (and ``animal_class``).  Its
+    other columns are kept.
+    """
+    given = set(requests.columns)
+
+    def value(name: str, default) -> Column:
+        return F.coalesce(F.col(name), F.lit(default)) if name in given else F.lit(default)
+
+    inputs = {"purchase_price_per_head", "purchase_weight", "target_sell_weight",
+              "feed_cost_per_lb_gain", "mortality_pct", "species", "animal_class"}
+    kept = [name for name in requests.columns if name not in inputs]
+    rows = requests.withColumns(
+        {
+            "purchase_price_e4": F.floor(F.col("purchase_price_per_head") * E4 + 0.5),
+            "purchase_weight_e2": as_e2(F.col("purchase_weight")),
+            **{
+                name: F.lit(None).cast("string")
+                for name in ("species", "animal_class") if name not in given
+            },
+        }
+    )
+    rows = with_break_even(
+        rows,
+        value("target_sell_weight", S.DEFAULT_TARGET_WEIGHT),
+        value("feed_cost_per_lb_gain", S.DEFAULT_FEED_COST),
+        value("mortality_pct", S.DEFAULT_MORTALITY_PCT),
+    )
+    return with_market_at_target(rows, lots, as_of).select(
+        *kept, *break_even_columns(), *margin_columns()
+    )
+
+
 def convert_units(lots: DataFrame) -> DataFrame:
     """Every lot's price per hundredweight, pound and head."""
     prices = derive_prices("avg_price_e4", "price_unit", f"avg_weight * {E4}")

@@ -70,11 +70,11 @@ def dates(date_from: str | None, date_to: str | None, by_month: bool = False) ->
 
 
 def weight_bracket(bracket: str | None) -> Conditions:
-    """Quoted for the weight bracket ``low-high``."""
+    """Quoted for a weight bracket that lies within ``low-high``."""
     if not bracket:
         return []
     low, high = (int(part) for part in bracket.split("-"))
-    return [F.col("weight_break_low") == low, F.col("weight_break_high") == high]
+    return [F.col("weight_break_low") >= low, F.col("weight_break_high") <= high]
 
 
 def lot_conditions(

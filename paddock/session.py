@@ -52,14 +52,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/paddock/{label}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def store(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path``, and read it back.
 
     Cuts lineage in a way that survives lost executors, fixes values that depend
     on physical row order, and gives the planner the real size, so that a later
     join is broadcast only if the table is under the broadcast threshold.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
+    path = path or scratch_path(spark, label)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

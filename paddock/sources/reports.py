@@ -96,13 +96,13 @@ def scan_reports(spark: SparkSession, path: str | Sequence[str], pattern: str =
     return union_reports(scan_by_header(spark, path, pattern))
 
 
-def with_source_row(bronze: DataFrame) -> DataFrame:
+def with_source_row(bronze: DataFrame, path: str | None = None) -> DataFrame:
     """Add each row's place in its file, from 0, counting rows dropped later.
 
-    The scan is written out first: it is the raw layer of the table, and the places
-    must not change when the plan is run again.
+    The scan is written out first, to ``path`` or to scratch space: it is the raw
+    layer of the table, and the places must not change when the plan is run again.
     """
-    raw = store(bronze, "bronze")
+    raw = store(bronze, "bronze", path)
     return dense_positions(raw, ["source_file"], "split_start", "split_seq", "source_row").drop(
         "split_start", "split_seq"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..operators.normalise import normalise
 from ..session import store
-from .reports import scan_reports, with_source_row
+from .reports import alias_guard, report_headers, scan_reports, with_source_row
 
 
 def read_lots(spark: SparkSession, path: str) -> DataFrame | None:
@@ -101,16 +101,28 @@ def replace_reports(spark: SparkSession, path: str, updates: DataFrame) -> list[
     return months
 
 
-def ingest_reports(spark: SparkSession, report_path, table_path: str, pattern: str = "*.csv") -> None:
-    """Read report files, normalise them and put them in the table."""
-    raw = with_source_row(scan_reports(spark, report_path, pattern))
+def ingest_reports(
+    spark: SparkSession,
+    report_path,
+    table_path: str,
+    pattern: str = "*.csv",
+    bronze_path: str | None = None,
+    strict: bool = False,
+) -> None:
+    """Read report files, normalise them and put them in the table.
+
+    ``strict`` stops before the scan if a file has a column no one has described.
+    """
+    if strict:
+        alias_guard(report_headers(spark, report_path, pattern))
+    raw = with_source_row(scan_reports(spark, report_path, pattern), bronze_path)
     upsert_lots(spark, table_path, normalise(raw).withColumn("ingest_seq", F.lit(0).cast("bigint")))
 
 
-def ingest_if_empty(spark: SparkSession, report_path, table_path: str, pattern: str = "*.csv") -> DataFrame:
-    """Load the table only when it holds no lots."""
+def ingest_if_empty(spark: SparkSession, report_path, table_path: str, **options) -> DataFrame:
+    """Load the table only when it holds no lots; options as in ``ingest_reports``."""
     current = read_lots(spark, table_path)
     if current is None or current.isEmpty():
-        ingest_reports(spark, report_path, table_path, pattern)
+        ingest_reports(spark, report_path, table_path, **options)
         current = read_lots(spark, table_path)
     return current

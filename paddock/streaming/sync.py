@@ -20,6 +20,7 @@ def incremental_sync(
     table_path: str,
     checkpoint_path: str,
     mart_path: str | None = None,
+    bronze_path: str | None = None,
     pattern: str = "*.csv",
     whole_reports: bool = False,
     files_per_batch: int = 10_000,
@@ -46,7 +47,8 @@ def incremental_sync(
         paths = [row["path"] for row in batch.collect()]
         if not paths:
             return
-        lots = normalise(with_source_row(scan_reports(session, paths)))
+        raw_path = f"{bronze_path}/batch={batch_id}" if bronze_path else None
+        lots = normalise(with_source_row(scan_reports(session, paths), raw_path))
         lots = lots.withColumn("ingest_seq", F.lit(batch_id).cast("bigint"))
         put_lots = replace_reports if whole_reports else upsert_lots
         months = put_lots(session, table_path, lots)

@@ -28,15 +28,16 @@ def parse_date(text: str) -> str:
 
 
 def iso_date(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+    return day.cast("string")
 
 
 def iso_stamp(stamp: Column) -> Column:
-    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
+    """Cast and not formatted, so that the session's time zone plays no part."""
+    return F.replace(stamp.cast("string"), F.lit(" "), F.lit("T"))
 
 
 def report_month(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+    return F.substring(iso_date(day), 1, 7)
 
 
 def week_label(day: Column) -> Column:

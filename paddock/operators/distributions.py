@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
+from ..functions.dates import iso_date
 from ..functions.exact import dollars, int_div
 from ..functions.labels import commodity_short
 from .aggregates import with_share
@@ -173,8 +174,8 @@ def dataset_summary(rows: DataFrame, files: str = "source_file") -> DataFrame:
     return cells.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
         F.countDistinct(files).alias("files"),
-        F.date_format(F.min("first"), "yyyy-MM-dd").alias("first_date"),
-        F.date_format(F.max("last"), "yyyy-MM-dd").alias("last_date"),
+        iso_date(F.min("first")).alias("first_date"),
+        iso_date(F.max("last")).alias("last_date"),
         F.countDistinct("market_state").alias("states"),
         F.countDistinct("market_name").alias("markets"),
     )

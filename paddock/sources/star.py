@@ -168,7 +168,7 @@ LOT_SQL = {
     "price_max_e4": "(price_cents + price_spread) * 100",
     "report_date_raw": "date_format(report_date, 'MM/dd/yyyy')",
     "published_date_raw": "date_format(published_date, 'MM/dd/yyyy HH:mm:ss')",
-    "report_month": "date_format(report_date, 'yyyy-MM')",
+    "report_month": "substring(cast(report_date as string), 1, 7)",
     **PRICES,
 }
 

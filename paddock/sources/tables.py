@@ -32,18 +32,27 @@ def last_write(rows: DataFrame, key: str = "id", order: str = "ingest_seq") -> D
     return rows.groupBy(key).agg(best).select(key, "best.*").select(*rows.columns)
 
 
-def write_lots(lots: DataFrame, path: str) -> None:
+def write_lots(lots: DataFrame, path: str, ids_per_file: int = 0) -> None:
     """Replace the months that ``lots`` holds.
 
     Months are spread over tasks by size; rows are sorted so that files can be
-    skipped by species, class and weight.
+    skipped by species, class and weight.  With ``ids_per_file`` each file gets a
+    Bloom filter for about so many ids, for lookups by id in a large table.
     """
+    id_filter = (
+        {
+            "parquet.bloom.filter.enabled#id": "true",
+            "parquet.bloom.filter.expected.ndv#id": str(ids_per_file),
+        }
+        if ids_per_file
+        else {}
+    )
     (
         lots.select(*S.LOTS_SCHEMA.fieldNames())
         .hint("rebalance", "report_month")
         .sortWithinPartitions("report_month", "species", "animal_class", "avg_weight")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .options(partitionOverwriteMode="dynamic", **id_filter)
         .partitionBy("report_month")
         .parquet(path)
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
+from ..functions.dates import iso_date, iso_stamp
 from ..operators.normalise import normalise
 from ..plans.mart import write_mart
 from ..sources.reports import scan_reports, with_source_row
@@ -67,11 +68,11 @@ def incremental_sync(
 def freshness_status(lots: DataFrame, last_sync: str) -> DataFrame:
     """Newest publication, last and next sync, and the window of active lots."""
     synced = F.lit(last_sync).cast("timestamp_ntz")
-    form = "yyyy-MM-dd'T'HH:mm:ss"
+    day = synced.cast("date")
     return lots.agg(F.max("published_date").alias("newest")).select(
-        F.date_format("newest", form).alias("data_as_of"),
-        F.date_format(synced, form).alias("last_sync"),
-        F.date_format(synced + F.expr(f"interval {S.SYNC_HOURS} hours"), form).alias("next_sync"),
-        F.date_format(F.date_sub(synced.cast("date"), S.FETCH_DAYS), "yyyy-MM-dd").alias("window_from"),
-        F.date_format(synced.cast("date"), "yyyy-MM-dd").alias("window_to"),
+        iso_stamp(F.col("newest")).alias("data_as_of"),
+        iso_stamp(synced).alias("last_sync"),
+        iso_stamp(synced + F.expr(f"interval {S.SYNC_HOURS} hours")).alias("next_sync"),
+        iso_date(F.date_sub(day, S.FETCH_DAYS)).alias("window_from"),
+        iso_date(day).alias("window_to"),
     )

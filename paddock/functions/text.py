@@ -15,6 +15,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 NUMBER_PATTERN = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+# No number holds any of these; what is left is a number or fails to cast.
+NOT_IN_NUMBERS = "[^0-9eE.+ \\t\\n\\r\\f-]"
 
 
 def _literal(text: str) -> str:
@@ -41,13 +43,16 @@ def clean_string(text: str) -> str:
 
 
 def coerce_numeric(text: str) -> str:
-    """Text to double; null where the whole text is not one number."""
-    return f"try_cast(regexp_substr({strip(text)}, '{NUMBER_PATTERN}') as double)"
+    """Text to double; null where the whole text is not one number.
+
+    The cast trims, but it also takes ``1.5d``, ``NaN`` and hexadecimal digits.
+    """
+    return f"if({text} rlike '{NOT_IN_NUMBERS}', null, try_cast({text} as double))"
 
 
 def to_units_e4(number: str) -> str:
-    """A double to whole 1e-4 units; null from 1e10 up, where no price or weight is."""
-    return f"cast(try_cast(round(({number}) * 10000) as decimal(14, 0)) as bigint)"
+    """A double to whole 1e-4 units; null from the limit up, where no price or weight is."""
+    return f"if(abs({number}) < {S.NUMBER_LIMIT:.0f}D, floor({number} * 10000 + 0.5D), null)"
 
 
 def to_int_trunc(number: str) -> str:

@@ -54,19 +54,19 @@ def tidy_rows(raw: DataFrame) -> DataFrame:
     """
     present = set(raw.columns)
     numbers = [*PRICE_INPUTS.values(), *S.INTEGER_COLUMNS.values()]
-    known = raw.selectExpr(
-        *[
-            f"{null_tokens(f'`{name}`')} as `{name}`" if name in present else f"cast(null as string) as `{name}`"
-            for name in S.RAW_INPUTS
-        ],
-        *[name for name in LINEAGE if name in present],
-    )
     texts = [name for name in S.RAW_INPUTS if name not in numbers]
-    return known.selectExpr(
-        *[f"{strip(f'`{name}`')} as `{name}`" for name in texts if name != "_section"],
-        "_section",
-        *[f"{coerce_numeric(name)} as n_{name}" for name in numbers],
-        *(["slug_id"] if "id" not in present else []),
+
+    def value(name: str) -> str:
+        return f"`{name}`" if name in present else "cast(null as string)"
+
+    def text(name: str) -> str:
+        known = null_tokens(value(name))
+        return known if name == "_section" else strip(known)
+
+    return raw.selectExpr(
+        *[f"{text(name)} as `{name}`" for name in texts],
+        *[f"{coerce_numeric(value(name))} as n_{name}" for name in numbers],
+        *([f"{strip(value('slug_id'))} as slug_id"] if "id" not in present else []),
         *[name for name in LINEAGE if name in present],
     )
 

@@ -35,3 +35,14 @@ def _op3(spark, sf_dir):
 
 
 _register("op3_substring_dedup", _op3)
+
+
+def _op6(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_register("op6_best_fit_packing", _op6)

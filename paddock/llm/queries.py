@@ -46,3 +46,14 @@ def _op6(spark, sf_dir):
 
 
 _register("op6_best_fit_packing", _op6)
+
+
+def _op2(spark, sf_dir):
+    import public_tokenizers
+
+    from .sentencepiece_codec import op2
+
+    return op2(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+_register("op2_sentencepiece", _op2)

@@ -57,3 +57,12 @@ def _op2(spark, sf_dir):
 
 
 _register("op2_sentencepiece", _op2)
+
+
+def _op9(spark, sf_dir):
+    from .lm_scoring import op9
+
+    return op9(table(spark, sf_dir, "documents"))
+
+
+_register("op9_context_mixing", _op9)

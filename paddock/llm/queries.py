@@ -66,3 +66,12 @@ def _op9(spark, sf_dir):
 
 
 _register("op9_context_mixing", _op9)
+
+
+def _op8(spark, sf_dir):
+    from .secret_scan import op8
+
+    return op8(table(spark, sf_dir, "documents"))
+
+
+_register("op8_secret_ledger", _op8)

@@ -75,3 +75,12 @@ def _op8(spark, sf_dir):
 
 
 _register("op8_secret_ledger", _op8)
+
+
+def _op10(spark, sf_dir):
+    from .toxicity import op10
+
+    return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_register("op10_toxicity", _op10)

@@ -84,3 +84,12 @@ def _op10(spark, sf_dir):
 
 
 _register("op10_toxicity", _op10)
+
+
+def _op5(spark, sf_dir):
+    from .quality_rules import op5
+
+    return op5(table(spark, sf_dir, "documents"))
+
+
+_register("op5_weak_supervision", _op5)

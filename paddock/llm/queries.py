@@ -93,3 +93,12 @@ def _op5(spark, sf_dir):
 
 
 _register("op5_weak_supervision", _op5)
+
+
+def _op4(spark, sf_dir):
+    from .order_minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+_register("op4_order_minhash", _op4)

@@ -102,3 +102,12 @@ def _op4(spark, sf_dir):
 
 
 _register("op4_order_minhash", _op4)
+
+
+def _op1(spark, sf_dir):
+    from .warc import op1
+
+    return op1(table(spark, sf_dir, "pages"))
+
+
+_register("op1_warc_index", _op1)

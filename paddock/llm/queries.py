@@ -111,3 +111,12 @@ def _op1(spark, sf_dir):
 
 
 _register("op1_warc_index", _op1)
+
+
+def _op7(spark, sf_dir):
+    from .minhash_dedup import op7
+
+    return op7(table(spark, sf_dir, "documents"))
+
+
+_register("op7_minhash", _op7)

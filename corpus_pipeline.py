@@ -40,16 +40,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that one of smaller id holds; those left empty go.
+    """Documents without the passages that one of smaller id holds.
 
     A text that keeps all its words stays as it is; in others, kept words are parted by
-    one space.
+    one space.  A text all of whose words went is empty.
     """
     ship_package(spark)
     found = substring_dedup(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.where("n_removed = 0 or n_words > n_removed").withColumn("text", text)
-    return _measured(found.select(*docs.columns))
+    return _measured(found.withColumn("text", text).select(*docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

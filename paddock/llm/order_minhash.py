@@ -67,10 +67,10 @@ def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     )
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(repeats) + F.lit(1))).cast("int"))
     followed = F.aggregate(rounds, back, lambda held, _: F.transform(held, lambda at: F.get(held, at)))
-    rows = rows.withColumn(starts, F.when(F.size(repeats) > 0, followed))
-    numbered = F.transform(
-        c(repeats), lambda x, i: _placed(F.xxhash64(_kmer(x), i - F.get(c(starts), i) + 1), x)
-    )
+    # Occurrence numbers meet the k-mers element by element: the planner may put them in
+    # place here, where they are still computed once.
+    number = F.transform(followed, lambda at, i: i - at + 1)
+    numbered = F.zip_with(repeats, number, lambda x, n: _placed(F.xxhash64(_kmer(x), n), x))
     firsts = F.filter(c(kmers), lambda x, i: (i == 0) | (_kmer(x) != _kmer(F.get(c(kmers), i - 1))))
     rows = rows.withColumn(
         ring, F.when(F.size(repeats) > 0, F.sort_array(F.concat(firsts, numbered))).otherwise(c(kmers))

@@ -31,12 +31,12 @@ def expected(library, rows):
 
 @pytest.mark.parametrize("rows", [ODD_ROWS, []])
 def test_odd_texts(spark, library, rows):
-    got = codec.op2(frame(spark, rows, extra=True)).collect()
+    got = codec.op2(frame(spark, rows, extra=True), MODEL).collect()
     assert sorted(map(tuple, got), key=repr) == expected(library, rows)
 
 
 def test_all_documents(spark, library, sf_dir):
-    got = codec.op2(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    got = codec.op2(spark.read.parquet(f"{sf_dir}/documents.parquet"), MODEL).collect()
     assert sorted(map(tuple, got), key=repr) == expected(library, documents(spark, sf_dir))
 
 

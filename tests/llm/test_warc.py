@@ -48,18 +48,16 @@ def test_all_pages(spark, sf_dir):
     assert found(warc.op1(pages)) == expected([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
 
 
-def test_payloads_and_absent_keys(spark, monkeypatch):
+def test_payloads_and_absent_keys(spark):
     archive = warc.build_archive(spark.createDataFrame(ROWS, KIND))
-    keys = spark.createDataFrame([("c,b,a)/x", 7), ("c,b,a)/x", 8), ("zz", 1)], "u string, p long")
-    keys = keys.select(F.format_string("%s %020d", "u", F.col("p").cast("decimal(20,0)") + 2**62 + 2**62).alias("capture_key"))
+    keys = [(f"c,b,a)/x {2**63 + n:020d}",) for n in (7, 8)] + [("zz 1",)]
+    keys = spark.createDataFrame(keys, "capture_key string")
     rows = warc.read_records(archive, warc.lookup(archive, keys)).collect()
     assert [(r.page_id, bytes(r.payload)) for r in rows] == [(7, b"z" * 300_000)]
 
 
-def test_lookup_spans_blocks_and_ranges(tmp_path, monkeypatch):
+def test_lookup_spans_blocks_and_ranges(tmp_path):
     """Equal keys that reach over blocks and over ranges are all found, absent ones cost one read."""
-    import zlib
-
     folder, ranges = tmp_path, []
     lines = [[("a", i) for i in range(3)] + [("b", i) for i in range(5)], [("b", 9)], [("d", 0)]]
     for number, part in enumerate(lines):
@@ -76,7 +74,6 @@ def test_lookup_spans_blocks_and_ranges(tmp_path, monkeypatch):
     assert [n for _, n, _ in reader.find(b"a")] == [0, 1, 2]
     before = reader.reads
     assert list(reader.find(b"c")) == [] and reader.reads == before
-    assert zlib.crc32(b"") == 0
 
 
 def test_reversed_host(spark):

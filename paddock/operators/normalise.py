@@ -76,7 +76,7 @@ def not_a_lot() -> Column:
     return (
         F.when(F.col("_section").eqNullSafe(S.HEADER_SECTION), "report header")
         .when(F.col("class").isin(*S.EXCLUDED_CLASSES), "excluded class")
-        .when(~F.coalesce(F.abs("n_avg_price") < S.NUMBER_LIMIT, F.lit(False)), "no price")
+        .when(~F.coalesce(F.abs("n_avg_price") < float("inf"), F.lit(False)), "no price")
     )
 
 
@@ -155,13 +155,16 @@ def normalise(raw: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFrame:
 def keep_final(lots: DataFrame) -> DataFrame:
     """Without the preliminary rows of reports that also have final ones.
 
-    Only rows that are not final are shuffled, against the list of final reports.
+    A narrow list says which reports have final rows; the lots are read once more, and
+    only they and that list meet.
     """
-    report = ["slug_id", "report_date"]
     is_final = F.col("final_ind").eqNullSafe("Final")
-    final_reports = lots.filter(is_final).select(*report).distinct()
-    pending = lots.filter(~is_final).join(final_reports, report, "left_anti")
-    return lots.filter(is_final).unionByName(pending.select(*lots.columns))
+    final = lots.groupBy(F.col("slug_id").alias("f_slug"), F.col("report_date").alias("f_date")).agg(
+        F.max(is_final).alias("has_final")
+    )
+    # A report without id or date is compared with none.
+    same = (F.col("slug_id") == F.col("f_slug")) & (F.col("report_date") == F.col("f_date")) & ~is_final
+    return lots.join(final.where("has_final"), same, "left_anti")
 
 
 def retention(lots: DataFrame, as_of: str, days: int = S.FETCH_DAYS) -> DataFrame:

@@ -12,12 +12,15 @@ import io
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schema as S
+from ..functions.dates import parse_date
+from ..functions.text import coerce_numeric, strip, to_int_trunc
 from ..operators.normalise import union_reports
 from ..plans.row_index import dense_positions
-from ..session import store
+from ..session import ship_package, store
+from .files import open_location
 
 CSV_OPTIONS = {
     "header": "true",
@@ -26,23 +29,17 @@ CSV_OPTIONS = {
     "escape": '"',
     "mode": "PERMISSIVE",
 }
-LINEAGE = ("source_file", "split_start", "split_seq")
-
-
-def _uri(path: str) -> str:
-    if path.startswith("file:/") and not path.startswith("file://"):
-        return "file://" + path.removeprefix("file:")
-    return path
+LINEAGE = ("source_file", "split_start", "split_seq", "fetched_at")
+# Files that one Spark job wrote share its id in their names.
+PART_OF = r"^(.*/)part-[0-9]+-([0-9a-f-]{36})[^/]*$"
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First CSV record of each file; opens the file, reads no more than its start."""
-    from pyarrow import fs
-
     for batch in batches:
         headers = []
         for path in batch["path"]:
-            system, inner = fs.FileSystem.from_uri(_uri(path))
+            system, inner = open_location(path)
             with system.open_input_stream(inner, buffer_size=65_536) as stream:
                 text = io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
                 headers.append(next(csv.reader(text), []))
@@ -51,6 +48,7 @@ def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def report_headers(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
     """``path, header`` of every report file below ``path``."""
+    ship_package(spark)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -66,18 +64,22 @@ def scan_by_header(
 ) -> list[DataFrame]:
     """One all-text frame per different header, under the names found in the files.
 
-    Only file names and headers come to the driver, which lists the files for the
-    scan anyway.  A file is one task, since quoted text may hold line breaks; large
-    reports should be landed as several files, as ``write_reports`` does.
+    Each different header comes to the driver once, with the names of its files, which
+    the driver lists for the scan anyway.  A file is one task, since quoted text may hold
+    line breaks; large reports should be landed as several files, as ``write_reports``
+    does.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in report_headers(spark, path, pattern).collect():
-        if row["header"]:
-            groups.setdefault(tuple(row["header"]), []).append(row["path"])
+    groups = (
+        report_headers(spark, path, pattern)
+        .where(F.size("header") > 0)
+        .groupBy("header")
+        .agg(F.collect_list("path").alias("paths"))
+        .collect()
+    )
     if not groups:
         raise FileNotFoundError(f"no report files matching {pattern} in {path}")
     frames = []
-    for header, paths in sorted(groups.items()):
+    for header, paths in sorted((tuple(row["header"]), row["paths"]) for row in groups):
         places = [f"c{i}" for i in range(len(header))]
         schema = T.StructType([T.StructField(place, T.StringType()) for place in places])
         rows = spark.read.schema(schema).options(**CSV_OPTIONS).csv(sorted(paths))
@@ -86,6 +88,7 @@ def scan_by_header(
             F.col("_metadata.file_path"),
             F.col("_metadata.file_block_start"),
             F.monotonically_increasing_id(),
+            F.col("_metadata.file_modification_time"),
         )
         frames.append(rows.toDF(*header, *LINEAGE))
     return frames
@@ -97,17 +100,57 @@ def scan_reports(spark: SparkSession, path: str | Sequence[str], pattern: str =
 
 
 def with_source_row(bronze: DataFrame, path: str | None = None) -> DataFrame:
-    """Add each row's place in its file, from 0, counting rows dropped later.
+    """Add each row's place in its fetch, from 0, counting rows dropped later.
 
-    The scan is written out first, to ``path`` or to scratch space: it is the raw
-    layer of the table, and the places must not change when the plan is run again.
+    A ``fetch`` is a file, or all files that one job wrote into one folder: the parts of a
+    large report are numbered through.  The scan is written out first, to ``path`` or to
+    scratch space: it is the raw layer of the table, and the places must not change when
+    the plan is run again.
     """
     raw = store(bronze, "bronze", path)
-    return dense_positions(raw, ["source_file"], "split_start", "split_seq", "source_row").drop(
-        "split_start", "split_seq"
+    job = F.regexp_extract("source_file", PART_OF, 2)
+    folder = F.regexp_extract("source_file", PART_OF, 1)
+    raw = raw.withColumn("fetch", F.when(job != "", F.concat(folder, job)).otherwise(F.col("source_file")))
+    raw = raw.withColumn("split", F.struct("source_file", "split_start"))
+    return dense_positions(raw, ["fetch"], "split", "split_seq", "source_row").drop(
+        "split", "split_start", "split_seq"
     )
 
 
+def _report() -> list[Column]:
+    """Report id and date of a raw row, comparable between spellings."""
+    return [
+        F.coalesce(F.expr(strip("slug_id")), F.lit("")).alias("report"),
+        F.expr(parse_date(strip("report_date"))).alias("day"),
+    ]
+
+
+def newest_fetch(raw: DataFrame) -> DataFrame:
+    """Of several fetches of a report and date only the rows of the newest.
+
+    ``raw`` is a stored table with ``fetch`` and ``fetched_at``.  Fetches are compared on a
+    list with one row for each report, date and fetch.
+    """
+    fetches = raw.select(*_report(), "fetch", "fetched_at").groupBy("report", "day", "fetch")
+    fetches = fetches.agg(F.max("fetched_at").alias("at"))
+    newest = fetches.groupBy("report", "day").agg(F.max(F.struct("at", "fetch"))["fetch"].alias("newest"))
+    report, day = _report()
+    named = raw.withColumn("__report", report).withColumn("__day", day)
+    same = (
+        (named["__report"] == newest["report"])
+        & named["__day"].eqNullSafe(newest["day"])
+        & (named["fetch"] == newest["newest"])
+    )
+    return named.join(newest, same, "left_semi").drop("__report", "__day")
+
+
+def fetched_reports(raw: DataFrame) -> DataFrame:
+    """``slug_id, report_date`` of every report in ``raw``, whether or not it has lots."""
+    report, day = _report()
+    slug = F.expr(to_int_trunc(coerce_numeric("slug_id")))
+    return raw.select(slug.alias("slug_id"), day.alias("report_date")).distinct()
+
+
 def unknown_columns(headers: DataFrame, known: Iterable[str] = S.KNOWN_RAW_COLUMNS) -> DataFrame:
     """Column names no one has described yet, with the number of files they occur in."""
     return (
@@ -120,24 +163,24 @@ def unknown_columns(headers: DataFrame, known: Iterable[str] = S.KNOWN_RAW_COLUM
 
 def alias_guard(headers: DataFrame, known: Iterable[str] = S.KNOWN_RAW_COLUMNS) -> None:
     """Fail if any file has an unknown column."""
-    found = unknown_columns(headers, known).orderBy("column_name").take(20)
-    if found:
-        names = ", ".join(row["column_name"] for row in found)
+    names = ", ".join(sorted(row["column_name"] for row in unknown_columns(headers, known).collect()))
+    if names:
         raise ValueError(f"unknown report columns: {names}")
 
 
 def write_reports(rows: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> Observation:
     """Write one folder of CSV files per report id; returns the count of rows written.
 
-    Rows are rebalanced by report, so small reports share a task and a large one is
-    split over several.
+    A report written before is replaced.  Rows are rebalanced by report, so small reports
+    share a task and a large one is split over several.
     """
     written = Observation()
     (
         rows.withColumn("report", F.col("slug_id"))
         .hint("rebalance", "report")
         .observe(written, F.count(F.lit(1)).alias("rows"))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("report")
         .options(
             header="true", quote='"', escape='"', maxRecordsPerFile=max_rows_per_file,

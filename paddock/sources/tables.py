@@ -6,9 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..functions.dates import report_month
 from ..operators.normalise import normalise
-from ..session import store
-from .reports import alias_guard, report_headers, scan_reports, with_source_row
+from ..session import discard, scratch_path, store
+from .reports import (
+    alias_guard, fetched_reports, newest_fetch, report_headers, scan_reports, with_source_row,
+)
 
 
 def read_lots(spark: SparkSession, path: str) -> DataFrame | None:
@@ -21,15 +24,20 @@ def read_lots(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def last_write(rows: DataFrame, key: str = "id", order: str = "ingest_seq") -> DataFrame:
-    """The row of each key with the highest ``order``.
+def last_write(
+    rows: DataFrame, key: str = "id", order: str = "ingest_seq", path: str | None = None
+) -> DataFrame:
+    """One row of each key, that with the highest ``order``.
 
-    A ``max`` over whole rows, so copies of one key collapse in every task before
-    the shuffle; among equal ``order`` the greatest row wins, the same one each run.
+    The rows are written to ``path`` or to scratch space with their place, which must not
+    change.  Winners are found on whole numbers only, with partial maxima, and fetched by
+    their place; of equal ``order`` the last in the table wins.
     """
-    others = [name for name in rows.columns if name not in (key, order)]
-    best = F.max(F.struct(order, *others)).alias("best")
-    return rows.groupBy(key).agg(best).select(key, "best.*").select(*rows.columns)
+    placed = store(rows.withColumn("__place", F.monotonically_increasing_id()), "placed", path)
+    highest = placed.groupBy(key).agg(F.max(order).alias("__order"))
+    tied = placed.select(key, order, "__place").join(highest, key).where(F.col(order).eqNullSafe(F.col("__order")))
+    winners = tied.groupBy(key).agg(F.max("__place").alias("__place")).select("__place")
+    return placed.join(winners, "__place", "left_semi").select(*rows.columns)
 
 
 def write_lots(lots: DataFrame, path: str, ids_per_file: int = 0) -> None:
@@ -71,42 +79,74 @@ def in_months(lots: DataFrame, months: list[str | None]) -> DataFrame:
     return lots.filter(condition)
 
 
+def _write_merged(spark: SparkSession, path: str, merged: DataFrame, months: list[str | None]) -> None:
+    """Replace ``months`` of the table by ``merged``; months left empty are emptied.
+
+    The merged rows are staged first, since they are made from the months they replace.
+    Spark then commits month by month: a job lost before that leaves the table as it was,
+    one lost during it leaves some months new and some old, and running it again with the
+    same updates gives the full result.
+    """
+    staged_path = scratch_path(spark, "staged")
+    staged = store(merged.select(*S.LOTS_SCHEMA.fieldNames()), "staged", staged_path)
+    kept = {row[0] for row in staged.select("report_month").distinct().collect()}
+    write_lots(staged, path)
+    for month in set(months) - kept:
+        discard(spark, f"{path}/report_month={month if month is not None else '__HIVE_DEFAULT_PARTITION__'}")
+    discard(spark, staged_path)
+
+
 def upsert_lots(spark: SparkSession, path: str, updates: DataFrame) -> list[str | None]:
     """Put ``updates`` in the table, the last write of an id winning; returns the months.
 
-    ``updates`` has an ``ingest_seq``.  Only the months it touches are read and
-    replaced.  The merged months are staged first, so a lost job leaves the table
-    as it was and can be run again.
+    ``updates`` has an ``ingest_seq``.  It is reduced to one row for each id; stored rows
+    with these ids go, whatever month they are in (a lot whose date was corrected changes
+    month); then the rest of the touched months and the updates are written.  Stored rows
+    meet the updates by id only, so neither side is sorted as a whole.
     """
-    months = touched_months(updates)
+    placed_path, fresh_path = scratch_path(spark, "placed"), scratch_path(spark, "updates")
+    winners = last_write(updates, path=placed_path).select(*S.LOTS_SCHEMA.fieldNames())
+    fresh = store(winners, "updates", fresh_path)
+    discard(spark, placed_path)
+    ids = fresh.select("id")
+    months = touched_months(fresh)
+    merged = fresh
     current = read_lots(spark, path)
-    merged = updates
     if current is not None:
-        merged = updates.unionByName(
-            in_months(current, months).withColumn("ingest_seq", F.lit(-1).cast("bigint"))
-        )
-    write_lots(store(last_write(merged), "staged"), path)
+        # Only id and month are read of the months that the updates are not in.
+        moved = current.select("id", "report_month").join(ids, "id", "left_semi")
+        months = sorted({*months, *touched_months(moved)}, key=lambda month: (month is None, month or ""))
+        merged = fresh.unionByName(in_months(current, months).join(ids, "id", "left_anti"))
+    _write_merged(spark, path, merged, months)
+    discard(spark, fresh_path)
     return months
 
 
-def replace_reports(spark: SparkSession, path: str, updates: DataFrame) -> list[str | None]:
+def replace_reports(
+    spark: SparkSession, path: str, updates: DataFrame, reports: DataFrame | None = None
+) -> list[str | None]:
     """Replace whole reports: the lots of a report id and date give way to the new ones.
 
-    Positional ids shift when a report is fetched anew with a moved window; replacing
-    the report leaves no stale lots.  ``updates`` holds one fetch.
+    Places in a report shift when it is fetched anew with a moved window; replacing the
+    report leaves no stale lots.  ``updates`` holds one fetch of each report; ``reports``
+    (slug_id, report_date) names reports that may have no lots any more.
     """
-    months = touched_months(updates)
+    stale = updates.select("slug_id", "report_date")
+    if reports is not None:
+        stale = stale.unionByName(reports.select("slug_id", "report_date"))
+    stale = stale.distinct().withColumn("report_month", report_month(F.col("report_date")))
+    months = sorted(
+        {*touched_months(updates), *touched_months(stale)}, key=lambda month: (month is None, month or "")
+    )
     current = read_lots(spark, path)
     merged = updates.select(*S.LOTS_SCHEMA.fieldNames())
     if current is not None:
-        stale = updates.select(
-            F.col("slug_id").alias("stale_slug"), F.col("report_date").alias("stale_date")
-        ).distinct()
+        gone = stale.select(F.col("slug_id").alias("stale_slug"), F.col("report_date").alias("stale_date"))
         replaced = F.col("slug_id").eqNullSafe(F.col("stale_slug")) & F.col("report_date").eqNullSafe(
             F.col("stale_date")
         )
-        merged = merged.unionByName(in_months(current, months).join(stale, replaced, "left_anti"))
-    write_lots(store(merged, "staged"), path)
+        merged = merged.unionByName(in_months(current, months).join(gone, replaced, "left_anti"))
+    _write_merged(spark, path, merged, months)
     return months
 
 
@@ -118,14 +158,15 @@ def ingest_reports(
     bronze_path: str | None = None,
     strict: bool = False,
 ) -> None:
-    """Read report files, normalise them and put them in the table.
+    """Read report files, normalise them and replace their reports in the table.
 
-    ``strict`` stops before the scan if a file has a column no one has described.
+    Of several fetches of a report and date the newest counts.  ``strict`` stops before
+    the scan if a file has a column no one has described.
     """
     if strict:
         alias_guard(report_headers(spark, report_path, pattern))
-    raw = with_source_row(scan_reports(spark, report_path, pattern), bronze_path)
-    upsert_lots(spark, table_path, normalise(raw).withColumn("ingest_seq", F.lit(0).cast("bigint")))
+    raw = newest_fetch(with_source_row(scan_reports(spark, report_path, pattern), bronze_path))
+    replace_reports(spark, table_path, normalise(raw), fetched_reports(raw))
 
 
 def ingest_if_empty(spark: SparkSession, report_path, table_path: str, **options) -> DataFrame:

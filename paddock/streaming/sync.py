@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema as S
 from ..functions.dates import iso_date, iso_stamp
-from ..operators.normalise import normalise
+from ..operators.normalise import keep_final, normalise
 from ..plans.mart import write_mart
-from ..sources.reports import scan_reports, with_source_row
-from ..sources.tables import in_months, read_lots, replace_reports, upsert_lots
+from ..session import discard
+from ..sources.reports import (
+    alias_guard, fetched_reports, newest_fetch, report_headers, scan_reports, with_source_row,
+)
+from ..sources.tables import in_months, read_lots, replace_reports, touched_months, upsert_lots
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -23,15 +28,25 @@ def incremental_sync(
     mart_path: str | None = None,
     bronze_path: str | None = None,
     pattern: str = "*.csv",
-    whole_reports: bool = False,
+    whole_reports: bool = True,
     files_per_batch: int = 10_000,
+    strict: bool = False,
+    final_only: bool = False,
+    keep_days: int | None = None,
+    as_of: str | None = None,
 ) -> StreamingQuery:
     """Start a run over the files not seen yet; it ends when they are all in.
 
     The stream carries file names only.  Each batch scans its files by header, since
-    headers drift, and upserts the lots; writing the same batch twice changes nothing,
-    so a batch lost half way is simply run again.  Late reports reopen old weeks: the
-    mart's touched months are computed anew.  Schedule it every six hours.
+    headers drift, and replaces the reports it holds, of each the newest fetch
+    (``whole_reports=False``: upserts single lots by id); writing the same batch twice
+    changes nothing, so a batch lost half way is simply run again.  No file is too old:
+    back-fills and copies that keep their times are read too.  Late reports reopen old
+    weeks: the mart's touched months are computed anew.  Schedule it every six hours.
+
+    ``strict`` stops at a column no one has described, ``final_only`` leaves out
+    preliminary rows of reports that have final ones, ``keep_days`` first drops the months
+    that ended more than so many days before ``as_of`` (a date, else today).
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -39,6 +54,7 @@ def incremental_sync(
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFileAge", "36500d")
         .load(report_path)
         .select("path")
     )
@@ -48,15 +64,28 @@ def incremental_sync(
         paths = [row["path"] for row in batch.collect()]
         if not paths:
             return
+        if strict:
+            alias_guard(report_headers(session, paths))
         raw_path = f"{bronze_path}/batch={batch_id}" if bronze_path else None
-        lots = normalise(with_source_row(scan_reports(session, paths), raw_path))
-        lots = lots.withColumn("ingest_seq", F.lit(batch_id).cast("bigint"))
-        put_lots = replace_reports if whole_reports else upsert_lots
-        months = put_lots(session, table_path, lots)
+        raw = with_source_row(scan_reports(session, paths), raw_path)
+        if whole_reports:
+            raw = newest_fetch(raw)
+        lots = normalise(raw)
+        if final_only:
+            lots = keep_final(lots)
+        if whole_reports:
+            months = replace_reports(session, table_path, lots, fetched_reports(raw))
+        else:
+            months = upsert_lots(session, table_path, lots.withColumn("ingest_seq", F.lit(batch_id).cast("bigint")))
         if mart_path:
             stored = in_months(read_lots(session, table_path), months)
             write_mart(stored, mart_path)
+            for month in set(months) - set(touched_months(stored)):
+                folder = "__HIVE_DEFAULT_PARTITION__" if month is None else month
+                discard(session, f"{mart_path}/report_month={folder}")
 
+    if keep_days is not None:
+        drop_old_months(spark, table_path, as_of or str(datetime.date.today()), keep_days)
     return (
         files.writeStream.foreachBatch(put)
         .option("checkpointLocation", checkpoint_path)
@@ -65,6 +94,18 @@ def incremental_sync(
     )
 
 
+def drop_old_months(spark: SparkSession, table_path: str, as_of: str, days: int) -> list[str]:
+    """Delete the months of the table that ended more than ``days`` days before ``as_of``."""
+    lots = read_lots(spark, table_path)
+    if lots is None:
+        return []
+    first = str(datetime.date.fromisoformat(as_of) - datetime.timedelta(days))[:7]
+    old = sorted(month for month in touched_months(lots) if month is not None and month < first)
+    for month in old:
+        discard(spark, f"{table_path}/report_month={month}")
+    return old
+
+
 def freshness_status(lots: DataFrame, last_sync: str) -> DataFrame:
     """Newest publication, last and next sync, and the window of active lots."""
     synced = F.lit(last_sync).cast("timestamp_ntz")

@@ -5,7 +5,7 @@ import check
 import pytest
 
 # The smallest tables hold one key twice; keyed writes keep one of the two rows.
-KEYED = {"upsert_lots", "ingest_if_empty", "incremental_sync"}
+KEYED = {"upsert_lots", "upsert_corrected_date"}
 
 
 @pytest.fixture(scope="module")

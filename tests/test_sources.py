@@ -172,3 +172,123 @@ def test_schema_profile(spark, landed):
 
 def test_raw_row_helper_covers_every_text_column(spark):
     assert set(raw_row()) <= set(reports.S.KNOWN_RAW_COLUMNS)
+
+
+def test_parts_of_a_report_are_numbered_through(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("7", "02/09/2026", "Kids", "Goats", "Per Cwt", str(100 + i), "60") for i in range(10)],
+        "slug_id string, report_date string, class string, category string, price_unit string, avg_price string, avg_weight string",
+    )
+    path = str(tmp_path / "landed")
+    reports.write_reports(rows, path, max_rows_per_file=4)
+    stored = tables.ingest_if_empty(spark, path, str(tmp_path / "table"))
+    assert stored.count() == 10 and stored.select("id").distinct().count() == 10
+    reports.write_reports(rows, path, max_rows_per_file=3)  # replaces the files
+    assert reports.scan_reports(spark, path).count() == 10
+
+
+def test_newest_fetch_in_one_batch_counts(spark, tmp_path):
+    import os
+
+    drops, table = tmp_path / "drops", str(tmp_path / "table")
+    drops.mkdir()
+    (drops / "new.csv").write_text(PLAIN.replace("187,60", "190,60"))
+    (drops / "old.csv").write_text(PLAIN)
+    os.utime(drops / "old.csv", (1_700_000_000, 1_700_000_000))
+    incremental_sync(spark, str(drops), table, str(tmp_path / "progress")).awaitTermination()
+    got = tables.read_lots(spark, table)
+    assert got.count() == 2 and got.filter("species = 'Sheep'").first().avg_price_e4 == 1_900_000
+
+
+def test_late_files_are_read(spark, tmp_path):
+    import os
+
+    drops, table = tmp_path / "drops", str(tmp_path / "table")
+    drops.mkdir()
+    for name in ("1.csv", "2.csv"):
+        (drops / name).write_text(PLAIN if name == "1.csv" else ALIASED)
+        if name == "2.csv":
+            os.utime(drops / name, (1_600_000_000, 1_600_000_000))
+        incremental_sync(spark, str(drops), table, str(tmp_path / "progress")).awaitTermination()
+    assert tables.read_lots(spark, table).count() == 3
+
+
+def test_a_corrected_date_moves_the_lot(spark, tmp_path):
+    path = str(tmp_path / "lots")
+    first = lot_frame(spark, {"id": "a", "report_date": "2026-01-05"}, {"id": "b", "report_date": "2026-03-05"})
+    tables.upsert_lots(spark, path, first.withColumn("ingest_seq", F.lit(0).cast("bigint")))
+    moved = lot_frame(spark, {"id": "a", "report_date": "2026-02-05"}).withColumn("ingest_seq", F.lit(1).cast("bigint"))
+    months = tables.upsert_lots(spark, path, moved)
+    assert set(months) == {"2026-01", "2026-02"}
+    assert sorted((r.id, r.report_month) for r in tables.read_lots(spark, path).collect()) == [("a", "2026-02"), ("b", "2026-03")]
+
+
+def test_old_months_go(spark, tmp_path):
+    from paddock.streaming.sync import drop_old_months
+
+    path = str(tmp_path / "lots")
+    tables.write_lots(lot_frame(spark, {"report_date": "2025-01-05"}, {"report_date": "2026-02-05"}), path)
+    assert drop_old_months(spark, path, "2026-02-15", 100) == ["2025-01"]
+    assert [r.report_month for r in tables.read_lots(spark, path).collect()] == ["2026-02"]
+
+
+def test_unreadable_and_pretty_printed_payloads(spark, tmp_path):
+    whole = json.dumps({"results": [{"slug_id": 7, "brand_new": "x"}]}, indent=2)
+    (tmp_path / "pretty.json").write_text(whole)
+    (tmp_path / "cut.json").write_text(whole[:20])
+    frame = payloads.scan_payloads(spark, str(tmp_path), whole_files=True)
+    assert tuple(payloads.unreadable_payloads(frame).first()) == (2, 1)
+    row = payloads.flatten_sections(frame).first()
+    assert row.slug_id == "7" and row.other_keys == {"brand_new": "x"}
+
+
+def test_huge_numbers_keep_their_lots(spark):
+    from helpers import raw_frame
+
+    rows = raw_frame(spark, raw_row(avg_price="1e10"), raw_row(avg_price="5000000", avg_weight="1000000"), raw_row(avg_price="1e300"))
+    lots = {r.id: r for r in normalise(rows).collect()}
+    assert lots["0"].avg_price_e4 == 10**14 and lots["1"].price_per_lb_e4 == 5 * 10**8
+    assert len(lots) == 3 and lots["2"].avg_price_e4 is None
+
+
+def test_day_only_publication(spark):
+    from helpers import raw_frame
+
+    rows = raw_frame(spark, raw_row(published_date="2026-02-09"), raw_row(published_date="02/09/2026 18:47:05"))
+    got = {r.id: r.published_date for r in public_lots(normalise(rows)).collect()}
+    assert got == {"0": "2026-02-09", "1": "2026-02-09T18:47:05"}
+
+
+def test_file_locations(tmp_path, spark):
+    from paddock.sources.files import arrow_location
+
+    assert arrow_location("/a b/c.csv") == ("local", "/a b/c.csv")
+    assert arrow_location("file:/a b/c.csv") == arrow_location("file:///a b/c.csv") == ("local", "/a b/c.csv")
+    assert arrow_location("file:/a%20b", encoded=True) == ("local", "/a b")
+    assert arrow_location("s3a://bucket/a b") == ("uri", "s3://bucket/a%20b")
+    assert arrow_location("hdfs://host:8020/x") == ("uri", "hdfs://host:8020/x")
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "m.csv").write_text("slug_id\n1\n")
+    assert reports.report_headers(spark, str(folder)).first()["header"] == ["slug_id"]
+
+
+def test_work_folder(spark, tmp_path, monkeypatch):
+    import os
+
+    from paddock import session
+
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_path(Bare, "x")
+    base = spark.conf.get("spark.checkpoint.dir")
+    kept = set(os.listdir(f"{base}/paddock")) if os.path.isdir(f"{base}/paddock") else set()
+    lots = lot_frame(spark, {"id": "a"}).withColumn("ingest_seq", F.lit(0).cast("bigint"))
+    tables.upsert_lots(spark, str(tmp_path / "lots"), lots)
+    assert set(os.listdir(f"{base}/paddock")) <= kept

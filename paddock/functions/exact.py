@@ -1,7 +1,7 @@
 """Exact arithmetic on whole numbers.
 
-All sums here are ``bigint``.  A thousand billion lots at 75 dollars each fit; past
-that ANSI mode raises an overflow error, it never wraps.
+All sums here are ``bigint``.  A thousand billion lots at 75 dollars each fit; what is
+beyond is null, it never wraps and never stops a job.
 """
 
 from __future__ import annotations
@@ -18,14 +18,35 @@ def int_div(num: Column, den: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` to the nearest whole number, halves up; null for zero ``den``.
 
-    Both must be at least zero.
+    Both must be at least zero.  Null where a step is beyond whole numbers.
     """
-    return int_div(num * 2 + den, F.nullif(den, F.lit(0)) * 2)
+    return int_div(F.try_add(_twice(num), den), F.nullif(_twice(den), F.lit(0)))
 
 
 def signed_ratio(num: Column, den: Column) -> Column:
     """As ``ratio`` with ``num`` of either sign, halves away from zero."""
-    return int_div(num * 2 + F.when(num < 0, -den).otherwise(den), F.nullif(den, F.lit(0)) * 2)
+    return int_div(F.try_add(_twice(num), F.when(num < 0, -den).otherwise(den)), F.nullif(_twice(den), F.lit(0)))
+
+
+def _twice(value: Column) -> Column:
+    return F.try_multiply(value.cast("bigint"), F.lit(2).cast("bigint"))
+
+
+def product(first: Column, *others: Column | int) -> Column:
+    """Product of whole numbers; null beyond ``bigint``."""
+    out = first.cast("bigint")
+    for other in others:
+        factor = F.lit(other) if isinstance(other, int) else other
+        out = F.try_multiply(out, factor.cast("bigint"))
+    return out
+
+
+def total(first: Column, *others: Column) -> Column:
+    """Sum of whole numbers; null beyond ``bigint``."""
+    out = first.cast("bigint")
+    for other in others:
+        out = F.try_add(out, other.cast("bigint"))
+    return out
 
 
 def round_half_up(x: Column, digits: int = 0) -> Column:

@@ -12,14 +12,20 @@ def head_weight(head: str = "head_count") -> Column:
     return F.coalesce(F.col(head), F.lit(1))
 
 
+def weighted(price: str) -> Column:
+    """Price times head; null where that is beyond whole numbers, so that no lot stops a job."""
+    return F.try_multiply(F.col(price), head_weight())
+
+
 def weighted_sum(price: str, where: Column | None = None) -> Column:
-    term = F.col(price) * head_weight()
-    return F.sum(term if where is None else F.when(where, term))
+    term = weighted(price)
+    return F.try_sum(term if where is None else F.when(where, term))
 
 
 def weight_sum(price: str, where: Column | None = None) -> Column:
-    counted = F.col(price).isNotNull()
-    return F.sum(F.when(counted if where is None else counted & where, head_weight()))
+    """Heads of the lots that ``weighted_sum`` adds up."""
+    counted = weighted(price).isNotNull()
+    return F.try_sum(F.when(counted if where is None else counted & where, head_weight()))
 
 
 def head_weighted_avg(price: str = "price_per_lb_e4", where: Column | None = None) -> Column:
@@ -29,7 +35,7 @@ def head_weighted_avg(price: str = "price_per_lb_e4", where: Column | None = Non
 
 def head_sum(where: Column | None = None) -> Column:
     term = F.coalesce(F.col("head_count"), F.lit(0))
-    return F.coalesce(F.sum(term if where is None else F.when(where, term)), F.lit(0))
+    return F.coalesce(F.try_sum(term if where is None else F.when(where, term)), F.lit(0))
 
 
 def change_pct(now: Column, before: Column) -> Column:

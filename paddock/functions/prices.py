@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, functions as F
 
 from .. import schema as S
-from .exact import E4, money_text, ratio, signed_ratio, to_cents
+from .exact import E4, money_text, product, ratio, signed_ratio, to_cents, total
 
 
 def derive_prices(price_e4: str, unit: str, weight_e4: str) -> dict[str, str]:
@@ -20,7 +20,7 @@ def derive_prices(price_e4: str, unit: str, weight_e4: str) -> dict[str, str]:
     """
     weight = f"if({weight_e4} > 0, {weight_e4}, null)"
     lb_from_cwt = _nearest(price_e4, "100")
-    lb_from_head = _nearest(f"{price_e4} * {E4}", weight)
+    lb_from_head = _nearest(f"try_multiply({price_e4}, {E4}L)", weight)
     head_from_cwt = _nearest(f"try_multiply({lb_from_cwt}, {weight})", str(100 * E4))
 
     def by_unit(if_cwt: str, if_head: str) -> str:
@@ -28,14 +28,18 @@ def derive_prices(price_e4: str, unit: str, weight_e4: str) -> dict[str, str]:
 
     return {
         "price_per_lb_e4": by_unit(lb_from_cwt, lb_from_head),
-        "price_per_head_e4": by_unit(f"{head_from_cwt} * 100", price_e4),
-        "price_per_cwt_e4": by_unit(price_e4, f"{lb_from_head} * 100"),
+        "price_per_head_e4": by_unit(f"try_multiply({head_from_cwt}, 100L)", price_e4),
+        "price_per_cwt_e4": by_unit(price_e4, f"try_multiply({lb_from_head}, 100L)"),
     }
 
 
 def _nearest(num: str, den: str) -> str:
-    """SQL of the nearest whole quotient, halves away from zero; ``den`` above zero."""
-    return f"((2 * ({num}) + if(({num}) < 0, -1, 1) * ({den})) div (2 * ({den})))"
+    """SQL of the nearest whole quotient, halves away from zero; ``den`` above zero.
+
+    Null where a step is beyond whole numbers, so that no row stops a job.
+    """
+    twice = f"try_multiply(2L, {num})"
+    return f"(try_add({twice}, if(({num}) < 0, -1L, 1L) * ({den})) div try_multiply(2L, {den}))"
 
 
 def display_price(shown: str) -> Column:
@@ -82,23 +86,30 @@ def break_even(
     exact counts of 1e-8 dollars.  Only the price per pound is rounded; the same
     number read as cents is the price per hundredweight.
     """
-    gain = target_weight_e2 - purchase_weight_e2
-    feed = gain * feed_cost_e4 * 100
-    shrink = purchase_price_e4 * mortality_bp
-    total = purchase_price_e4 * E4 + feed + shrink
+    gain = F.try_subtract(target_weight_e2.cast("bigint"), purchase_weight_e2.cast("bigint"))
+    feed = product(gain, feed_cost_e4, 100)
+    shrink = product(purchase_price_e4, mortality_bp)
+    invested = total(product(purchase_price_e4, E4), feed, shrink)
     target = F.when(target_weight_e2 > 0, target_weight_e2)
-    per_lb = F.coalesce(signed_ratio(total, target * 100), F.lit(0))
-    return BreakEven(gain, feed, shrink, total, per_lb)
+    per_lb = F.coalesce(signed_ratio(invested, product(target, 100)), F.lit(0))
+    return BreakEven(gain, feed, shrink, invested, per_lb)
 
 
 def margin_cents(market_avg_e4: Column, target_weight_e2: Column, total_e8: Column) -> Column:
     """Profit per head in cents at the market average, itself rounded to 1e-4."""
-    return cents_of_e8(market_avg_e4 * target_weight_e2 * 100 - total_e8)
+    return cents_of_e8(F.try_subtract(product(market_avg_e4, target_weight_e2, 100), total_e8))
 
 
 def margin_pct_e2(margin: Column, total_e8: Column) -> Column:
-    """Profit as a share of the investment, in 1e-2 per cent."""
-    return signed_ratio(margin * 10_000_000_000, F.when(total_e8 > 0, total_e8))
+    """Profit as a share of the investment, in 1e-2 per cent.
+
+    In decimals: the product is beyond ``bigint`` from a margin of nine million dollars up.
+    """
+    wide = "decimal(38,0)"
+    scaled = margin.cast("decimal(19,0)") * F.lit(10_000_000_000).cast("decimal(11,0)")
+    whole = F.when(total_e8 > 0, total_e8).cast("decimal(19,0)")
+    half = F.when(margin < 0, -whole).otherwise(whole)
+    return F.call_function("div", (scaled * 2 + half).cast(wide), (whole * 2).cast(wide))
 
 
 def cents_of_e8(units_e8: Column) -> Column:

@@ -20,7 +20,15 @@ def public_column(name: str) -> Column:
 
 
 def public_lots(lots: DataFrame, columns=S.LOT_COLUMNS) -> DataFrame:
-    return lots.select(*[public_column(name) for name in columns])
+    """The public view; a publication known by its day only has no time of day."""
+    shown = {name: public_column(name) for name in columns}
+    if "published_date" in shown and "published_date_raw" in lots.columns:
+        day_only = ~F.col("published_date_raw").contains(":")
+        day = iso_date(F.col("published_date").cast("date"))
+        shown["published_date"] = F.when(day_only, day).otherwise(iso_stamp(F.col("published_date"))).alias(
+            "published_date"
+        )
+    return lots.select(*shown.values())
 
 
 def nested_lots(lots: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def coerce_numeric(text: str) -> str:
 
 
 def to_units_e4(number: str) -> str:
-    """A double to whole 1e-4 units; null from the limit up, where no price or weight is."""
-    return f"if(abs({number}) < {S.NUMBER_LIMIT:.0f}D, floor({number} * 10000 + 0.5D), null)"
+    """A double to whole 1e-4 units; null where these are beyond ``bigint``."""
+    return f"if(abs({number}) < {S.UNITS_LIMIT:.0f}D, floor({number} * 10000 + 0.5D), null)"
 
 
 def to_int_trunc(number: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
-from ..functions.exact import E4, dollars, ratio, signed_ratio
+from ..functions.exact import E4, dollars, product, ratio, signed_ratio
 from ..functions.measures import weight_sum, weighted_sum
 from ..functions.prices import (
     break_even,
@@ -16,7 +16,6 @@ from ..functions.prices import (
     margin_pct_e2,
 )
 from ..plans.band_join import band_sums
-from ..session import store
 from .filters import date_window, priced_per_lb
 
 
@@ -27,7 +26,7 @@ def profit_defaults(lots: DataFrame) -> DataFrame:
     return lots.withColumns(
         {
             "purchase_price_e4": F.coalesce(price, F.lit(S.DEFAULT_PURCHASE_PRICE * E4)),
-            "purchase_weight_e2": F.coalesce(weight, F.lit(S.DEFAULT_PURCHASE_WEIGHT)) * 100,
+            "purchase_weight_e2": product(F.coalesce(weight, F.lit(S.DEFAULT_PURCHASE_WEIGHT)), 100),
         }
     )
 
@@ -94,12 +93,12 @@ def market_sums(lots: DataFrame, as_of: str) -> DataFrame:
         "species", "animal_class", "avg_weight",
     ).agg(
         F.grouping("animal_class").alias("all_classes"),
-        F.sum("num").alias("num"),
-        F.sum("den").alias("den"),
+        F.try_sum("num").alias("num"),
+        F.try_sum("den").alias("den"),
     )
     return with_class_key(
         by_both.filter((F.col("all_classes") == 1) | F.col("animal_class").isNotNull())
-    ).select("species", "class_key", (F.col("avg_weight") * 100).alias("weight_e2"), "num", "den")
+    ).select("species", "class_key", product(F.col("avg_weight"), 100).alias("weight_e2"), "num", "den")
 
 
 def market_at_weight(
@@ -114,18 +113,18 @@ def market_at_weight(
     if not by_class:
         near = near.filter("class_key = ''")
     return near.groupBy("species", "class_key").agg(
-        ratio(F.sum("num"), F.sum("den")).alias("market_avg_e4")
+        ratio(F.try_sum("num"), F.try_sum("den")).alias("market_avg_e4")
     )
 
 
 def with_market(rows: DataFrame, market: DataFrame, keys: list[str]) -> DataFrame:
     """Attach market averages to every row.
 
-    ``market`` is written out first: the planner then knows its true size and
-    broadcasts it only below the broadcast threshold, else joins by shuffle, where a
-    hot key is split at run time.
+    The join is left to the planner, which learns the size of ``market`` while the query
+    runs and broadcasts it only below the broadcast threshold; beyond, a hot key of the
+    rows is split.
     """
-    return rows.join(store(market, "market"), keys, "left")
+    return rows.join(market, keys, "left")
 
 
 def with_margin(rows: DataFrame) -> DataFrame:
@@ -248,7 +247,7 @@ def carcass_value(lots: DataFrame) -> DataFrame:
     """Carcass weight by dressing, and price per pound hanging weight."""
     yield_pct = carcass_yield_pct(F.col("dressing"))
     weight_e2 = F.col("avg_weight") * yield_pct
-    per_lb_e4 = signed_ratio(F.col("price_per_head_e4") * 100, F.when(weight_e2 > 0, weight_e2))
+    per_lb_e4 = signed_ratio(product(F.col("price_per_head_e4"), 100), F.when(weight_e2 > 0, weight_e2))
     return lots.select(
         "id",
         yield_pct.alias("yield_pct"),

@@ -43,7 +43,7 @@ def dashboard_summary(lots: DataFrame, date_from: str, date_to: str) -> DataFram
     ]
     sums = [name for name in cells.columns if name not in keys]
     grouped = cells.groupingSets(sets, *keys).agg(
-        F.grouping_id(*keys).alias("gid"), *[F.sum(name).alias(name) for name in sums]
+        F.grouping_id(*keys).alias("gid"), *[F.try_sum(name).alias(name) for name in sums]
     )
     by_class, by_market, by_state = (F.col("gid") == gid for gid in (3, 13, 14))
 
@@ -64,15 +64,15 @@ def dashboard_summary(lots: DataFrame, date_from: str, date_to: str) -> DataFram
 
     def species_cents(species: str) -> Column:
         mine = by_class & (F.col("species") == species)
-        num = F.sum(F.when(mine, F.col("meat_num")))
-        den = F.sum(F.when(mine, F.col("meat_den")))
+        num = F.try_sum(F.when(mine, F.col("meat_num")))
+        den = F.try_sum(F.when(mine, F.col("meat_den")))
         return ratio(num, den * 100)
 
     def distinct(where: Column, column: str) -> Column:
         return F.count(F.when(where & (F.col("lots") > 0), F.col(column)))
 
     one = grouped.agg(
-        F.coalesce(F.sum(F.when(by_class, F.col("lots"))), F.lit(0)).alias("total_lots"),
+        F.coalesce(F.try_sum(F.when(by_class, F.col("lots"))), F.lit(0)).alias("total_lots"),
         distinct(by_market, "market_name").alias("total_markets"),
         distinct(by_state, "market_state").alias("total_states"),
         species_cents("Goats").alias("goats_cents"),

@@ -55,7 +55,7 @@ def _priced(mart: DataFrame) -> DataFrame:
 
 
 def _avg(num: str, den: str, scale: int = 1):
-    return ratio(F.sum(num), F.sum(den) * scale)
+    return ratio(F.try_sum(num), F.try_sum(den) * scale)
 
 
 def mart_weekly_trend(
@@ -79,8 +79,8 @@ def mart_weekly_trend(
             dollars(_avg("lb_num", "lb_den")).alias("avg_price_per_lb"),
             dollars(F.min("lb_min")).alias("price_min"),
             dollars(F.max("lb_max")).alias("price_max"),
-            F.sum("lots").alias("lot_count"),
-            F.sum("heads").alias("head_count"),
+            F.try_sum("lots").alias("lot_count"),
+            F.try_sum("heads").alias("head_count"),
         )
         .orderBy("week_label")
     )
@@ -98,8 +98,8 @@ def mart_compare_markets(
         .agg(
             dollars(_avg("lb_num", "lb_den")).alias("avg_price_per_lb"),
             (_avg("head_num", "head_den", 100) / 100).alias("avg_price_per_head"),
-            F.sum("lots").alias("lot_count"),
-            F.sum("heads").alias("head_count"),
+            F.try_sum("lots").alias("lot_count"),
+            F.try_sum("heads").alias("head_count"),
         )
         .filter(F.col("lot_count") >= S.COMPARE_MIN_LOTS)
         .orderBy(F.desc("avg_price_per_lb"), *keys)
@@ -114,8 +114,8 @@ def mart_top_mover(mart: DataFrame, date_from: str, date_to: str) -> DataFrame:
     now = F.col("report_date") >= F.lit(date_from).cast("date")
 
     def average(where):
-        return F.sum(F.when(where, F.col("lb_num"))) / F.nullif(
-            F.sum(F.when(where, F.col("lb_den"))), F.lit(0)
+        return F.try_sum(F.when(where, F.col("lb_num"))) / F.nullif(
+            F.try_sum(F.when(where, F.col("lb_den"))), F.lit(0)
         )
 
     return (
@@ -123,8 +123,8 @@ def mart_top_mover(mart: DataFrame, date_from: str, date_to: str) -> DataFrame:
         .agg(
             average(now).alias("now_avg"),
             average(~now).alias("before_avg"),
-            F.coalesce(F.sum(F.when(now, F.col("lots"))), F.lit(0)).alias("now_lots"),
-            F.coalesce(F.sum(F.when(~now, F.col("lots"))), F.lit(0)).alias("before_lots"),
+            F.coalesce(F.try_sum(F.when(now, F.col("lots"))), F.lit(0)).alias("now_lots"),
+            F.coalesce(F.try_sum(F.when(~now, F.col("lots"))), F.lit(0)).alias("before_lots"),
         )
         .filter((F.col("now_lots") >= S.MOVER_MIN_LOTS) & (F.col("before_lots") >= S.MOVER_MIN_LOTS))
         .withColumn("change", change_pct(F.col("now_avg"), F.col("before_avg")))
@@ -146,10 +146,10 @@ def mart_volume(mart: DataFrame, date_from: str, date_to: str) -> DataFrame:
     places = (
         date_range(auctions(mart), date_from, date_to)
         .groupBy("market_name", "market_state")
-        .agg(F.sum("lots_all").alias("lots"))
+        .agg(F.try_sum("lots_all").alias("lots"))
     )
     return places.agg(
-        F.coalesce(F.sum("lots"), F.lit(0)).alias("lots"),
+        F.coalesce(F.try_sum("lots"), F.lit(0)).alias("lots"),
         F.countDistinct("market_name").alias("markets"),
         F.countDistinct("market_state").alias("states"),
     )
@@ -162,6 +162,6 @@ def mart_facet(mart: DataFrame, column: str, name: str) -> DataFrame:
         rows = rows.filter(F.col(column).isNotNull())
     return (
         rows.groupBy(F.col(column).alias(name))
-        .agg(F.sum("lots_all").alias("count"))
+        .agg(F.try_sum("lots_all").alias("count"))
         .orderBy(F.desc("count"), name)
     )

@@ -62,8 +62,8 @@ NULL_TOKENS = (
     "n/a", "nan", "null",
 )
 
-# Prices and weights from here up are unreadable: 1e-4 units of them could overflow.
-NUMBER_LIMIT = 1.0e10
+# From here up a number of 1e-4 units is beyond ``bigint``; the lot stays, without them.
+UNITS_LIMIT = 9.0e14
 
 # --- fixed values: carcass yield per cent by dressing ---
 CARCASS_YIELD_PCT = {"High": 54, "Average": 50, "Low": 46}
@@ -119,7 +119,7 @@ KNOWN_RAW_COLUMNS = (
     "wtd_Avg_Price", "wtd_avg_wt", "yield_grade",
 )
 
-# Raw columns the lot schema reads, after alias resolution.
+# --- fixed values: raw columns the lot schema reads, after alias resolution ---
 RAW_INPUTS = (
     "_section", "age", "avg_price", "avg_price_max", "avg_price_min",
     "avg_weight", "avg_weight_max", "avg_weight_min", "category", "class",
@@ -131,7 +131,7 @@ RAW_INPUTS = (
     "weight_break_high", "weight_break_low", "yield_grade",
 )
 
-# Text columns of a lot: lot column -> raw column.
+# --- fixed values: text columns of a lot: lot column -> raw column ---
 TEXT_COLUMNS = {
     "market_name": "market_location_name",
     "market_city": "market_location_city",
@@ -153,7 +153,7 @@ TEXT_COLUMNS = {
     "final_ind": "final_ind",
 }
 
-# Whole-number columns of a lot: lot column -> raw column.
+# --- fixed values: whole-number columns of a lot: lot column -> raw column ---
 INTEGER_COLUMNS = {
     "slug_id": "slug_id",
     "avg_weight": "avg_weight",
@@ -167,7 +167,7 @@ INTEGER_COLUMNS = {
     "receipts_year_ago": "receipts_year_ago",
 }
 
-# The 39 public lot columns, in order.
+# --- fixed values: the 39 public lot columns, in order, and those that are prices ---
 LOT_COLUMNS = (
     "id", "report_date", "published_date",
     "market_name", "market_city", "market_state", "slug_id", "report_title",

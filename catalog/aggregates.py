@@ -183,10 +183,11 @@ def compare_by_rollup(spark, sf_dir):
 
 
 @query("compare_trend", lots(f"""
-    SELECT market_name, market_state, avg_price_per_lb, lot_count, {half_up('change', 1)} AS trend_pct,
-      {trend()} AS trend_direction
+    SELECT market_name, market_state, avg_price_per_lb, avg_price_per_head, lot_count, head_count,
+      {half_up('change', 1)} AS trend_pct, {trend()} AS trend_direction
     FROM (SELECT *, {change()} AS change FROM (
       SELECT market_name, market_state, {avg_e4(where=SINCE_30)} / 10000 AS avg_price_per_lb,
+        {avg_e4('pph', SINCE_30)} / 100 AS avg_price_per_head, {heads(SINCE_30)} AS head_count,
         {exact_avg(SINCE_30)} AS now_avg, {exact_avg("report_date < DATE '2001-07-01'")} AS before_avg,
         count(*) FILTER ({SINCE_30}) AS lot_count
       FROM lots WHERE {PRICED} AND species = 'Goats'
@@ -251,7 +252,7 @@ def weekly_trend_market(spark, sf_dir):
       AND l.report_date <= o.report_date AND l.report_date > o.report_date - 35
     WHERE NOT l.is_summary AND l.ppl IS NOT NULL GROUP BY 1"""))
 def lot_trend_5w(spark, sf_dir):
-    rows = star_lots(spark, sf_dir, "id weight_break_low weight_break_high " + TREND_NEEDS)
+    rows = star_lots(spark, sf_dir, "id report_month weight_break_low weight_break_high " + TREND_NEEDS)
     key = rows.filter("not is_summary and price_per_lb_e4 is not null").agg(F.max("id")).first()[0]
     return agg.lot_trend(rows, key)
 

@@ -1,7 +1,7 @@
 """All reports on one lot table, under one roof.
 
-Each method gives a DataFrame and starts no job that reads whole lots, except the
-calculator and the suggestions, which write a short intermediate list.
+Each method gives a DataFrame and starts no job.  With a daily mart the reports that need
+no weights are read from it.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from . import schema as S
 from .operators import aggregates, calculator, listing
 from .operators.suggestions import suggestions
+from .plans import mart as marts
 from .plans.dashboard import dashboard_summary, dashboard_widgets
+from .streaming.sync import freshness_status
 
 
 class Entries(NamedTuple):
@@ -23,11 +25,15 @@ class Entries(NamedTuple):
 
 
 class LotReports:
-    """Reports on ``lots`` as of one day, today by default."""
+    """Reports on ``lots`` as of one day, today by default.
 
-    def __init__(self, lots: DataFrame, as_of: str | None = None):
+    ``mart`` is the daily mart of the same lots, if there is one.
+    """
+
+    def __init__(self, lots: DataFrame, as_of: str | None = None, mart: DataFrame | None = None):
         self.lots = lots
         self.as_of = as_of or date.today().isoformat()
+        self.mart = mart
 
     def entries(self, sort_by="report_date", sort_dir="desc", page=1, limit=50, **conditions) -> Entries:
         """One page of matching lots, and the count of lots and pages."""
@@ -36,15 +42,23 @@ class LotReports:
             listing.page_info(self.lots, page, limit, **conditions),
         )
 
+    def entries_after(self, last_value, last_id: str, limit=50, **options) -> DataFrame:
+        """The page after a lot; the cost does not grow with the depth of the page."""
+        return listing.list_lots_after(self.lots, last_value, last_id, limit=limit, **options)
+
     def suggestions(self, **conditions) -> DataFrame:
         """What to search instead when ``entries`` finds nothing."""
-        return suggestions(self.lots, **conditions)
+        return suggestions(self.lots, as_of=self.as_of, **conditions)
+
+    def nearest(self, target_weight: float, k: int = 5, **conditions) -> DataFrame:
+        """The last resort when no wider search helps: the lots closest in weight."""
+        return listing.nearest_lots(self.lots, target_weight, k, **conditions)
 
-    def entry(self, key: str) -> DataFrame:
-        return listing.get_lot(self.lots, key)
+    def entry(self, key: str, report_date: str | None = None) -> DataFrame:
+        return listing.get_lot(self.lots, key, report_date)
 
-    def entry_trend(self, key: str, weeks: int = 5) -> DataFrame:
-        return aggregates.lot_trend(self.lots, key, weeks)
+    def entry_trend(self, key: str, weeks: int = 5, report_date: str | None = None) -> DataFrame:
+        return aggregates.lot_trend(self.lots, key, weeks, report_date)
 
     def summary(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         """The dashboard's figures, by default of the last two weeks."""
@@ -55,13 +69,30 @@ class LotReports:
         return dashboard_widgets(self.summary(date_from, date_to))
 
     def compare(self, species: str, period: int = S.MARKET_DAYS, **conditions) -> DataFrame:
+        """Markets, best paying first."""
         _check(period, 7)
+        if self.mart is not None and set(conditions) <= {"animal_class"}:
+            return marts.mart_compare_markets(self.mart, self.as_of, species, period=period, **conditions)
         return aggregates.compare_markets(self.lots, self.as_of, species, period=period, **conditions)
 
-    def trends(self, period: int = 90, **conditions) -> DataFrame:
+    def compare_trend(self, species: str, period: int = S.MARKET_DAYS, **conditions) -> DataFrame:
+        """As ``compare``, with the change against the period before."""
+        _check(period, 7)
+        return aggregates.compare_trend(self.lots, self.as_of, species, period=period, **conditions)
+
+    def trends(self, period: int = 90, bracket: tuple[int, int] | None = None, **conditions) -> DataFrame:
+        """Weekly averages; ``bracket`` is a range of weights in place of two bounds."""
         _check(period, 14)
+        if bracket is not None:
+            conditions |= {"weight_min": bracket[0], "weight_max": bracket[1]}
+        if self.mart is not None and not {"weight_min", "weight_max"} & set(conditions):
+            return marts.mart_weekly_trend(self.mart, self.as_of, period=period, **conditions)
         return aggregates.weekly_trend(self.lots, self.as_of, period=period, **conditions)
 
+    def freshness(self, last_sync: str) -> DataFrame:
+        """Newest publication, last and next sync, and the window of active lots."""
+        return freshness_status(self.lots, last_sync)
+
     def scatter(self, **conditions) -> DataFrame:
         return listing.price_weight_scatter(self.lots, **conditions)
 

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from ..functions import labels
-from ..functions.dates import iso_date, iso_stamp, week_label
-from ..functions.exact import dollars, ratio, round_half_up
+from ..functions.dates import iso_date, iso_stamp, report_month, week_label
+from ..functions.exact import dollars, product, ratio, round_half_up
 from ..functions.measures import (
     change_pct,
     direction_by_sign,
@@ -86,7 +86,7 @@ def compare_markets(
         rows.groupBy(*group_by)
         .agg(
             head_weighted_avg("price_per_lb_e4").alias("lb_e4"),
-            ratio(weighted_sum("price_per_head_e4"), weight_sum("price_per_head_e4") * 100).alias("head_cents"),
+            ratio(weighted_sum("price_per_head_e4"), product(weight_sum("price_per_head_e4"), 100)).alias("head_cents"),
             F.count("*").alias("lot_count"),
             head_sum().alias("head_count"),
         )
@@ -103,11 +103,18 @@ def compare_markets(
 
 
 def compare_trend(
-    lots: DataFrame, as_of: str, species: str, period: int = S.MARKET_DAYS
+    lots: DataFrame,
+    as_of: str,
+    species: str,
+    period: int = S.MARKET_DAYS,
+    animal_class: str | None = None,
+    weight_min: int | None = None,
+    weight_max: int | None = None,
 ) -> DataFrame:
-    """Market averages with their change against the period before, in one scan."""
+    """Market comparison with its change against the period before, in one scan."""
     start = days_before(as_of, period)
-    rows = equal(priced_per_lb(lots), species=species)
+    rows = equal(priced_per_lb(lots), species=species, animal_class=animal_class)
+    rows = weight_range(rows, weight_min, weight_max)
     rows = date_range(rows, days_before(start, period), as_of)
     now = F.col("report_date") >= F.lit(start).cast("date")
     current, previous = _two_averages(now)
@@ -118,7 +125,11 @@ def compare_trend(
             head_weighted_avg(where=now).alias("lb_e4"),
             current.alias("now_avg"),
             previous.alias("before_avg"),
+            ratio(
+                weighted_sum("price_per_head_e4", now), product(weight_sum("price_per_head_e4", now), 100)
+            ).alias("head_cents"),
             F.count(F.when(now, 1)).alias("lot_count"),
+            head_sum(now).alias("head_count"),
         )
         .filter(F.col("lot_count") >= S.COMPARE_MIN_LOTS)
         .withColumn("change", change)
@@ -126,7 +137,9 @@ def compare_trend(
             "market_name",
             "market_state",
             dollars(F.col("lb_e4")).alias("avg_price_per_lb"),
+            (F.col("head_cents") / 100).alias("avg_price_per_head"),
             "lot_count",
+            "head_count",
             round_half_up(F.col("change"), 1).alias("trend_pct"),
             trend_direction(F.col("change"), S.TREND_STEP_PCT).alias("trend_direction"),
         )
@@ -203,17 +216,24 @@ def weekly_trend(lots: DataFrame, as_of: str, **conditions) -> DataFrame:
     return by_week(trend_rows(lots, as_of, **conditions))
 
 
-def lot_trend(lots: DataFrame, lot_key: str, weeks: int = 5) -> DataFrame:
+def lot_trend(lots: DataFrame, lot_key: str, weeks: int = 5, report_date: str | None = None) -> DataFrame:
     """Weekly trend of one lot's class and weight bracket at its market.
 
-    The lot is found first and joined as a single row.
+    The lot is found first, in the month of ``report_date`` if that is given, and joined
+    with the months of its window, at most one row for each, so that a table partitioned
+    by month is read there only.
     """
     same = ["market_name", "commodity", "animal_class", "weight_break_low", "weight_break_high"]
-    one = lots.filter(F.col("id") == lot_key).limit(1).select(
-        *same, F.col("report_date").alias("lot_date")
-    )
-    rows = priced_per_lb(lots).join(F.broadcast(one), same)
+    found = lots if report_date is None else lots.filter(F.col("report_month") == report_date[:7])
     first = F.date_sub(F.col("lot_date"), weeks * 7)
+    months = F.sequence(F.trunc(first, "MM"), F.trunc("lot_date", "MM"), F.expr("interval 1 month"))
+    one = (
+        found.filter(F.col("id") == lot_key)
+        .limit(1)
+        .select(*same, F.col("report_date").alias("lot_date"))
+        .withColumn("report_month", F.explode(F.transform(months, report_month)))
+    )
+    rows = priced_per_lb(lots).join(F.broadcast(one), [*same, "report_month"])
     return by_week(
         rows.filter((F.col("report_date") <= F.col("lot_date")) & (F.col("report_date") > first))
     )
@@ -322,24 +342,14 @@ def class_by_intent(lots: DataFrame) -> DataFrame:
 
 
 def class_taxonomy(lots: DataFrame) -> DataFrame:
-    """Lots by class and intent, with totals."""
-    cells = (
-        lots.withColumn("label", labels.intent_label(F.col("buyer_intent")))
-        .groupBy("species", "animal_class")
-        .pivot("label", ["Slaughter", "Feeder", "Replacement"])
-        .count()
-    )
-    return cells.select(
-        "species",
-        "animal_class",
-        F.col("Slaughter").alias("slaughter"),
-        F.col("Feeder").alias("feeder"),
-        F.col("Replacement").alias("replacement"),
-        (
-            F.coalesce("Slaughter", F.lit(0))
-            + F.coalesce("Feeder", F.lit(0))
-            + F.coalesce("Replacement", F.lit(0))
-        ).alias("total"),
+    """Lots by class and intent; the total also counts lots of unknown intent."""
+    label = labels.intent_label(F.col("buyer_intent"))
+    return lots.groupBy("species", "animal_class").agg(
+        *[
+            F.nullif(F.count_if(label == name), F.lit(0)).alias(name.lower())
+            for name in ("Slaughter", "Feeder", "Replacement")
+        ],
+        F.count("*").alias("total"),
     )
 
 

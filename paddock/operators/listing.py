@@ -88,8 +88,13 @@ def lot_count(lots: DataFrame) -> DataFrame:
     return lots.agg(F.count("*").alias("lot_count"))
 
 
-def get_lot(lots: DataFrame, key: str) -> DataFrame:
-    """The lot of one id; no row if there is none."""
+def get_lot(lots: DataFrame, key: str, report_date: str | None = None) -> DataFrame:
+    """The lot of one id; no row if there is none.
+
+    With the report date (an ISO date) only the table's month of that date is read.
+    """
+    if report_date is not None:
+        lots = lots.filter(F.col("report_month") == report_date[:7])
     return public_lots(lots.filter(F.col("id") == key))
 
 

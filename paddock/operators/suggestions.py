@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
-from ..session import store
 from .filters import all_of, days_before, lot_conditions
 
 NEARBY_STATES = 5
@@ -68,14 +67,18 @@ def suggest_30_days(lots: DataFrame, as_of: str, **conditions) -> DataFrame:
     return found.select(F.lit(S.MARKET_DAYS).alias("days"), "count")
 
 
-def suggestions(lots: DataFrame, **conditions) -> DataFrame:
+def suggestions(lots: DataFrame, as_of: str | None = None, **conditions) -> DataFrame:
     """Every wider search that finds lots, if the given one finds none.
 
-    Rows are ``kind, state, low, high, count``.  All searches are counted by state in
-    one scan, which keeps only rows some search matches; the short list of counts is
-    written out, since each kind of suggestion reads it.
+    Rows are ``kind, state, low, high, count``.  All searches are counted by state in one
+    scan, which keeps only rows some search matches; a second aggregate makes one row of
+    the short list of states.  With ``as_of`` the last thirty days are a search too.
     """
     searches = {"found": conditions, **_widened(**conditions)}
+    if as_of and conditions.get("date_from"):
+        searches["last_30_days"] = {
+            **conditions, "date_from": days_before(as_of, S.MARKET_DAYS), "date_to": as_of
+        }
     flags: dict[str, Column] = {
         kind: all_of(lot_conditions(**search)) for kind, search in searches.items()
     }
@@ -83,40 +86,34 @@ def suggestions(lots: DataFrame, **conditions) -> DataFrame:
     for flag in flags.values():
         matched = matched | flag
     counts = [F.count(F.when(flag, 1)).alias(kind) for kind, flag in flags.items()]
-    cells = store(lots.filter(matched).groupBy("market_state").agg(*counts), "suggestions")
-    found = cells.agg(F.coalesce(F.sum("found"), F.lit(0))).scalar()
+    cells = lots.filter(matched).groupBy("market_state").agg(*counts)
 
     low, high = widened_weights(conditions.get("weight_min"), conditions.get("weight_max"))
-    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("int")
-    parts = []
-    if "weight_expanded" in flags:
-        parts.append(_row(cells, "weight_expanded", no_text, F.lit(low), F.lit(high)))
-    if "time_expanded" in flags:
-        parts.append(_row(cells, "time_expanded", no_text, no_number, no_number))
+    sums = [F.coalesce(F.sum(kind), F.lit(0)).alias(kind) for kind in flags]
+    nearby = F.lit(None)
     if "states_nearby" in flags:
-        states = cells.filter("states_nearby > 0").select(
-            F.lit("states_nearby").alias("kind"),
-            F.col("market_state").alias("state"),
-            no_number.alias("low"),
-            no_number.alias("high"),
-            F.col("states_nearby").alias("count"),
-        )
-        parts.append(states.orderBy(F.desc("count"), "state").limit(NEARBY_STATES))
-    if not parts:
-        empty = cells.select(
-            no_text.alias("kind"), no_text.alias("state"), no_number.alias("low"),
-            no_number.alias("high"), F.col("found").alias("count"),
+        named = F.when(
+            F.col("states_nearby") > 0,
+            F.struct((-F.col("states_nearby")).alias("less"), F.col("market_state").alias("state")),
         )
-        return empty.limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.filter(found == 0)
+        nearby = F.slice(F.array_sort(F.collect_list(named)), 1, NEARBY_STATES)
+    # One row, whatever the number of lots; there is one even if no search finds any.
+    row = cells.agg(*sums, nearby.alias("nearby") if "states_nearby" in flags else F.count("*").alias("nearby"))
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("int")
 
+    def entry(kind: str, count: Column, state: Column = no_text, low=no_number, high=no_number) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"), state.alias("state"), low.alias("low"), high.alias("high"), count.alias("count")
+        )
 
-def _row(cells: DataFrame, kind: str, state: Column, low: Column, high: Column) -> DataFrame:
-    return (
-        cells.agg(F.sum(kind).alias("count"))
-        .filter("count > 0")
-        .select(F.lit(kind).alias("kind"), state.alias("state"), low.alias("low"), high.alias("high"), "count")
-    )
+    entries = F.array(entry("", F.lit(0).cast("bigint")))
+    if "weight_expanded" in flags:
+        wider = entry("weight_expanded", F.col("weight_expanded"), low=F.lit(low), high=F.lit(high))
+        entries = F.concat(entries, F.array(wider))
+    for kind in ("time_expanded", "last_30_days"):
+        if kind in flags:
+            entries = F.concat(entries, F.array(entry(kind, F.col(kind))))
+    if "states_nearby" in flags:
+        states = F.transform("nearby", lambda x: entry("states_nearby", -x["less"], state=x["state"]))
+        entries = F.concat(entries, states)
+    return row.where("found = 0").select(F.inline(entries)).where("count > 0")

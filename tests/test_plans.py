@@ -4,15 +4,18 @@ import __spark_entry__ as app
 import pytest
 from helpers import lot_frame
 
-from paddock.operators import aggregates, filters, listing
+from pyspark.sql import functions
+
+from paddock.operators import aggregates, filters, listing, normalise
 from paddock.sources.star import star_lots
-from paddock.sources.tables import read_lots, write_lots
+from paddock.sources.tables import last_write, read_lots, write_lots
 
 FILE_QUERIES = {
     "scan_reports", "alias_guard", "ingest_if_empty", "incremental_sync", "write_reports",
     "upsert_lots", "replace_reports", "flatten_sections", "fetch_window", "lot_id",
-    "schema_profile", "schema_profile_samples",
-}
+    "schema_profile", "schema_profile_samples", "upsert_corrected_date", "write_reports_twice",
+    "ingest_split_reports", "ingest_ids", "sync_refetch_moved_window",
+} | set(app.LLM_QUERIES)
 
 
 def plan(frame) -> str:
@@ -65,3 +68,21 @@ def test_movers_scan_once(stored):
 
 def test_fixture_joins_only_what_is_asked_for(spark, sf_dir):
     assert plan(star_lots(spark, sf_dir, "species price_per_lb_e4")).count("FileScan") == 2
+
+
+def test_lookups_read_their_months_only(stored):
+    """A lot's month and the months of its trend window, not the whole table."""
+    lookup = plan(listing.get_lot(stored, "0008", "2026-03-05"))
+    assert "report_month" in lookup.split("PartitionFilters: [")[1].split("]")[0]
+    text = plan(aggregates.lot_trend(stored, "0008", report_date="2026-03-05"))
+    assert "dynamicpruning" in text and "BroadcastHashJoin" in text
+
+
+def test_keep_final_reads_twice(stored):
+    assert plan(normalise.keep_final(stored)).count("FileScan") == 2
+
+
+def test_upsert_sorts_no_whole_rows(spark, stored):
+    """Winners are found by numbers: no aggregate carries whole lots."""
+    text = plan(last_write(stored.withColumn("ingest_seq", functions.lit(1))))
+    assert "SortAggregate" not in text

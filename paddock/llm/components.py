@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.session import store
+from .scratch import Scratch
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -33,11 +33,14 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns a and b; order, repetition and links of a node to itself do not
     matter.
     """
-    links = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    scratch = Scratch()
+    before = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state = None
     while True:
-        links = store(_small_star(_large_star(links)), "links")
-        found = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = scratch.table(_small_star(_large_star(before)), "links")
+        if state is not None:
+            scratch.drop(before)
+        found = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == state:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        state = found
+            return after.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        before, state = after, found

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from paddock.session import store
 
+from .scratch import Scratch
+
 #: Words in a k-mer, entries of a fingerprint, k-mers in an entry's tuple.
 KMER, ENTRIES, LENGTH = 3, 64, 2
 _PLACE_BITS = 24
@@ -119,15 +121,15 @@ def likeness(left: Column, right: Column) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """k, before, before_chars: each key with the one before it in ascending order.
+    """A stored table of k, before, before_chars: each key and the one before it in ascending order.
 
     The first key has the last before it.  Keys are ordered in range partitions; only a row
     for each partition is looked at across them.
     """
     keys = docs.groupBy("k").agg(F.max(F.length("text")).alias("chars"))
-    placed = store(
-        keys.repartitionByRange("k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()), "ordered-keys"
-    )
+    scratch = Scratch()
+    ordered = keys.repartitionByRange("k").sortWithinPartitions("k")
+    placed = scratch.table(ordered.withColumn("part", F.spark_partition_id()), "ordered-keys")
     last = F.max_by(F.struct("k", "chars"), "k").alias("last")
     parts = placed.groupBy("part").agg(last, F.lit(0).alias("all"))
     ends = Window.partitionBy("all").orderBy("part")
@@ -135,9 +137,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.lag("last").over(ends), F.last("last").over(round_)).alias("last"))
     inside = Window.partitionBy("part").orderBy("k")
     before = F.coalesce(F.lag(F.struct("k", "chars")).over(inside), F.col("last"))
-    return placed.join(F.broadcast(parts), "part").select(
+    found = placed.join(F.broadcast(parts), "part").select(
         "k", before["k"].alias("before"), before["chars"].alias("before_chars")
     )
+    found = store(found, "neighbours")
+    scratch.drop(placed)
+    return found
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     # The id is taken from the key again, so that both uses of the texts are one shuffle.
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_KEY)).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    order = store(neighbours(texts), "neighbours")
+    order = neighbours(texts)
     heads = (
         texts.join(order, "k")
         .select(F.col("before").alias("k"), F.expr("substring(text, 1, cast(before_chars / 2 as int))").alias("head"))

@@ -8,10 +8,13 @@ take 256.  Texts of similarity 0.85 share no key with probability 7e-5, at 0.9 2
 Equal sets count once: their documents join through the set's smallest id.  A set that
 shares no key is alone.  The others are candidates, and links among them are confirmed on
 whole sets.  A crowd of loose copies of one text shares keys all over, so its pairs are not
-written out; two bounds that lose no link choose them:
+written out; three bounds that lose no link choose them:
 
 * sets of similarity s share one of their ``n - ceil(s * n) + 1`` rarest shingles, and a
   text that was edited in many places has rare ones of its own there;
+* a sketch of 512 bits holds the parity of the shingles that hash to each bit, so two sets
+  differ in at least as many shingles as their sketches in bits, which must not be more
+  than the similarity allows;
 * within a shingle's group each set is first compared with one hub, the set with the fewest
   shingles of its own; only sets that this leaves in different components are compared.
 
@@ -29,17 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.session import store
-
 from . import exchange as X
 from .components import components
+from .scratch import Scratch
 from .texts import WordHashes, hashes_of, mixed, raw_texts, window_hashes, words_of
 
 SHINGLE, SIDE, ROWS = 5, 8, 2  # words, half keys on either side, hashes in a half key
 PERCENT = 85
 SLICE_CHARS, BLOCK_CHARS, BUCKET_CHARS, BLOCK_ROWS = 1 << 20, 4 << 20, 16 << 20, 20_000
 ADDED = ("n_shingles", "component_id", "kept")
+SKETCH = 8  # longs
 _HASHES = 2 * SIDE * ROWS
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 _RANDOM = np.random.default_rng(20240611)
 _TURN = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64)
 _TIMES = _RANDOM.integers(1, 2**63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,6 +67,12 @@ def half_keys(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(halves, axis=1)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the shingles that fall on each of 64 * SKETCH bits, as longs."""
+    odd = np.bincount((shingles & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def table_keys(halves: np.ndarray) -> np.ndarray:
     """The 64 keys of each row of half keys, all pairs of the two sides."""
     first, second = halves[:, :SIDE, None], halves[:, None, SIDE:]
@@ -81,7 +91,7 @@ def _slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_id, n, digest of the set, half keys (empty for an empty set)."""
+    """doc_id, n, digest of the set, half keys (empty for an empty set), sketch."""
 
     def run(batches):
         held = WordHashes()
@@ -98,14 +108,17 @@ def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     starts = np.cumsum(sizes[filled]) - sizes[filled]
                     for row, keys in zip(filled, half_keys(np.concatenate([sets[i] for i in filled]), starts)):
                         halves[row] = keys.tobytes()
+                sketches = np.stack([sketch(x) for x in sets])
                 digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first).cast(pa.int64()), pa.array(sizes, pa.int64()),
-                     pa.array(digests, pa.binary()), pa.array(halves, pa.binary())],
-                    names=["doc_id", "n", "digest", "halves"],
+                     pa.array(digests, pa.binary()), pa.array(halves, pa.binary()),
+                     *(pa.array(column) for column in sketches.T)],
+                    names=["doc_id", "n", "digest", "halves", *_SKETCH],
                 )
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n long, digest binary, halves binary")
+    schema = "doc_id long, n long, digest binary, halves binary, " + ", ".join(f"{name} long" for name in _SKETCH)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 class _Keys:
@@ -169,7 +182,7 @@ class _Rarity:
         return [(b, keys[i:j].tobytes() + counts[i:j].tobytes()) for b, i, j in X.bounds(self.bucket)]
 
     def prefixes(self, totals: np.ndarray, percent: int):
-        """(shingle, doc_id, n, share of shingles no other set holds) of the rarest shingles.
+        """(shingle, doc_id, share of shingles no other set holds) of the rarest shingles.
 
         Only of those that another set holds too.
         """
@@ -183,7 +196,7 @@ class _Rarity:
             rarest = np.lexsort((shingles, held))[: n - -(-percent * n // 100) + 1]
             own = int((held == 1).sum()) * 1000 // n
             for shingle in shingles[rarest[held[rarest] > 1]].view(np.int64).tolist():
-                yield shingle, doc_id, n, own
+                yield shingle, doc_id, own
 
 
 def _added(payloads: list[bytes]) -> list[bytes]:
@@ -195,7 +208,7 @@ def _added(payloads: list[bytes]) -> list[bytes]:
     return [part.tobytes() for part in np.split(total, np.cumsum(sizes)[:-1])]
 
 
-_PREFIX = "shingle long, doc_id long, n long, own int"
+_PREFIX = "shingle long, doc_id long, own int"
 
 
 def prefixes(texts: DataFrame, percent: int) -> DataFrame:
@@ -208,37 +221,51 @@ def prefixes(texts: DataFrame, percent: int) -> DataFrame:
     def finish(table, replies):
         totals = [np.frombuffer(p, np.uint32) for p in X.replies_of(replies)]
         rows = list(_Rarity(table, buckets).prefixes(np.concatenate(totals), percent))
-        columns = list(zip(*rows)) or [()] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        return pa.table({n: pa.array(c, k) for n, c, k in zip(("shingle", "doc_id", "n", "own"), columns, kinds)})
+        columns = list(zip(*rows)) or [()] * 3
+        kinds = (pa.int64(), pa.int64(), pa.int32())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("shingle", "doc_id", "own"), columns, kinds)})
 
     return X.tagged(blocked, X.answer(asks, _added), finish, _PREFIX)
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return 100 * F.least(F.col(a), F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
+def _may_link(percent: int):
+    """Whether the sizes and sketches of sets a and b allow the similarity.
+
+    Similarity at least p means that they differ in at most (1 - p) / (1 + p) of both sizes.
+    """
+    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    bits = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in _SKETCH), F.lit(0))
+    return sizes & ((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def hub_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: each set with the best hub of its groups, if there is one of a fitting size."""
-    hubs = rows.groupBy("shingle").agg(F.min(F.struct("own", "doc_id", "n")).alias("hub"), F.count(F.lit(1)).alias("sets"))
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    """``sets`` with its columns named for side ``name`` of a pair."""
+    return sets.select(*(F.col(c).alias(name if c == "doc_id" else f"{c}_{name}") for c in sets.columns))
+
+
+def hub_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: each set with the best hub of its groups that it may link with."""
+    hubs = rows.groupBy("shingle").agg(F.min(F.struct("own", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("sets"))
     met = rows.join(hubs.where("sets > 1"), "shingle").where(F.col("doc_id") != F.col("hub.doc_id"))
-    met = met.withColumn("hub_n", F.col("hub.n")).where(_sizes_fit("n", "hub_n", percent))
-    best = met.groupBy("doc_id").agg(F.min("hub").alias("hub"))
-    return best.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
+    met = met.select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"), F.col("hub.own").alias("own")).distinct()
+    near = met.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").where(_may_link(percent))
+    return near.groupBy("a").agg(F.min(F.struct("own", "b"))["b"].alias("b"))
 
 
-def apart_pairs(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """a, b: sets of one group and fitting sizes that ``found`` (node, component) leaves apart."""
+def apart_rows(rows: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the groups that ``found`` (node, component) does not put in one component."""
     named = rows.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+        "shingle", "doc_id", F.coalesce("component", "doc_id").alias("component")
     )
     spread = named.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    named = store(named.join(spread.where("least < most").select("shingle"), "shingle"), "apart")
-    left = named.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = named.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    on = (left["shingle"] == right["shingle"]) & (F.col("a") > F.col("b")) & (F.col("c_a") != F.col("c_b"))
-    return left.join(right, on & _sizes_fit("n_a", "n_b", percent)).select("a", "b").distinct()
+    return named.join(spread.where("least < most").select("shingle"), "shingle").join(sets, "doc_id")
+
+
+def apart_pairs(named: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets of one group that may link and are in different components (``apart_rows``)."""
+    left, right = _side(named, "a"), _side(named, "b")
+    on = (F.col("shingle_a") == F.col("shingle_b")) & (F.col("a") > F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    return left.join(right, on & _may_link(percent)).select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -274,21 +301,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     document with several texts, linked through any of them.  A null id is linked with
     nothing: its component is null, and it is kept.
     """
-    made = store(signatures(docs, key, text), "signatures")
+    scratch = Scratch()
+    made = scratch.table(signatures(docs, key, text), "signatures")
     filled = made.where("n > 0 and doc_id is not null")
     first = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = store(filled.select("doc_id", "digest").join(first, "digest").select("doc_id", "digest", "rep"), "members")
+    member = scratch.table(filled.join(first, "digest").select("doc_id", "digest", "rep"), "members")
     own = filled.join(first, "digest").where("doc_id = rep").select("doc_id", "halves")
-    alike = store(candidates(own), "candidates")
+    alike = scratch.table(candidates(own), "candidates")
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = store(whole.where("text is not null").join(alike.hint("shuffle_hash"), "doc_id"), "candidate-texts")
-    rows = store(prefixes(texts, percent), "prefixes")
-    links = store(confirmed(hub_pairs(rows, percent), texts, percent), "hub-links")
-    more = confirmed(apart_pairs(rows, components(links), percent), texts, percent)
+    whole = whole.where("text is not null").join(alike.hint("shuffle_hash"), "doc_id")
+    texts = scratch.table(whole, "candidate-texts")
+    rows = scratch.table(prefixes(texts, percent), "prefixes")
+    sets = scratch.table(made.join(alike, "doc_id").select("doc_id", "n", *_SKETCH), "sketches")
+    links = scratch.table(confirmed(hub_pairs(rows, sets, percent), texts, percent), "links")
+    apart = scratch.table(apart_rows(rows, sets, components(links)), "apart")
+    more = scratch.table(confirmed(apart_pairs(apart, percent), texts, percent), "links")
+    scratch.drop(alike, texts, rows, sets, apart)
     # Ids with several different texts tie the sets of these together.
     several = member.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     ties = several.select(F.col("least").alias("b"), "doc_id").join(member, "doc_id").select(F.col("rep").alias("a"), "b")
     found = components(links.unionByName(more).unionByName(ties))
+    scratch.drop(links, more)
     named = member.join(found, member["rep"] == found["node"], "left").select(
         "doc_id", "digest", F.coalesce("component", "rep").alias("found")
     )

@@ -184,7 +184,9 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if out:
             out.close()
 
-    return store(roles.mapInArrow(run, WRITTEN), "captures")
+    # An archive for each shuffle partition, also where the join split one to even it out.
+    most = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return store(roles.coalesce(most).mapInArrow(run, WRITTEN), "captures")
 
 
 _WRITTEN_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())

@@ -24,7 +24,7 @@ from paddock.session import store
 from .byte_bpe import chunk_table
 
 #: Characters that one call tokenizes at once, and pieces in one part of a ranking.
-SLICE_CHARS, PART_ROWS = 1 << 21, 1 << 20
+SLICE_CHARS, PART_ROWS = 1 << 21, 1 << 14
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -175,10 +175,17 @@ class Places:
         return sequence, offset
 
 
-def ranked(pieces: DataFrame, rows: int) -> DataFrame:
-    """``pieces`` with ``rank``, counted from 0 inside each length."""
-    parts = max(1, -(-rows // PART_ROWS))
-    pieces = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``pieces`` with ``rank``, counted from 0 inside each length.
+
+    ``counts`` has the pieces of each length; a length is ranked in as many parts as it has
+    PART_ROWS, so that one which a third of all pieces share is spread over tasks.
+    """
+    sizes = [(length, -(-count // PART_ROWS)) for length, count in counts.items()]
+    # At most one row for each length up to the capacity.
+    shares = F.broadcast(pieces.sparkSession.createDataFrame(sizes, "length long, parts long"))
+    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    pieces = pieces.join(shares, "length").withColumn("part", F.pmod(key, F.col("parts"))).drop("parts")
     sizes = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
@@ -208,7 +215,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             frame = frame.drop_columns(["rank"]).append_column("sequence_id", pa.array(sequence))
             yield from frame.append_column("offset", pa.array(offset)).to_batches()
 
-    named = ranked(pieces, sum(counts.values()))
+    named = ranked(pieces, counts)
     kinds = dict(named.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in named.columns if c != "rank")
     return named.mapInArrow(run, f"{schema}, sequence_id long, offset long")

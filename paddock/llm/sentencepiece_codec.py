@@ -5,7 +5,7 @@ model has a mark after another character, pieces never reach across the place be
 mark, so a text is the sequence of its marked words (a run of marks with what follows).
 Each block of documents sends its distinct marked words; each word of the corpus is
 segmented once, where it is asked for; the block puts the ids together by position.  These
-are the rounds of :mod:`exchange`.  Decoding is the library's own.
+are the rounds of :mod:`exchange`.  Decoding goes word by word likewise.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,10 @@ from . import wire
 
 MARK = "▁"
 #: Characters in a block of documents and in the documents that share a bucket of words.
-BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 48 << 20
+BLOCK_CHARS, BUCKET_CHARS = 16 << 20, 48 << 20
 _WORD = re.compile(r" +[^ ]*")
+#: Distinct words a decoding task holds at most.
+HELD = 300_000
 _LOADED: dict[str, object] = {}
 
 
@@ -62,9 +65,9 @@ class _Words:
     """The distinct marked words of a block, in the order of their buckets."""
 
     def __init__(self, table: pa.Table, text: str, buckets: int):
-        self.texts = [x or "" for x in table[text].to_pylist()]
+        self.column = table[text]
         distinct: set[str] = set()
-        for x in self.texts:
+        for x in self.texts():
             distinct.update(marked_words(x))
         words = sorted(distinct)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
@@ -73,6 +76,10 @@ class _Words:
         self.words = [words[i] for i in order.tolist()]
         self.bucket = bucket[order]
 
+    def texts(self):
+        for first in range(0, len(self.column), 64):
+            yield from (x or "" for x in self.column.slice(first, 64).to_pylist())
+
     def questions(self):
         return [(b, wire.pack_words([word.encode() for word in self.words[i:j]])) for b, i, j in X.bounds(self.bucket)]
 
@@ -91,20 +98,34 @@ def _segment(path: str, payloads: list[bytes]) -> list[bytes]:
     return [_pack_ids([ids[word] for word in question]) for question in asked]
 
 
+def _by_place(sizes: np.ndarray) -> np.ndarray:
+    """Order that puts the first ids of all words first, then the second ones, and so on.
+
+    The words are sorted, so neighbours begin with the same ids; side by side these
+    compress to next to nothing.
+    """
+    ends = np.cumsum(sizes, dtype=np.int64)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return np.argsort(place, kind="stable")
+
+
 def _pack_ids(ids: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, ids), "<u4", len(ids)) // 4
     values = np.frombuffer(b"".join(ids), "<u4")
     head = np.array([len(ids), len(values)], "<u4").tobytes()
-    return zlib.compress(head + wire.columns(sizes) + wire.columns(values), 1)
+    return zlib.compress(head + wire.columns(sizes) + wire.columns(values[_by_place(sizes)]), 6)
 
 
 def _unpack_ids(payload: bytes) -> list[bytes]:
     data = zlib.decompress(payload)
     count, total = np.frombuffer(data, "<u4", 2).tolist()
-    ends = np.cumsum(wire.uncolumns(data, count, 8), dtype=np.int64) * 4
-    values = wire.uncolumns(data, total, 8 + 4 * count).tobytes()
+    sizes = wire.uncolumns(data, count, 8)
+    values = np.empty(total, "<u4")
+    values[_by_place(sizes)] = wire.uncolumns(data, total, 8 + 4 * count)
+    ends = np.cumsum(sizes, dtype=np.int64) * 4
     starts = [0, *ends.tolist()]
-    return [values[i:j] for i, j in zip(starts, starts[1:])]
+    data = values.tobytes()
+    return [data[i:j] for i, j in zip(starts, starts[1:])]
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -126,7 +147,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
         block = _Words(table, text, buckets)
         found = [x for payload in X.replies_of(replies) for x in _unpack_ids(payload)]
         held = dict(zip(block.words, found)).__getitem__
-        parts = [b"".join(map(held, marked_words(x))) for x in block.texts]
+        parts = [b"".join(map(held, marked_words(x))) for x in block.texts()]
         ends = np.cumsum([0, *(len(part) // 4 for part in parts)])
         values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
         column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
@@ -136,18 +157,66 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
     return X.tagged(blocked, replies, finish, T.StructType(fields))
 
 
+class _Decoder:
+    """Texts of ids, each distinct word (ids from one that starts with a mark to the next) decoded once.
+
+    Rows with ids that are no ordinary pieces are left to the library as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.model = processor(path)
+        pieces = range(self.model.get_piece_size())
+        self.marked = np.array([self.model.id_to_piece(i).startswith(MARK) for i in pieces])
+        special = (self.model.is_control, self.model.is_unknown, self.model.is_unused)
+        self.special = np.array([any(test(i) for test in special) for i in pieces])
+        self.before = self.model.encode("a")
+        self.held: dict[bytes, str] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        if len(self.held) > HELD:
+            self.held.clear()
+        new = [word for word in words if word not in self.held]
+        # Behind another word nothing is stripped.
+        texts = self.model.decode([self.before + np.frombuffer(word, "<i4").tolist() for word in new])
+        self.held.update((word, text[1:]) for word, text in zip(new, texts))
+
+    def texts(self, column: pa.ListArray) -> list[str]:
+        lengths = np.array([x or 0 for x in pc.list_value_length(column).to_pylist()], np.int64)
+        values = column.flatten().to_numpy().astype("<i4")
+        starts = np.cumsum(lengths) - lengths
+        marked = self.marked[values]
+        first_marked = np.zeros(len(lengths), bool)
+        first_marked[lengths > 0] = marked[starts[lengths > 0]]
+        marked[starts[lengths > 0]] = True
+        cuts = np.flatnonzero(marked)
+        places = np.searchsorted(cuts, np.r_[starts, len(values)]).tolist()
+        edges = [*(cuts * 4).tolist(), 4 * len(values)]
+        data = values.tobytes()
+        words = [data[i:j] for i, j in zip(edges, edges[1:])]
+        self.learn(list(set(words)))
+        found = list(map(self.held.__getitem__, words))
+        texts = ["".join(found[i:j])[1 if cut else 0 :] for i, j, cut in zip(places, places[1:], first_marked.tolist())]
+        odd = np.flatnonzero(self.special[values])
+        for row in set(np.searchsorted(starts + lengths, odd, side="right").tolist()):
+            texts[row] = self.model.decode(values[starts[row] : starts[row] + lengths[row]].tolist())
+        return texts
+
+
 def decode(encoded: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``encoded`` with ``decoded``, the library's text of each row's ids (null ids: none)."""
+    """``encoded`` with ``decoded``: what the library's ``decode`` gives for each row's ids.
+
+    Null or no ids: an empty text.  An input column named like ``decoded`` is replaced.
+    """
     encoded = encoded.drop(decoded)
     place = encoded.columns.index(ids)
 
     def run(batches):
-        reader = processor(model)
+        reader = _Decoder(model)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
-                texts = [reader.decode(row) if row else "" for row in part.column(place).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, decoded])
+                texts = pa.array(reader.texts(part.column(place)), pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, decoded])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded, T.StringType())]))
 

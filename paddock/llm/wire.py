@@ -7,17 +7,40 @@ import zlib
 import numpy as np
 
 
+#: Longest beginning that a word takes over from the word before it.
+SHARED = 24
+
+
 def pack_words(words: list[bytes]) -> bytes:
-    sizes = np.fromiter(map(len, words), "<u4", len(words))
-    return zlib.compress(np.array([len(words)], "<u4").tobytes() + sizes.tobytes() + b"".join(words), 1)
+    """``words``, best sorted: of each only what differs from the beginning of the one before."""
+    count = len(words)
+    sizes = np.fromiter(map(len, words), np.int64, count)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    # The first bytes of all words, side by side; past its end a word holds no byte.
+    heads = np.full((count, SHARED), -1, np.int16)
+    for place in range(SHARED):
+        long = np.flatnonzero(sizes > place)
+        heads[long, place] = data[starts[long] + place]
+    shared = np.zeros(count, np.int64)
+    same = (heads[1:] == heads[:-1]) & (heads[1:] >= 0)
+    shared[1:] = np.logical_and.accumulate(same, axis=1).sum(1)
+    rest = np.arange(len(data)) - np.repeat(starts, sizes) >= np.repeat(shared, sizes)
+    head = np.array([count], "<u4").tobytes()
+    return zlib.compress(head + shared.astype(np.uint8).tobytes() + columns(sizes - shared) + data[rest].tobytes(), 6)
 
 
 def unpack_words(payload: bytes) -> list[bytes]:
     data = zlib.decompress(payload)
     count = int(np.frombuffer(data, "<u4", 1)[0])
-    ends = 4 + 4 * count + np.cumsum(np.frombuffer(data, "<u4", count, 4), dtype=np.int64)
-    starts = [4 + 4 * count, *ends.tolist()]
-    return [data[i:j] for i, j in zip(starts, starts[1:])]
+    shared = np.frombuffer(data, np.uint8, count, 4).tolist()
+    ends = 4 + 5 * count + np.cumsum(uncolumns(data, count, 4 + count), dtype=np.int64)
+    words, word, start = [], b"", 4 + 5 * count
+    for taken, end in zip(shared, ends.tolist()):
+        word = word[:taken] + data[start:end]
+        words.append(word)
+        start = end
+    return words
 
 
 def columns(values: np.ndarray) -> bytes:

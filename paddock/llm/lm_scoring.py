@@ -12,6 +12,7 @@ part of training tokens that are not the only one of their word.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from paddock.session import store
 from . import context_mixing as M
 from . import exchange as X
 from . import wire
+from .scratch import Scratch
 from .texts import raw_texts, words_of
 
 END_WORD = b"\n"  # no word holds white space
@@ -34,29 +36,25 @@ ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 class _Words:
-    """The distinct lower-cased words of a block and their training counts."""
+    """The distinct lower-cased words of a block, in the order of their buckets."""
 
-    def __init__(self, table: pa.Table, text: str, train: str, buckets: int):
+    def __init__(self, table: pa.Table, text: str, buckets: int):
         self.texts = [words_of(x.lower()) + [END_WORD] for x in raw_texts(table[text])]
-        counts: dict[bytes, int] = {}
-        for words, learn in zip(self.texts, table[train].to_pylist()):
-            if learn:
-                for word in words:
-                    counts[word] = counts.get(word, 0) + 1
-            else:
-                for word in words:
-                    if word not in counts:
-                        counts[word] = 0
-        words = sorted(counts)
+        words = sorted(set().union(*self.texts))
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         self.words = [words[i] for i in order.tolist()]
-        self.counts = np.fromiter(map(counts.__getitem__, self.words), np.int64, len(words))
         self.bucket = bucket[order]
 
-    def questions(self):
+    def questions(self, learn: list[bool | None]):
+        """Words with how often the texts to learn from hold them."""
+        held: Counter[bytes] = Counter()
+        for words, wanted in zip(self.texts, learn):
+            if wanted:
+                held.update(words)
+        counts = np.fromiter((held[w] for w in self.words), np.int64, len(self.words))
         return [
-            (b, wire.pack_words(self.words[i:j]) + zlib.compress(wire.columns(self.counts[i:j]), 1))
+            (b, wire.pack_words(self.words[i:j]) + zlib.compress(wire.columns(counts[i:j]), 1))
             for b, i, j in X.bounds(self.bucket)
         ]
 
@@ -187,10 +185,11 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
     blocked = docs.withColumn(X.BLOCK, F.pmod(key, F.lit(X.parts(chars, BLOCK_CHARS))))
 
     def words_in(table):
-        return _Words(table, text, train, buckets)
+        return _Words(table, text, buckets)
 
-    asks = store(X.ask(blocked, lambda table: words_in(table).questions()), "block-words")
-    words = store(vocabulary(asks), "word-counts")
+    asks = store(X.ask(blocked, lambda table: words_in(table).questions(table[train].to_pylist())), "block-words")
+    scratch = Scratch()
+    words = scratch.table(vocabulary(asks), "word-counts")
     total, distinct, single = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.count(F.when(F.col("c") == 1, 1))
     ).first()
@@ -198,6 +197,7 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
     code = _code(words)
     counts = _counts(parts, code)
     mixer = _mixer(parts, counts, code)
+    scratch.drop(words)
     share = 1 - single / total if total else 0.0
     model = spark.sparkContext.broadcast((mixer, counts, code))
 

@@ -17,6 +17,8 @@ from paddock.llm.toxicity import fit, toxicity
 from paddock.session import ship_package, store
 
 TOXIC = 0.7
+#: Of word shingles in common, by the general rule for stages; op7 has its own 85.
+ALIKE = 80
 CAPACITY = 2048
 
 
@@ -35,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each near-duplicate group with the smallest id; rows without id stay."""
     ship_package(spark)
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs.select("doc_id", "text"), ALIKE).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 

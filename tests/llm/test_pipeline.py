@@ -1,7 +1,10 @@
+import itertools
+
 import numpy as np
 import public_tokenizers
 import pytest
 from test_minhash import expected as components_of
+from test_minhash import shingles
 from test_secrets import expected as secrets_of
 from test_substring_dedup import expected as passages_of
 from texts_helper import words
@@ -42,6 +45,40 @@ def test_one_of_each_group_stays(stages):
     assert set(texts(stages[2])) == {i for i, _, _, kept in components_of(rows) if kept}
 
 
+def test_copies_of_four_fifths_go(spark, tmp_path):
+    """A copy between 0.80 and 0.85 goes, one below 0.80 stays, by brute force on five-word sets."""
+    base = [f"w{i}" for i in range(200)]
+
+    def altered(places):
+        return " ".join(f"x{i}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(1, " ".join(base)), (2, altered({20, 90, 150, 199})), (3, altered({10, 50, 90, 130, 170}))]
+    sets = {i: shingles(text) for i, text in rows}
+    alike = {i: len(sets[1] & sets[i]) / len(sets[1] | sets[i]) for i in (2, 3)}
+    assert 0.80 <= alike[2] < 0.85 and alike[3] < 0.80
+    docs = spark.createDataFrame([(i, text, "en", "s", len(text)) for i, text in rows], SCHEMA)
+    assert set(texts(corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)))) == {1, 3}
+
+
+def test_near_dedup_stage_against_brute_force(spark, sf_dir):
+    rows = list(texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).items())
+    sets = [(i, shingles(text)) for i, text in rows]
+    root = {i: i for i, _ in rows}
+
+    def named(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        common = len(x & y)
+        if common and 100 * common >= 80 * (len(x) + len(y) - common):
+            low, high = sorted((named(a), named(b)))
+            root[high] = low
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert set(texts(kept)) == {i for i, _ in rows if named(i) == i}
+
+
 def test_passages_go(stages):
     before, after = texts(stages[2]), texts(stages[3])
     assert set(before) == set(after)

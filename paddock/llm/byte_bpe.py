@@ -2,7 +2,8 @@
 
 The tokenizer file is the JSON of the ``tokenizers`` library.  Its merges stand in the
 order of the ids they make, which is what a rank table says too, so the ids can come from
-``tiktoken``; loading checks that order.
+``tiktoken``; loading checks that order.  Added tokens of the file are found in texts first,
+as the library does, and what lies between two of them is a text of its own.
 """
 
 from __future__ import annotations
@@ -46,6 +47,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
     }
 
 
+def load_added(path: str) -> dict[str, int]:
+    """The added tokens, which stand for themselves wherever a text holds them."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", ())
+    if any(token.get(flag) for token in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path} has added tokens that take or need what is around them")
+    return {token["content"]: token["id"] for token in added}
+
+
 class ChunkTable:
     """ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -60,6 +70,11 @@ class ChunkTable:
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
         self.held: dict[str, bytes] = {}
+        added = load_added(path)
+        self.added = {content: np.array([id_], "<u4").tobytes() for content, id_ in added.items()}
+        # Of tokens that begin at one place the longest counts.
+        longest = sorted(map(re.escape, added), key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(longest)})") if added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
@@ -83,6 +98,19 @@ class ChunkTable:
             start = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.at_added is None:
+            return self._encode(texts)
+        # Odd places of a split text are added tokens.
+        split = {i: self.at_added.split(text) for i, text in enumerate(texts) if self.at_added.search(text)}
+        plain = self._encode([text for i, text in enumerate(texts) if i not in split])
+        between = iter(self._encode([text for parts in split.values() for text in parts[::2]]))
+        rest = iter(plain)
+        return [
+            b"".join(self.added[part] if k % 2 else next(between) for k, part in enumerate(split[i])) if i in split else next(rest)
+            for i in range(len(texts))
+        ]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [
             text.split(" ") if not _WHITE_THEN_SPACE.search(text) else self._parted(text) for text in texts
         ]

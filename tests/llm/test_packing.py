@@ -53,6 +53,17 @@ def test_odd_texts(spark, library, rows, capacity):
     check(library, rows, got, capacity)
 
 
+def test_added_tokens_in_texts(spark):
+    """As the library finds them by default."""
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    rows = [(1, f"a{end}b"), (2, end), (3, f" {end} x  {end}{end}\n\n{end} y "), (4, f"<|endof{end}text|>"), (5, "no token"), (6, None)]
+    got = packing.best_fit_packing(frame(spark, rows), PATH, 4).collect()
+    check(Tokenizer.from_file(PATH), rows, got, 4)
+    assert ChunkTable(PATH).encode([f"a{end}b"]) == [np.array([64, 50256, 65], "<u4").tobytes()]
+
+
 def test_all_documents_near_the_bound(spark, library, sf_dir):
     got = packing.best_fit_packing(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH).collect()
     used, bound = check(library, documents(spark, sf_dir), got, 2048)

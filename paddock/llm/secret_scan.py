@@ -52,11 +52,18 @@ RULES = (
     ),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 0, 20, ("akia",)),
     Rule("hex", 1, r"[0-9a-f]{24,}"),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("private key",)),
+    # Up to the matching END line, else over the header and base64 lines that follow.
+    Rule(
+        "private_key", 2,
+        r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END \1PRIVATE KEY-----"
+        r"|(?:\s*(?:\\[rn])*[A-Za-z-]++:\x20[^\r\n]*+(?=[\r\n]))*+"
+        r"(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{40,}+)*+(?:(?:(?<=[A-Za-z0-9+/=]{40})(?:\s|\\[rn])++)[A-Za-z0-9+/=]++(?=\s|\\|\Z))?)",
+        hints=("private key",),
+    ),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", hints=("eyj",)),
-    Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/:@]{1,100}@", hints=("://",)),
+    Rule("url_login", 2, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]++@", hints=("://",)),
 )
 BASE = ("assign", "access", "hex")
 

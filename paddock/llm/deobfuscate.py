@@ -31,15 +31,21 @@ SEPARATORS = ".-_*·~/\\ "
 #: Natural logarithms of the channel: a look-alike, a dropped repeat, a separator that
 #: stands in a word, a space that ends one, any other dropped sign.
 LOOK, REPEAT, WITHIN, BETWEEN, DROP = -1.5, -1.0, -0.1, -3.0, -6.0
-#: Longer tokens without spaces (keys, digests) are not words; readings kept for each state.
+#: Tokens that stay longer with each run of a sign as one (keys, digests) are not words,
+#: unless separators part their signs; readings kept for each state.
 LONGEST, READINGS = 32, 4
+#: Signs of a spaced run that are read at once; parts overlap by half, so that a word of up
+#: to that many letters is whole in one of them.
+PART = 64
 
 _EDGES = re.compile(r"^[^\w$@!|+€£(]+|([^\w])\1+$|[^\w$@€£+]+$")
 _LEET = re.compile(r"^(?=.*[^\W\d_])(?=.*[0-9@$!|+€£(])[\w@$!|+€£(]+$")
 _SPLIT = re.compile(r"^(?:[\w@$!|+€£(][.\-_*·~/\\ ]){2,}[\w@$!|+€£(]$")
 _DRAWN = re.compile(r"(.)\1\1|(.)\2.*(.)\3.*(.)\4")
-#: Single signs with spaces between them; long runs are read in parts of 64.
-SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€£(] ){3,63}[\w@$!|+€£(](?!\S)")
+_RUN = re.compile(r"(.)\1+", re.DOTALL)
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Single signs with spaces between them.
+SPACED = re.compile(r"(?<!\S)(?:[\w@$!|+€£(] ){2,}[\w@$!|+€£(](?!\S)")
 
 
 def char_counts(text: str) -> np.ndarray:
@@ -72,10 +78,12 @@ def plain(token: str) -> str:
 def suspicious(token: str) -> bool:
     if " " in token:
         return True
-    if not 3 <= len(token) <= LONGEST or token.isalpha() and not _DRAWN.search(token):
+    if len(token) < 3 or token.isalpha() and not _DRAWN.search(token):
         return False
     if _SPLIT.match(token):
         return True
+    if len(_RUN.sub(r"\1", token)) > LONGEST:
+        return False
     digits = sum(map(str.isdigit, token))
     return bool(_LEET.match(token)) and digits <= 0.6 * len(token) or token.isalpha()
 
@@ -122,15 +130,25 @@ def restored(token: str, letters: Letters) -> list[str]:
     word = plain(token)
     if not word:
         return []
-    if not suspicious(word):
+    # No word has a sign four times in a row; what a longer run adds is the same for all readings.
+    short = _LONG_RUN.sub(r"\1\1\1", word) if len(word) > LONGEST else word
+    if not suspicious(short):
         return [word]
-    return [word, *(part for reading in readings(word, letters) for part in reading.split())]
+    return [word, *(part for piece in _pieces(short) for reading in readings(piece, letters) for part in reading.split())]
+
+
+def _pieces(token: str) -> list[str]:
+    """Overlapping parts of a long token of single signs and separators, else the token."""
+    step = PART  # signs and separators of half a part
+    if len(token) <= 2 * PART or not (" " in token or _SPLIT.match(token)):
+        return [token]
+    return [token[first : first + 2 * step - 1] for first in range(0, len(token) - step, step)]
 
 
 def tokens_of(text: str) -> list[str]:
     """Lower-cased tokens, with spaced-out words as one token each."""
     text = text.lower()
     tokens = text.split()
-    if sum(map(len, tokens)) < 2 * len(tokens) or SPACED.search(text):
-        tokens += SPACED.findall(text)
+    for run in SPACED.findall(text):
+        tokens += _pieces(run)
     return tokens

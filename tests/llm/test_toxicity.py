@@ -88,3 +88,28 @@ def test_readings():
         assert meant in restored(written, letters)
     assert restored("plain", letters) == ["plain"] and restored("&&&", letters) == [] and restored("", letters) == []
     assert restored("0123456789abcdef0123456789abcdef01234567", letters) == ["0123456789abcdef0123456789abcdef01234567"]
+
+
+@pytest.mark.parametrize("written", [
+    "i" * 40 + "diot", "m" + "o" * 50 + "r" * 9 + "on", "-".join("iiiiiiddddddiiiiiiooooootttttt"), ".".join("worthless" * 3 + "moron"),
+    "1" + "d" * 40 + "10t", "-".join("idiot" * 30 + "moron"),
+])
+def test_words_drawn_out_or_split_beyond_32_signs(written):
+    letters = Letters(char_counts(" ".join(BAD + ["an idiot", "a moron", "the loser"]) * 200))
+    meant = [word for word in restored(written, letters)[1:] if any(bad in word for bad in BAD)]
+    assert len(written) > 32 and meant
+
+
+def test_spaced_words_of_three_signs_and_across_parts():
+    from paddock.llm.deobfuscate import tokens_of
+
+    letters = Letters(char_counts("bad dog idiot an " * 300))
+    assert "b a d" in tokens_of("it is b a d here")
+    assert "bad" in restored("b a d", letters)
+    for shift in range(0, 130):
+        found = tokens_of(" ".join("z" * shift + "idiot" + "z" * 100))
+        assert any(" ".join("idiot") in token for token in found if " " in token)
+    assert tokens_of("a b") == ["a", "b"]
+    # A run of up to 64 signs is one token, as it was.
+    assert [len(t) for t in tokens_of(" ".join("ab" * 32)) if " " in t] == [127]
+    assert max(map(len, tokens_of("a b " * 3000))) == 127

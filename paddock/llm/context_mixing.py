@@ -1,13 +1,16 @@
-"""A bitwise language model of words: hashed contexts, mixed online.
+"""A bitwise language model of words after words: hashed contexts, mixed online.
 
 Words are spelled as the bits of a prefix code over their bytes and an end.  Several
 predictors count the bits that followed a hashed context: the last one, two, three or five
-bytes of the word, and all of it so far.  Their log odds are added up with weights that an
+bytes, which reach back over the space into the word before, all of the word so far, and
+that together with the whole word before.  Their log odds are added up with weights that an
 online logistic mixer learns, one set of weights for each degree of evidence (the gate);
 an adaptive map then corrects the mixed probability by what came of similar ones.
 
-All of it works on numpy arrays of the bits of many words.  Tables have fixed sizes, given
-by ``SLOTS``, whatever the corpus holds; contexts that hash alike share counts.
+All of it works on numpy arrays of the bits of many words.  Five tables have fixed sizes,
+given by ``SLOTS``, whatever the corpus holds; contexts that hash alike share counts.  What
+followed a word before is not in a table: whoever asks has all that followed it at hand, and
+counts it by 64-bit keys (:func:`runs`, :func:`followed`).
 """
 
 from __future__ import annotations
@@ -21,7 +24,11 @@ END = 256
 EDGE = 257  # what stands before the first byte
 #: log2 of the slots of each predictor's table: orders 1, 2, 3, 5, and the whole prefix.
 SLOTS = (17, 18, 19, 19, 20)
-GATES, STEPS = 64, 24
+GATES, STEPS = 256, 24
+#: Inputs of the mixer: the tables, what followed the word before, and a bias.
+INPUTS = len(SLOTS) + 2
+#: Words of one step.
+STEP_WORDS = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xC2B2AE3D27D4EB4F)
 _RATE = 0.02
@@ -64,6 +71,14 @@ def symbols_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return symbols, starts
 
 
+def _scattered(values: np.ndarray) -> np.ndarray:
+    """A one-to-one hash of 64 bits (the last steps of splitmix64)."""
+    values = (values + _ODD) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    values = (values ^ (values >> np.uint64(30))) * _NODE
+    return values ^ (values >> np.uint64(31))
+
+
 @dataclass
 class Bits:
     """The bits of many words: the word of each, its value, code node and context slots."""
@@ -72,11 +87,17 @@ class Bits:
     value: np.ndarray
     node: np.ndarray
     slots: list[np.ndarray]
+    context: np.ndarray  # word before and word so far
+    key: np.ndarray  # and the node
 
 
-def bits_of(words: list[bytes], code) -> Bits:
+def bits_of(words: list[bytes], code, before_words: list[bytes] | None = None) -> Bits:
+    """The bits of ``words``, each after its word before (none: after an empty one)."""
     lengths, nodes, bits = code
-    symbols, starts = symbols_of(words)
+    if before_words is None:
+        before_words = [b""] * len(words)
+    symbols, starts = symbols_of([b"%b %b" % pair for pair in zip(before_words, words)])
+    ahead = np.fromiter(map(len, before_words), np.int64, len(words)) + 1
     sizes = np.diff(np.r_[starts, len(symbols)])
     word = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(symbols)) - starts[word]
@@ -88,35 +109,102 @@ def bits_of(words: list[bytes], code) -> Bits:
     order2 = before[0] + wide * before[1]
     order3 = order2 + wide * wide * before[2]
     order5 = order3 + wide**np.uint64(3) * (before[3] + wide * before[4])
-    terms = (symbols.astype(np.uint64) + np.uint64(1)) * _NODE
-    terms = (terms ^ (terms >> np.uint64(29))) * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)) * _ODD
+    inside = np.where(place >= ahead[word], place - ahead[word], place).astype(np.uint64)
+    terms = _scattered((inside << np.uint64(9)) + symbols.astype(np.uint64))
     sums = np.cumsum(terms, dtype=np.uint64) - terms
-    prefix = sums - sums[starts][word] + place.astype(np.uint64)
+    first = (starts + ahead)[word]  # of the word itself
+    prefix = sums - sums[first] + inside
+    prior = _scattered(sums[first] - sums[starts][word]) + prefix
+    own = np.flatnonzero(place >= ahead[word])
+    symbols, word, prefix, prior = symbols[own], word[own], prefix[own], prior[own]
+    before, order2, order3, order5 = before[0][own], order2[own], order3[own], order5[own]
     size = lengths[symbols]
     of = np.repeat(np.arange(len(symbols)), size)
     step = np.arange(len(of)) - (np.cumsum(size) - size)[of]
     node = nodes[symbols[of], step]
     value = bits[symbols[of], step]
     slots = []
-    for i, (context, log_size) in enumerate(zip((before[0], order2, order3, order5, prefix), SLOTS)):
+    for i, (context, log_size) in enumerate(zip((before, order2, order3, order5, prefix), SLOTS)):
         mixed = (context * _ODD + np.uint64(i))[of] ^ (node * _NODE)
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD
         slots.append((mixed >> np.uint64(64 - log_size)).astype(np.int64))
-    return Bits(word[of], value, node.astype(np.int64), slots)
+    context = _scattered(prior)[of]
+    return Bits(word[of], value, node.astype(np.int64), slots, context, context + node)
 
 
 def empty_counts() -> list[np.ndarray]:
     """For each predictor the counts of zeros and ones in each slot, side by side."""
-    return [np.zeros(2 << log_size, np.float32) for log_size in SLOTS]
+    return [np.zeros(2 << log_size) for log_size in SLOTS]
 
 
-def count(counts: list[np.ndarray], words: list[bytes], weights: np.ndarray, code) -> None:
-    bits = bits_of(words, code)
-    weight = weights.astype(np.float32)[bits.word]
+def count(counts: list[np.ndarray], words: list[bytes], weights: np.ndarray, code, before: list[bytes] | None = None) -> None:
+    bits = bits_of(words, code, before)
+    weight = weights.astype(np.float64)[bits.word]
     for table, slot in zip(counts, bits.slots):
         np.add.at(table, 2 * slot + bits.value, weight)
 
 
+def _sums(places: np.ndarray, size: int, word: np.ndarray, value: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weights of zeros and of ones for each place."""
+    weight = weights.astype(np.float64)[word]
+    ones = np.bincount(places, weight * value, size)
+    return np.stack([np.bincount(places, weight, size) - ones, ones])
+
+
+def followed(bits: Bits, weights: np.ndarray, spread: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Exact counts of zeros and ones after each bit's context of word before and word so far.
+
+    The words hold all that followed their words before, but for contexts in ``spread``
+    (sorted keys and counts).
+    """
+    keys, places = np.unique(bits.key, return_inverse=True)
+    sums = _sums(places, len(keys), bits.word, bits.value, weights)
+    if spread is not None:
+        at = np.minimum(np.searchsorted(spread[0], keys), len(spread[0]) - 1)
+        known = spread[0][at] == keys
+        sums[:, known] = spread[1][:, at[known]]
+    return sums[:, places]
+
+
+def runs(before: np.ndarray, words: list[bytes], after: np.ndarray, weights: np.ndarray, code):
+    """Steps over pairs sorted by word before, then word: words before, words, weights, spread.
+
+    ``before`` and ``after`` are places in sorted ``words``.  A step holds whole groups of a
+    word before; a group that is longer is parted.  Only what the last words of its parts
+    begin with can be in several, and is counted over all of them first.
+    """
+    name = words.__getitem__
+
+    def step(i, j):
+        return list(map(name, before[i:j].tolist())), list(map(name, after[i:j].tolist())), weights[i:j]
+
+    edges = np.r_[np.flatnonzero(np.r_[True, before[1:] != before[:-1]]), len(before)] if len(before) else [0]
+    first = 0
+    for begin, end in zip(edges[:-1], edges[1:]):
+        if end - first > STEP_WORDS and begin > first:
+            yield *step(first, begin), None
+            first = begin
+        if end - first > STEP_WORDS:
+            cuts = [*range(first, end, STEP_WORDS), end]
+            last = np.array(cuts[1:-1]) - 1
+            begun = np.unique(bits_of(list(map(name, after[last].tolist())), code, list(map(name, before[last].tolist()))).context)
+            keys, sums = [], []
+            for i, j in zip(cuts, cuts[1:]):
+                some, texts, weight = step(i, j)
+                bits = bits_of(texts, code, some)
+                here = np.flatnonzero(np.isin(bits.context, begun))
+                found, places = np.unique(bits.key[here], return_inverse=True)
+                keys.append(found)
+                sums.append(_sums(places, len(found), bits.word[here], bits.value[here], weight))
+            keys, places = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.stack([np.bincount(places, row, len(keys)) for row in np.concatenate(sums, axis=1)])
+            for i, j in zip(cuts, cuts[1:]):
+                yield *step(i, j), (keys, total)
+            first = end
+    if first < len(before):
+        yield *step(first, len(before)), None
+
+
 @dataclass
 class Mixer:
     """Weights of the predictors (and a bias) for each gate, and the adaptive map."""
@@ -128,25 +216,25 @@ class Mixer:
 
     @classmethod
     def new(cls) -> Mixer:
-        inputs = len(SLOTS) + 1
         cells = 512 * STEPS
-        return cls(np.full((GATES, inputs), 0.3), np.zeros((GATES, inputs)), np.zeros(cells), np.zeros(cells))
+        return cls(np.full((GATES, INPUTS), 0.3), np.zeros((GATES, INPUTS)), np.zeros(cells), np.zeros(cells))
 
 
-def _evidence(counts, bits: Bits, leave_out: np.ndarray | None):
+def _evidence(counts, bits: Bits, after: np.ndarray, leave_out: np.ndarray | None):
     """Log odds of each predictor (a row each, the last a bias) and the gate."""
-    rows = np.empty((len(SLOTS) + 1, len(bits.word)), np.float32)
+    rows = np.empty((INPUTS, len(bits.word)), np.float32)
     rows[-1] = 0.3
     known = []
-    for i, (table, slot) in enumerate(zip(counts, bits.slots)):
-        zeros, ones = table[2 * slot], table[2 * slot + 1]
+    found = [(table[2 * slot], table[2 * slot + 1]) for table, slot in zip(counts, bits.slots)]
+    for i, (zeros, ones) in enumerate([*found, after]):
         if leave_out is not None:  # one occurrence of the word itself
             ones = np.maximum(ones - leave_out * bits.value, 0)
             zeros = np.maximum(zeros - leave_out * (1 - bits.value), 0)
         rows[i] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
         known.append(zeros + ones)
     whole = np.minimum(np.log2(known[4] + 1), 15).astype(np.int64)
-    return rows, whole * 4 + (known[3] > 2) * 2 + (known[2] > 20)
+    near = np.minimum(np.log2(known[5] + 1) / 2 + 0.5, 3).astype(np.int64)
+    return rows, whole * 16 + near * 4 + (known[3] > 2) * 2 + (known[2] > 20)
 
 
 def _mixed(mixer: Mixer, rows: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -160,12 +248,14 @@ def _cells(odds: np.ndarray, node: np.ndarray) -> np.ndarray:
     return np.minimum(node, 511) * STEPS + np.clip(odds * 1.2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
 
 
-def learn(mixer: Mixer, counts, words: list[bytes], weights: np.ndarray, code) -> None:
-    """One online step over the bits of ``words``, with the words' own counts left out."""
-    bits = bits_of(words, code)
-    rows, gate = _evidence(counts, bits, np.float32(1))
+def learn(
+    mixer: Mixer, counts, words: list[bytes], weights: np.ndarray, code, before: list[bytes] | None = None, spread=None
+) -> None:
+    """One online step over the bits of ``words``, with one occurrence of each left out."""
+    bits = bits_of(words, code, before)
+    rows, gate = _evidence(counts, bits, followed(bits, weights, spread), np.float32(1))
     odds = _mixed(mixer, rows, gate)
-    weight = np.log1p(weights)[bits.word]
+    weight = weights.astype(np.float64)[bits.word]
     chance = 1 / (1 + np.exp(-odds))
     cells = _cells(odds, bits.node)
     mixer.seen += np.bincount(cells, weight, len(mixer.seen))
@@ -187,12 +277,15 @@ def merged(mixers: list[tuple[Mixer, float]]) -> Mixer:
     return Mixer(weights, mixers[0][0].squares, sum(m.seen for m, _ in mixers), sum(m.ones for m, _ in mixers))
 
 
-def spelled(mixer: Mixer, counts, words: list[bytes], code) -> np.ndarray:
-    """log2 of the probability of spelling each word."""
+def spelled(
+    mixer: Mixer, counts, words: list[bytes], code, before: list[bytes] | None = None, weights: np.ndarray | None = None, spread=None
+) -> np.ndarray:
+    """log2 of the probability of each word after its word before; ``weights`` as in training."""
     if not words:
         return np.empty(0)
-    bits = bits_of(words, code)
-    rows, gate = _evidence(counts, bits, None)
+    bits = bits_of(words, code, before)
+    after = followed(bits, np.zeros(len(words)) if weights is None else weights, spread)
+    rows, gate = _evidence(counts, bits, after, None)
     odds = _mixed(mixer, rows, gate)
     chance = 1 / (1 + np.exp(-odds))
     cells = _cells(odds, bits.node)

@@ -1,18 +1,17 @@
 """Scores of documents under word counts and under the mixed model of :mod:`context_mixing`.
 
-Blocks of documents send their distinct words with how often training documents hold them;
-a bucket adds these up, spells each word once under the model and answers both, so that no
-task holds more than a block or a bucket of words.  The counts of all training words are a
-stored table; the model's tables are added up from it in parts.
-
-A word's probability is ``share * c / N + (1 - share) * P(spelling)``; ``share`` is the
-part of training tokens that are not the only one of their word.
+A document's score is the sum of the bits of its words, in order, each after the word before.
+Blocks of documents send their distinct words and distinct pairs of a word before and a word
+with how often training documents hold them; a bucket of words before adds these up, spells
+each pair once under the model and answers, so that no task holds more than a block or a
+bucket.  The counts of all training words and pairs are a stored table; the model's tables
+are added up from it in parts.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,69 +28,132 @@ from .scratch import Scratch
 from .texts import raw_texts, words_of
 
 END_WORD = b"\n"  # no word holds white space
-BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 48 << 20
-#: Distinct words in one part of learning, in one step of it, and in one call of scoring.
-PART_WORDS, STEP_WORDS = 1 << 20, 8192
+BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 16 << 20
+#: Distinct pairs in one stored row (more if they share the word before), rows of one part of learning.
+ROW_PAIRS, PART_ROWS = 1 << 16, 32
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 class _Words:
-    """The distinct lower-cased words of a block, in the order of their buckets."""
+    """The distinct lower-cased words of a block by bucket, and its distinct pairs by that of the first."""
 
     def __init__(self, table: pa.Table, text: str, buckets: int):
-        self.texts = [words_of(x.lower()) + [END_WORD] for x in raw_texts(table[text])]
-        words = sorted(set().union(*self.texts))
+        texts = [words_of(x.lower()) + [END_WORD] for x in raw_texts(table[text])]
+        words = sorted(set().union(*texts))
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(bucket, kind="stable")
         self.words = [words[i] for i in order.tolist()]
         self.bucket = bucket[order]
+        place = dict(zip(self.words, range(len(words))))
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.ids = np.fromiter(map(place.__getitem__, chain.from_iterable(texts)), np.int64, int(self.sizes.sum()))
+        # Each text ends with the end, so the first word of the next one comes after it.
+        before = np.r_[place[END_WORD], self.ids[:-1]] if len(self.ids) else self.ids
+        self.pairs, self.pair_ids = np.unique(before * len(words) + self.ids, return_inverse=True)
 
     def questions(self, learn: list[bool | None]):
-        """Words with how often the texts to learn from hold them."""
-        held: Counter[bytes] = Counter()
-        for words, wanted in zip(self.texts, learn):
-            if wanted:
-                held.update(words)
-        counts = np.fromiter((held[w] for w in self.words), np.int64, len(self.words))
-        return [
-            (b, wire.pack_words(self.words[i:j]) + zlib.compress(wire.columns(counts[i:j]), 1))
-            for b, i, j in X.bounds(self.bucket)
-        ]
-
-
-def _read(payload: bytes) -> tuple[list[bytes], np.ndarray]:
-    reader = zlib.decompressobj()
-    words = wire.unpack_words(payload)
-    reader.decompress(payload)
-    data = zlib.decompress(reader.unused_data)
-    return words, wire.uncolumns(data, len(words), 0).astype(np.int64)
-
-
-def _totals(asked) -> dict[bytes, int]:
-    totals: dict[bytes, int] = {}
-    for words, counts in asked:
-        for word, count in zip(words, counts.tolist()):
-            totals[word] = totals.get(word, 0) + count
-    return totals
+        """Words and pairs with how often the texts to learn from hold them."""
+        wanted = np.repeat(np.array([bool(x) for x in learn], np.float64), self.sizes)
+        held = np.bincount(self.ids, wanted, len(self.words)).astype(np.int64)
+        pair_held = np.bincount(self.pair_ids, wanted, len(self.pairs)).astype(np.int64)
+        found = []
+        for bucket, i, j in X.bounds(self.bucket):
+            first, end = np.searchsorted(self.pairs, [i * len(self.words), j * len(self.words)])
+            before, after = np.divmod(self.pairs[first:end], len(self.words))
+            # What comes after may be words of any bucket.
+            others, after = np.unique(after, return_inverse=True)
+            rows = before - i, after, pair_held[first:end]
+            found.append((bucket, _packed(self.words[i:j], held[i:j], sorted_words(self.words, others), rows)))
+        return found
+
+
+def sorted_words(words: list[bytes], at: np.ndarray) -> list[bytes]:
+    return [words[i] for i in at.tolist()]
+
+
+def _packed(words, counts, others, rows) -> bytes:
+    numbers = [zlib.compress(wire.columns(np.asarray(x)), 1) for x in (counts, [len(rows[0])], *rows)]
+    parts = [wire.pack_words(words), wire.pack_words(others), *numbers]
+    return np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def _read(payload: bytes):
+    """Words, their counts, words that come after; of each pair both places and the count."""
+    sizes = np.frombuffer(payload, "<u4", 7).tolist()
+    parts, at = [], 28
+    for size in sizes:
+        parts.append(payload[at : at + size])
+        at += size
+    words, others = wire.unpack_words(parts[0]), wire.unpack_words(parts[1])
+
+    def numbers(k, count):
+        return wire.uncolumns(zlib.decompress(parts[k]), count, 0).astype(np.int64)
+
+    pairs = int(numbers(3, 1)[0])
+    return words, numbers(2, len(words)), others, *(numbers(k, pairs) for k in (4, 5, 6))
+
+
+class _Bucket:
+    """All words and pairs of a bucket, with the places of each block's own."""
+
+    def __init__(self, payloads: list[bytes]):
+        read = list(map(_read, payloads))
+        self.words = sorted(set().union(*(r[0] for r in read), *(r[2] for r in read)))
+        place = dict(zip(self.words, range(len(self.words)))).__getitem__
+        self.counts = np.zeros(len(self.words), np.int64)
+        self.asked_words, codes = [], []
+        for words, counts, others, before, after, _ in read:
+            own = np.fromiter(map(place, words), np.int64, len(words))
+            other = np.fromiter(map(place, others), np.int64, len(others))
+            self.counts[own] += counts
+            self.asked_words.append(own)
+            codes.append(own[before] * len(self.words) + other[after])
+        pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
+        # Sums of whole numbers up to 2 ** 53 are exact.
+        self.pair_counts = np.bincount(at, np.concatenate([r[5] for r in read]), len(pairs)).astype(np.int64)
+        self.asked_pairs = np.split(at, np.cumsum([len(c) for c in codes])[:-1])
+        self.before, self.after = np.divmod(pairs, len(self.words))
+
+
+def _pair_row(words: list[bytes], before, after, counts) -> bytes:
+    used, places = np.unique(np.r_[before, after], return_inverse=True)
+    return _packed([], [], sorted_words(words, used), (places[: len(before)], places[len(before) :], counts))
 
 
 def vocabulary(asks: DataFrame) -> DataFrame:
-    """Each training word with its count."""
+    """Each training word with its count, and rows of packed training pairs."""
 
     def run(table):
-        totals = _totals(map(_read, table["payload"].to_pylist()))
-        kept = [(w, c) for w, c in totals.items() if c]
-        words, counts = zip(*kept) if kept else ((), ())
-        return pa.table({"word": pa.array(words, pa.binary()), "c": pa.array(counts, pa.int64())})
-
-    return asks.groupBy("__bucket").applyInArrow(run, "word binary, c long")
+        bucket = _Bucket(table["payload"].to_pylist())
+        kept = np.flatnonzero(bucket.counts)
+        words, counts = sorted_words(bucket.words, kept), bucket.counts[kept].tolist()
+        held = bucket.pair_counts > 0
+        before, after, pair_counts = bucket.before[held], bucket.after[held], bucket.pair_counts[held]
+        starts = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if len(before) else np.empty(0, np.int64)
+        # Rows begin where the word before changes.
+        cuts = np.unique(starts // ROW_PAIRS, return_index=True)[1]
+        cuts = [*starts[cuts].tolist(), len(before)]
+        rows = [_pair_row(bucket.words, before[i:j], after[i:j], pair_counts[i:j]) for i, j in zip(cuts, cuts[1:])]
+        none = [None] * len(rows)
+        columns = [*words, *none], [*counts, *none], [*[None] * len(words), *rows]
+        kinds = pa.binary(), pa.int64(), pa.binary()
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "c", "pairs"])
+
+    return asks.groupBy("__bucket").applyInArrow(run, "word binary, c long, pairs binary")
 
 
 def _word_batches(batches):
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-        for first in range(0, len(words), STEP_WORDS):
-            yield words[first : first + STEP_WORDS], counts[first : first + STEP_WORDS]
+        for first in range(0, len(words), M.STEP_WORDS):
+            yield words[first : first + M.STEP_WORDS], counts[first : first + M.STEP_WORDS]
+
+
+def _pair_steps(batches, code):
+    for batch in batches:
+        for payload in batch.column(0):
+            _, _, words, before, after, counts = _read(payload.as_py())
+            yield from M.runs(before, words, after, counts, code)
 
 
 def _code(words: DataFrame):
@@ -110,11 +172,11 @@ def _code(words: DataFrame):
     return M.code_of(weights)
 
 
-def _counts(words: DataFrame, code) -> list[np.ndarray]:
+def _counts(pairs: DataFrame, code) -> list[np.ndarray]:
     def run(batches):
         counts = M.empty_counts()
-        for some, weights in _word_batches(batches):
-            M.count(counts, some, weights, code)
+        for before, some, weights, _ in _pair_steps(batches, code):
+            M.count(counts, some, weights, code, before)
         numbers = range(len(counts))
         data = [zlib.compress(table.tobytes(), 1) for table in counts]
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], ["number", "data"])
@@ -123,25 +185,25 @@ def _counts(words: DataFrame, code) -> list[np.ndarray]:
         # np.frombuffer gives read-only memory, hence the sum from zero
         total = 0
         for data in batch["data"].to_pylist():
-            total = total + np.frombuffer(zlib.decompress(data), np.float32)
+            total = total + np.frombuffer(zlib.decompress(data))
         data = zlib.compress(total.tobytes(), 1)
         return pa.table({"number": batch["number"][:1].cast(pa.int32()), "data": pa.array([data], pa.binary())})
 
-    parts = words.mapInArrow(run, "number int, data binary")
+    parts = pairs.mapInArrow(run, "number int, data binary")
     counts = M.empty_counts()
     for row in parts.groupBy("number").applyInArrow(add, "number int, data binary").collect():
-        counts[row.number] = np.frombuffer(zlib.decompress(row.data), np.float32)
+        counts[row.number] = np.frombuffer(zlib.decompress(row.data))
     return counts
 
 
-def _mixer(words: DataFrame, counts, code) -> M.Mixer:
-    shared = words.sparkSession.sparkContext.broadcast((counts, code))
+def _mixer(pairs: DataFrame, counts, code) -> M.Mixer:
+    shared = pairs.sparkSession.sparkContext.broadcast((counts, code))
 
     def run(batches):
         tables, symbols = shared.value
         mixer, share = M.Mixer.new(), 0.0
-        for some, weights in _word_batches(batches):
-            M.learn(mixer, tables, some, weights, symbols)
+        for before, some, weights, spread in _pair_steps(batches, symbols):
+            M.learn(mixer, tables, some, weights, symbols, before, spread)
             share += len(some)
         state = np.concatenate([mixer.weights.ravel(), mixer.seen, mixer.ones])
         yield pa.RecordBatch.from_pydict({"share": [share], "state": [zlib.compress(state.tobytes(), 1)]})
@@ -150,14 +212,14 @@ def _mixer(words: DataFrame, counts, code) -> M.Mixer:
     def mean(table):
         states = [np.frombuffer(zlib.decompress(x)) for x in table["state"].to_pylist()]
         shares = table["share"].to_pylist()
-        inputs = M.GATES * (len(M.SLOTS) + 1)
+        inputs = M.GATES * M.INPUTS
         total = sum(shares) or 1.0
         weights = sum(state[:inputs] * (share / total) for state, share in zip(states, shares))
         maps = sum(state[inputs:] for state in states)
         state = zlib.compress(np.concatenate([weights, maps]).tobytes(), 1)
         return pa.table({"share": pa.array([sum(shares)], pa.float64()), "state": pa.array([state], pa.binary())})
 
-    parts = words.mapInArrow(run, "share double, state binary")
+    parts = pairs.mapInArrow(run, "share double, state binary")
     parts = parts.withColumn("group", F.pmod(F.xxhash64("state"), F.lit(16))).groupBy("group")
     mixers = []
     for row in parts.applyInArrow(mean, "share double, state binary").collect():
@@ -189,38 +251,26 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
 
     asks = store(X.ask(blocked, lambda table: words_in(table).questions(table[train].to_pylist())), "block-words")
     scratch = Scratch()
-    words = scratch.table(vocabulary(asks), "word-counts")
-    total, distinct, single = words.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.count(F.when(F.col("c") == 1, 1))
-    ).first()
-    parts = words.coalesce(X.parts(distinct, PART_WORDS))
+    stored = scratch.table(vocabulary(asks), "word-counts")
+    words = stored.where("c is not null").select("word", "c")
+    total, distinct, rows = stored.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.count("pairs")).first()
+    pairs = stored.where("pairs is not null").select("pairs").coalesce(X.parts(rows, PART_ROWS))
     code = _code(words)
-    counts = _counts(parts, code)
-    mixer = _mixer(parts, counts, code)
-    scratch.drop(words)
-    share = 1 - single / total if total else 0.0
+    counts = _counts(pairs, code)
+    mixer = _mixer(pairs, counts, code)
+    scratch.drop(stored)
     model = spark.sparkContext.broadcast((mixer, counts, code))
 
     def reply(payloads):
-        asked = list(map(_read, payloads))
-        totals = _totals(asked)
-        known = list(totals)
-        place = dict(zip(known, range(len(known))))
-        count = np.fromiter(totals.values(), np.int64, len(known))
+        bucket = _Bucket(payloads)
         mixer, tables, symbols = model.value
-        spelled = [
-            M.spelled(mixer, tables, known[i : i + STEP_WORDS], symbols) for i in range(0, len(known), STEP_WORDS)
+        steps = M.runs(bucket.before, bucket.words, bucket.after, bucket.pair_counts, symbols)
+        spelled = [M.spelled(mixer, tables, some, symbols, before, held, spread) for before, some, held, spread in steps]
+        logs = (np.concatenate(spelled) * np.log10(2)).astype(np.float32)
+        return [
+            zlib.compress(bucket.counts[own].tobytes() + logs[at].tobytes(), 1)
+            for own, at in zip(bucket.asked_words, bucket.asked_pairs)
         ]
-        chance = share * count / max(total, 1) + (1 - share) * np.exp2(np.maximum(np.concatenate(spelled), -1000))
-        # Very long words underflow; their spelling alone is then their probability.
-        logs = np.where(chance > 0, np.log10(np.maximum(chance, 1e-300)), 0)
-        tiny = np.concatenate(spelled) < -900
-        logs = np.where(tiny & (count == 0), np.concatenate(spelled) * np.log10(2) + np.log10(max(1 - share, 1e-12)), logs)
-        answers = []
-        for words, _ in asked:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            answers.append(zlib.compress(count[at].tobytes() + logs[at].astype(np.float32).tobytes(), 1))
-        return answers
 
     fields = [*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ADDED[:3]),
               *(T.StructField(n, T.DoubleType()) for n in ADDED[3:])]
@@ -228,20 +278,21 @@ def lm_scores(docs: DataFrame, train: str, text: str = "text") -> DataFrame:
     def finish(table, replies):
         block = words_in(table)
         count, logs = [], []
-        for payload in X.replies_of(replies):
+        for payload, (_, i, j) in zip(X.replies_of(replies), X.bounds(block.bucket)):
             data = zlib.decompress(payload)
-            size = len(data) // 12
-            count.append(np.frombuffer(data, np.int64, size))
-            logs.append(np.frombuffer(data, np.float32, size, 8 * size))
+            count.append(np.frombuffer(data, np.int64, j - i))
+            logs.append(np.frombuffer(data, np.float32, offset=8 * (j - i)))
         count, logs = np.concatenate(count), np.concatenate(logs).astype(np.float64)
         base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
-        place = dict(zip(block.words, range(len(block.words)))).__getitem__
-        columns = [[] for _ in ADDED]
-        for words in block.texts:
-            at = np.fromiter(map(place, words), np.int64, len(words))
-            row = len(at), int((count[at] > 0).sum()), total, float(base[at].sum()), float(logs[at].sum())
-            for column, value in zip(columns, row):
-                column.append(value)
+        texts = len(block.sizes)
+        of = np.repeat(np.arange(texts), block.sizes)
+        columns = [
+            block.sizes,
+            np.bincount(of, count[block.ids] > 0, texts).astype(np.int64),
+            np.full(texts, total, np.int64),
+            np.bincount(of, base[block.ids], texts),
+            np.bincount(of, logs[block.pair_ids], texts),
+        ]
         table = table.drop_columns([X.BLOCK])
         for name, values in zip(ADDED, columns):
             kind = pa.float64() if name.endswith("score") else pa.int64()

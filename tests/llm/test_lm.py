@@ -92,3 +92,37 @@ def test_probabilities_of_all_spellings_sum_to_at_most_one():
     total = sum(2 ** x for x in mixing.spelled(mixer, tables, words, code))
     assert 0.5 < total <= 1 + 1e-9
     assert mixing.spelled(mixer, tables, [], code).size == 0
+
+
+def test_order_of_words_counts(spark):
+    """A text in the order that was read is more probable than its words in another."""
+    draw = random.Random(4)
+    phrases = ["red fox jumps", "old dog sleeps", "big cat eats", "sad owl sings"]
+    rows = [(i, " ".join(draw.choice(phrases) for _ in range(20))) for i in range(300)]
+    rows.append((1000, " ".join(phrases * 3)))
+    rows.append((1001, " ".join(sorted(rows[-1][1].split()))))
+    docs = frame(spark, rows).selectExpr("*", "doc_id < 1000 as learn")
+    score = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, "learn").collect()}
+    assert score[1000] > 0.5 * score[1001] and score[1000] < 0
+
+
+def test_parted_groups_count_alike(monkeypatch):
+    """A word before with more followers than a step holds has the same counts."""
+    import numpy as np
+
+    draw = random.Random(2)
+    words = sorted({bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 7))) for _ in range(900)})
+    pairs = sorted({(draw.choice((0, 5, 9)), draw.randrange(len(words))) for _ in range(1500)})
+    before, after = (np.array(x) for x in zip(*pairs))
+    weights = np.array([draw.randint(0, 5) for _ in pairs])
+    code = mixing.code_of(np.ones(257))
+
+    def counts():
+        return np.concatenate([
+            mixing.followed(mixing.bits_of(some, code, first), held, spread)
+            for first, some, held, spread in mixing.runs(before, words, after, weights, code)
+        ], axis=1)
+
+    whole = counts()
+    monkeypatch.setattr(mixing, "STEP_WORDS", 37)
+    assert np.array_equal(whole, counts())

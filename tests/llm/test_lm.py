@@ -126,3 +126,11 @@ def test_parted_groups_count_alike(monkeypatch):
     whole = counts()
     monkeypatch.setattr(mixing, "STEP_WORDS", 37)
     assert np.array_equal(whole, counts())
+
+
+def test_counts_beyond_what_single_floats_hold():
+    code = mixing.code_of(mixing.np.ones(257))
+    tables = mixing.empty_counts()
+    for weight in (2**24, 1, 1):
+        mixing.count(tables, [b"a"], mixing.np.array([weight]), code)
+    assert tables[4].max() >= 2**24 + 2

@@ -134,3 +134,11 @@ def test_counts_beyond_what_single_floats_hold():
     for weight in (2**24, 1, 1):
         mixing.count(tables, [b"a"], mixing.np.array([weight]), code)
     assert tables[4].max() >= 2**24 + 2
+
+
+def test_unseen_words_of_a_doubled_table_are_not_certain(spark):
+    """No training word occurs once; a held-out text of unseen words must not get the best score."""
+    rows = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (4, "zzq xxj qqv kkw")]
+    docs = frame(spark, rows).selectExpr("*", "doc_id < 3 as learn")
+    score = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, "learn").collect()}
+    assert score[4] < score[3] < 0 and score[4] < -8

@@ -18,7 +18,7 @@ def shingles(text):
     return frozenset(tuple(found[i : i + 5]) for i in range(len(found) - 4))
 
 
-def expected(rows):
+def expected(rows, percent=85):
     """Per row: ids, set size and component; rows that share an id are one node."""
     sets = [(doc_id, shingles(text)) for doc_id, text in rows]
     parent = {doc_id: doc_id for doc_id, _ in sets}
@@ -32,7 +32,7 @@ def expected(rows):
         if a is None or b is None or not x or not y:
             continue
         common = len(x & y)
-        if 100 * common >= 85 * (len(x) + len(y) - common):
+        if 100 * common >= percent * (len(x) + len(y) - common):
             low, high = sorted((root(a), root(b)))
             parent[high] = low
     return sorted(((d, len(s), None if d is None else root(d), d is None or root(d) == d) for d, s in sets), key=repr)

@@ -42,7 +42,7 @@ def test_toxic_documents_go(spark, stages, sf_dir):
 
 def test_one_of_each_group_stays(stages):
     rows = list(texts(stages[1]).items())
-    assert set(texts(stages[2])) == {i for i, _, _, kept in components_of(rows) if kept}
+    assert set(texts(stages[2])) == {i for i, _, _, kept in components_of(rows, corpus_pipeline.ALIKE) if kept}
 
 
 def test_copies_of_four_fifths_go(spark, tmp_path):

@@ -127,3 +127,12 @@ def _op7(spark, sf_dir):
 
 
 _register("op7_minhash", _op7)
+
+
+def _op13(spark, sf_dir):
+    from .sharding import op13
+
+    return op13(table(spark, sf_dir, "documents"))
+
+
+_register("op13_sampled_splitters", _op13)

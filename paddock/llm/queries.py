@@ -136,3 +136,12 @@ def _op13(spark, sf_dir):
 
 
 _register("op13_sampled_splitters", _op13)
+
+
+def _op12(spark, sf_dir):
+    from .whitening import op12
+
+    return op12(table(spark, sf_dir, "embeddings"))
+
+
+_register("op12_jacobi_davidson", _op12)

@@ -145,3 +145,15 @@ def _op12(spark, sf_dir):
 
 
 _register("op12_jacobi_davidson", _op12)
+
+
+def _op11(spark, sf_dir):
+    import public_tokenizers
+
+    from .cross_alignment import op11
+
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return op11(table(spark, sf_dir, "documents"), *paths)
+
+
+_register("op11_pair_hashing", _op11)

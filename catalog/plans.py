@@ -21,7 +21,7 @@ def mart_of(spark, sf_dir):
     return m.daily_mart(star_lots(spark, sf_dir, NEEDS))
 
 
-@query("daily_mart", lots(f"""
+DAILY_MART = f"""
     SELECT day AS report_date, species, commodity, buyer_intent, animal_class, market_state, market_city,
       market_name, is_summary,
       CAST(sum(ppl * hw) AS BIGINT) AS lb_num, CAST(sum(hw) FILTER (ppl IS NOT NULL) AS BIGINT) AS lb_den,
@@ -29,7 +29,10 @@ def mart_of(spark, sf_dir):
       CAST(sum(hw) FILTER (ppl IS NOT NULL AND pph IS NOT NULL) AS BIGINT) AS head_den,
       min(ppl) AS lb_min, max(ppl) AS lb_max, count(ppl) AS lots, {heads('ppl IS NOT NULL')} AS heads,
       count(*) AS lots_all
-    FROM lots GROUP BY ALL"""))
+    FROM lots GROUP BY ALL"""
+
+
+@query("daily_mart", lots(DAILY_MART))
 def daily_mart(spark, sf_dir):
     return mart_of(spark, sf_dir).withColumn("report_date", F.col("report_date").cast("string"))
 

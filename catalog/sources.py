@@ -12,6 +12,7 @@ from paddock.functions.measures import head_weighted_avg
 from paddock.functions.prices import derive_prices
 from paddock.functions.public import public_lots
 from paddock.operators.normalise import normalise
+from paddock.plans.mart import TERMS, read_mart
 from paddock.session import scratch_path
 from paddock.sources import payloads, reports, tables
 from paddock.sources.star import star_lots, star_reports, star_rows
@@ -19,6 +20,7 @@ from paddock.streaming.sync import incremental_sync
 
 from . import AS_OF, query
 from .expected import PUBLIC_COLUMNS, avg_e4, lots, public, raw
+from .plans import DAILY_MART
 from .normalisation import raw_reports
 
 # The public columns that do not depend on where a row stands in its file.
@@ -26,19 +28,33 @@ UNPLACED = tuple(name for name in PUBLIC_COLUMNS if name != "id")
 LANDED = ("id", "slug_id", "report_date", "published_date", "price_unit", "avg_price")
 
 
-def land(spark, sf_dir, path=None, forms=None, keyed=True, where="true", **options):
+def land(spark, sf_dir, path=None, forms=None, keyed=True, where="true", change=None, age_days=0, **options):
     """Write raw reports as CSV, in up to three forms of header, to one folder.
 
-    ``keyed``: with the fixture's own ``id``, which no real report has.
+    ``keyed``: with the fixture's own ``id``, which no real report has.  ``change`` makes
+    other rows of them; with ``age_days`` the files are that old.
     """
     path = path or scratch_path(spark, "reports")
     for form, rows in star_reports(spark, sf_dir).items():
         if forms is None or form in forms:
             rows = rows.where(where)
+            rows = change(rows) if change else rows
             reports.write_reports(rows if keyed else rows.drop("id"), path, **options)
+    if age_days:
+        set_back(spark, path, age_days)
     return path
 
 
+def set_back(spark, path, days):
+    """Make all files below ``path`` older, as copies that keep their times are."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = system.listFiles(place, True)
+    while files.hasNext():
+        file = files.next()
+        system.setTimes(file.getPath(), file.getModificationTime() - days * 86_400_000, -1)
+
+
 def as_payloads(rows):
     """Each row as a payload of its own, in the four shapes payloads come in.
 
@@ -226,6 +242,108 @@ def sync_refetch(spark, sf_dir):
     return public_lots(tables.read_lots(spark, table), UNPLACED)
 
 
+@query("sync_late_backfill", lots(f"SELECT {public(UNPLACED)} FROM lots"))
+def sync_late_backfill(spark, sf_dir):
+    """Whole reports first; older fetches of them with fewer rows arrive in a later run and lose."""
+    landed = scratch_path(spark, "drops")
+    table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
+    land(spark, sf_dir, f"{landed}/new", keyed=False)
+    incremental_sync(spark, landed, table, progress).awaitTermination()
+    land(spark, sf_dir, f"{landed}/old", keyed=False, where="slug_id % 2 = 0 and length(report_date) % 2 = 0", age_days=30)
+    incremental_sync(spark, landed, table, progress).awaitTermination()
+    return public_lots(tables.read_lots(spark, table), UNPLACED)
+
+
+FINAL_ROWS = """
+    final_ind = 'Final' OR NOT EXISTS (SELECT 1 FROM raw r
+      WHERE r.slug_id = lots.slug_id AND r.report_date = lots.report_date AND r.final_ind = 'Final')"""
+
+
+@query("sync_final_then_preliminary", lots(f"SELECT {public(UNPLACED)} FROM lots WHERE {FINAL_ROWS}"))
+def sync_final_then_preliminary(spark, sf_dir):
+    """Final rows first, preliminary ones in a later run: these only fill reports without final rows."""
+    landed = scratch_path(spark, "drops")
+    table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
+    for status in ("Final", "Preliminary"):
+        land(spark, sf_dir, f"{landed}/{status}", keyed=False, where=f"final_ind = '{status}'")
+        incremental_sync(spark, landed, table, progress, final_only=True).awaitTermination()
+    return public_lots(tables.read_lots(spark, table), UNPLACED)
+
+
+@query("sync_unreadable_dates", lots(f"""
+    SELECT slug_id, CASE WHEN slug_id % 2 = 0 THEN 'week of ' || dayname(report_date) ELSE strftime(report_date, '%m/%d/%Y') END
+      AS report_date_raw, count(*) AS lots, CAST(sum(cents) AS BIGINT) * 100 AS prices_e4 FROM lots GROUP BY ALL"""))
+def sync_unreadable_dates(spark, sf_dir):
+    """Half the reports give no date but a text; seven such texts of one report stay seven reports."""
+
+    def change(rows):
+        day = F.to_date(F.regexp_replace("report_date", "^([0-9]+)/([0-9]+)/([0-9]+)$", "$3-$1-$2"))
+        text = F.when(F.col("slug_id") % 2 == 0, F.concat(F.lit("week of "), F.date_format(day, "EEEE")))
+        return rows.withColumn("report_date", F.coalesce(text, F.date_format(day, "MM/dd/yyyy")))
+
+    landed = scratch_path(spark, "drops")
+    table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
+    for place, date in (("a", "week of %day"), ("b", "%/%")):
+        land(spark, sf_dir, f"{landed}/{place}", keyed=False, change=lambda rows: change(rows).where(F.col("report_date").like(date)))
+        incremental_sync(spark, landed, table, progress).awaitTermination()
+    rows = tables.read_lots(spark, table)
+    return rows.groupBy("slug_id", "report_date_raw").agg(
+        F.count("*").alias("lots"), F.sum("avg_price_e4").alias("prices_e4")
+    )
+
+
+KEEP_DAYS = 100
+
+
+def synced_with_retention(spark, sf_dir):
+    """Even reports without a limit of age, then the others with one; both runs feed the mart."""
+    landed = scratch_path(spark, "drops")
+    table, mart, progress = (scratch_path(spark, name) for name in ("lots", "mart", "progress"))
+    for odd, keep in ((0, None), (1, KEEP_DAYS)):
+        land(spark, sf_dir, f"{landed}/{odd}", keyed=False, where=f"slug_id % 2 = {odd}")
+        incremental_sync(spark, landed, table, progress, mart, keep_days=keep, as_of=AS_OF).awaitTermination()
+    return table, mart
+
+
+RECENT = f"report_date >= DATE '{AS_OF}' - {KEEP_DAYS}"
+
+
+@query("sync_retention", lots(f"SELECT {public(UNPLACED)} FROM lots WHERE {RECENT}"))
+def sync_retention(spark, sf_dir):
+    return public_lots(tables.read_lots(spark, synced_with_retention(spark, sf_dir)[0]), UNPLACED)
+
+
+def stored_mart(spark, path):
+    mart = read_mart(spark, path).drop(*TERMS, "report_month")
+    return mart.withColumn("report_date", F.col("report_date").cast("string"))
+
+
+@query("sync_retention_mart", lots(DAILY_MART.replace("FROM lots", f"FROM lots WHERE {RECENT}")))
+def sync_retention_mart(spark, sf_dir):
+    return stored_mart(spark, synced_with_retention(spark, sf_dir)[1])
+
+
+@query("mart_after_refetch", lots(DAILY_MART))
+def mart_after_refetch(spark, sf_dir):
+    """A mart of reports fetched first with other prices and heads and too many rows, then as they are."""
+
+    def other(rows):
+        wrong = rows.where("slug_id % 2 = 0").withColumns(
+            {name: F.when(F.length("avg_price") % 2 == 0, F.lit(value)).otherwise(F.col(name))
+             for name, value in (("avg_price", "12.34"), ("head_count", "77"))}
+        )
+        return wrong.unionByName(rows.where("slug_id % 4 = 0")).unionByName(rows.where("slug_id % 2 = 1"))
+
+    landed = scratch_path(spark, "drops")
+    table, mart, progress = (scratch_path(spark, name) for name in ("lots", "mart", "progress"))
+    named_alike = ["canonical", "published_alias"]  # forms that name price and heads alike
+    drops = (("a", named_alike, "true", other), ("b", None, "slug_id % 2 = 0", None), ("c", ["alias"], "slug_id % 2 = 1", None))
+    for place, forms, where, change in drops:
+        land(spark, sf_dir, f"{landed}/{place}", forms, keyed=False, where=where, change=change)
+        incremental_sync(spark, landed, table, progress, mart).awaitTermination()
+    return stored_mart(spark, mart)
+
+
 # --- absurd numbers: a seventh of the rows with prices, weights and heads beyond all bounds ---
 
 EXTREME = """

@@ -13,7 +13,7 @@ from ..functions.prices import derive_prices
 from ..functions.text import clean_string, coerce_numeric, null_tokens, strip, to_int_trunc, to_units_e4
 from .filters import date_window
 
-LINEAGE = ("id", "source_file", "source_row", "ingest_seq")
+LINEAGE = ("id", "source_file", "source_row", "ingest_seq", "fetch")
 PRICE_INPUTS = {
     "avg_price_e4": "avg_price", "price_min_e4": "avg_price_min", "price_max_e4": "avg_price_max",
 }
@@ -105,6 +105,16 @@ def lot_id() -> Column:
     )
 
 
+def report_key(slug: str, slug_text: str, fetch: str, day: str, day_text: str) -> str:
+    """SQL of what tells reports apart: report id and date.
+
+    An id that is no number and a date that does not parse count as their text; a row
+    without an id belongs to its fetch, so that such fetches never replace each other.
+    """
+    report = f"coalesce(cast({slug} as string), nullif({slug_text}, ''), concat('in ', {fetch}))"
+    return f"concat({report}, '|', coalesce(cast({day} as string), {day_text}, ''))"
+
+
 def project_lots(rows: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFrame:
     """Typed lots from tidy rows that have an ``id``.
 
@@ -121,6 +131,8 @@ def project_lots(rows: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFram
         *[f"{to_int_trunc(number)} as {lot}" for lot, number in integers.items()],
         *[f"{to_units_e4(f'n_{raw}')} as {lot}" for lot, raw in PRICE_INPUTS.items()],
         f"{to_units_e4('n_avg_weight')} as weight_e4",
+        "slug_id as slug_text" if "slug_id" in rows.columns else "cast(null as string) as slug_text",
+        "fetch" if "fetch" in rows.columns else "cast(null as string) as fetch",
         *[name for name in ("ingest_seq",) if name in rows.columns],
     )
     prices = derive_prices("avg_price_e4", "price_unit", "weight_e4")
@@ -134,7 +146,12 @@ def project_lots(rows: DataFrame, summary_slugs: Sequence[int] = ()) -> DataFram
             "buyer_intent": labels.buyer_intent(F.col("commodity")),
         }
     )
-    lots = typed.withColumn("report_month", report_month(F.col("report_date")))
+    lots = typed.withColumns(
+        {
+            "report_month": report_month(F.col("report_date")),
+            "report_key": F.expr(report_key("slug_id", "slug_text", "fetch", "report_date", "report_date_raw")),
+        }
+    )
     return lots.select(
         *S.LOTS_SCHEMA.fieldNames(), *[name for name in ("ingest_seq",) if name in rows.columns]
     )

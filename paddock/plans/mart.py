@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions.dates import iso_date, week_label
 from ..functions.exact import dollars, ratio, round_half_up
-from ..functions.measures import change_pct, direction_by_sign, head_sum, weight_sum, weighted_sum
+from ..functions.measures import change_pct, direction_by_sign, head_sum, weight_sum, weighted, weighted_sum
 from ..operators.filters import auctions, date_range, date_window, days_before, equal
+from ..sources.months import read_table, write_months
 
 GRAIN = (
     "report_date", "species", "commodity", "buyer_intent", "animal_class",
     "market_state", "market_city", "market_name", "is_summary",
 )
+SUMS = ("lb_num", "lb_den", "head_num", "head_den", "lots", "heads", "lots_all", "lb_terms", "head_terms")
+TERMS = ("lb_terms", "head_terms")
+MART_SCHEMA = ", ".join(
+    [
+        "report_date date",
+        *(f"{name} string" for name in GRAIN if name not in ("report_date", "is_summary")),
+        "is_summary boolean",
+        *(f"{name} bigint" for name in (*SUMS, "lb_min", "lb_max")),
+        "report_month string",
+    ]
+)
 
 
 def daily_mart(lots: DataFrame) -> DataFrame:
@@ -23,6 +35,14 @@ def daily_mart(lots: DataFrame) -> DataFrame:
     kept because report windows are exact to the day; weights are not, so reports
     with weight bounds read the lots.
     """
+    return mart_state(lots).drop(*TERMS)
+
+
+def mart_state(lots: DataFrame) -> DataFrame:
+    """The mart as it is stored: ``daily_mart`` and how many lots each average is made of.
+
+    With these, lots can be taken out of a row again and it is known when nothing is left.
+    """
     priced = F.col("price_per_lb_e4").isNotNull()
     grain = [*GRAIN, *(["report_month"] if "report_month" in lots.columns else [])]
     return lots.groupBy(*grain).agg(
@@ -35,19 +55,19 @@ def daily_mart(lots: DataFrame) -> DataFrame:
         F.count(F.when(priced, 1)).alias("lots"),
         head_sum(priced).alias("heads"),
         F.count("*").alias("lots_all"),
+        F.count(weighted("price_per_lb_e4")).alias("lb_terms"),
+        F.count(F.when(priced, weighted("price_per_head_e4"))).alias("head_terms"),
     )
 
 
 def write_mart(lots: DataFrame, path: str) -> None:
     """Replace the mart's months that ``lots`` holds; these must be whole."""
-    (
-        daily_mart(lots)
-        .hint("rebalance", "report_month")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("report_month")
-        .parquet(path)
-    )
+    write_months(mart_state(lots), path)
+
+
+def read_mart(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored mart, or nothing if it was never written."""
+    return read_table(spark, path, MART_SCHEMA)
 
 
 def _priced(mart: DataFrame) -> DataFrame:

@@ -200,8 +200,8 @@ def _lot_type(name: str) -> T.DataType:
     return T.StringType()
 
 
-# Stored lots: prices in 1e-4 dollars, plus the report's status, the text of
-# dates that would not parse, and the month the table is partitioned by.
+# Stored lots: prices in 1e-4 dollars, plus the report's status, the text of dates that
+# would not parse, what tells reports apart, and the month the table is partitioned by.
 LOTS_SCHEMA = T.StructType(
     [
         T.StructField(f"{name}_e4", T.LongType())
@@ -213,6 +213,7 @@ LOTS_SCHEMA = T.StructType(
         T.StructField("final_ind", T.StringType()),
         T.StructField("report_date_raw", T.StringType()),
         T.StructField("published_date_raw", T.StringType()),
+        T.StructField("report_key", T.StringType()),
         T.StructField("report_month", T.StringType()),
     ]
 )

@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schema as S
-from ..functions.dates import parse_date
-from ..functions.text import coerce_numeric, strip, to_int_trunc
-from ..operators.normalise import union_reports
+from ..functions.dates import parse_date, report_month
+from ..functions.text import coerce_numeric, null_tokens, strip, to_int_trunc
+from ..operators.normalise import report_key, union_reports
 from ..plans.row_index import dense_positions
 from ..session import ship_package, store
 from .files import open_location
@@ -117,38 +117,38 @@ def with_source_row(bronze: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
-def _report() -> list[Column]:
-    """Report id and date of a raw row, comparable between spellings."""
-    return [
-        F.coalesce(F.expr(strip("slug_id")), F.lit("")).alias("report"),
-        F.expr(parse_date(strip("report_date"))).alias("day"),
-    ]
+def _report(raw: DataFrame) -> list[Column]:
+    """Key and date of each raw row's report, as its lots have them; absent columns are null."""
 
+    def text(name: str) -> str:
+        return strip(null_tokens(f"`{name}`")) if name in raw.columns else "cast(null as string)"
 
-def newest_fetch(raw: DataFrame) -> DataFrame:
-    """Of several fetches of a report and date only the rows of the newest.
+    slug, day = text("slug_id"), parse_date(text("report_date"))
+    key = report_key(to_int_trunc(coerce_numeric(slug)), slug, "fetch", day, text("report_date"))
+    return [F.expr(key).alias("report_key"), F.expr(day).alias("report_date")]
 
-    ``raw`` is a stored table with ``fetch`` and ``fetched_at``.  Fetches are compared on a
-    list with one row for each report, date and fetch.
+
+def fetched_reports(raw: DataFrame) -> DataFrame:
+    """One row for each report and fetch in ``raw``, whether or not it has lots.
+
+    ``raw`` is a stored table with ``fetch`` and ``fetched_at``; ``final`` says whether the
+    fetch holds a final row of the report.
     """
-    fetches = raw.select(*_report(), "fetch", "fetched_at").groupBy("report", "day", "fetch")
-    fetches = fetches.agg(F.max("fetched_at").alias("at"))
-    newest = fetches.groupBy("report", "day").agg(F.max(F.struct("at", "fetch"))["fetch"].alias("newest"))
-    report, day = _report()
-    named = raw.withColumn("__report", report).withColumn("__day", day)
-    same = (
-        (named["__report"] == newest["report"])
-        & named["__day"].eqNullSafe(newest["day"])
-        & (named["fetch"] == newest["newest"])
+    status = strip("final_ind") if "final_ind" in raw.columns else "cast(null as string)"
+    rows = raw.select(*_report(raw), "fetch", "fetched_at", F.expr(f"{status} <=> 'Final'").alias("final"))
+    return (
+        rows.groupBy("report_key", "report_date", "fetch")
+        .agg(F.max("fetched_at").alias("fetched_at"), F.max("final").alias("final"))
+        .withColumn("report_month", report_month(F.col("report_date")))
     )
-    return named.join(newest, same, "left_semi").drop("__report", "__day")
 
 
-def fetched_reports(raw: DataFrame) -> DataFrame:
-    """``slug_id, report_date`` of every report in ``raw``, whether or not it has lots."""
-    report, day = _report()
-    slug = F.expr(to_int_trunc(coerce_numeric("slug_id")))
-    return raw.select(slug.alias("slug_id"), day.alias("report_date")).distinct()
+def rows_of_fetches(raw: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``raw`` whose report and fetch are listed in ``chosen``."""
+    key, _ = _report(raw)
+    keyed = raw.withColumn("__key", key)
+    same = (keyed["__key"] == chosen["report_key"]) & (keyed["fetch"] == chosen["fetch"])
+    return keyed.join(chosen, same, "left_semi").drop("__key")
 
 
 def unknown_columns(headers: DataFrame, known: Iterable[str] = S.KNOWN_RAW_COLUMNS) -> DataFrame:

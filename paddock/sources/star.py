@@ -129,6 +129,7 @@ DERIVED = {
     "report_month": ("report_date",),
     "report_date_raw": ("report_date",),
     "published_date_raw": ("published_date",),
+    "report_key": ("slug_id", "report_date"),
 }
 
 
@@ -157,6 +158,7 @@ LOT_SQL = {
     "report_date_raw": "date_format(report_date, 'MM/dd/yyyy')",
     "published_date_raw": "date_format(published_date, 'MM/dd/yyyy HH:mm:ss')",
     "report_month": "substring(cast(report_date as string), 1, 7)",
+    "report_key": "concat(slug_id, '|', report_date)",
     **PRICES,
 }
 

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..functions.dates import report_month
-from ..operators.normalise import normalise
+from ..operators.normalise import keep_final, normalise
 from ..session import discard, scratch_path, store
-from .reports import (
-    alias_guard, fetched_reports, newest_fetch, report_headers, scan_reports, with_source_row,
-)
+from .months import drop_months, in_months, month_order, read_table, touched_months
+from .ledger import newest_fetches, record_fetches
+from .reports import alias_guard, fetched_reports, report_headers, rows_of_fetches, scan_reports, with_source_row
 
 
 def read_lots(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored table, or nothing if it was never written."""
-    try:
-        return spark.read.schema(S.LOTS_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    return read_table(spark, path, S.LOTS_SCHEMA)
 
 
 def last_write(
@@ -66,19 +62,6 @@ def write_lots(lots: DataFrame, path: str, ids_per_file: int = 0) -> None:
     )
 
 
-def touched_months(updates: DataFrame) -> list[str | None]:
-    """The months some rows fall in: as many as the calendar gives, whatever the rows."""
-    return [row[0] for row in updates.select("report_month").distinct().collect()]
-
-
-def in_months(lots: DataFrame, months: list[str | None]) -> DataFrame:
-    named = [month for month in months if month is not None]
-    condition = F.col("report_month").isin(*named) if named else F.lit(False)
-    if None in months:
-        condition = condition | F.col("report_month").isNull()
-    return lots.filter(condition)
-
-
 def _write_merged(spark: SparkSession, path: str, merged: DataFrame, months: list[str | None]) -> None:
     """Replace ``months`` of the table by ``merged``; months left empty are emptied.
 
@@ -91,8 +74,7 @@ def _write_merged(spark: SparkSession, path: str, merged: DataFrame, months: lis
     staged = store(merged.select(*S.LOTS_SCHEMA.fieldNames()), "staged", staged_path)
     kept = {row[0] for row in staged.select("report_month").distinct().collect()}
     write_lots(staged, path)
-    for month in set(months) - kept:
-        discard(spark, f"{path}/report_month={month if month is not None else '__HIVE_DEFAULT_PARTITION__'}")
+    drop_months(spark, path, set(months) - kept)
     discard(spark, staged_path)
 
 
@@ -115,38 +97,83 @@ def upsert_lots(spark: SparkSession, path: str, updates: DataFrame) -> list[str
     if current is not None:
         # Only id and month are read of the months that the updates are not in.
         moved = current.select("id", "report_month").join(ids, "id", "left_semi")
-        months = sorted({*months, *touched_months(moved)}, key=lambda month: (month is None, month or ""))
+        months = month_order({*months, *touched_months(moved)})
         merged = fresh.unionByName(in_months(current, months).join(ids, "id", "left_anti"))
     _write_merged(spark, path, merged, months)
     discard(spark, fresh_path)
     return months
 
 
+def _key_of_lots() -> Column:
+    """A lot's report; tables written before the column was there have id and date."""
+    day = F.coalesce(F.col("report_date").cast("string"), F.col("report_date_raw"), F.lit(""))
+    return F.coalesce("report_key", F.concat(F.coalesce(F.col("slug_id").cast("string"), F.lit("in")), F.lit("|"), day))
+
+
 def replace_reports(
-    spark: SparkSession, path: str, updates: DataFrame, reports: DataFrame | None = None
+    spark: SparkSession,
+    path: str,
+    updates: DataFrame,
+    reports: DataFrame | None = None,
+    note_changes: Callable[[DataFrame, DataFrame | None], None] | None = None,
 ) -> list[str | None]:
     """Replace whole reports: the lots of a report id and date give way to the new ones.
 
     Places in a report shift when it is fetched anew with a moved window; replacing the
     report leaves no stale lots.  ``updates`` holds one fetch of each report; ``reports``
-    (slug_id, report_date) names reports that may have no lots any more.
+    (report_key, report_date) names reports that may have no lots any more.
+    ``note_changes`` is called with the lots that come and those that go (none for a new
+    table) before the table changes.
     """
-    stale = updates.select("slug_id", "report_date")
+    fresh_path = scratch_path(spark, "updates")
+    fresh = store(updates.select(*S.LOTS_SCHEMA.fieldNames()), "updates", fresh_path)
+    stale = fresh.select(_key_of_lots().alias("stale_key"), "report_date")
     if reports is not None:
-        stale = stale.unionByName(reports.select("slug_id", "report_date"))
+        stale = stale.unionByName(reports.select(F.col("report_key").alias("stale_key"), "report_date"))
     stale = stale.distinct().withColumn("report_month", report_month(F.col("report_date")))
-    months = sorted(
-        {*touched_months(updates), *touched_months(stale)}, key=lambda month: (month is None, month or "")
-    )
+    months = month_order(touched_months(stale))
     current = read_lots(spark, path)
-    merged = updates.select(*S.LOTS_SCHEMA.fieldNames())
+    merged, gone = fresh, None
     if current is not None:
-        gone = stale.select(F.col("slug_id").alias("stale_slug"), F.col("report_date").alias("stale_date"))
-        replaced = F.col("slug_id").eqNullSafe(F.col("stale_slug")) & F.col("report_date").eqNullSafe(
-            F.col("stale_date")
-        )
-        merged = merged.unionByName(in_months(current, months).join(gone, replaced, "left_anti"))
+        current = in_months(current, months)
+        replaced = _key_of_lots() == F.col("stale_key")
+        keys = stale.select("stale_key")
+        gone = current.join(keys, replaced, "left_semi")
+        merged = fresh.unionByName(current.join(keys, replaced, "left_anti"))
+    if note_changes:
+        note_changes(fresh, gone)
     _write_merged(spark, path, merged, months)
+    discard(spark, fresh_path)
+    return months
+
+
+def put_fetches(
+    spark: SparkSession,
+    table_path: str,
+    raw: DataFrame,
+    final_only: bool = False,
+    first_day: str | None = None,
+    note_changes: Callable[[DataFrame, DataFrame | None], None] | None = None,
+) -> list[str | None]:
+    """Put the reports of ``raw`` (stored rows with their fetch) in the table, the newest fetch of each.
+
+    Newest of those at hand and of the one stored, as the table's list of fetches has it; so
+    it does not matter in which order files arrive.  With ``final_only`` a fetch with final
+    rows beats any without, and of a report that has final rows the preliminary ones are
+    left out.  Lots of days before ``first_day`` are left out.  Returns the months touched.
+    """
+    fetched_path, chosen_path = scratch_path(spark, "fetched"), scratch_path(spark, "chosen")
+    fetched = store(fetched_reports(raw), "fetched", fetched_path)
+    chosen = store(newest_fetches(spark, table_path, fetched, final_only), "chosen", chosen_path)
+    lots = normalise(rows_of_fetches(raw, chosen))
+    if final_only:
+        lots = keep_final(lots)
+    if first_day:
+        lots = lots.filter(F.col("report_date").isNull() | (F.col("report_date") >= F.lit(first_day).cast("date")))
+    months = replace_reports(spark, table_path, lots, chosen, note_changes)
+    record_fetches(spark, table_path, chosen)
+    discard(spark, fetched_path)
+    discard(spark, chosen_path)
     return months
 
 
@@ -157,6 +184,7 @@ def ingest_reports(
     pattern: str = "*.csv",
     bronze_path: str | None = None,
     strict: bool = False,
+    final_only: bool = False,
 ) -> None:
     """Read report files, normalise them and replace their reports in the table.
 
@@ -165,8 +193,7 @@ def ingest_reports(
     """
     if strict:
         alias_guard(report_headers(spark, report_path, pattern))
-    raw = newest_fetch(with_source_row(scan_reports(spark, report_path, pattern), bronze_path))
-    replace_reports(spark, table_path, normalise(raw), fetched_reports(raw))
+    put_fetches(spark, table_path, with_source_row(scan_reports(spark, report_path, pattern), bronze_path), final_only)
 
 
 def ingest_if_empty(spark: SparkSession, report_path, table_path: str, **options) -> DataFrame:

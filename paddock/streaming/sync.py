@@ -10,16 +10,57 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema as S
 from ..functions.dates import iso_date, iso_stamp
 from ..operators.normalise import keep_final, normalise
-from ..plans.mart import write_mart
-from ..session import discard
-from ..sources.reports import (
-    alias_guard, fetched_reports, newest_fetch, report_headers, scan_reports, with_source_row,
-)
-from ..sources.tables import in_months, read_lots, replace_reports, touched_months, upsert_lots
+from ..plans.mart import MART_SCHEMA, mart_state, read_mart, write_mart
+from ..plans.mart_changes import changed_mart, changed_rows, lot_changes
+from ..session import discard, is_complete, store, store_once
+from ..sources.ledger import LEDGER_SCHEMA, ledger_path
+from ..sources.months import drop_months, first_kept_day, in_months, touched_months, trim_days, write_months
+from ..sources.reports import alias_guard, report_headers, scan_reports, with_source_row
+from ..sources.tables import put_fetches, read_lots, upsert_lots, write_lots
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+class MartStep:
+    """One batch's change of the mart, in tables that are kept until it is done.
+
+    What the lots change in the mart is written down before the lots are replaced, and the
+    mart's new months before they replace the old ones.  A batch that is run again after a
+    loss finds what was written and goes on from there, so that no change counts twice.
+    """
+
+    def __init__(self, spark: SparkSession, mart_path: str, folder: str):
+        self.spark, self.mart_path = spark, mart_path
+        self.changes, self.rows, self.months = (f"{folder}/{name}" for name in ("changes", "rows", "months"))
+
+    def note_changes(self, came: DataFrame, went: DataFrame | None) -> None:
+        if read_mart(self.spark, self.mart_path) is not None or is_complete(self.spark, self.changes):
+            store_once(self.spark, self.changes, lambda: lot_changes(came, went))
+
+    def apply(self, lots: DataFrame) -> None:
+        """Bring the mart in step with ``lots``, the table after the batch."""
+        if not is_complete(self.spark, self.months):
+            if is_complete(self.spark, self.changes):
+                changes = self.spark.read.parquet(self.changes)
+                mart = read_mart(self.spark, self.mart_path)
+                rows = store(changed_rows(mart, changes), "rows", self.rows)
+                new = changed_mart(rows, lots)
+                months = touched_months(changes)
+            else:
+                new, months = mart_state(lots), []
+            # Months that are to be empty are named in a table, since a folder cannot tell.
+            named = self.spark.createDataFrame([(month,) for month in months], "report_month string")
+            store(named, "touched", f"{self.months}-touched")
+            store(new, "months", self.months)
+        new = self.spark.read.parquet(self.months)
+        months = touched_months(self.spark.read.schema("report_month string").parquet(f"{self.months}-touched"))
+        if not new.isEmpty():
+            write_months(new, self.mart_path)
+        drop_months(self.spark, self.mart_path, set(months) - set(touched_months(new)))
+        for path in (self.changes, self.rows, f"{self.months}-touched", self.months):
+            discard(self.spark, path)
+
+
 def incremental_sync(
     spark: SparkSession,
     report_path: str,
@@ -38,15 +79,18 @@ def incremental_sync(
     """Start a run over the files not seen yet; it ends when they are all in.
 
     The stream carries file names only.  Each batch scans its files by header, since
-    headers drift, and replaces the reports it holds, of each the newest fetch
-    (``whole_reports=False``: upserts single lots by id); writing the same batch twice
-    changes nothing, so a batch lost half way is simply run again.  No file is too old:
-    back-fills and copies that keep their times are read too.  Late reports reopen old
-    weeks: the mart's touched months are computed anew.  Schedule it every six hours.
-
-    ``strict`` stops at a column no one has described, ``final_only`` leaves out
-    preliminary rows of reports that have final ones, ``keep_days`` first drops the months
-    that ended more than so many days before ``as_of`` (a date, else today).
+    headers drift, and replaces the reports it holds, of each the newest fetch of all runs
+    (``whole_reports=False``: upserts single lots by id, the later batch winning); writing
+    the same batch twice changes nothing, so a batch lost half way is simply run again.  No
+    file is too old: back-fills and copies that keep their times are read too, and lose
+    against newer fetches of their reports.  Late reports reopen old weeks: the mart is
+    changed by the lots that came and went.  Schedule it every six hours.
+
+    ``strict`` stops at a column no one has described.  ``final_only``: once a report has a
+    fetch with final rows, fetches without such rows do not replace it, and its preliminary
+    rows are left out.  ``keep_days``: lots and mart keep the days from so many before
+    ``as_of`` (a date, else today) on, and rows without a date; older rows go before the run
+    and do not come in with it.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -58,6 +102,10 @@ def incremental_sync(
         .load(report_path)
         .select("path")
     )
+    first_day = None
+    if keep_days is not None:
+        first_day = first_kept_day(as_of or str(datetime.date.today()), keep_days)
+        drop_old_days(spark, table_path, first_day, mart_path)
 
     def put(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -69,23 +117,20 @@ def incremental_sync(
         raw_path = f"{bronze_path}/batch={batch_id}" if bronze_path else None
         raw = with_source_row(scan_reports(session, paths), raw_path)
         if whole_reports:
-            raw = newest_fetch(raw)
-        lots = normalise(raw)
-        if final_only:
-            lots = keep_final(lots)
-        if whole_reports:
-            months = replace_reports(session, table_path, lots, fetched_reports(raw))
-        else:
-            months = upsert_lots(session, table_path, lots.withColumn("ingest_seq", F.lit(batch_id).cast("bigint")))
+            step = MartStep(session, mart_path, f"{checkpoint_path}/mart-{batch_id}") if mart_path else None
+            put_fetches(session, table_path, raw, final_only, first_day, step.note_changes if step else None)
+            if step:
+                step.apply(read_lots(session, table_path))
+            return
+        lots = keep_final(normalise(raw)) if final_only else normalise(raw)
+        if first_day:
+            lots = lots.filter(F.col("report_date").isNull() | (F.col("report_date") >= F.lit(first_day).cast("date")))
+        months = upsert_lots(session, table_path, lots.withColumn("ingest_seq", F.lit(batch_id).cast("bigint")))
         if mart_path:
             stored = in_months(read_lots(session, table_path), months)
             write_mart(stored, mart_path)
-            for month in set(months) - set(touched_months(stored)):
-                folder = "__HIVE_DEFAULT_PARTITION__" if month is None else month
-                discard(session, f"{mart_path}/report_month={folder}")
+            drop_months(session, mart_path, set(months) - set(touched_months(stored)))
 
-    if keep_days is not None:
-        drop_old_months(spark, table_path, as_of or str(datetime.date.today()), keep_days)
     return (
         files.writeStream.foreachBatch(put)
         .option("checkpointLocation", checkpoint_path)
@@ -94,16 +139,18 @@ def incremental_sync(
     )
 
 
+def drop_old_days(spark: SparkSession, table_path: str, first_day: str, mart_path: str | None = None) -> list[str]:
+    """Take days before ``first_day`` out of the lots, their list of fetches and the mart; returns the lots' months touched."""
+    months = trim_days(spark, table_path, S.LOTS_SCHEMA, first_day, write_lots)
+    trim_days(spark, ledger_path(table_path), LEDGER_SCHEMA, first_day)
+    if mart_path:
+        trim_days(spark, mart_path, MART_SCHEMA, first_day)
+    return months
+
+
 def drop_old_months(spark: SparkSession, table_path: str, as_of: str, days: int) -> list[str]:
-    """Delete the months of the table that ended more than ``days`` days before ``as_of``."""
-    lots = read_lots(spark, table_path)
-    if lots is None:
-        return []
-    first = str(datetime.date.fromisoformat(as_of) - datetime.timedelta(days))[:7]
-    old = sorted(month for month in touched_months(lots) if month is not None and month < first)
-    for month in old:
-        discard(spark, f"{table_path}/report_month={month}")
-    return old
+    """``drop_old_days`` of the lots, given the day to count from."""
+    return drop_old_days(spark, table_path, first_kept_day(as_of, days))
 
 
 def freshness_status(lots: DataFrame, last_sync: str) -> DataFrame:

@@ -14,7 +14,8 @@ FILE_QUERIES = {
     "scan_reports", "alias_guard", "ingest_if_empty", "incremental_sync", "write_reports",
     "upsert_lots", "replace_reports", "flatten_sections", "fetch_window", "lot_id",
     "schema_profile", "schema_profile_samples", "upsert_corrected_date", "write_reports_twice",
-    "ingest_split_reports", "ingest_ids", "sync_refetch_moved_window",
+    "ingest_split_reports", "ingest_ids", "sync_refetch_moved_window", "sync_late_backfill",
+    "sync_final_then_preliminary", "sync_unreadable_dates", "sync_retention", "sync_retention_mart", "mart_after_refetch",
 } | set(app.LLM_QUERIES)
 
 

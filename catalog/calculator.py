@@ -112,21 +112,22 @@ def per_lot_target(spark, sf_dir):
     return calc.profitability_at_gain(star_lots(spark, sf_dir, NEEDS), AS_OF, 40).drop("target_weight")
 
 
+# Feed at 45.67 cents, 2.35 per cent loss, to 97 lb, in 1e-8 dollars: few sums are whole cents.
+ODD_COSTS = f"""
+    SELECT *, 97 - buy_weight AS gain, (97 - buy_weight) * 4567 * 10000 AS feed, buy_cents * 235 * 100 AS shrink,
+      buy_cents * 1000000 + (97 - buy_weight) * 4567 * 10000 + buy_cents * 235 * 100 AS total FROM ({BUY})"""
+
+
 @query("output_rounding", lots(f"""
-    SELECT id, ({signed('pph * 10000 * 33', '10000 * 100')}) / 100 AS money,
-      ({signed('ppl * 7', '3')}) / 10000 AS per_lb
-    FROM lots"""))
+    SELECT id, gain / 1 AS weight_gain, ({signed('feed', '1000000')}) / 100 AS feed_cost_total,
+      ({signed('shrink', '1000000')}) / 100 AS shrink_loss, ({signed('total', '1000000')}) / 100 AS total_investment,
+      ({signed('total', '970000')}) / 10000 AS break_even_per_lb, ({signed('total', '970000')}) / 100 AS break_even_per_cwt,
+      ({signed('total', '1000000')}) / 100 AS break_even_per_head
+    FROM ({ODD_COSTS})"""))
 def output_rounding(spark, sf_dir):
-    """Money to cents and prices per pound to 1e-4 dollars, halves away from zero."""
-    from paddock.functions.exact import signed_ratio
-
-    rows = star_lots(spark, sf_dir, "id price_per_head_e4 price_per_lb_e4")
-    money = signed_ratio(F.col("price_per_head_e4") * 33, F.lit(10_000))
-    return rows.select(
-        "id",
-        (money / 100).alias("money"),
-        dollars(signed_ratio(F.col("price_per_lb_e4") * 7, F.lit(3))).alias("per_lb"),
-    )
+    """Every figure of the calculator: money to cents, prices per pound to 1e-4 dollars, halves away from zero."""
+    rows = calc.profit_defaults(star_lots(spark, sf_dir, NEEDS))
+    return calc.with_break_even(rows, 97, 0.4567, 2.35).select("id", *calc.break_even_columns())
 
 
 @query("profit_defaults", lots(f"""

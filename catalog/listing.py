@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from paddock.operators import aggregates, distributions, listing, suggestions as sug
-from paddock.sources.star import star_lots, star_rows
+from paddock.sources.star import star_lots, star_rows, table
 
 from . import AS_OF, query
 from .expected import PUBLIC_COLUMNS, lots, public, raw
@@ -104,6 +104,28 @@ def nearest_lots(spark, sf_dir):
     return listing.nearest_lots(star_lots(spark, sf_dir), 62, species="Goats")
 
 
+TARGETS = """
+    SELECT p_partkey AS target_id, CASE WHEN p_partkey % 2 = 0 THEN 'Goats' ELSE 'Sheep' END AS species,
+      CAST(p_size * 31 - 400 AS BIGINT) AS target_weight FROM part"""
+
+
+@query("nearest_lots_many", lots("""
+    SELECT target_id, species, target_weight, place, id, avg_weight, distance, dearest AS avg_price_e4
+    FROM targets JOIN ranked USING (species, target_weight) WHERE place <= 7""", targets=TARGETS, ranked="""
+    SELECT t.species, target_weight, id, avg_weight, cents * 100 AS dearest, abs(avg_weight - target_weight) AS distance,
+      row_number() OVER (PARTITION BY t.species, target_weight ORDER BY abs(avg_weight - target_weight), id) AS place
+    FROM (SELECT DISTINCT species, target_weight FROM targets) t JOIN lots ON t.species = lots.species
+    WHERE NOT is_summary AND avg_weight IS NOT NULL"""))
+def nearest_lots_many(spark, sf_dir):
+    """Seven lots for every part's own weight, some of them far from any lot."""
+    wanted = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey as target_id", "if(p_partkey % 2 = 0, 'Goats', 'Sheep') as species",
+        "cast(p_size * 31 - 400 as bigint) as target_weight",
+    )
+    rows = star_lots(spark, sf_dir, "id species avg_weight is_summary avg_price_e4")
+    return listing.nearest_lots_many(rows, wanted, 7, columns=["avg_price_e4"])
+
+
 for column, k, source in (("class", 10, "animal_class"), ("grade", 8, "quality_grade")):
 
     @query(f"top_{'classes' if column == 'class' else 'grades'}_raw", raw(f"""
@@ -196,3 +218,15 @@ FAR = {**OTHER, "weight_min": 310}
 def suggestions_states(spark, sf_dir):
     """No such state: only leaving the state open finds lots."""
     return sug.suggestions(star_lots(spark, sf_dir, SEARCH_NEEDS), **FAR)
+
+
+NOWHERE = {"species": "Goats", "weight_min": 700, "weight_max": 721, "state": "NOWHERE", "date_from": "2001-06-01"}
+
+
+@query("suggest_nearest", lots(f"""
+    SELECT {public()} FROM (SELECT * FROM lots WHERE species = 'Goats' AND NOT is_summary AND avg_weight IS NOT NULL
+      ORDER BY abs(avg_weight - 710.5::DOUBLE), id LIMIT 5)
+    WHERE NOT EXISTS (SELECT 1 FROM lots WHERE {BASE} AND avg_weight BETWEEN 680 AND 741)"""))
+def suggest_nearest(spark, sf_dir):
+    """No wider search finds a lot: the five closest in weight are the last offer."""
+    return sug.suggest_nearest(star_lots(spark, sf_dir), AS_OF, **NOWHERE)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions.dates import iso_date
 from ..functions.exact import dollars
 from ..functions.public import public_lots
+from ..plans.band_join import band_sums, banded
+from ..session import store
 from .filters import date_range, equal, lot_filter, priced_per_lb
 
 
@@ -15,9 +21,13 @@ def _stored_name(column: str) -> str:
     return f"{column}_e4" if column in S.PRICE_COLUMNS else column
 
 
+def _sort_column(sort_by: str) -> str:
+    """One of six columns; unknown ones mean the report date."""
+    return _stored_name(sort_by if sort_by in S.SORT_COLUMNS else "report_date")
+
+
 def _sort_keys(sort_by: str, sort_dir: str) -> list[Column]:
-    """One of six columns, then id; unknown columns mean the report date."""
-    column = _stored_name(sort_by if sort_by in S.SORT_COLUMNS else "report_date")
+    column = _sort_column(sort_by)
     if sort_dir.lower() == "asc":
         return [F.asc_nulls_first(column), F.asc("id")]
     return [F.desc_nulls_last(column), F.asc("id")]
@@ -37,8 +47,23 @@ def list_lots(
     ``list_lots_after``, whose cost does not grow with depth.
     """
     _check_page(page, limit)
-    rows = lot_filter(lots, **conditions).orderBy(*_sort_keys(sort_by, sort_dir))
-    return public_lots(rows.offset((page - 1) * limit).limit(limit))
+    return _page(lots, lot_filter(lots, **conditions), sort_by, sort_dir, limit, (page - 1) * limit)
+
+
+def _page(lots: DataFrame, rows: DataFrame, sort_by: str, sort_dir: str, limit: int, skipped: int = 0) -> DataFrame:
+    """The whole lots of one page of ``rows``, in order.
+
+    The page is found on sort column, id and month alone; whole lots are then fetched for
+    its ids, from its months.
+    """
+    order = _sort_keys(sort_by, sort_dir)
+    month = [name for name in ("report_month",) if name in lots.columns]
+    narrow = rows.select(_sort_column(sort_by), "id", *month).orderBy(*order).offset(skipped).limit(limit)
+    keys = narrow.select(*[F.col(name).alias(f"__{name}") for name in ("id", *month)])
+    same = F.col("id") == F.col("__id")
+    for name in month:
+        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
+    return public_lots(lots.join(keys, same, "left_semi").orderBy(*order).limit(limit))
 
 
 def list_lots_after(
@@ -55,7 +80,7 @@ def list_lots_after(
     ``last_value`` is the stored value: 1e-4 dollars for prices, a date for dates.
     """
     _check_page(1, limit)
-    column = F.col(_stored_name(sort_by if sort_by in S.SORT_COLUMNS else "report_date"))
+    column = F.col(_sort_column(sort_by))
     same_value = column.eqNullSafe(last_value) & (F.col("id") > last_id)
     if sort_dir.lower() == "asc":
         beyond = column.isNotNull() if last_value is None else column > last_value
@@ -64,7 +89,7 @@ def list_lots_after(
     else:
         beyond = (column < last_value) | column.isNull()
     rows = lot_filter(lots, **conditions).filter(F.coalesce(beyond, F.lit(False)) | same_value)
-    return public_lots(rows.orderBy(*_sort_keys(sort_by, sort_dir)).limit(limit))
+    return _page(lots, rows, sort_by, sort_dir, limit)
 
 
 def _check_page(page: int, limit: int) -> None:
@@ -138,3 +163,54 @@ def nearest_lots(lots: DataFrame, target_weight: float, k: int = 5, **conditions
     distance = F.abs(F.col("avg_weight") - F.lit(target_weight))
     rows = lot_filter(lots, **conditions).filter(F.col("avg_weight").isNotNull())
     return public_lots(rows.orderBy(distance, "id").limit(k))
+
+
+def nearest_lots_many(
+    lots: DataFrame,
+    targets: DataFrame,
+    k: int = 5,
+    keys: Sequence[str] = ("species",),
+    target: str = "target_weight",
+    columns: Sequence[str] = (),
+    **conditions,
+) -> DataFrame:
+    """For every row of ``targets`` the ``k`` lots closest in weight among those with its ``keys``.
+
+    Rows of ``targets`` with ``place`` (from 1), ``id``, ``avg_weight``, ``distance`` and the
+    lots' ``columns``; equally close lots go by id.  Targets without weight or key, or without
+    lots, give no rows; with fewer than ``k`` lots all are given.
+
+    A weight never adds more than its ``k`` first lots, which each task finds for itself
+    before any are shuffled.  Different targets are matched with different weights by
+    buckets; where a ring around a target holds too few lots it is made twice as wide.
+    """
+    keys, columns = list(keys), list(columns)
+    first = Window.partitionBy(*keys, "avg_weight").orderBy("id")
+    heads = lot_filter(lots, **conditions).filter(F.col("avg_weight").isNotNull())
+    heads = heads.select(*keys, "avg_weight", "id", *columns).withColumn("__nth", F.row_number().over(first))
+    heads = store(heads.where(F.col("__nth") <= k).drop("__nth"), "heads")
+    weights = store(heads.groupBy(*keys, "avg_weight").agg(F.count("*").alias("__lots")), "weights")
+    open_ = store(targets.select(*keys, target).where(F.col(target).isNotNull()).distinct(), "targets")
+
+    ends = [weights.agg(F.min("avg_weight"), F.max("avg_weight")), open_.agg(F.min(target), F.max(target))]
+    (low, high), (least, most) = (tuple(end.first()) for end in ends)
+    reach = 0 if None in (low, least) else math.ceil(max(high - least, most - low, 0)) + 1
+    ring, rings = S.MARKET_BAND_LB, []
+    while ring < reach:
+        counted = band_sums(open_, weights, keys, target, "avg_weight", ring, ["__lots"])
+        full = store(counted.where(F.col("__lots") >= k).select(*keys, target), "ring")
+        rings.append((full, ring))
+        open_ = store(open_.join(full, [*keys, target], "left_anti"), "targets")
+        if open_.isEmpty():
+            break
+        ring *= 2
+    else:
+        rings.append((open_, max(reach, 1)))
+    near = [banded(wanted, heads, keys, target, "avg_weight", width) for wanted, width in rings]
+    distance = F.abs(F.col("avg_weight") - F.col(target))
+    closest = Window.partitionBy(*keys, target).orderBy("distance", "id")
+    ranked = reduce(DataFrame.unionByName, near).withColumn("distance", distance)
+    ranked = ranked.withColumn("place", F.row_number().over(closest)).where(F.col("place") <= k)
+    return targets.join(ranked, [*keys, target]).select(
+        *targets.columns, F.col("place").cast("long").alias("place"), "id", "avg_weight", "distance", *columns
+    )

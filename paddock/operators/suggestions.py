@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
 from .filters import all_of, days_before, lot_conditions
+from .listing import nearest_lots
 
 NEARBY_STATES = 5
 
@@ -67,6 +70,31 @@ def suggest_30_days(lots: DataFrame, as_of: str, **conditions) -> DataFrame:
     return found.select(F.lit(S.MARKET_DAYS).alias("days"), "count")
 
 
+def _searches(as_of: str | None = None, **conditions) -> dict[str, Column]:
+    """The search itself and every wider one, each as a flag."""
+    searches = {"found": conditions, **_widened(**conditions)}
+    if as_of and conditions.get("date_from"):
+        searches["last_30_days"] = {
+            **conditions, "date_from": days_before(as_of, S.MARKET_DAYS), "date_to": as_of
+        }
+    return {kind: all_of(lot_conditions(**search)) for kind, search in searches.items()}
+
+
+def suggest_nearest(lots: DataFrame, as_of: str | None = None, k: int = 5, **conditions) -> DataFrame:
+    """The ``k`` lots closest in weight, if neither the search nor any wider one finds a lot.
+
+    Closest to the middle of the weights asked for, or to the one bound given; bounds of
+    weight, state and date are left out.  Without weight bounds there is nothing to be near to.
+    """
+    bounds = [w for w in (conditions.get("weight_min"), conditions.get("weight_max")) if w is not None]
+    target = sum(bounds) / len(bounds) if bounds else 0
+    rest = {**conditions, **dict.fromkeys(("weight_min", "weight_max", "state", "date_from", "date_to", "bracket"))}
+    matched = reduce(Column.__or__, _searches(as_of, **conditions).values())
+    any_found = lots.filter(matched).limit(1).agg(F.count("*")).scalar()
+    near = nearest_lots(lots if bounds else lots.limit(0), target, k, **rest)
+    return near.where(any_found == 0)
+
+
 def suggestions(lots: DataFrame, as_of: str | None = None, **conditions) -> DataFrame:
     """Every wider search that finds lots, if the given one finds none.
 
@@ -74,17 +102,8 @@ def suggestions(lots: DataFrame, as_of: str | None = None, **conditions) -> Data
     scan, which keeps only rows some search matches; a second aggregate makes one row of
     the short list of states.  With ``as_of`` the last thirty days are a search too.
     """
-    searches = {"found": conditions, **_widened(**conditions)}
-    if as_of and conditions.get("date_from"):
-        searches["last_30_days"] = {
-            **conditions, "date_from": days_before(as_of, S.MARKET_DAYS), "date_to": as_of
-        }
-    flags: dict[str, Column] = {
-        kind: all_of(lot_conditions(**search)) for kind, search in searches.items()
-    }
-    matched = F.lit(False)
-    for flag in flags.values():
-        matched = matched | flag
+    flags = _searches(as_of, **conditions)
+    matched = reduce(Column.__or__, flags.values())
     counts = [F.count(F.when(flag, 1)).alias(kind) for kind, flag in flags.items()]
     cells = lots.filter(matched).groupBy("market_state").agg(*counts)
 

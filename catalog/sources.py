@@ -17,8 +17,10 @@ from paddock.session import scratch_path
 from paddock.sources import payloads, reports, tables
 from paddock.sources.star import star_lots, star_reports, star_rows
 from paddock.streaming.sync import incremental_sync
+from paddock.streaming.trend import read_trend, stream_weekly_trend, streamed_trend
 
-from . import AS_OF, query
+from . import aggregates  # noqa: F401  (registers the expected results reused here)
+from . import AS_OF, EXPECTED, query
 from .expected import PUBLIC_COLUMNS, avg_e4, lots, public, raw
 from .plans import DAILY_MART
 from .normalisation import raw_reports
@@ -344,6 +346,18 @@ def mart_after_refetch(spark, sf_dir):
     return stored_mart(spark, mart)
 
 
+@query("stream_weekly_trend", EXPECTED["weekly_trend"])
+def stream_trend(spark, sf_dir):
+    """Lots up to the day in question; a fifth of the reports of the last month arrive in a later run."""
+    drops, trend, progress = (scratch_path(spark, name) for name in ("lots", "trend", "progress"))
+    rows = star_lots(spark, sf_dir).filter(F.col("report_date") <= F.lit(AS_OF).cast("date"))
+    late = (F.col("slug_id") % 5 == 0) & (F.col("report_date") > F.lit(AS_OF).cast("date") - 30)
+    for part in (rows.filter(~late), rows.filter(late)):
+        part.write.mode("append").parquet(drops)
+        stream_weekly_trend(spark, drops, trend, progress, delay="35 days").awaitTermination()
+    return streamed_trend(read_trend(spark, trend), AS_OF)
+
+
 # --- absurd numbers: a seventh of the rows with prices, weights and heads beyond all bounds ---
 
 EXTREME = """

@@ -56,7 +56,11 @@ def price_histogram(rows: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
 
     A species with a single price gets a range of one dollar around it.
     """
-    prices = cwt_prices(rows.filter(F.col("species").isin("Sheep", "Goats")), "species")
+    return histogram_of_prices(cwt_prices(rows.filter(F.col("species").isin("Sheep", "Goats")), "species"), bins)
+
+
+def histogram_of_prices(prices: DataFrame, bins: int = S.HISTOGRAM_BINS) -> DataFrame:
+    """``price_histogram`` of prices counted by species."""
     # The count is only there to ask for the same columns as below, so that the
     # counted prices are computed once and both readers share them.
     edges = (
@@ -124,7 +128,11 @@ def _fences(prices: DataFrame) -> DataFrame:
 
 def price_box(rows: DataFrame) -> DataFrame:
     """Box plot figures of each commodity: quartiles, whiskers and count of outliers."""
-    prices = cwt_prices(rows, "commodity")
+    return box_of_prices(cwt_prices(rows, "commodity"))
+
+
+def box_of_prices(prices: DataFrame) -> DataFrame:
+    """``price_box`` of prices counted by commodity."""
     within = F.col("avg_price_e4").between(F.col("low_fence"), F.col("high_fence"))
     kept = F.when(within, F.col("avg_price_e4"))
     low = F.least(F.min(kept), F.col("q1"))
@@ -151,7 +159,11 @@ def price_box(rows: DataFrame) -> DataFrame:
 
 def price_box_outliers(rows: DataFrame) -> DataFrame:
     """The prices drawn as single points, with their counts."""
-    prices = cwt_prices(rows, "commodity")
+    return outliers_of_prices(cwt_prices(rows, "commodity"))
+
+
+def outliers_of_prices(prices: DataFrame) -> DataFrame:
+    """``price_box_outliers`` of prices counted by commodity."""
     outside = ~F.col("avg_price_e4").between(F.col("low_fence"), F.col("high_fence"))
     return (
         prices.join(_fences(prices), "commodity")

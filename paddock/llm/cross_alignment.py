@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,9 @@ from .sentencepiece_codec import MARK, processor
 from .texts import mixed
 
 #: Characters in a block of documents, and in the documents that share a bucket of pairs.
-BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 48 << 20
+BLOCK_CHARS, BUCKET_CHARS = 6 << 20, 48 << 20
 #: Links expanded at once, and words whose tokens are looked up at once.
-EXPANDED, LEARNT = 4 << 20, 50_000
+EXPANDED, LEARNT = 2 << 20, 20_000
 #: Bits of a token id in a pair.
 BITS = 20
 _LOW = np.uint64((1 << BITS) - 1)
@@ -61,28 +62,43 @@ class Tokenizers:
         if max(len(self.a_sizes), len(self.b_sizes)) > 1 << BITS:
             raise ValueError(f"a vocabulary has more than {1 << BITS} ids")
         self.mark = [self.b.piece_to_id(MARK)]
+        # An id as text and what stands behind it: of A ',' or '|' at the group's end, of B ',' or ';'.
+        self.shown = [b"%d%c" % (i, end) for ends in (b",|", b",;") for i in range(self._most()) for end in ends]
+
+    def _most(self) -> int:
+        return max(len(self.a_sizes), len(self.b_sizes))
 
     def _bytes(self, piece: str) -> bytes:
         byte = _BYTE.fullmatch(piece)
         return bytes([int(byte[1], 16)]) if byte else piece.replace(MARK, " ").encode()
 
-    def a_ids(self, rests: list[str]) -> list[np.ndarray]:
-        """Ids of a space and ``rest`` for each rest; those that end in no white space are encoded in one text."""
-        found: list[np.ndarray | None] = [None] * len(rests)
-        joined = [i for i, rest in enumerate(rests) if rest and not rest[-1].isspace()]
-        for i in set(range(len(rests))) - set(joined):
-            found[i] = np.array(self.a.encode_ordinary(" " + rests[i]), np.int64)
-        if joined:
-            ids = np.array(self.a.encode_ordinary(" " + " ".join(rests[i] for i in joined)), np.int64)
-            ends = np.cumsum([len(rests[i].encode()) + 1 for i in joined])
-            cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), ends) + 1
-            for i, part in zip(joined, np.split(ids, cuts[:-1])):
-                found[i] = part
-        return found
-
-    def b_ids(self, rests: list[str]) -> list[list[int]]:
-        """Ids of each rest; the library puts the space before it."""
-        return [ids if rest else self.mark for rest, ids in zip(rests, self.b.encode(rests, num_threads=1))]
+    def a_ids(self, rests: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a space and ``rest`` for each rest, and how many each has.
+
+        Rests that end in no white space are encoded in one text and parted by their ``sizes``
+        in bytes.
+        """
+        apart = [i for i, rest in enumerate(rests) if not rest or rest[-1].isspace()]
+        single = [np.array(self.a.encode_ordinary(" " + rests[i]), np.int32) for i in apart]
+        joined = np.ones(len(rests), bool)
+        joined[apart] = False
+        text = " " + " ".join(rest for rest, one in zip(rests, joined.tolist()) if one) if joined.any() else ""
+        ids = np.array(self.a.encode_ordinary(text), np.int32)
+        cuts = np.searchsorted(np.cumsum(self.a_sizes[ids]), np.cumsum(sizes[joined])) + 1
+        counts = np.zeros(len(rests), np.int64)
+        counts[joined] = np.diff(cuts, prepend=0)
+        counts[apart] = [len(part) for part in single]
+        if apart:
+            parts = iter(np.split(ids, cuts[:-1])) if len(cuts) else iter(())
+            ones = iter(single)
+            ids = np.concatenate([np.empty(0, np.int32), *(next(parts) if one else next(ones) for one in joined.tolist())])
+        return ids, counts
+
+    def b_ids(self, rests: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each rest, the library puts the space before it; and how many each has."""
+        found = [ids if rest else self.mark for rest, ids in zip(rests, self.b.encode(rests, num_threads=1))]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -121,26 +137,30 @@ class WordTable:
     """Tokens, groups and links of distinct words; a word whose B bytes are not its own is ``odd`` and has none."""
 
     def __init__(self, rests: list[str], made: Tokenizers):
-        a_parts, b_parts, odd = [], [], np.zeros(len(rests), bool)
+        self.made = made
+        odd = np.zeros(len(rests), bool)
         sizes = np.zeros(len(rests), np.int64)
+        a_parts, b_parts, a_counts, b_counts = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [], []
         for first in range(0, len(rests), LEARNT):
             some = rests[first : first + LEARNT]
-            found_b = made.b_ids(some)
-            data = [b" " + rest.encode() for rest in some]
-            for i, (ids, whole) in enumerate(zip(found_b, data)):
-                if b"".join(map(made.b_bytes.__getitem__, ids)) != whole:
-                    odd[first + i] = True
-                    found_b[i] = []
-                else:
-                    sizes[first + i] = len(whole)
-            found_a = made.a_ids(some)
-            a_parts += [np.empty(0, np.int64) if odd[first + i] else ids for i, ids in enumerate(found_a)]
-            b_parts += found_b
+            whole = (" " + " ".join(some)).encode()
+            size = np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1
+            b, b_count = made.b_ids(some)
+            a, a_count = made.a_ids(some, size)
+            strange = self._strange(b, b_count, size, whole)
+            if strange.any():
+                b, a = b[np.repeat(~strange, b_count)], a[np.repeat(~strange, a_count)]
+                size, a_count, b_count = (np.where(strange, 0, count) for count in (size, a_count, b_count))
+                odd[first : first + len(some)] = strange
+            sizes[first : first + len(some)] = size
+            a_parts.append(a)
+            b_parts.append(b)
+            a_counts.append(a_count)
+            b_counts.append(b_count)
+        self.a_first = _runs(np.concatenate([np.empty(0, np.int64), *a_counts]))
+        self.b_first = _runs(np.concatenate([np.empty(0, np.int64), *b_counts]))
+        self.a, self.b = np.concatenate(a_parts).astype(np.int64), np.concatenate(b_parts).astype(np.int64)
         self.odd = odd
-        self.a_first = _runs(np.fromiter(map(len, a_parts), np.int64, len(a_parts)))
-        self.b_first = _runs(np.fromiter(map(len, b_parts), np.int64, len(b_parts)))
-        self.a = np.concatenate([np.empty(0, np.int64), *a_parts])
-        self.b = np.array([i for ids in b_parts for i in ids], np.int64)
         a_ends, b_ends = np.cumsum(made.a_sizes[self.a]), np.cumsum(made.b_sizes[self.b])
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         self.a_group, self.b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
@@ -152,6 +172,16 @@ class WordTable:
         np.add.at(self.n_links, self.group_word, links)
         self._link(len(rests))
 
+    def _strange(self, b: np.ndarray, counts: np.ndarray, size: np.ndarray, whole: bytes) -> np.ndarray:
+        """Which words' B bytes are not their own; ``whole`` are all words' bytes."""
+        pieces = self.made.b_bytes
+        reach = _runs(self.made.b_sizes[b])[_runs(counts)]
+        if (np.diff(reach) == size).all() and b"".join(map(pieces.__getitem__, b.tolist())) == whole:
+            return np.zeros(len(size), bool)
+        ends, cuts = _runs(size).tolist(), _runs(counts).tolist()
+        found = ([pieces[i] for i in b[j:k].tolist()] for j, k in zip(cuts, cuts[1:]))
+        return np.array([b"".join(x) != whole[i:j] for x, i, j in zip(found, ends, ends[1:])], bool)
+
     def _link(self, words: int) -> None:
         """The distinct pairs of all words, and for each word which of them it links how often."""
 
@@ -185,7 +215,8 @@ class WordTable:
     @staticmethod
     def _summed(word, pair, times):
         """Times added up for each word and pair, in that order."""
-        order = np.lexsort((pair, word))
+        few = len(word) == 0 or int(word.max()) < 1 << (63 - 2 * BITS)
+        order = np.argsort((word.astype(np.uint64) << np.uint64(2 * BITS)) | pair, kind="stable") if few else np.lexsort((pair, word))
         word, pair, times = word[order], pair[order], times[order]
         if not len(word):
             return word, pair, times
@@ -200,15 +231,17 @@ class WordTable:
 
     def texts(self) -> list[bytes]:
         """The groups of each word as text."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        groups = np.arange(len(self.group_word) + 1)
-        a_cut = np.searchsorted(self.a_group, groups).tolist()
-        b_cut = np.searchsorted(self.b_group, groups).tolist()
-        one = [
-            ",".join(a[i:j]) + "|" + ",".join(b[k:n]) for i, j, k, n in zip(a_cut, a_cut[1:], b_cut, b_cut[1:])
-        ]
-        cut = _runs(self.n_groups).tolist()
-        return [";".join(one[i:j]).encode() for i, j in zip(cut, cut[1:])]
+        groups = len(self.group_word)
+        a_before = _runs(np.bincount(self.a_group, minlength=groups))
+        b_before = _runs(np.bincount(self.b_group, minlength=groups))
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        a_last, b_last = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
+        a_last[a_before[1:] - 1], b_last[b_before[1:] - 1] = True, True
+        codes[np.arange(len(self.a)) + b_before[self.a_group]] = 2 * self.a + a_last
+        codes[np.arange(len(self.b)) + a_before[self.b_group + 1]] = 2 * (self.b + self.made._most()) + b_last
+        tokens = list(map(self.made.shown.__getitem__, codes.tolist()))
+        cut = (self.a_first + self.b_first).tolist()
+        return [b"".join(tokens[i:j])[:-1] for i, j in zip(cut, cut[1:])]
 
 
 class Block:

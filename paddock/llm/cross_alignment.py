@@ -204,10 +204,11 @@ class WordTable:
             pair = (a[at].astype(np.uint64) << np.uint64(BITS)) | b[other].astype(np.uint64)
             parts.append(self._summed(self.group_word[a_group[at]], pair, a_times[at] * b_times[other]))
             start = end
-        word, pair, times = (np.concatenate(column) for column in zip(*parts)) if parts else (
-            np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-        )
-        word, pair, self.times = self._summed(word, pair, times)
+        if len(parts) == 1:
+            word, pair, self.times = parts[0]
+        else:
+            empty = (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+            word, pair, self.times = self._summed(*(np.concatenate(column) for column in zip(empty, *parts)))
         self.pairs, self.pair = np.unique(pair, return_inverse=True)
         self.word = word
         self.first = _runs(np.bincount(word, minlength=words))
@@ -269,20 +270,25 @@ class Block:
         """In how many documents of the block each of the table's pairs is linked."""
         table = self.table
         total = np.zeros(len(table.pairs), np.int64)
-        doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
-        # In runs of documents, to hold no more than EXPANDED entries beyond one document's.
+        seen = np.zeros(len(table.pairs), bool)
         used = np.diff(table.first)[self.words]
         reach = _runs(used)[self.first]
         start = 0
         while start < len(self.first) - 1:
+            # As many documents at once as have EXPANDED links, or one that has more.
             end = max(start + 1, int(np.searchsorted(reach, reach[start] + EXPANDED, side="right")) - 1)
             some = slice(self.first[start], self.first[end])
-            seen = np.unique((doc[some] << 32) | self.words[some])
-            word, held = seen & 0xFFFFFFFF, seen >> 32
-            count = np.diff(table.first)[word]
-            at = np.arange(int(count.sum())) - np.repeat(_runs(count)[:-1] - table.first[word], count)
-            keys = np.unique(np.repeat(held - start, count) * max(1, len(table.pairs)) + table.pair[at])
-            total += np.bincount(keys % max(1, len(table.pairs)), minlength=len(table.pairs))
+            count = used[some]
+            at = np.arange(int(count.sum())) - np.repeat(_runs(count)[:-1] - table.first[self.words[some]], count)
+            held = table.pair[at]
+            cut = (reach[start : end + 1] - reach[start]).tolist()
+            for i, j in zip(cut, cut[1:]):
+                if 64 * (j - i) < len(total):
+                    total[np.unique(held[i:j])] += 1
+                else:
+                    seen[:] = False
+                    seen[held[i:j]] = True
+                    total += seen
             start = end
         return total
 

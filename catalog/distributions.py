@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paddock import schema as S
 from paddock.operators import distributions as dist
-from paddock.sources.profile import schema_profile
+from paddock.session import scratch_path
+from paddock.sources.profile import profile_of, schema_profile, stored_state, update_profile
 from paddock.sources.star import FORMS, star_reports, star_rows
 
 from . import query
@@ -101,52 +103,101 @@ def dataset_summary(spark, sf_dir):
     return dist.dataset_summary(rows, "slug_id")
 
 
-def _profile_sql() -> str:
-    """Whole numbers with nulls read as floats; every form names its columns its own way."""
-    names = {
-        "avg_price": ("float64", "wtd_Avg_Price"),
-        "avg_weight": ("object", "wtd_avg_wt"),
-        "slug_id": ("int64", None),
-        "quality_grade_name": ("object", None),
-        "published_date": ("object", "published_Date"),
-        "class": ("object", None),
-    }
-    parts = []
-    for canonical, (dtype, alias) in names.items():
-        for name in (canonical, alias):
-            if name is None:
-                continue
-            forms = [i for i, spelling in enumerate(FORMS.values()) if spelling.get(canonical, canonical) == name]
-            where = " OR ".join(f"slug_id % 3 = {i}" for i in forms)
-            parts.append(
-                f"SELECT '{name}' AS column_name, count(DISTINCT slug_id) AS files, "
-                f"(SELECT count(DISTINCT slug_id) FROM raw) AS total_files, '{dtype}' AS dtype "
-                f"FROM raw WHERE {where}"
-            )
-    return " UNION ALL ".join(parts)
-
-
-@query("schema_profile", raw(_profile_sql()))
-def profile(spark, sf_dir):
-    frames = [
-        frame.withColumn("source_file", F.col("slug_id"))
-        for frame in star_reports(spark, sf_dir).values()
-    ]
-    shown = [
-        "avg_price", "wtd_Avg_Price", "avg_weight", "wtd_avg_wt", "slug_id", "quality_grade_name", "published_date", "published_Date", "class",
-    ]
+# --- the untidy texts of the report files, as DuckDB has them ---
+
+SPACED = "CASE seq % 3 WHEN 0 THEN {0} WHEN 1 THEN '  ' || {0} || chr(9) ELSE {0} || ' ' || chr(10) END"
+NOTHING = "CASE seq % 5 WHEN 0 THEN '' WHEN 1 THEN 'N/A' WHEN 2 THEN '   ' WHEN 3 THEN NULL ELSE 'NaN' END"
+
+
+def _untidy(name: str) -> str:
+    return f"coalesce({SPACED.format(name)}, {NOTHING})"
+
+
+def _number(name: str, decimals: str = "''") -> str:
     return (
-        schema_profile(frames, skip=["id"])
-        .filter(F.col("column_name").isin(*shown))
-        .select("column_name", "files", "total_files", "dtype")
+        f"coalesce(CASE WHEN seq % 2 = 0 THEN ' ' ELSE '' END || {name} || {decimals}, "
+        "CASE WHEN seq % 2 = 0 THEN 'abc' ELSE 'N/A' END)"
     )
 
 
-@query("schema_profile_samples")
-def profile_samples(spark, sf_dir):
-    """The whole profile with samples, spellings and report ids."""
-    frames = [
-        frame.withColumn("source_file", F.col("slug_id"))
+def _money(cents: str) -> str:
+    return f"({cents}) // 100 || '.' || lpad(CAST(({cents}) % 100 AS VARCHAR), 2, '0')"
+
+
+RAW_SQL = {
+    "_section": "section",
+    "slug_id": "CAST(slug_id AS VARCHAR)",
+    "report_date": "CASE seq % 3 WHEN 0 THEN strftime(report_date, '%m/%d/%Y') WHEN 1 THEN strftime(report_date, '%-m/%-d/%Y') "
+    "ELSE strftime(report_date, '%Y-%m-%d') END",
+    "published_date": "strftime(published_date, '%m/%d/%Y %H:%M:%S')",
+    "avg_price": f"coalesce({_money('cents')}, 'N/A')",
+    "avg_price_min": _money("cents - spread"),
+    "avg_price_max": _money("cents + spread"),
+    "avg_weight": _number("avg_weight", "CASE WHEN seq % 3 = 0 THEN '.0' ELSE '' END"),
+    "avg_weight_min": _number("weight_min"),
+    "avg_weight_max": _number("weight_max"),
+    "head_count": _number("head_count", "CASE WHEN seq % 4 = 0 THEN '.9' ELSE '' END"),
+    **{
+        name: _number(name)
+        for name in ("weight_break_low", "weight_break_high", "receipts", "receipts_week_ago", "receipts_year_ago")
+    },
+    "final_ind": "final_ind",
+}
+TEXTS_SQL = {raw_name: _untidy(lot) for lot, raw_name in S.TEXT_COLUMNS.items()} | RAW_SQL
+
+
+def _profile_sql() -> str:
+    """All columns of all three forms of file: counts decide the type, nulls make whole numbers floats."""
+    note = {"pregnancy": "Related: pregnancy_stage", "pregnancy_stage": "Related: pregnancy"}
+    for alias, canonical in S.ALIASES.items():
+        note |= {alias: f"Same as {canonical}", canonical: f"Also appears as: {alias}"}
+    values = [
+        f"SELECT '{spelling.get(name, name)}' AS column_name, CAST(slug_id AS VARCHAR) AS slug, {TEXTS_SQL[name]} AS v "
+        f"FROM raw WHERE slug_id % {len(FORMS)} = {i}"
+        for i, spelling in enumerate(FORMS.values())
+        for name in S.RAW_INPUTS
+    ]
+    tokens = ", ".join(f"'{token}'" for token in S.NULL_TOKENS)
+    notes = " ".join(f"WHEN '{name}' THEN '{text}'" for name, text in note.items())
+    return f"""
+    SELECT column_name, files, (SELECT count(DISTINCT slug_id) FROM raw) AS total_files,
+      CASE WHEN filled = 0 THEN 'float64' WHEN whole = filled AND filled = rows THEN 'int64'
+        WHEN numeric = filled THEN 'float64' ELSE 'object' END AS dtype,
+      CASE WHEN filled > 0 THEN array_to_string(samples[1:3], ' | ') END AS sample_values,
+      CASE column_name {notes} END AS duplicate_note,
+      array_to_string(slugs[1:8], ', ') || CASE WHEN len(slugs) > 8 THEN '...' ELSE '' END AS slug_ids
+    FROM (
+      SELECT column_name, count(DISTINCT slug) AS files, count(*) AS rows, count(v) AS filled,
+        count(*) FILTER (regexp_matches(trim(v, ' ' || chr(9) || chr(10)), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$')) AS numeric,
+        count(*) FILTER (regexp_matches(trim(v, ' ' || chr(9) || chr(10)), '^[+-]?[0-9]+$')) AS whole,
+        list_sort(list(DISTINCT v) FILTER (v IS NOT NULL)) AS samples, list_sort(list(DISTINCT slug)) AS slugs
+      FROM (SELECT column_name, slug, CASE WHEN v NOT IN ({tokens}) THEN v END AS v
+        FROM ({' UNION ALL '.join(values)}))
+      GROUP BY column_name)"""
+
+
+def profiled_frames(spark, sf_dir):
+    """The three forms of file, without the fixture's own id; a report stands for a file."""
+    return [
+        frame.drop("id").withColumn("source_file", F.col("slug_id"))
         for frame in star_reports(spark, sf_dir).values()
     ]
-    return schema_profile(frames, skip=["id"])
+
+
+PROFILE = raw(_profile_sql())
+
+
+@query("schema_profile", PROFILE)
+def profile(spark, sf_dir):
+    return schema_profile(profiled_frames(spark, sf_dir))
+
+
+@query("schema_profile_samples", PROFILE)
+def profile_samples(spark, sf_dir):
+    """The same from kept states: each form's files are added by a run of their own, some of them twice."""
+    path = scratch_path(spark, "profile")
+    frames = profiled_frames(spark, sf_dir)
+    stale = frames[0].where("slug_id % 2 = 0").withColumn("avg_price", F.lit("0.00 stale"))
+    for some in ([stale], frames[:2], frames[2:]):
+        update_profile(spark, path, some)
+    return profile_of(stored_state(spark, path))

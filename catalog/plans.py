@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from paddock.api import LotReports
 from paddock.plans import market_sketches, mart as m, price_mart
 from paddock.session import scratch_path
 from paddock.sources.star import star_lots
@@ -63,6 +64,23 @@ def mart_facet_states(spark, sf_dir):
     return m.mart_facet(mart_of(spark, sf_dir), "market_state", "code")
 
 
+@query("mart_facet_classes", EXPECTED["facet_classes"])
+def mart_facet_classes(spark, sf_dir):
+    return LotReports(star_lots(spark, sf_dir, NEEDS), AS_OF, mart_of(spark, sf_dir)).classes("Goats", "meat")
+
+
+@query("mart_facet_markets", EXPECTED["facet_markets"])
+def mart_facet_markets(spark, sf_dir):
+    return m.mart_markets(mart_of(spark, sf_dir))
+
+
+@query("mart_dashboard_summary", EXPECTED["dashboard_summary"])
+def mart_dashboard_summary(spark, sf_dir):
+    """The facade's summary, from the mart."""
+    lots_with_dates = star_lots(spark, sf_dir, "published_date")
+    return LotReports(lots_with_dates, AS_OF, mart_of(spark, sf_dir)).summary(DATE_FROM)
+
+
 # --- price distributions from counts by day ---
 
 def stored_prices(spark, sf_dir, rows=None):

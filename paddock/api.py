@@ -12,10 +12,11 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 
 from . import schema as S
-from .operators import aggregates, calculator, listing
-from .operators.suggestions import suggestions
-from .plans import mart as marts
-from .plans.dashboard import dashboard_summary, dashboard_widgets
+from .operators import aggregates, calculator, distributions, listing
+from .operators.filters import date_range, equal
+from .operators.suggestions import suggest_nearest, suggestions
+from .plans import mart as marts, price_mart
+from .plans.dashboard import dashboard_summary, dashboard_widgets, mart_dashboard_summary
 from .streaming.sync import freshness_status
 
 
@@ -27,13 +28,20 @@ class Entries(NamedTuple):
 class LotReports:
     """Reports on ``lots`` as of one day, today by default.
 
-    ``mart`` is the daily mart of the same lots, if there is one.
+    ``mart`` is the daily mart of the same lots and ``prices`` their price counts by day, if
+    there are any.
     """
 
-    def __init__(self, lots: DataFrame, as_of: str | None = None, mart: DataFrame | None = None):
+    def __init__(
+        self,
+        lots: DataFrame,
+        as_of: str | None = None,
+        mart: DataFrame | None = None,
+        prices: DataFrame | None = None,
+    ):
         self.lots = lots
         self.as_of = as_of or date.today().isoformat()
-        self.mart = mart
+        self.mart, self.prices = mart, prices
 
     def entries(self, sort_by="report_date", sort_dir="desc", page=1, limit=50, **conditions) -> Entries:
         """One page of matching lots, and the count of lots and pages."""
@@ -54,6 +62,14 @@ class LotReports:
         """The last resort when no wider search helps: the lots closest in weight."""
         return listing.nearest_lots(self.lots, target_weight, k, **conditions)
 
+    def nearest_if_none(self, k: int = 5, **conditions) -> DataFrame:
+        """The lots closest in weight, if neither the search nor a wider one finds any."""
+        return suggest_nearest(self.lots, self.as_of, k, **conditions)
+
+    def nearest_many(self, targets: DataFrame, k: int = 5, **options) -> DataFrame:
+        """For every row of ``targets`` (species, target_weight) the lots closest in weight."""
+        return listing.nearest_lots_many(self.lots, targets, k, **options)
+
     def entry(self, key: str, report_date: str | None = None) -> DataFrame:
         return listing.get_lot(self.lots, key, report_date)
 
@@ -62,8 +78,35 @@ class LotReports:
 
     def summary(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         """The dashboard's figures, by default of the last two weeks."""
+        window = self._fortnight(date_from, date_to)
+        if self.mart is not None:
+            return mart_dashboard_summary(self.mart, self.lots, *window)
+        return dashboard_summary(self.lots, *window)
+
+    def _fortnight(self, date_from: str | None, date_to: str | None) -> tuple[str, str]:
         start = date.fromisoformat(self.as_of) - timedelta(days=S.SUMMARY_DAYS)
-        return dashboard_summary(self.lots, date_from or start.isoformat(), date_to or self.as_of)
+        return date_from or start.isoformat(), date_to or self.as_of
+
+    def mover(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+        """The class whose average changed most against the two weeks before."""
+        window = self._fortnight(date_from, date_to)
+        if self.mart is not None:
+            return marts.mart_top_mover(self.mart, *window)
+        return aggregates.top_mover(self.lots, *window)
+
+    def volume(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+        """Lots, markets and states of a window."""
+        window = self._fortnight(date_from, date_to)
+        if self.mart is not None:
+            return marts.mart_volume(self.mart, *window)
+        return aggregates.volume_summary(self.lots, *window)
+
+    def price_box(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+        """Box plot figures of each commodity's prices per hundredweight."""
+        if self.prices is not None:
+            return price_mart.mart_price_box(self.prices, date_from, date_to)
+        rows = date_range(self.lots, date_from, date_to) if date_from or date_to else self.lots
+        return distributions.price_box(rows)
 
     def widgets(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         return dashboard_widgets(self.summary(date_from, date_to))
@@ -97,12 +140,18 @@ class LotReports:
         return listing.price_weight_scatter(self.lots, **conditions)
 
     def classes(self, species: str | None = None, intent: str | None = None) -> DataFrame:
+        if self.mart is not None:
+            return marts.mart_facet(equal(self.mart, species=species, buyer_intent=intent), "animal_class", "name")
         return aggregates.facet_classes(self.lots, species, intent)
 
     def markets(self) -> DataFrame:
+        if self.mart is not None:
+            return marts.mart_markets(self.mart)
         return aggregates.facet_markets(self.lots)
 
     def states(self) -> DataFrame:
+        if self.mart is not None:
+            return marts.mart_facet(self.mart, "market_state", "code")
         return aggregates.facet_states(self.lots)
 
     def grades(self) -> DataFrame:

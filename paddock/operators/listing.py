@@ -59,10 +59,11 @@ def _page(lots: DataFrame, rows: DataFrame, sort_by: str, sort_dir: str, limit:
     order = _sort_keys(sort_by, sort_dir)
     month = [name for name in ("report_month",) if name in lots.columns]
     narrow = rows.select(_sort_column(sort_by), "id", *month).orderBy(*order).offset(skipped).limit(limit)
-    keys = narrow.select(*[F.col(name).alias(f"__{name}") for name in ("id", *month)])
+    # True of every id: months are pruned by a list only if it is filtered by a comparison.
+    keys = narrow.select(*[F.col(name).alias(f"__{name}") for name in ("id", *month)]).where(F.col("__id") >= "")
     same = F.col("id") == F.col("__id")
     for name in month:
-        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
+        same = same & (F.coalesce(name, F.lit("")) == F.coalesce(f"__{name}", F.lit("")))
     return public_lots(lots.join(keys, same, "left_semi").orderBy(*order).limit(limit))
 
 

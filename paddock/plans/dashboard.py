@@ -10,6 +10,8 @@ from ..functions.exact import money_text, ratio, round_half_up
 from ..functions.measures import change_pct, direction_by_sign, weight_sum, weighted_sum
 from ..operators.filters import auctions, date_range, days_before
 
+CELL = ("species", "animal_class", "market_name", "market_state")
+
 
 def dashboard_summary(lots: DataFrame, date_from: str, date_to: str) -> DataFrame:
     """Totals, species averages, top mover and freshness as one row.
@@ -24,7 +26,7 @@ def dashboard_summary(lots: DataFrame, date_from: str, date_to: str) -> DataFram
     meat_now = now & F.col("buyer_intent").eqNullSafe("meat")
     price = "price_per_lb_e4"
     priced = F.col(price).isNotNull()
-    cells = rows.groupBy("species", "animal_class", "market_name", "market_state").agg(
+    cells = rows.groupBy(*CELL).agg(
         F.count(F.when(now, 1)).alias("lots"),
         weighted_sum(price, meat_now).alias("meat_num"),
         weight_sum(price, meat_now).alias("meat_den"),
@@ -35,7 +37,38 @@ def dashboard_summary(lots: DataFrame, date_from: str, date_to: str) -> DataFram
         F.count(F.when(now & priced, 1)).alias("now_lots"),
         F.count(F.when(~now & priced, 1)).alias("before_lots"),
     )
-    keys = ["species", "animal_class", "market_name", "market_state"]
+    return _of_cells(cells, lots)
+
+
+def mart_dashboard_summary(mart: DataFrame, lots: DataFrame, date_from: str, date_to: str) -> DataFrame:
+    """``dashboard_summary`` from the daily mart; of the lots only the newest publication is read."""
+    rows = date_range(auctions(mart), days_before(date_from, S.SUMMARY_DAYS), date_to)
+    now = F.col("report_date") >= F.lit(date_from).cast("date")
+    meat_now = now & F.col("buyer_intent").eqNullSafe("meat")
+
+    def added(name: str, where: Column) -> Column:
+        return F.try_sum(F.when(where, F.col(name)))
+
+    def counted(name: str, where: Column) -> Column:
+        return F.coalesce(added(name, where), F.lit(0))
+
+    cells = rows.groupBy(*CELL).agg(
+        counted("lots_all", now).alias("lots"),
+        added("lb_num", meat_now).alias("meat_num"),
+        added("lb_den", meat_now).alias("meat_den"),
+        added("lb_num", now).alias("now_num"),
+        added("lb_den", now).alias("now_den"),
+        added("lb_num", ~now).alias("before_num"),
+        added("lb_den", ~now).alias("before_den"),
+        counted("lots", now).alias("now_lots"),
+        counted("lots", ~now).alias("before_lots"),
+    )
+    return _of_cells(cells, lots)
+
+
+def _of_cells(cells: DataFrame, lots: DataFrame) -> DataFrame:
+    """The row of figures from both windows' sums by class and place."""
+    keys = list(CELL)
     sets = [
         [F.col("species"), F.col("animal_class")],
         [F.col("market_name")],

@@ -185,3 +185,14 @@ def mart_facet(mart: DataFrame, column: str, name: str) -> DataFrame:
         .agg(F.try_sum("lots_all").alias("count"))
         .orderBy(F.desc("count"), name)
     )
+
+
+def mart_markets(mart: DataFrame) -> DataFrame:
+    """``facet_markets``."""
+    places = auctions(mart).groupBy("market_name", "market_state", "market_city").agg(F.try_sum("lots_all").alias("lots"))
+    return (
+        places.groupBy(F.col("market_name").alias("name"))
+        .agg(F.min(F.struct("market_state", "market_city")).alias("place"), F.try_sum("lots").alias("count"))
+        .select("name", F.expr("place.market_state as state"), F.expr("place.market_city as city"), "count")
+        .orderBy(F.desc("count"), "name")
+    )

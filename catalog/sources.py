@@ -209,6 +209,14 @@ def ingest_split_reports(spark, sf_dir):
     return public_lots(split_lots(spark, sf_dir), UNPLACED)
 
 
+@query("ingest_landed_by_header", lots(f"SELECT {public(UNPLACED)} FROM lots"))
+def ingest_landed(spark, sf_dir):
+    """Files of fifty rows copied by header, twice, then scanned folder by folder."""
+    landed, landing = land(spark, sf_dir, keyed=False, max_rows_per_file=50), scratch_path(spark, "landing")
+    reports.land_by_header(spark, landed, landing)
+    return public_lots(tables.ingest_if_empty(spark, landed, scratch_path(spark, "lots"), landing=landing), UNPLACED)
+
+
 @query("ingest_ids", lots("""
     SELECT count(*) AS lots, count(*) AS ids, count(*) AS ids_of_their_report FROM lots"""))
 def ingest_ids(spark, sf_dir):

@@ -8,10 +8,15 @@ number of scans follows the number of different headers, not of files.
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
+import json
+import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401  (pa.fs)
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import schema as S
@@ -32,6 +37,9 @@ CSV_OPTIONS = {
 LINEAGE = ("source_file", "split_start", "split_seq", "fetched_at")
 # Files that one Spark job wrote share its id in their names.
 PART_OF = r"^(.*/)part-[0-9]+-([0-9a-f-]{36})[^/]*$"
+# Landed files lie in a folder that tells when they were fetched, in milliseconds.
+FETCHED_AT = r"/fetched=([0-9]+)/"
+CHUNK = 8 << 20
 
 
 def _read_headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,10 +72,10 @@ def scan_by_header(
 ) -> list[DataFrame]:
     """One all-text frame per different header, under the names found in the files.
 
-    Each different header comes to the driver once, with the names of its files, which
-    the driver lists for the scan anyway.  A file is one task, since quoted text may hold
-    line breaks; large reports should be landed as several files, as ``write_reports``
-    does.
+    Each different header comes to the driver once, with the names of its files: for a batch
+    of new files.  For folders of any number of files use ``land_by_header`` and
+    ``scan_landed``.  A file is one task, since quoted text may hold line breaks; large
+    reports should be landed as several files, as ``write_reports`` does.
     """
     groups = (
         report_headers(spark, path, pattern)
@@ -80,20 +88,93 @@ def scan_by_header(
         raise FileNotFoundError(f"no report files matching {pattern} in {path}")
     frames = []
     for header, paths in sorted((tuple(row["header"]), row["paths"]) for row in groups):
-        places = [f"c{i}" for i in range(len(header))]
-        schema = T.StructType([T.StructField(place, T.StringType()) for place in places])
-        rows = spark.read.schema(schema).options(**CSV_OPTIONS).csv(sorted(paths))
-        rows = rows.select(
-            *places,
-            F.col("_metadata.file_path"),
-            F.col("_metadata.file_block_start"),
-            F.monotonically_increasing_id(),
-            F.col("_metadata.file_modification_time"),
-        )
-        frames.append(rows.toDF(*header, *LINEAGE))
+        frames.append(_scan(spark, header, sorted(paths)))
     return frames
 
 
+def _copied(landing: str):
+    """A task's work: put each file under its header's folder, and say which header that is.
+
+    A copy is written under another name and then moved, so a folder holds whole files
+    only; a file that is there already is left.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            landed = []
+            for path, stamp in zip(batch["path"], batch["stamp"]):
+                system, inner = open_location(path)
+                with system.open_input_stream(inner, buffer_size=65_536) as stream:
+                    header = next(csv.reader(io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")), [])
+                signature = hashlib.sha256(json.dumps(header).encode()).hexdigest()[:24]
+                folder, _, name = path.rpartition("/")
+                source = hashlib.sha256(folder.encode()).hexdigest()[:24]
+                target, place = open_location(f"{landing}/files/{signature}/{source}/fetched={stamp}/{name}")
+                if header and target.get_file_info(place).type == pa.fs.FileType.NotFound:
+                    target.create_dir(place.rpartition("/")[0], recursive=True)
+                    partial = f"{place.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+                    with system.open_input_stream(inner) as stream, target.open_output_stream(partial) as copy:
+                        while chunk := stream.read(CHUNK):
+                            copy.write(chunk)
+                    target.move(partial, place)
+                landed.append((signature if header else None, json.dumps(header)))
+            yield pd.DataFrame(landed, columns=["signature", "header"])
+
+    return run
+
+
+def land_by_header(spark: SparkSession, path: str | Sequence[str], landing: str, pattern: str = "*.csv") -> None:
+    """Copy the report files below ``path`` to ``landing``, one folder for each different header.
+
+    Tasks copy the files; the driver gets one row for each header and no file name.  A scan
+    of the landing then names folders, however many files lie there.  Files keep the time
+    they were fetched at; landing the same files again changes nothing.
+    """
+    ship_package(spark)
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", pattern)
+        .load(path)
+        .select("path", F.unix_millis("modificationTime").alias("stamp"))
+    )
+    landed = files.mapInPandas(_copied(landing), "signature string, header string")
+    headers = landed.where("signature is not null").distinct()
+    # A folder for each header's names: writing one that is there again changes nothing.
+    headers.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("signature").json(
+        f"{landing}/headers"
+    )
+
+
+def scan_landed(spark: SparkSession, landing: str) -> DataFrame:
+    """``scan_reports`` of a landing: one scan for each header's folder."""
+    known = spark.read.schema("header string, signature string").json(f"{landing}/headers").distinct()
+    frames = []
+    for row in known.orderBy("signature").collect():
+        folder = f"{landing}/files/{row['signature']}"
+        rows = _scan(spark, tuple(json.loads(row["header"])), folder)
+        stamp = F.regexp_extract("source_file", FETCHED_AT, 1).cast("bigint")
+        frames.append(rows.withColumn("fetched_at", F.timestamp_millis(stamp)))
+    if not frames:
+        raise FileNotFoundError(f"no report files landed in {landing}")
+    return union_reports(frames)
+
+
+def _scan(spark: SparkSession, header: tuple[str, ...], paths: str | list[str]) -> DataFrame:
+    """All-text rows of files with one header, under its names."""
+    places = [f"c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(place, T.StringType()) for place in places])
+    rows = spark.read.schema(schema).options(**CSV_OPTIONS, recursiveFileLookup="true").csv(paths)
+    rows = rows.select(
+        *places,
+        F.col("_metadata.file_path"),
+        F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id(),
+        F.col("_metadata.file_modification_time"),
+    )
+    return rows.toDF(*header, *LINEAGE)
+
+
 def scan_reports(spark: SparkSession, path: str | Sequence[str], pattern: str = "*.csv") -> DataFrame:
     """Every report row as text under canonical names, with where it came from."""
     return union_reports(scan_by_header(spark, path, pattern))
@@ -108,8 +189,10 @@ def with_source_row(bronze: DataFrame, path: str | None = None) -> DataFrame:
     the plan is run again.
     """
     raw = store(bronze, "bronze", path)
-    job = F.regexp_extract("source_file", PART_OF, 2)
-    folder = F.regexp_extract("source_file", PART_OF, 1)
+    # Parts of a landed fetch were written moments apart.
+    path = F.regexp_replace("source_file", FETCHED_AT, "/")
+    job = F.regexp_extract(path, PART_OF, 2)
+    folder = F.regexp_extract(path, PART_OF, 1)
     raw = raw.withColumn("fetch", F.when(job != "", F.concat(folder, job)).otherwise(F.col("source_file")))
     raw = raw.withColumn("split", F.struct("source_file", "split_start"))
     return dense_positions(raw, ["fetch"], "split", "split_seq", "source_row").drop(

@@ -12,7 +12,9 @@ from ..operators.normalise import keep_final, normalise
 from ..session import discard, scratch_path, store
 from .months import drop_months, in_months, month_order, read_table, touched_months
 from .ledger import newest_fetches, record_fetches
-from .reports import alias_guard, fetched_reports, report_headers, rows_of_fetches, scan_reports, with_source_row
+from .reports import (
+    alias_guard, fetched_reports, land_by_header, report_headers, rows_of_fetches, scan_landed, scan_reports, with_source_row,
+)
 
 
 def read_lots(spark: SparkSession, path: str) -> DataFrame | None:
@@ -185,15 +187,22 @@ def ingest_reports(
     bronze_path: str | None = None,
     strict: bool = False,
     final_only: bool = False,
+    landing: str | None = None,
 ) -> None:
     """Read report files, normalise them and replace their reports in the table.
 
     Of several fetches of a report and date the newest counts.  ``strict`` stops before
-    the scan if a file has a column no one has described.
+    the scan if a file has a column no one has described.  With ``landing`` the files are
+    copied there by header first: for folders whose file names are too many for the driver.
     """
     if strict:
         alias_guard(report_headers(spark, report_path, pattern))
-    put_fetches(spark, table_path, with_source_row(scan_reports(spark, report_path, pattern), bronze_path), final_only)
+    if landing:
+        land_by_header(spark, report_path, landing, pattern)
+        rows = scan_landed(spark, landing)
+    else:
+        rows = scan_reports(spark, report_path, pattern)
+    put_fetches(spark, table_path, with_source_row(rows, bronze_path), final_only)
 
 
 def ingest_if_empty(spark: SparkSession, report_path, table_path: str, **options) -> DataFrame:

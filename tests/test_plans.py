@@ -16,7 +16,7 @@ FILE_QUERIES = {
     "schema_profile", "schema_profile_samples", "upsert_corrected_date", "write_reports_twice",
     "ingest_split_reports", "ingest_ids", "sync_refetch_moved_window", "sync_late_backfill",
     "sync_final_then_preliminary", "sync_unreadable_dates", "sync_retention", "sync_retention_mart", "mart_after_refetch",
-    "stream_weekly_trend",
+    "stream_weekly_trend", "ingest_landed_by_header",
 } | set(app.LLM_QUERIES)
 
 

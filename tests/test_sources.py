@@ -292,3 +292,30 @@ def test_work_folder(spark, tmp_path, monkeypatch):
     lots = lot_frame(spark, {"id": "a"}).withColumn("ingest_seq", F.lit(0).cast("bigint"))
     tables.upsert_lots(spark, str(tmp_path / "lots"), lots)
     assert set(os.listdir(f"{base}/paddock")) <= kept
+
+
+def test_many_files_are_landed_by_header(spark, tmp_path):
+    """The driver gets one row for each header; landing again copies nothing; parts stay one fetch."""
+    source, landing = tmp_path / "in", tmp_path / "landing"
+    rows = spark.createDataFrame([("7", f"02/{1 + i % 9:02d}/2026", str(i)) for i in range(90)], "slug_id string, report_date string, avg_price string")
+    reports.write_reports(rows, str(source / "parts"), max_rows_per_file=2)
+    (source / "alone").mkdir()
+    for i in range(40):
+        (source / "alone" / f"{i}.csv").write_text(("slug_id,wtd_Avg_Price" if i % 2 else "wtd_Avg_Price,slug_id") + f"\n{i},{i}\n")
+    (source / "alone" / "empty.csv").write_text("")
+    for _ in range(2):
+        reports.land_by_header(spark, str(source), str(landing))
+    assert spark.read.json(str(landing / "headers")).count() == 3
+    files = [path for path in (landing / "files").rglob("*.csv")]
+    assert len(files) == len(list(source.rglob("*.csv"))) - 1
+    assert not [path for path in (landing / "files").rglob("_*")]
+    got = reports.with_source_row(reports.scan_landed(spark, str(landing)))
+    want = reports.with_source_row(reports.scan_reports(spark, str(source)))
+    shown = ["slug_id", "report_date", "avg_price"]
+    assert sorted(map(repr, got.select(*shown).collect())) == sorted(map(repr, want.select(*shown).collect()))
+    part = got.where("report_date is not null")
+    assert part.select("fetch").distinct().count() == 1
+    assert sorted(r.source_row for r in part.collect()) == list(range(90))
+    stamps = {round(path.stat().st_mtime * 1000) for path in (source / "alone").glob("*.csv")}
+    alone = got.where("report_date is null").selectExpr("unix_millis(fetched_at) as at").distinct().collect()
+    assert {r.at for r in alone} <= {s + d for s in stamps for d in (-1, 0, 1)}

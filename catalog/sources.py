@@ -15,7 +15,7 @@ from paddock.operators.normalise import normalise
 from paddock.plans.mart import TERMS, read_mart
 from paddock.session import scratch_path
 from paddock.sources import payloads, reports, tables
-from paddock.sources.star import star_lots, star_reports, star_rows
+from paddock.sources.star import star_lots, star_raw, star_reports, star_rows
 from paddock.streaming.sync import incremental_sync
 from paddock.streaming.trend import read_trend, stream_weekly_trend, streamed_trend
 
@@ -30,21 +30,24 @@ UNPLACED = tuple(name for name in PUBLIC_COLUMNS if name != "id")
 LANDED = ("id", "slug_id", "report_date", "published_date", "price_unit", "avg_price")
 
 
-def land(spark, sf_dir, path=None, forms=None, keyed=True, where="true", change=None, age_days=0, **options):
+def land(spark, sf_dir, path=None, forms=None, keyed=True, where="true", **options):
     """Write raw reports as CSV, in up to three forms of header, to one folder.
 
-    ``keyed``: with the fixture's own ``id``, which no real report has.  ``change`` makes
-    other rows of them; with ``age_days`` the files are that old.
+    ``keyed``: with the fixture's own ``id``, which no real report has.
     """
     path = path or scratch_path(spark, "reports")
     for form, rows in star_reports(spark, sf_dir).items():
         if forms is None or form in forms:
             rows = rows.where(where)
-            rows = change(rows) if change else rows
             reports.write_reports(rows if keyed else rows.drop("id"), path, **options)
+    return path
+
+
+def drop_off(spark, rows, path, age_days=0):
+    """Write raw reports as CSV with one header; with ``age_days`` the files are that old."""
+    reports.write_reports(rows, path)
     if age_days:
         set_back(spark, path, age_days)
-    return path
 
 
 def set_back(spark, path, days):
@@ -257,9 +260,10 @@ def sync_late_backfill(spark, sf_dir):
     """Whole reports first; older fetches of them with fewer rows arrive in a later run and lose."""
     landed = scratch_path(spark, "drops")
     table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
-    land(spark, sf_dir, f"{landed}/new", keyed=False)
+    rows = star_raw(spark, sf_dir)
+    drop_off(spark, rows, f"{landed}/new")
     incremental_sync(spark, landed, table, progress).awaitTermination()
-    land(spark, sf_dir, f"{landed}/old", keyed=False, where="slug_id % 2 = 0 and length(report_date) % 2 = 0", age_days=30)
+    drop_off(spark, rows.where("slug_id % 2 = 0 and length(report_date) % 2 = 0"), f"{landed}/old", age_days=30)
     incremental_sync(spark, landed, table, progress).awaitTermination()
     return public_lots(tables.read_lots(spark, table), UNPLACED)
 
@@ -275,7 +279,7 @@ def sync_final_then_preliminary(spark, sf_dir):
     landed = scratch_path(spark, "drops")
     table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
     for status in ("Final", "Preliminary"):
-        land(spark, sf_dir, f"{landed}/{status}", keyed=False, where=f"final_ind = '{status}'")
+        drop_off(spark, star_raw(spark, sf_dir).where(F.col("final_ind") == status), f"{landed}/{status}")
         incremental_sync(spark, landed, table, progress, final_only=True).awaitTermination()
     return public_lots(tables.read_lots(spark, table), UNPLACED)
 
@@ -294,7 +298,8 @@ def sync_unreadable_dates(spark, sf_dir):
     landed = scratch_path(spark, "drops")
     table, progress = scratch_path(spark, "lots"), scratch_path(spark, "progress")
     for place, date in (("a", "week of %day"), ("b", "%/%")):
-        land(spark, sf_dir, f"{landed}/{place}", keyed=False, change=lambda rows: change(rows).where(F.col("report_date").like(date)))
+        rows = change(star_raw(spark, sf_dir)).where(F.col("report_date").like(date))
+        drop_off(spark, rows, f"{landed}/{place}")
         incremental_sync(spark, landed, table, progress).awaitTermination()
     rows = tables.read_lots(spark, table)
     return rows.groupBy("slug_id", "report_date_raw").agg(
@@ -310,7 +315,7 @@ def synced_with_retention(spark, sf_dir):
     landed = scratch_path(spark, "drops")
     table, mart, progress = (scratch_path(spark, name) for name in ("lots", "mart", "progress"))
     for odd, keep in ((0, None), (1, KEEP_DAYS)):
-        land(spark, sf_dir, f"{landed}/{odd}", keyed=False, where=f"slug_id % 2 = {odd}")
+        drop_off(spark, star_raw(spark, sf_dir).where(f"slug_id % 2 = {odd}"), f"{landed}/{odd}")
         incremental_sync(spark, landed, table, progress, mart, keep_days=keep, as_of=AS_OF).awaitTermination()
     return table, mart
 
@@ -336,20 +341,15 @@ def sync_retention_mart(spark, sf_dir):
 @query("mart_after_refetch", lots(DAILY_MART))
 def mart_after_refetch(spark, sf_dir):
     """A mart of reports fetched first with other prices and heads and too many rows, then as they are."""
-
-    def other(rows):
-        wrong = rows.where("slug_id % 2 = 0").withColumns(
-            {name: F.when(F.length("avg_price") % 2 == 0, F.lit(value)).otherwise(F.col(name))
-             for name, value in (("avg_price", "12.34"), ("head_count", "77"))}
-        )
-        return wrong.unionByName(rows.where("slug_id % 4 = 0")).unionByName(rows.where("slug_id % 2 = 1"))
-
+    rows = star_raw(spark, sf_dir)
+    odd = F.length("avg_price") % 2 == 0
+    wrong = {name: F.when(odd, F.lit(value)).otherwise(F.col(name)) for name, value in (("avg_price", "12.34"), ("head_count", "77"))}
+    even = rows.where("slug_id % 2 = 0")
+    first = even.withColumns(wrong).unionByName(rows.where("slug_id % 4 <> 2"))
     landed = scratch_path(spark, "drops")
     table, mart, progress = (scratch_path(spark, name) for name in ("lots", "mart", "progress"))
-    named_alike = ["canonical", "published_alias"]  # forms that name price and heads alike
-    drops = (("a", named_alike, "true", other), ("b", None, "slug_id % 2 = 0", None), ("c", ["alias"], "slug_id % 2 = 1", None))
-    for place, forms, where, change in drops:
-        land(spark, sf_dir, f"{landed}/{place}", forms, keyed=False, where=where, change=change)
+    for place, drop in (("a", first), ("b", even)):
+        drop_off(spark, drop, f"{landed}/{place}")
         incremental_sync(spark, landed, table, progress, mart).awaitTermination()
     return stored_mart(spark, mart)
 

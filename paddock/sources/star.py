@@ -236,14 +236,23 @@ FORMS = {
 }
 
 
+def _raw_texts() -> dict[str, str]:
+    """Canonical name -> expression of the text."""
+    raw_of = {raw: _untidy(lot) for lot, raw in S.TEXT_COLUMNS.items()}
+    return {name: RAW_TEXT.get(name) or raw_of[name] for name in S.RAW_INPUTS}
+
+
+def star_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw report rows, all text, under canonical names."""
+    return star_rows(spark, sf_dir, VALUES).selectExpr(*[f"{text} as `{name}`" for name, text in _raw_texts().items()])
+
+
 def star_reports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw report rows by form of file, all text, each with its ``id``."""
     rows = star_rows(spark, sf_dir, VALUES)
-    raw_of = {raw: _untidy(lot) for lot, raw in S.TEXT_COLUMNS.items()}
-    texts = {name: RAW_TEXT.get(name) or raw_of[name] for name in S.RAW_INPUTS}
     return {
         form: rows.filter(f"slug_id % {len(FORMS)} = {i}").selectExpr(
-            *[f"{text} as `{spelling.get(name, name)}`" for name, text in texts.items()], "id"
+            *[f"{text} as `{spelling.get(name, name)}`" for name, text in _raw_texts().items()], "id"
         )
         for i, (form, spelling) in enumerate(FORMS.items())
     }

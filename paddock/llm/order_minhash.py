@@ -46,7 +46,10 @@ def _placed(hashed: Column, place: Column) -> Column:
 def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
     """``rows`` with ``name``, an array of ENTRIES numbers below 2 ** 16.
 
-    Texts of fewer than KMER words are one k-mer.  Without words all entries are 0.
+    Texts of fewer than KMER words are one k-mer.  Without words all entries are 0.  Places
+    are counted modulo 2 ** 24: in a text of more k-mers (over 33 MB) two k-mers that lie
+    further apart than that may change their order in a tuple; equal texts still give equal
+    numbers.
     """
     words, kmers, repeats, starts, ring, picked = (f"__{step}_{name}" for step in ("w", "k", "r", "s", "o", "c"))
     c = F.col

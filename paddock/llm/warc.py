@@ -35,9 +35,13 @@ from pyspark.sql import functions as F
 from paddock.session import scratch_path, store
 from paddock.sources.files import open_location
 
+from .scratch import Scratch
+
 #: Lines in a block of the index, bytes after which a new archive begins, bytes between
 #: records that are read along rather than skipped.
 BLOCK_LINES, ARCHIVE_BYTES, GAP_BYTES = 2000, 1 << 29, 1 << 16
+#: What a task looks up and reads: keys, and bytes of compressed records.
+KEYS_AT_ONCE, BYTES_AT_ONCE = 50_000, 4 << 20
 WRITTEN = "capture_key string, page_id long, file string, start long, size long"
 RECORD = (
     "page_id long, url string, record_type string, refers_to long, payload binary, "
@@ -291,9 +295,12 @@ def build_archive(pages: DataFrame, folder: str | None = None) -> Archive:
 def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
     """file, start and size of the captures with the ``capture_key`` values of ``keys``.
 
-    Keys that no capture has give no row, repeated keys count once.
+    Keys that no capture has give no row, repeated keys count once.  A task looks up about
+    KEYS_AT_ONCE keys.
     """
-    sorted_keys = keys.select("capture_key").distinct().repartitionByRange("capture_key").sortWithinPartitions("capture_key")
+    distinct = keys.select("capture_key").distinct()
+    tasks = -(-keys.count() // KEYS_AT_ONCE) or 1
+    sorted_keys = distinct.repartitionByRange(tasks, "capture_key").sortWithinPartitions("capture_key")
     folder, ranges = f"{archive.folder}/index", archive.ranges
 
     def run(batches):
@@ -306,9 +313,14 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
 
 
 def read_records(archive: Archive, places: DataFrame) -> DataFrame:
-    """The records at ``places``, read in the order of the files, near ones in one read."""
+    """The records at ``places``, read in the order of the files, near ones in one read.
+
+    The number of tasks follows the bytes to be read, not the few that name them.
+    """
     folder = f"{archive.folder}/warc"
-    ordered = places.repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    places = Scratch().table(places, "places")
+    tasks = -(-(places.agg(F.sum("size")).first()[0] or 0) // BYTES_AT_ONCE) or 1
+    ordered = places.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
 
     def spans(rows):
         """Runs of places of one file that one read covers."""

@@ -83,3 +83,18 @@ def test_reversed_host(spark):
     ]
     frame = spark.createDataFrame(urls, "url string, want string")
     assert all(r.got == r.want for r in frame.withColumn("got", warc.reversed_host(F.col("url"))).collect())
+
+
+def test_large_payloads_are_read_by_several_tasks(spark):
+    """60 MB that do not compress: the tasks follow the bytes, not the few addresses."""
+    pages = spark.range(240).selectExpr(
+        "id as page_id", "concat('http://a.b/', id) as url",
+        "concat_ws('', transform(sequence(1, 3900), i -> sha2(concat(id, '-', i), 256))) as html",
+    )
+    archive = warc.build_archive(pages)
+    keys = pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("capture_key"))
+    records = warc.read_records(archive, warc.lookup(archive, keys))
+    by_task = records.groupBy(F.spark_partition_id().alias("task")).agg(F.sum("payload_bytes").alias("bytes")).collect()
+    total = sum(r.bytes for r in by_task)
+    assert total == 240 * 3900 * 64 and len(by_task) >= 6
+    assert max(r.bytes for r in by_task) < total / 2

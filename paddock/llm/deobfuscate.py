@@ -31,8 +31,8 @@ SEPARATORS = ".-_*·~/\\ "
 #: Natural logarithms of the channel: a look-alike, a dropped repeat, a separator that
 #: stands in a word, a space that ends one, any other dropped sign.
 LOOK, REPEAT, WITHIN, BETWEEN, DROP = -1.5, -1.0, -0.1, -3.0, -6.0
-#: Tokens that stay longer with each run of a sign as one (keys, digests) are not words,
-#: unless separators part their signs; readings kept for each state.
+#: Tokens that stay longer with each run of a sign as one (keys, digests) are not words and
+#: are not read, unless separators part their signs or words; readings kept for each state.
 LONGEST, READINGS = 32, 4
 #: Signs of a spaced run that are read at once; parts overlap by half, so that a word of up
 #: to that many letters is whole in one of them.
@@ -42,6 +42,7 @@ _EDGES = re.compile(r"^[^\w$@!|+€£(]+|([^\w])\1+$|[^\w$@€£+]+$")
 _LEET = re.compile(r"^(?=.*[^\W\d_])(?=.*[0-9@$!|+€£(])[\w@$!|+€£(]+$")
 _SPLIT = re.compile(r"^(?:[\w@$!|+€£(][.\-_*·~/\\ ]){2,}[\w@$!|+€£(]$")
 _DRAWN = re.compile(r"(.)\1\1|(.)\2.*(.)\3.*(.)\4")
+_BETWEEN = re.compile(r"[.\-_*·~/\\]+")
 _RUN = re.compile(r"(.)\1+", re.DOTALL)
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 #: Single signs with spaces between them.
@@ -132,6 +133,11 @@ def restored(token: str, letters: Letters) -> list[str]:
         return []
     # No word has a sign four times in a row; what a longer run adds is the same for all readings.
     short = _LONG_RUN.sub(r"\1\1\1", word) if len(word) > LONGEST else word
+    if len(short) > LONGEST and not _SPLIT.match(short) and " " not in short:
+        # Words with separators between them: each is read for itself.
+        parts = [part for part in _BETWEEN.split(short) if part]
+        if len(parts) > 1:
+            return [word, *(reading for part in parts for reading in restored(part, letters))]
     if not suspicious(short):
         return [word]
     return [word, *(part for piece in _pieces(short) for reading in readings(piece, letters) for part in reading.split())]

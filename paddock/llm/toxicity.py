@@ -39,12 +39,17 @@ def letters_of(docs: DataFrame, text: str = "text") -> Letters:
     def run(batches):
         counts = np.zeros(SIZE**3, np.int64)
         for batch in batches:
+            # Texts are counted together, parted by a line's end, which is an edge like a text's end;
+            # none is cut, so the counts do not depend on how the rows are dealt.
+            some, signs = [], 0
             for value in batch.column(0).to_pylist():
                 if value:
-                    counts += char_counts(value) if len(value) > 50_000 else 0
-            short = "\n".join(v for v in batch.column(0).to_pylist() if v and len(v) <= 50_000)
-            for first in range(0, len(short), 1 << 20):
-                counts += char_counts(short[first : first + (1 << 20)])
+                    some.append(value)
+                    signs += len(value)
+                if signs > 1 << 20:
+                    counts += char_counts("\n".join(some))
+                    some, signs = [], 0
+            counts += char_counts("\n".join(some)) if some else 0
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"gram": used, "n": counts[used]})
 

@@ -113,3 +113,19 @@ def test_spaced_words_of_three_signs_and_across_parts():
     # A run of up to 64 signs is one token, as it was.
     assert [len(t) for t in tokens_of(" ".join("ab" * 32)) if " " in t] == [127]
     assert max(map(len, tokens_of("a b " * 3000))) == 127
+
+
+def test_long_tokens_of_several_words_are_read_word_by_word():
+    letters = Letters(char_counts(" ".join(BAD + ["you are an idiot", "a moron", "the loser", "worthless"]) * 200))
+    written = "b4d.1d10t.y0u.4r3.w0rthl355.and.a.m0r0n"
+    assert len(written) > 32
+    found = restored(written, letters)
+    assert found[0] == written and {"idiot", "worthless", "moron"} <= set(found)
+
+
+def test_letters_do_not_depend_on_how_rows_are_dealt(spark):
+    draw = random.Random(11)
+    rows = [(i, " ".join(prose(draw, draw.randint(1, 4000)))) for i in range(120)] + [(500, None), (501, "")]
+    found = [tox.letters_of(frame(spark, rows).repartition(n)).log for n in (1, 7)]
+    assert (found[0] == found[1]).all()
+    assert (found[0] == Letters(sum(char_counts(text) for _, text in rows if text)).log).all()

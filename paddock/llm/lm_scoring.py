@@ -72,7 +72,7 @@ def sorted_words(words: list[bytes], at: np.ndarray) -> list[bytes]:
 
 
 def _packed(words, counts, others, rows) -> bytes:
-    numbers = [zlib.compress(wire.columns(np.asarray(x)), 1) for x in (counts, [len(rows[0])], *rows)]
+    numbers = [zlib.compress(wire.wide_columns(np.asarray(x, np.int64)), 1) for x in (counts, [len(rows[0])], *rows)]
     parts = [wire.pack_words(words), wire.pack_words(others), *numbers]
     return np.array([len(x) for x in parts], "<u4").tobytes() + b"".join(parts)
 
@@ -87,7 +87,7 @@ def _read(payload: bytes):
     words, others = wire.unpack_words(parts[0]), wire.unpack_words(parts[1])
 
     def numbers(k, count):
-        return wire.uncolumns(zlib.decompress(parts[k]), count, 0).astype(np.int64)
+        return wire.wide_uncolumns(zlib.decompress(parts[k]), count)
 
     pairs = int(numbers(3, 1)[0])
     return words, numbers(2, len(words)), others, *(numbers(k, pairs) for k in (4, 5, 6))

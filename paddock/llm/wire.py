@@ -51,3 +51,13 @@ def columns(values: np.ndarray) -> bytes:
 def uncolumns(data: bytes, count: int, offset: int) -> np.ndarray:
     stacked = np.frombuffer(data, np.uint8, 4 * count, offset).reshape(4, count)
     return np.ascontiguousarray(stacked.T).view("<u4").reshape(-1)
+
+
+def wide_columns(values: np.ndarray) -> bytes:
+    """``columns`` of whole numbers up to 2 ** 63."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def wide_uncolumns(data: bytes, count: int) -> np.ndarray:
+    stacked = np.frombuffer(data, np.uint8, 8 * count).reshape(8, count)
+    return np.ascontiguousarray(stacked.T).view("<i8").reshape(-1)

@@ -142,3 +142,11 @@ def test_unseen_words_of_a_doubled_table_are_not_certain(spark):
     docs = frame(spark, rows).selectExpr("*", "doc_id < 3 as learn")
     score = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, "learn").collect()}
     assert score[4] < score[3] < 0 and score[4] < -8
+
+
+def test_pairs_met_more_than_2_to_the_32_times_are_packed_whole():
+    many = 2**32 + 5
+    packed = lm_scoring._packed([b"a", b"b"], [many, 1], [b"c"], ([0, 1], [0, 0], [many, 2]))
+    words, counts, others, before, after, times = lm_scoring._read(packed)
+    assert (words, others) == ([b"a", b"b"], [b"c"])
+    assert [x.tolist() for x in (counts, before, after, times)] == [[many, 1], [0, 1], [0, 0], [many, 2]]

@@ -1,41 +1,36 @@
-"""A bitwise language model of words after words: hashed contexts, mixed online.
-
-Words are spelled as the bits of a prefix code over their bytes and an end.  Several
-predictors count the bits that followed a hashed context: the last one, two, three or five
-bytes, which reach back over the space into the word before, all of the word so far, and
-that together with the whole word before.  Their log odds are added up with weights that an
-online logistic mixer learns, one set of weights for each degree of evidence (the gate);
-an adaptive map then corrects the mixed probability by what came of similar ones.
-
-All of it works on numpy arrays of the bits of many words.  Five tables have fixed sizes,
-given by ``SLOTS``, whatever the corpus holds; contexts that hash alike share counts.  What
-followed a word before is not in a table: whoever asks has all that followed it at hand, and
-counts it by 64-bit keys (:func:`runs`, :func:`followed`).
+"""A bitwise model of symbols in order: hashed contexts whose log odds are mixed online.
+
+Symbols are coded by a prefix code; each bit of a symbol is predicted at its node of the code
+by how often either value followed there, and by what followed there after the last one, two,
+three (or more) symbols of its sequence, counted in hashed tables.  The predictors' log odds
+are added up with weights that an online logistic mixer learns, one set of weights for each
+degree of evidence (the gate); an adaptive map then corrects the mixed probability by what
+came of similar ones.
+
+All of it works on numpy arrays of the bits of many symbols.  :mod:`lm_scoring` uses it twice:
+for the words of texts and for the bytes of words that were never learnt.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-END = 256
-EDGE = 257  # what stands before the first byte
-#: log2 of the slots of each predictor's table: orders 1, 2, 3, 5, and the whole prefix.
-SLOTS = (17, 18, 19, 19, 20)
-GATES, STEPS = 256, 24
-#: Inputs of the mixer: the tables, what followed the word before, and a bias.
-INPUTS = len(SLOTS) + 2
-#: Words of one step.
-STEP_WORDS = 2048
+#: log2 of the slots of a table: as many as the learnt symbols ask for, between these.
+LEAST_SLOTS, MOST_SLOTS = 12, 21
+GATES, STEPS, NODES = 64, 24, 512
+#: Symbols whose bits are at hand at once.
+STEP = 1 << 13
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NODE = np.uint64(0xC2B2AE3D27D4EB4F)
 _RATE = 0.02
 
 
-def code_of(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A Huffman code of 257 symbols: lengths, and for each the inner nodes and bits on its path."""
+def _paths(weights: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """Inner nodes and bits on the way to each symbol of a Huffman code."""
     heap = [(float(w) + 1.0, i, i) for i, w in enumerate(weights)]
     heapq.heapify(heap)
     children = {}
@@ -44,8 +39,7 @@ def code_of(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node = len(weights) + len(children)
         children[node] = (left, right)
         heapq.heappush(heap, (w0 + w1, node, node))
-    paths: dict[int, list[tuple[int, int]]] = {}
-    stack = [(heap[0][2], [])]
+    paths, stack = {}, [(heap[0][2], [])]
     while stack:
         node, path = stack.pop()
         if node in children:
@@ -53,156 +47,100 @@ def code_of(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 stack.append((child, [*path, (node - len(weights), bit)]))
         else:
             paths[node] = path
-    depth = max(map(len, paths.values()))
-    lengths = np.array([len(paths[s]) for s in range(len(weights))])
-    nodes, bits = np.zeros((len(weights), depth), np.uint64), np.zeros((len(weights), depth), np.int8)
-    for symbol, path in paths.items():
-        for place, (node, bit) in enumerate(path):
-            nodes[symbol, place], bits[symbol, place] = node, bit
-    return lengths, nodes, bits
+    return paths
 
 
-def symbols_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all words, each with its end, and the place of each word's first."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    starts = np.cumsum(sizes) - sizes
-    symbols = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
-    symbols[starts + sizes - 1] = END
-    return symbols, starts
+@dataclass
+class Code:
+    """A prefix code: each symbol's nodes and bits side by side, and each node's log odds of a one."""
 
+    lengths: np.ndarray
+    offsets: np.ndarray
+    nodes: np.ndarray
+    bits: np.ndarray
+    odds: np.ndarray
 
-def _scattered(values: np.ndarray) -> np.ndarray:
-    """A one-to-one hash of 64 bits (the last steps of splitmix64)."""
-    values = (values + _ODD) * np.uint64(0xBF58476D1CE4E5B9)
-    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    values = (values ^ (values >> np.uint64(30))) * _NODE
-    return values ^ (values >> np.uint64(31))
+    @classmethod
+    def of(cls, weights: np.ndarray) -> Code:
+        """The code of symbols that were met ``weights`` times."""
+        paths = _paths(weights)
+        lengths = np.array([len(paths[s]) for s in range(len(weights))])
+        steps = np.array([step for s in range(len(weights)) for step in paths[s]])
+        nodes, bits = steps[:, 0], steps[:, 1].astype(np.int8)
+        weight = np.repeat(np.asarray(weights, np.float64), lengths)
+        ones, all_ = (np.bincount(nodes, w, len(weights)) for w in (weight * bits, weight))
+        odds = np.log((ones + 0.4) / (all_ - ones + 0.4)).astype(np.float32)
+        return cls(lengths, np.cumsum(lengths) - lengths, nodes.astype(np.uint64), bits, odds)
+
+
+@dataclass
+class Model:
+    """A code, the lengths of contexts, and for each the counts of zeros and ones in each slot."""
+
+    code: Code
+    orders: tuple[int, ...]
+    log_slots: int
+    counts: list[np.ndarray]
+
+    @classmethod
+    def empty(cls, weights: np.ndarray, orders: tuple[int, ...], kind=np.float64) -> Model:
+        log_slots = int(np.clip(np.ceil(np.log2(weights.sum() * 2 + 1)), LEAST_SLOTS, MOST_SLOTS))
+        return cls(Code.of(weights), orders, log_slots, [np.zeros(2 << log_slots, kind) for _ in orders])
+
+    @property
+    def inputs(self) -> int:
+        return len(self.orders) + 2
 
 
 @dataclass
 class Bits:
-    """The bits of many words: the word of each, its value, code node and context slots."""
+    """The bits of some symbols in order: value, code node, a slot in each table; each symbol's first."""
 
-    word: np.ndarray
     value: np.ndarray
     node: np.ndarray
     slots: list[np.ndarray]
-    context: np.ndarray  # word before and word so far
-    key: np.ndarray  # and the node
-
-
-def bits_of(words: list[bytes], code, before_words: list[bytes] | None = None) -> Bits:
-    """The bits of ``words``, each after its word before (none: after an empty one)."""
-    lengths, nodes, bits = code
-    if before_words is None:
-        before_words = [b""] * len(words)
-    symbols, starts = symbols_of([b"%b %b" % pair for pair in zip(before_words, words)])
-    ahead = np.fromiter(map(len, before_words), np.int64, len(words)) + 1
-    sizes = np.diff(np.r_[starts, len(symbols)])
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(symbols)) - starts[word]
-    before = []
-    for back in range(1, 6):
-        shifted = np.r_[np.full(min(back, len(symbols)), EDGE), symbols[:-back]][: len(symbols)]
-        before.append(np.where(place >= back, shifted, EDGE).astype(np.uint64))
-    wide = np.uint64(258)
-    order2 = before[0] + wide * before[1]
-    order3 = order2 + wide * wide * before[2]
-    order5 = order3 + wide**np.uint64(3) * (before[3] + wide * before[4])
-    inside = np.where(place >= ahead[word], place - ahead[word], place).astype(np.uint64)
-    terms = _scattered((inside << np.uint64(9)) + symbols.astype(np.uint64))
-    sums = np.cumsum(terms, dtype=np.uint64) - terms
-    first = (starts + ahead)[word]  # of the word itself
-    prefix = sums - sums[first] + inside
-    prior = _scattered(sums[first] - sums[starts][word]) + prefix
-    own = np.flatnonzero(place >= ahead[word])
-    symbols, word, prefix, prior = symbols[own], word[own], prefix[own], prior[own]
-    before, order2, order3, order5 = before[0][own], order2[own], order3[own], order5[own]
-    size = lengths[symbols]
-    of = np.repeat(np.arange(len(symbols)), size)
-    step = np.arange(len(of)) - (np.cumsum(size) - size)[of]
-    node = nodes[symbols[of], step]
-    value = bits[symbols[of], step]
-    slots = []
-    for i, (context, log_size) in enumerate(zip((before, order2, order3, order5, prefix), SLOTS)):
-        mixed = (context * _ODD + np.uint64(i))[of] ^ (node * _NODE)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD
-        slots.append((mixed >> np.uint64(64 - log_size)).astype(np.int64))
-    context = _scattered(prior)[of]
-    return Bits(word[of], value, node.astype(np.int64), slots, context, context + node)
-
-
-def empty_counts() -> list[np.ndarray]:
-    """For each predictor the counts of zeros and ones in each slot, side by side."""
-    return [np.zeros(2 << log_size) for log_size in SLOTS]
-
-
-def count(counts: list[np.ndarray], words: list[bytes], weights: np.ndarray, code, before: list[bytes] | None = None) -> None:
-    bits = bits_of(words, code, before)
-    weight = weights.astype(np.float64)[bits.word]
-    for table, slot in zip(counts, bits.slots):
-        np.add.at(table, 2 * slot + bits.value, weight)
-
-
-def _sums(places: np.ndarray, size: int, word: np.ndarray, value: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weights of zeros and of ones for each place."""
-    weight = weights.astype(np.float64)[word]
-    ones = np.bincount(places, weight * value, size)
-    return np.stack([np.bincount(places, weight, size) - ones, ones])
-
-
-def followed(bits: Bits, weights: np.ndarray, spread: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Exact counts of zeros and ones after each bit's context of word before and word so far.
-
-    The words hold all that followed their words before, but for contexts in ``spread``
-    (sorted keys and counts).
-    """
-    keys, places = np.unique(bits.key, return_inverse=True)
-    sums = _sums(places, len(keys), bits.word, bits.value, weights)
-    if spread is not None:
-        at = np.minimum(np.searchsorted(spread[0], keys), len(spread[0]) - 1)
-        known = spread[0][at] == keys
-        sums[:, known] = spread[1][:, at[known]]
-    return sums[:, places]
+    starts: np.ndarray
 
 
-def runs(before: np.ndarray, words: list[bytes], after: np.ndarray, weights: np.ndarray, code):
-    """Steps over pairs sorted by word before, then word: words before, words, weights, spread.
+def _scattered(values: np.ndarray) -> np.ndarray:
+    """A one-to-one hash of 64 bits (the last steps of splitmix64)."""
+    values = (values + _ODD) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+def steps(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[Bits]:
+    """The bits of sequences of ``sizes`` symbols, ``STEP`` symbols at a time.
 
-    ``before`` and ``after`` are places in sorted ``words``.  A step holds whole groups of a
-    word before; a group that is longer is parted.  Only what the last words of its parts
-    begin with can be in several, and is counted over all of them first.
+    A context reaches over the edges of steps, but not over those of sequences.
     """
-    name = words.__getitem__
-
-    def step(i, j):
-        return list(map(name, before[i:j].tolist())), list(map(name, after[i:j].tolist())), weights[i:j]
-
-    edges = np.r_[np.flatnonzero(np.r_[True, before[1:] != before[:-1]]), len(before)] if len(before) else [0]
-    first = 0
-    for begin, end in zip(edges[:-1], edges[1:]):
-        if end - first > STEP_WORDS and begin > first:
-            yield *step(first, begin), None
-            first = begin
-        if end - first > STEP_WORDS:
-            cuts = [*range(first, end, STEP_WORDS), end]
-            last = np.array(cuts[1:-1]) - 1
-            begun = np.unique(bits_of(list(map(name, after[last].tolist())), code, list(map(name, before[last].tolist()))).context)
-            keys, sums = [], []
-            for i, j in zip(cuts, cuts[1:]):
-                some, texts, weight = step(i, j)
-                bits = bits_of(texts, code, some)
-                here = np.flatnonzero(np.isin(bits.context, begun))
-                found, places = np.unique(bits.key[here], return_inverse=True)
-                keys.append(found)
-                sums.append(_sums(places, len(found), bits.word[here], bits.value[here], weight))
-            keys, places = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.stack([np.bincount(places, row, len(keys)) for row in np.concatenate(sums, axis=1)])
-            for i, j in zip(cuts, cuts[1:]):
-                yield *step(i, j), (keys, total)
-            first = end
-    if first < len(before):
-        yield *step(first, len(before)), None
+    place = np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # 0 stands before the first symbol
+    symbol = symbols.astype(np.uint64) + np.uint64(1)
+    context, contexts = np.zeros(len(symbols), np.uint64), []
+    for back in range(1, max(model.orders) + 1):
+        before = np.zeros(len(symbols), np.uint64)
+        before[back:] = symbol[:-back]
+        before[place < back] = 0
+        context = _scattered(context * _NODE + before)
+        if back in model.orders:
+            contexts.append(context)
+    code, shift = model.code, np.uint64(64 - model.log_slots)
+    for first in range(0, len(symbols), STEP):
+        some = symbols[first : first + STEP]
+        length = code.lengths[some]
+        starts = np.cumsum(length) - length
+        at = np.arange(int(length.sum())) + np.repeat(code.offsets[some] - starts, length)
+        node = code.nodes[at]
+        salt = node * _NODE
+        slots = [((np.repeat(c[first : first + STEP], length) ^ salt) * _ODD >> shift).astype(np.int64) for c in contexts]
+        yield Bits(code.bits[at], node.astype(np.int64), slots, starts)
+
+
+def count(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> None:
+    for bits in steps(model, symbols, sizes):
+        for table, slot in zip(model.counts, bits.slots):
+            np.add.at(table, 2 * slot + bits.value, 1)
 
 
 @dataclass
@@ -215,80 +153,100 @@ class Mixer:
     ones: np.ndarray
 
     @classmethod
-    def new(cls) -> Mixer:
-        cells = 512 * STEPS
-        return cls(np.full((GATES, INPUTS), 0.3), np.zeros((GATES, INPUTS)), np.zeros(cells), np.zeros(cells))
-
-
-def _evidence(counts, bits: Bits, after: np.ndarray, leave_out: np.ndarray | None):
-    """Log odds of each predictor (a row each, the last a bias) and the gate."""
-    rows = np.empty((INPUTS, len(bits.word)), np.float32)
-    rows[-1] = 0.3
-    known = []
-    found = [(table[2 * slot], table[2 * slot + 1]) for table, slot in zip(counts, bits.slots)]
-    for i, (zeros, ones) in enumerate([*found, after]):
-        if leave_out is not None:  # one occurrence of the word itself
-            ones = np.maximum(ones - leave_out * bits.value, 0)
-            zeros = np.maximum(zeros - leave_out * (1 - bits.value), 0)
-        rows[i] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
-        known.append(zeros + ones)
-    whole = np.minimum(np.log2(known[4] + 1), 15).astype(np.int64)
-    near = np.minimum(np.log2(known[5] + 1) / 2 + 0.5, 3).astype(np.int64)
-    return rows, whole * 16 + near * 4 + (known[3] > 2) * 2 + (known[2] > 20)
-
-
-def _mixed(mixer: Mixer, rows: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    odds = np.zeros(len(gate))
-    for i, row in enumerate(rows):
-        odds += mixer.weights[gate, i] * row
+    def new(cls, inputs: int) -> Mixer:
+        cells = NODES * STEPS
+        shape = (inputs, GATES)
+        return cls(np.full(shape, 0.3, np.float32), np.zeros(shape, np.float32), np.zeros(cells), np.zeros(cells))
+
+    def state(self, share: float) -> np.ndarray:
+        """What is added up to get the weighted mean of mixers learnt apart."""
+        return np.concatenate([self.weights.ravel() * np.float64(share), self.seen, self.ones, [share]])
+
+    @classmethod
+    def of_state(cls, state: np.ndarray, inputs: int) -> Mixer:
+        mixer = cls.new(inputs)
+        if state[-1]:
+            size, cells = mixer.weights.size, len(mixer.seen)
+            mixer.weights = (state[:size] / state[-1]).reshape(inputs, GATES).astype(np.float32)
+            mixer.seen, mixer.ones = state[size : size + cells], state[size + cells : -1]
+        return mixer
+
+
+def _levels(total: np.ndarray) -> np.ndarray:
+    return (total > 0).view(np.int8) + (total > 3) + (total > 31)
+
+
+@dataclass
+class Evidence:
+    """Log odds and degree of evidence of every slot, worked out once."""
+
+    odds: list[np.ndarray]
+    levels: list[np.ndarray]
+
+    @classmethod
+    def of(cls, model: Model) -> Evidence:
+        pairs = [table.reshape(-1, 2) for table in model.counts]
+        odds = [np.log((p[:, 1] + 0.4) / (p[:, 0] + 0.4)).astype(np.float32) for p in pairs]
+        return cls(odds, [_levels(p[:, 0] + p[:, 1]) for p in pairs])
+
+
+def _mixed(mixer: Mixer, rows: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    odds = mixer.weights[-1][gate]
+    for weights, row in zip(mixer.weights, rows):
+        odds += weights[gate] * row
     return np.clip(odds, -18, 18)
 
 
-def _cells(odds: np.ndarray, node: np.ndarray) -> np.ndarray:
-    return np.minimum(node, 511) * STEPS + np.clip(odds * 1.2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
-
-
-def learn(
-    mixer: Mixer, counts, words: list[bytes], weights: np.ndarray, code, before: list[bytes] | None = None, spread=None
-) -> None:
-    """One online step over the bits of ``words``, with one occurrence of each left out."""
-    bits = bits_of(words, code, before)
-    rows, gate = _evidence(counts, bits, followed(bits, weights, spread), np.float32(1))
-    odds = _mixed(mixer, rows, gate)
-    weight = weights.astype(np.float64)[bits.word]
-    chance = 1 / (1 + np.exp(-odds))
-    cells = _cells(odds, bits.node)
-    mixer.seen += np.bincount(cells, weight, len(mixer.seen))
-    mixer.ones += np.bincount(cells, weight * bits.value, len(mixer.ones))
-    error = (bits.value - chance) * weight
-    total = np.bincount(gate, weight, GATES) + 1
-    for i, row in enumerate(rows):
-        slope = np.bincount(gate, error * row, GATES) / total
-        mixer.squares[:, i] += slope**2
-        mixer.weights[:, i] += _RATE * slope / np.sqrt(mixer.squares[:, i] + 1e-8)
-
-
-def merged(mixers: list[tuple[Mixer, float]]) -> Mixer:
-    """The weighted mean of mixers learnt apart, and the sum of their maps."""
-    if not mixers:
-        return Mixer.new()
-    total = sum(share for _, share in mixers) or 1.0
-    weights = sum(m.weights * (share / total) for m, share in mixers)
-    return Mixer(weights, mixers[0][0].squares, sum(m.seen for m, _ in mixers), sum(m.ones for m, _ in mixers))
-
-
-def spelled(
-    mixer: Mixer, counts, words: list[bytes], code, before: list[bytes] | None = None, weights: np.ndarray | None = None, spread=None
-) -> np.ndarray:
-    """log2 of the probability of each word after its word before; ``weights`` as in training."""
-    if not words:
-        return np.empty(0)
-    bits = bits_of(words, code, before)
-    after = followed(bits, np.zeros(len(words)) if weights is None else weights, spread)
-    rows, gate = _evidence(counts, bits, after, None)
-    odds = _mixed(mixer, rows, gate)
-    chance = 1 / (1 + np.exp(-odds))
-    cells = _cells(odds, bits.node)
-    refined = (mixer.ones[cells] + 8 * chance) / (mixer.seen[cells] + 8)
-    chance = np.clip((chance + refined) / 2, 1e-9, 1 - 1e-9)
-    return np.bincount(bits.word, np.log2(np.where(bits.value == 1, chance, 1 - chance)), len(words))
+def _gate(levels: list[np.ndarray]) -> np.ndarray:
+    """From the degrees of evidence of the three longest contexts."""
+    gate = np.zeros(len(levels[0]), np.int64)
+    for level in levels[-3:]:
+        gate = gate * 4 + level
+    return gate
+
+
+def _cells(odds: np.ndarray, node: np.ndarray, symbols: int) -> np.ndarray:
+    # Nodes near the root have the highest numbers.
+    near = np.minimum(symbols - 2 - node, NODES - 1)
+    return near * STEPS + np.clip(odds * 1.2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
+
+
+def learn(mixer: Mixer, model: Model, symbols: np.ndarray, sizes: np.ndarray) -> None:
+    """Online steps over sequences that the tables have counted, each bit's own count left out."""
+    for bits in steps(model, symbols, sizes):
+        rows, levels = [model.code.odds[bits.node]], []
+        for table, slot in zip(model.counts, bits.slots):
+            zeros, ones = table[2 * slot], table[2 * slot + 1]
+            ones = np.maximum(ones - bits.value, np.float32(0))
+            zeros = np.maximum(zeros - (1 - bits.value), np.float32(0))
+            rows.append(np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))))
+            levels.append(_levels(zeros + ones))
+        gate = _gate(levels)
+        odds = _mixed(mixer, rows, gate)
+        chance = 1 / (1 + np.exp(-odds))
+        cells = _cells(odds, bits.node, len(model.code.lengths))
+        mixer.seen += np.bincount(cells, minlength=len(mixer.seen))
+        mixer.ones += np.bincount(cells, bits.value, len(mixer.ones))
+        error = bits.value - chance
+        total = np.bincount(gate, minlength=GATES) + 1
+        for i, row in enumerate([*rows, np.float32(1)]):
+            slope = np.bincount(gate, error * row, GATES) / total
+            mixer.squares[i] += slope**2
+            mixer.weights[i] += _RATE * slope / np.sqrt(mixer.squares[i] + 1e-8)
+
+
+def scored(mixer: Mixer, model: Model, evidence: Evidence, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log2 of the probability of each symbol after those before it in its sequence."""
+    logs = [np.empty(0)]
+    adapted = ((mixer.ones + 0.4) / (mixer.seen + 0.8)).astype(np.float32)
+    trust = (mixer.seen / (mixer.seen + 8) / 2).astype(np.float32)
+    for bits in steps(model, symbols, sizes):
+        rows = [model.code.odds[bits.node], *(table[slot] for table, slot in zip(evidence.odds, bits.slots))]
+        gate = _gate([table[slot] for table, slot in zip(evidence.levels, bits.slots)])
+        odds = _mixed(mixer, rows, gate)
+        chance = 1 / (1 + np.exp(-odds))
+        cells = _cells(odds, bits.node, len(model.code.lengths))
+        chance += trust[cells] * (adapted[cells] - chance)
+        chance = np.clip(chance.astype(np.float64), 1e-9, 1 - 1e-9)
+        logs.append(np.add.reduceat(np.log2(np.where(bits.value == 1, chance, 1 - chance)), bits.starts))
+    return np.concatenate(logs)

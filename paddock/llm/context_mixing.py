@@ -140,7 +140,7 @@ def steps(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> Iterator[Bits
 def count(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> None:
     for bits in steps(model, symbols, sizes):
         for table, slot in zip(model.counts, bits.slots):
-            np.add.at(table, 2 * slot + bits.value, 1)
+            np.add.at(table, 2 * slot + bits.value, np.ones(len(slot), table.dtype))
 
 
 @dataclass
@@ -178,47 +178,48 @@ def _levels(total: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Evidence:
-    """Log odds and degree of evidence of every slot, worked out once."""
+    """Log odds of every slot, worked out once; the last two of their bits are the degree of evidence."""
 
     odds: list[np.ndarray]
-    levels: list[np.ndarray]
 
     @classmethod
     def of(cls, model: Model) -> Evidence:
-        pairs = [table.reshape(-1, 2) for table in model.counts]
-        odds = [np.log((p[:, 1] + 0.4) / (p[:, 0] + 0.4)).astype(np.float32) for p in pairs]
-        return cls(odds, [_levels(p[:, 0] + p[:, 1]) for p in pairs])
+        odds = []
+        for pairs in (table.reshape(-1, 2) for table in model.counts):
+            plain = np.log((pairs[:, 1] + 0.4) / (pairs[:, 0] + 0.4)).astype(np.float32).view(np.int32)
+            odds.append((plain & ~3 | _levels(pairs[:, 0] + pairs[:, 1])).view(np.float32))
+        return cls(odds)
 
 
 def _mixed(mixer: Mixer, rows: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
     odds = mixer.weights[-1][gate]
     for weights, row in zip(mixer.weights, rows):
         odds += weights[gate] * row
-    return np.clip(odds, -18, 18)
+    return np.clip(odds, np.float32(-14), np.float32(14))
 
 
 def _gate(levels: list[np.ndarray]) -> np.ndarray:
     """From the degrees of evidence of the three longest contexts."""
-    gate = np.zeros(len(levels[0]), np.int64)
-    for level in levels[-3:]:
-        gate = gate * 4 + level
-    return gate
+    gate = levels[-1]
+    for place, level in enumerate(levels[-3:-1], 1):
+        gate = gate + (level << 2 * place)
+    return gate.astype(np.int64)
 
 
 def _cells(odds: np.ndarray, node: np.ndarray, symbols: int) -> np.ndarray:
     # Nodes near the root have the highest numbers.
     near = np.minimum(symbols - 2 - node, NODES - 1)
-    return near * STEPS + np.clip(odds * 1.2 + STEPS / 2, 0, STEPS - 1).astype(np.int64)
+    return near * STEPS + np.clip(odds * np.float32(1.2) + np.float32(STEPS / 2), 0, STEPS - 1).astype(np.int64)
 
 
 def learn(mixer: Mixer, model: Model, symbols: np.ndarray, sizes: np.ndarray) -> None:
     """Online steps over sequences that the tables have counted, each bit's own count left out."""
     for bits in steps(model, symbols, sizes):
-        rows, levels = [model.code.odds[bits.node]], []
+        rows, levels, value = [model.code.odds[bits.node]], [], bits.value.astype(np.float32)
         for table, slot in zip(model.counts, bits.slots):
             zeros, ones = table[2 * slot], table[2 * slot + 1]
-            ones = np.maximum(ones - bits.value, np.float32(0))
-            zeros = np.maximum(zeros - (1 - bits.value), np.float32(0))
+            ones = np.maximum(ones - value, np.float32(0))
+            zeros = np.maximum(zeros - (1 - value), np.float32(0))
             rows.append(np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))))
             levels.append(_levels(zeros + ones))
         gate = _gate(levels)
@@ -226,8 +227,8 @@ def learn(mixer: Mixer, model: Model, symbols: np.ndarray, sizes: np.ndarray) ->
         chance = 1 / (1 + np.exp(-odds))
         cells = _cells(odds, bits.node, len(model.code.lengths))
         mixer.seen += np.bincount(cells, minlength=len(mixer.seen))
-        mixer.ones += np.bincount(cells, bits.value, len(mixer.ones))
-        error = bits.value - chance
+        mixer.ones += np.bincount(cells, value, len(mixer.ones))
+        error = value - chance
         total = np.bincount(gate, minlength=GATES) + 1
         for i, row in enumerate([*rows, np.float32(1)]):
             slope = np.bincount(gate, error * row, GATES) / total
@@ -242,11 +243,12 @@ def scored(mixer: Mixer, model: Model, evidence: Evidence, symbols: np.ndarray,
     trust = (mixer.seen / (mixer.seen + 8) / 2).astype(np.float32)
     for bits in steps(model, symbols, sizes):
         rows = [model.code.odds[bits.node], *(table[slot] for table, slot in zip(evidence.odds, bits.slots))]
-        gate = _gate([table[slot] for table, slot in zip(evidence.levels, bits.slots)])
+        gate = _gate([row.view(np.int32) & 3 for row in rows[1:]])
         odds = _mixed(mixer, rows, gate)
         chance = 1 / (1 + np.exp(-odds))
         cells = _cells(odds, bits.node, len(model.code.lengths))
         chance += trust[cells] * (adapted[cells] - chance)
-        chance = np.clip(chance.astype(np.float64), 1e-9, 1 - 1e-9)
-        logs.append(np.add.reduceat(np.log2(np.where(bits.value == 1, chance, 1 - chance)), bits.starts))
+        # A bit's chances are within 1e-6 of 0 and 1, and add up to 1.
+        chance = np.clip(np.where(bits.value == 1, chance, 1 - chance), np.float32(1e-6), np.float32(1 - 1e-6))
+        logs.append(np.add.reduceat(np.log2(chance), bits.starts, dtype=np.float64))
     return np.concatenate(logs)

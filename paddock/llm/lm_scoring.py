@@ -37,7 +37,7 @@ BLOCK_CHARS, BUCKET_CHARS = 12 << 20, 16 << 20
 COMMON, LONGEST = 1 << 14, 64
 #: Symbols of counts by their highest bit; the first is that of words met once or never.
 CLASSES = 64
-TEXT_ORDERS, SPELLING_ORDERS = (1, 2, 3), (1, 2, 3, 5)
+TEXT_ORDERS, SPELLING_ORDERS = (1, 2, 3), (1, 2, 4)
 END = 256  # of a word's bytes
 #: Numbers in one row of tables that are added up, and groups that are added up first.
 RANGE, FIRST = 1 << 18, 16

@@ -213,7 +213,9 @@ class _Symbols:
     def __init__(self, stored: DataFrame):
         sums = F.coalesce(F.sum("c"), F.lit(0)), F.count("c"), F.count(F.when(F.col("c") == 1, 1))
         self.total, self.distinct, single = stored.agg(*sums).first()
-        common = (F.col("c") >= self.least) & (F.length("word") <= LONGEST)
+        # The least count and greatest length of a word with a symbol of its own.
+        self.least, self.longest = max(2, -(-self.total // COMMON)), LONGEST
+        common = (F.col("c") >= self.least) & (F.length("word") <= self.longest)
         words = sorted((bytes(r.word), r.c) for r in stored.where(common).select("word", "c").collect())
         self.place = {word: i for i, (word, _) in enumerate(words)}
         self.masses = np.zeros(CLASSES)
@@ -223,11 +225,6 @@ class _Symbols:
             self.masses[row.k] = row.mass
         self.weights = np.r_[[float(c) for _, c in words], self.masses]
 
-    @property
-    def least(self) -> int:
-        """The least count of a word with a symbol of its own."""
-        return max(2, -(-self.total // COMMON))
-
     def of(self, words: list[bytes], counts: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of ``words``, and log10 of each word's probability given its symbol."""
         known = np.maximum(counts, 1)
@@ -235,7 +232,7 @@ class _Symbols:
         symbols = len(self.place) + kind.astype(np.int64)
         tail = np.where(counts > 1, np.log10(known / np.maximum(self.masses[kind], 1)), spelled * np.log10(2))
         for i in np.flatnonzero(counts >= self.least).tolist():
-            if len(words[i]) <= LONGEST:
+            if len(words[i]) <= self.longest:
                 symbols[i], tail[i] = self.place[words[i]], 0
         return symbols, tail
 

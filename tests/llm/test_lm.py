@@ -1,8 +1,10 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import product
 
+import numpy as np
 import pytest
 from texts_helper import ODD_ROWS, documents, frame, words
 
@@ -58,40 +60,135 @@ def test_several_blocks_agree_with_one(spark, monkeypatch, sf_dir):
     check(rows, lm_scoring.op9(frame(spark, rows)).collect())
 
 
-def model_of(counts):
-    vocabulary, weights = list(counts), list(counts.values())
-    import numpy as np
+def test_scores_do_not_depend_on_tasks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(150)
+    one, seven = (
+        {r.doc_id: r.score for r in lm_scoring.op9(docs.repartition(tasks)).collect()} for tasks in (1, 7)
+    )
+    assert one.keys() == seven.keys()
+    for doc_id, score in one.items():
+        assert seven[doc_id] == pytest.approx(score, rel=1e-4)
 
-    symbols, starts = mixing.symbols_of(vocabulary)
-    sizes = np.diff(np.r_[starts, len(symbols)])
-    code = mixing.code_of(np.bincount(symbols, np.repeat(weights, sizes), 257))
-    tables, mixer = mixing.empty_counts(), mixing.Mixer.new()
-    weights = np.array(weights, float)
-    mixing.count(tables, vocabulary, weights, code)
+
+PARTS = ["the", "ing", "er", "on", "an", "re", "sh"]
+
+
+def learnt(sequences, alphabet, orders=(1, 2, 4)):
+    """Model, mixer and evidence of sequences of numbers."""
+    symbols, sizes = np.concatenate(sequences).astype(np.int64), np.array(list(map(len, sequences)))
+    model = mixing.Model.empty(np.bincount(symbols, minlength=alphabet).astype(float), orders)
+    mixing.count(model, symbols, sizes)
+    mixer = mixing.Mixer.new(model.inputs)
     for _ in range(10):
-        mixing.learn(mixer, tables, vocabulary, weights, code)
-    return mixer, tables, code
+        mixing.learn(mixer, model, symbols, sizes)
+    return mixer, model, mixing.Evidence.of(model)
+
+
+def spelled(model, some):
+    symbols, sizes = lm_scoring.bytes_of(some)
+    return np.add.reduceat(mixing.scored(*model, symbols, sizes), np.cumsum(sizes) - sizes)
+
+
+def spelling(some):
+    symbols, sizes = lm_scoring.bytes_of(some)
+    return learnt(np.split(symbols, np.cumsum(sizes)[:-1]), 257)
 
 
 def test_model_prefers_what_it_read():
     draw = random.Random(1)
-    parts = ["the", "ing", "er", "on", "an", "re", "sh"]
-    read = Counter("".join(draw.choice(parts) for _ in range(draw.randint(1, 4))).encode() for _ in range(8000))
-    mixer, tables, code = model_of(read)
-    unseen = ["".join(draw.choice(parts) for _ in range(5)).encode() for _ in range(200)]
+    read = ["".join(draw.choice(PARTS) for _ in range(draw.randint(1, 4))).encode() for _ in range(8000)]
+    model = spelling(read)
+    unseen = ["".join(draw.choice(PARTS) for _ in range(5)).encode() for _ in range(200)]
     noise = [bytes(draw.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(len(w))) for w in unseen]
-    alike = mixing.spelled(mixer, tables, unseen, code).sum()
-    assert alike > 0.6 * mixing.spelled(mixer, tables, noise, code).sum()
+    alike = spelled(model, unseen).sum()
+    assert alike > 0.6 * spelled(model, noise).sum()
     bits = -alike / sum(len(w) + 1 for w in unseen)
     assert bits < 2.5  # total bits per byte; 4.7 for letters drawn evenly
 
 
 def test_probabilities_of_all_spellings_sum_to_at_most_one():
-    mixer, tables, code = model_of(Counter([b"a", b"ab", b"b", b"ba"] * 50))
-    words = [b""] + [bytes(w) for n in (1, 2, 3) for w in __import__("itertools").product(b"abc", repeat=n)]
-    total = sum(2 ** x for x in mixing.spelled(mixer, tables, words, code))
-    assert 0.5 < total <= 1 + 1e-9
-    assert mixing.spelled(mixer, tables, [], code).size == 0
+    model = spelling([b"a", b"ab", b"b", b"ba"] * 50)
+    every = [b""] + [bytes(w) for n in (1, 2, 3) for w in product(b"abc", repeat=n)]
+    total = sum(2**x for x in spelled(model, every))
+    assert 0.5 < total <= 1 + 1e-4
+    assert mixing.scored(*model, np.empty(0, np.int64), np.empty(0, np.int64)).size == 0
+
+
+def test_symbols_after_a_text_sum_to_one():
+    """What may come next adds up to 1 for any beginning."""
+    draw = random.Random(5)
+    model = learnt([[draw.randrange(9) for _ in range(draw.randint(1, 30))] for _ in range(200)], 9, (1, 2, 3))
+    for size in (0, 1, 2, 7):
+        begun = [draw.randrange(9) for _ in range(size)]
+        texts = np.array([[*begun, last] for last in range(9)])
+        logs = mixing.scored(*model, texts.ravel(), np.full(9, size + 1)).reshape(9, -1)[:, -1]
+        assert (2**logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def brute_force(mixer, model, sequences):
+    """log2 of each symbol, bit by bit, with counts kept by whole contexts."""
+    code = model.code
+
+    def path(symbol):
+        first = code.offsets[symbol]
+        return [(int(code.nodes[i]), int(code.bits[i])) for i in range(first, first + code.lengths[symbol])]
+
+    counts = defaultdict(lambda: [0, 0])
+    for sequence in sequences:
+        for at, symbol in enumerate(sequence):
+            for order in model.orders:
+                for node, bit in path(symbol):
+                    counts[order, at < order, tuple(sequence[max(0, at - order) : at]), node][bit] += 1
+    logs = []
+    for sequence in sequences:
+        for at, symbol in enumerate(sequence):
+            total = 0.0
+            for node, bit in path(symbol):
+                inputs, gate = [float(code.odds[node])], 0
+                for order in model.orders:
+                    zeros, ones = counts[order, at < order, tuple(sequence[max(0, at - order) : at]), node]
+                    inputs.append(math.log((ones + 0.4) / (zeros + 0.4)))
+                    met = zeros + ones
+                    gate = gate * 4 + (met > 0) + (met > 3) + (met > 31)
+                # The longest context's degree of evidence is the lowest digit, the others' follow.
+                digits = [gate >> 4 & 3, gate >> 2 & 3, gate & 3]
+                gate = digits[2] + 4 * digits[0] + 16 * digits[1]
+                weights = mixer.weights[:, gate].astype(float)
+                odds = max(-14, min(14, weights[-1] + sum(w * x for w, x in zip(weights, inputs))))
+                chance = 1 / (1 + math.exp(-odds))
+                near = min(len(code.lengths) - 2 - node, mixing.NODES - 1)
+                cell = near * mixing.STEPS + int(max(0, min(mixing.STEPS - 1, odds * 1.2 + mixing.STEPS / 2)))
+                seen, ones = mixer.seen[cell], mixer.ones[cell]
+                chance += seen / (seen + 8) / 2 * ((ones + 0.4) / (seen + 0.8) - chance)
+                total += math.log2(max(1e-6, min(1 - 1e-6, chance if bit else 1 - chance)))
+            logs.append(total)
+    return logs
+
+
+def test_scores_equal_brute_force(monkeypatch):
+    """Same log probabilities as a plain loop over bits; steps cut texts without a trace."""
+    monkeypatch.setattr(mixing, "LEAST_SLOTS", 20)  # so that contexts rarely share a slot
+    draw = random.Random(3)
+    sequences = [[draw.choice((0, 1, 2, 2, 3, 4)) for _ in range(draw.randint(1, 40))] for _ in range(60)]
+    mixer, model, evidence = learnt(sequences, 5, (1, 2, 3))
+    symbols, sizes = np.concatenate(sequences), np.array(list(map(len, sequences)))
+    want = np.array(brute_force(mixer, model, sequences))
+    for step in (mixing.STEP, 7):
+        monkeypatch.setattr(mixing, "STEP", step)
+        got = mixing.scored(mixer, model, evidence, symbols, sizes)
+        # Odds on the edge of a map's cell may fall to either side.
+        assert np.mean(np.abs(got - want) < 1e-3) > 0.99
+        assert got.sum() == pytest.approx(want.sum(), rel=1e-3)
+
+
+def test_earlier_words_of_a_text():
+    keys = np.array([5, 3, 5, 5, 3, 9])
+    assert lm_scoring._earlier(keys).tolist() == [0, 0, 1, 2, 1, 0]
+    assert lm_scoring._earlier(np.empty(0, np.int64)).size == 0
+    # Two words of one symbol, each half of it: a, b, a in one text, then a in another.
+    doc, ids = np.array([0, 0, 0, 1]), np.array([0, 1, 0, 0])
+    tails = lm_scoring._tails(doc, ids, np.zeros(4, np.int64), np.log10(np.full(4, 0.5)), np.full(4, 10.0))
+    assert (10**tails).tolist() == pytest.approx([0.5, 5 / 11, 6 / 12, 0.5])
 
 
 def test_order_of_words_counts(spark):
@@ -102,38 +199,30 @@ def test_order_of_words_counts(spark):
     rows.append((1000, " ".join(phrases * 3)))
     rows.append((1001, " ".join(sorted(rows[-1][1].split()))))
     docs = frame(spark, rows).selectExpr("*", "doc_id < 1000 as learn")
-    score = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, "learn").collect()}
+    found = lm_scoring.lm_scores(docs, "learn").collect()
+    score = {r.doc_id: r.score for r in found}
     assert score[1000] > 0.5 * score[1001] and score[1000] < 0
+    # Better than the words' own counts on the text that was not read.
+    assert score[1000] > next(r.base_score for r in found if r.doc_id == 1000)
 
 
-def test_parted_groups_count_alike(monkeypatch):
-    """A word before with more followers than a step holds has the same counts."""
-    import numpy as np
-
-    draw = random.Random(2)
-    words = sorted({bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 7))) for _ in range(900)})
-    pairs = sorted({(draw.choice((0, 5, 9)), draw.randrange(len(words))) for _ in range(1500)})
-    before, after = (np.array(x) for x in zip(*pairs))
-    weights = np.array([draw.randint(0, 5) for _ in pairs])
-    code = mixing.code_of(np.ones(257))
-
-    def counts():
-        return np.concatenate([
-            mixing.followed(mixing.bits_of(some, code, first), held, spread)
-            for first, some, held, spread in mixing.runs(before, words, after, weights, code)
-        ], axis=1)
-
-    whole = counts()
-    monkeypatch.setattr(mixing, "STEP_WORDS", 37)
-    assert np.array_equal(whole, counts())
+def test_two_words_back_count(spark):
+    """What comes after a word depends on the word before that one."""
+    draw = random.Random(6)
+    pairs = ["ada sees rain", "bob sees snow"]
+    rows = [(i, " ".join(draw.choice(pairs) for _ in range(20))) for i in range(300)]
+    rows += [(1000, " ".join(pairs * 4)), (1001, " ".join(["ada sees snow", "bob sees rain"] * 4))]
+    docs = frame(spark, rows).selectExpr("*", "doc_id < 1000 as learn")
+    score = {r.doc_id: r.score for r in lm_scoring.lm_scores(docs, "learn").collect()}
+    assert score[1000] > score[1001] + 5
 
 
 def test_counts_beyond_what_single_floats_hold():
-    code = mixing.code_of(mixing.np.ones(257))
-    tables = mixing.empty_counts()
-    for weight in (2**24, 1, 1):
-        mixing.count(tables, [b"a"], mixing.np.array([weight]), code)
-    assert tables[4].max() >= 2**24 + 2
+    model = mixing.Model.empty(np.ones(257), (1, 2))
+    model.counts[0][:] = 2**24
+    for _ in range(2):
+        mixing.count(model, *lm_scoring.bytes_of([b"a"]))
+    assert model.counts[0].max() == 2**24 + 2
 
 
 def test_unseen_words_of_a_doubled_table_are_not_certain(spark):
@@ -144,9 +233,15 @@ def test_unseen_words_of_a_doubled_table_are_not_certain(spark):
     assert score[4] < score[3] < 0 and score[4] < -8
 
 
-def test_pairs_met_more_than_2_to_the_32_times_are_packed_whole():
+def test_words_met_more_than_2_to_the_32_times_are_packed_whole():
     many = 2**32 + 5
-    packed = lm_scoring._packed([b"a", b"b"], [many, 1], [b"c"], ([0, 1], [0, 0], [many, 2]))
-    words, counts, others, before, after, times = lm_scoring._read(packed)
-    assert (words, others) == ([b"a", b"b"], [b"c"])
-    assert [x.tolist() for x in (counts, before, after, times)] == [[many, 1], [0, 1], [0, 0], [many, 2]]
+    names, counts = lm_scoring._read(lm_scoring._packed([b"a", b"b"], np.array([many, 1])))
+    assert names == [b"a", b"b"] and counts.tolist() == [many, 1]
+
+
+def test_words_without_a_symbol_of_their_own(spark, monkeypatch):
+    """Words under the share, and long ones, are told apart by counts; all texts have scores."""
+    monkeypatch.setattr(lm_scoring, "COMMON", 4)
+    monkeypatch.setattr(lm_scoring, "LONGEST", 3)
+    rows = [(i, "aa bb bb cc cc cc " + "long" * 9 + " " + "w%d" % i) for i in range(40)]
+    check(rows, lm_scoring.op9(frame(spark, rows)).collect())

@@ -2,13 +2,16 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import lot_frame
 
+from paddock import schema as S
 from paddock.api import LotReports
 from paddock.operators import aggregates, distributions, listing
 from paddock.plans import market_sketches, mart, price_mart
-from paddock.sources import reports, tables
+from paddock.sources import profile, reports, tables
 from paddock.sources.profile import profile_of, schema_profile, stored_state, update_profile
 from paddock.streaming.trend import compact_trend, read_trend, stream_weekly_trend, streamed_trend
 
@@ -200,3 +203,26 @@ def test_reports_from_the_mart_equal_those_from_lots(spark):
     assert fast.nearest_if_none(species="Goats", weight_min=900).count() == 5
     assert fast.nearest_if_none(species="Goats", weight_min=50).count() == 0  # there are such lots
     assert fast.nearest_if_none(species="Llamas").count() == 0  # without a weight nothing is near
+
+
+def test_profile_of_many_files(spark):
+    """Rows of 3,000 files in any order; a batch's column is read once for all of its files."""
+    draw = random.Random(4)
+    rows = [(str(draw.randrange(3000)), draw.choice(["N/A", "", None, "é", "z", " 7 ", "+1.5e3\n", "12", "x1"])) for _ in range(9000)]
+    runs, least = profile._batch_least(pa.array([v for _, v in rows], pa.string()), np.arange(9000), 3)
+    held = [i for i, (_, v) in enumerate(rows) if v is not None and v not in S.NULL_TOKENS]
+    assert runs.tolist() == held and least.to_pylist() == [rows[i][1] for i in held]
+    rows += [("hot", str(i)) for i in range(25_000)] + [("none", None)]
+    frame = spark.createDataFrame(rows, "source_file string, class string")
+    got = {r.file: r for r in profile.profile_state([frame.repartition(3)], slug="class").collect()}
+    by_file = {}
+    for file, value in rows:
+        by_file.setdefault(file, []).append(value)
+    assert set(got) == set(by_file)
+    for file, values in by_file.items():
+        seen = [v for v in values if v is not None and v not in S.NULL_TOKENS]
+        whole = sum(v.strip().isdigit() for v in seen)
+        row = got[file]
+        counts = (len(values), len(seen), whole + seen.count("+1.5e3\n"), whole)
+        assert (row.rows, row.filled, row.numeric, row.whole) == counts
+        assert (row.least or []) == sorted(set(seen), key=str.encode)[:3]

@@ -119,6 +119,50 @@ def test_replaced_report_leaves_nothing(spark, tmp_path):
     assert sorted(r.id for r in tables.read_lots(spark, path).collect()) == ["m", "w", "z"]
 
 
+def _files(path):
+    return {str(file): file.stat().st_mtime_ns for file in path.rglob("*.parquet")}
+
+
+def test_months_that_lose_nothing_are_added_to(spark, tmp_path):
+    """New reports and ids cost no more than themselves: what is stored of their months is not written again."""
+    path = tmp_path / "lots"
+    tables.replace_reports(spark, str(path), lot_frame(spark, {"id": "a"}, {"id": "b", "report_date": "2026-01-05", "slug_id": 5}))
+    before = _files(path)
+    tables.replace_reports(spark, str(path), lot_frame(spark, {"id": "c", "slug_id": 2}, {"id": "d", "slug_id": 3, "report_date": None}))
+    assert before.items() <= _files(path).items() and len(_files(path)) > len(before)
+    before = _files(path)
+    update = lot_frame(spark, {"id": "e", "slug_id": 4}).withColumn("ingest_seq", F.lit(1).cast("bigint"))
+    assert tables.upsert_lots(spark, str(path), update) == ["2026-02"]
+    assert before.items() <= _files(path).items()
+    # The same batch once more changes no row; of its month what stays is written anew.
+    assert tables.upsert_lots(spark, str(path), update) == ["2026-02"]
+    assert sorted(r.id for r in tables.read_lots(spark, str(path)).collect()) == ["a", "b", "c", "d", "e"]
+    months = tables.replace_reports(spark, str(path), lot_frame(spark, {"id": "f", "slug_id": 5, "report_date": "2026-01-05"}))
+    assert months == ["2026-01"]
+    assert sorted(r.id for r in tables.read_lots(spark, str(path)).collect()) == ["a", "c", "d", "e", "f"]
+
+
+def test_rows_are_kept_by_what_was_not_chosen(spark, tmp_path):
+    """Rows of a few fetches that lost are left out by a short list, and by none if all were chosen."""
+    rows = spark.createDataFrame([(str(n), "2026-02-09", f"f{n % 3}") for n in range(30)], "slug_id string, report_date string, fetch string")
+    raw = rows.withColumn("fetched_at", F.lit("2026-02-10 00:00:00").cast("timestamp"))
+    fetched = reports.fetched_reports(raw)
+    assert reports.rows_of_fetches(raw, fetched, fetched) is raw
+    for kept in ("fetch <> 'f1'", "fetch = 'f1'"):
+        got = reports.rows_of_fetches(raw, fetched.where(kept), fetched)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, raw.where(kept).collect()))
+
+
+def test_last_write_shuffles_no_whole_rows_where_few_lose(spark):
+    rows = spark.range(2000).select((F.col("id") % 1990).cast("string").alias("id"), F.lit("x").alias("text"), (F.col("id") % 7).alias("ingest_seq"))
+    kept = tables.last_write(rows)
+    text = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and text.count("FileScan") == 2 and "hashpartitioning" not in text
+    got = {r.id: r.ingest_seq for r in kept.collect()}
+    assert len(got) == kept.count() == 1990
+    assert all(got[str(n)] == max(n % 7, (n + 1990) % 7) for n in range(10))
+
+
 def test_ingest_only_into_an_empty_table(spark, landed, tmp_path):
     path = str(tmp_path / "table")
     assert tables.ingest_if_empty(spark, landed, path).count() == 3

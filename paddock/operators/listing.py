@@ -14,6 +14,7 @@ from ..functions.exact import dollars
 from ..functions.public import public_lots
 from ..plans.band_join import band_sums, banded
 from ..session import store
+from ..sources.months import in_months
 from .filters import date_range, equal, lot_filter, priced_per_lb
 
 
@@ -54,13 +55,20 @@ def _page(lots: DataFrame, rows: DataFrame, sort_by: str, sort_dir: str, limit:
     """The whole lots of one page of ``rows``, in order.
 
     The page is found on sort column, id and month alone; whole lots are then fetched for
-    its ids, from its months.
+    its ids, from its months.  A page has few ids (``_check_page``): as a filter they reach
+    the source of the lots, below its joins, which a join with them does not.
     """
     order = _sort_keys(sort_by, sort_dir)
     month = [name for name in ("report_month",) if name in lots.columns]
-    narrow = rows.select(_sort_column(sort_by), "id", *month).orderBy(*order).offset(skipped).limit(limit)
+    narrow = rows.select(_sort_column(sort_by), "id", *month)
+    found = narrow.orderBy(*order).offset(skipped).limit(limit).where(F.col("id").isNotNull()).collect()
+    of_page = F.col("id").isin([row["id"] for row in found])
+    narrow, lots = narrow.filter(of_page), lots.filter(of_page)
+    if month:
+        lots = in_months(lots, list({row["report_month"] for row in found}))
     # True of every id: months are pruned by a list only if it is filtered by a comparison.
-    keys = narrow.select(*[F.col(name).alias(f"__{name}") for name in ("id", *month)]).where(F.col("__id") >= "")
+    keys = narrow.orderBy(*order).limit(limit).where(F.col("id") >= "")
+    keys = keys.select(*[F.col(name).alias(f"__{name}") for name in ("id", *month)])
     same = F.col("id") == F.col("__id")
     for name in month:
         same = same & (F.coalesce(name, F.lit("")) == F.coalesce(f"__{name}", F.lit("")))

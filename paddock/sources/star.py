@@ -31,7 +31,7 @@ TABLES = {
     "region": "r_regionkey int, r_name string",
 }
 
-# Dimension -> (fact or dimension key, own key), in join order.
+# Dimension -> (key in the fact or in the dimension before it, own key), in join order.
 JOINS = {
     "part": ("l_partkey", "p_partkey"),
     "orders": ("l_orderkey", "o_orderkey"),
@@ -40,6 +40,9 @@ JOINS = {
     "nation": ("s_nationkey", "n_nationkey"),
     "region": ("n_regionkey", "r_regionkey"),
 }
+# Dimension -> a large one that belongs to it.  Short ones are joined to the lots: the planner
+# sees that they can be broadcast, but not that what they are joined to can.
+BELONGS = {"orders": "customer"}
 
 # Typed values of a raw row: name -> (dimensions besides part, expression).
 VALUES = {
@@ -138,14 +141,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def star_rows(spark: SparkSession, sf_dir: str, values: Iterable[str]) -> DataFrame:
-    """Typed raw rows, one per order line, with the named values."""
+    """Typed raw rows, one per order line, with the named values.
+
+    Customers are joined to orders first, so that order lines, which are the most and the
+    widest rows, are shuffled for parts and orders only.
+    """
     values = list(dict.fromkeys(values))
     needed = {"part"} | {dim for name in values for dim in VALUES[name][0]}
+
+    def joined(rows: DataFrame, dim: str, right: DataFrame) -> DataFrame:
+        key, own_key = JOINS[dim]
+        return rows.join(right, rows[key] == right[own_key], "left")
+
     rows = table(spark, sf_dir, "lineitem")
-    for dim, (key, own_key) in JOINS.items():
-        if dim in needed:
-            right = table(spark, sf_dir, dim)
-            rows = rows.join(right, rows[key] == right[own_key], "left")
+    for dim in JOINS:
+        if dim in needed and dim not in BELONGS.values():
+            right, further = table(spark, sf_dir, dim), BELONGS.get(dim)
+            if further in needed:
+                right = joined(right, further, table(spark, sf_dir, further))
+            rows = joined(rows, dim, right)
     return rows.selectExpr(*[f"{VALUES[name][1]} as {name}" for name in values])
 
 

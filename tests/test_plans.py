@@ -1,5 +1,7 @@
 """What the plans look like: pruning, pushdown, no Python, no product joins."""
 
+import re
+
 import __spark_entry__ as app
 import pytest
 from helpers import lot_frame
@@ -72,6 +74,26 @@ def test_fixture_joins_only_what_is_asked_for(spark, sf_dir):
     assert plan(star_lots(spark, sf_dir, "species price_per_lb_e4")).count("FileScan") == 2
 
 
+def test_fixture_shuffles_order_lines_for_parts_and_orders_only(spark, sf_dir):
+    """Customers meet their orders before the order lines do."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        text = plan(star_lots(spark, sf_dir, "receipts_week_ago"))
+    finally:
+        spark.conf.set(setting, kept)
+    assert text.index("hashpartitioning(l_orderkey") < text.index("hashpartitioning(o_custkey")
+
+
+def test_a_page_is_fetched_by_its_ids_at_the_source(spark, sf_dir):
+    """Order lines are filtered where they are read, not after they were joined."""
+    text = plan(listing.list_lots(star_lots(spark, sf_dir), sort_by="price_per_lb", limit=200))
+    above = [text[: place].splitlines()[-2:] for place in (m.start() for m in re.finditer(r"FileScan parquet \[l_orderkey", text))]
+    assert len(above) == 2 and all("Filter" in lines[0] and "concat_ws(-" in lines[0] for lines in above)
+    assert listing.list_lots(star_lots(spark, sf_dir), species="Pigs").count() == 0
+
+
 def test_lookups_read_their_months_only(stored):
     """A lot's month and the months of its trend window, not the whole table."""
     lookup = plan(listing.get_lot(stored, "0008", "2026-03-05"))

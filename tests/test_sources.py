@@ -363,3 +363,36 @@ def test_many_files_are_landed_by_header(spark, tmp_path):
     stamps = {round(path.stat().st_mtime * 1000) for path in (source / "alone").glob("*.csv")}
     alone = got.where("report_date is null").selectExpr("unix_millis(fetched_at) as at").distinct().collect()
     assert {r.at for r in alone} <= {s + d for s in stamps for d in (-1, 0, 1)}
+
+
+def test_dealt_rows_are_the_same_rows(spark):
+    """Of all types, with null keys; what goes to one bucket is packed, and a key stays in one task."""
+    from paddock.plans.dealt import _pack, _unpack, dealt
+
+    rows = spark.range(5_000).selectExpr(
+        "id", "if(id % 11 = 0, null, cast(id % 37 as string)) as `Key`", "cast(id as double) / 7 as key2", "id % 2 = 0 as even",
+        "date_add(date'2026-01-01', cast(id % 90 as int)) as day", "if(id % 3 = 0, null, 'two\nlines \u00e9') as text",
+        "cast('2026-01-01 01:02:03.000004' as timestamp_ntz) as at", "cast('2026-01-01 01:02:03' as timestamp) as stamp",
+    ).repartition(3)
+    out = dealt(rows, "Key")
+    assert out.columns == rows.columns and [f.dataType for f in out.schema] == [f.dataType for f in rows.schema]
+    assert out.exceptAll(rows).isEmpty() and rows.exceptAll(out).isEmpty()
+    tasks = [row["Key"] for row in out.select("Key", F.spark_partition_id().alias("task")).distinct().collect()]
+    assert len(tasks) == len(set(tasks)) == 38 and dealt(rows.limit(0), "Key").isEmpty()
+    batches = rows.withColumn("__bucket", F.lit(0)).toArrow().to_batches()
+    packed = list(_pack(iter(batches)))
+    assert sum(batch.nbytes for batch in packed) * 3 < sum(batch.nbytes for batch in batches)
+    assert sum(batch.num_rows for batch in _unpack(iter(packed))) == 5_000
+
+
+def test_written_reports_are_packed_and_landed_as_they_are(spark, tmp_path):
+    source, landing = tmp_path / "in", tmp_path / "landing"
+    rows = spark.createDataFrame([(str(i % 3), "02/09/2026", f'say "{i}",\nx') for i in range(60)], "slug_id string, report_date string, class string")
+    reports.write_reports(rows, str(source), max_rows_per_file=7)
+    files = [path for path in source.rglob("part-*")]
+    assert files and all(path.name.endswith(".csv.gz") and path.read_bytes()[:2] == b"\x1f\x8b" for path in files)
+    assert {tuple(row.header) for row in reports.report_headers(spark, str(source)).collect()} == {tuple(rows.columns)}
+    reports.land_by_header(spark, str(source), str(landing))
+    assert sorted(p.read_bytes() for p in (landing / "files").rglob("part-*")) == sorted(p.read_bytes() for p in files)
+    for back in (reports.scan_landed(spark, str(landing)), reports.scan_reports(spark, str(source))):
+        assert sorted(map(repr, back.select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))

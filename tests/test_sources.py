@@ -396,3 +396,36 @@ def test_written_reports_are_packed_and_landed_as_they_are(spark, tmp_path):
     assert sorted(p.read_bytes() for p in (landing / "files").rglob("part-*")) == sorted(p.read_bytes() for p in files)
     for back in (reports.scan_landed(spark, str(landing)), reports.scan_reports(spark, str(source))):
         assert sorted(map(repr, back.select(*rows.columns).collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_small_report_files_are_written_by_tasks_and_put_in_place(spark, tmp_path):
+    texts = [None, "x", " padded\t", 'say "x", y', "two\nlines", "1"]
+    rows = spark.createDataFrame(
+        [(report, f"{i}", texts[i % 6]) for i in range(40) for report in ("1", "a/b=c", None)],
+        "slug_id string, class string, report_narrative string",
+    )
+    path = tmp_path / "out"
+    assert reports.write_reports(rows, str(path), max_rows_per_file=3).get["rows"] == 120
+    folders = sorted(place.name for place in path.iterdir())
+    assert folders == ["report=1", "report=__HIVE_DEFAULT_PARTITION__", "report=a%2Fb%3Dc"]
+    # Left by a task that was lost: it goes when the report is written again, other reports stay.
+    (path / "report=1" / "_lost").write_text("x")
+    reports.write_reports(rows.where("slug_id = '1'"), str(path), max_rows_per_file=50)
+    files = [file for file in path.rglob("*") if file.is_file()]
+    # Spark's own writer leaves a checksum beside each file on a local disk.
+    assert all(file.name.startswith("part-") and file.name.endswith(".csv.gz") for file in files)
+    assert sum(file.parent.name == "report=1" for file in files) <= 2 < len(files)
+    back = reports.scan_reports(spark, str(path)).select(*rows.columns)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+
+
+def test_raw_rows_are_kept_only_where_asked(spark, landed, tmp_path):
+    from pathlib import Path
+
+    scratch = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "paddock"
+    before = set(scratch.glob("bronze-*"))
+    tables.ingest_if_empty(spark, str(landed), str(tmp_path / "lots"))
+    incremental_sync(spark, str(landed), str(tmp_path / "synced"), str(tmp_path / "progress")).awaitTermination()
+    assert set(scratch.glob("bronze-*")) == before
+    tables.ingest_if_empty(spark, str(landed), str(tmp_path / "kept"), bronze_path=str(tmp_path / "bronze"))
+    assert spark.read.parquet(str(tmp_path / "bronze")).count() == 5

@@ -5,7 +5,7 @@ model has a mark after another character, pieces never reach across the place be
 mark, so a text is the sequence of its marked words (a run of marks with what follows).
 Each block of documents sends its distinct marked words; each word of the corpus is
 segmented once, where it is asked for; the block puts the ids together by position.  These
-are the rounds of :mod:`exchange`.  Decoding goes word by word likewise.
+are the rounds of :mod:`exchange`.  Decoding puts the bytes of pieces together.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ MARK = "▁"
 #: Characters in a block of documents and in the documents that share a bucket of words.
 BLOCK_CHARS, BUCKET_CHARS = 16 << 20, 48 << 20
 _WORD = re.compile(r" +[^ ]*")
-#: Distinct words a decoding task holds at most.
-HELD = 300_000
 _LOADED: dict[str, object] = {}
 
 
@@ -106,7 +104,8 @@ def _by_place(sizes: np.ndarray) -> np.ndarray:
     """
     ends = np.cumsum(sizes, dtype=np.int64)
     place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    return np.argsort(place, kind="stable")
+    # Of two bytes numpy sorts by digits.
+    return np.argsort(place.astype(np.uint16) if len(sizes) and sizes.max() < 1 << 16 else place, kind="stable")
 
 
 def _pack_ids(ids: list[bytes]) -> bytes:
@@ -148,8 +147,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
         found = [x for payload in X.replies_of(replies) for x in _unpack_ids(payload)]
         held = dict(zip(block.words, found)).__getitem__
         parts = [b"".join(map(held, marked_words(x))) for x in block.texts()]
+        del block, found, held
         ends = np.cumsum([0, *(len(part) // 4 for part in parts)])
-        values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
+        values = np.frombuffer(b"".join(parts), "<i4")
+        del parts
         column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
         return table.drop_columns([X.BLOCK]).append_column(ids, column)
 
@@ -158,47 +159,53 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
 
 
 class _Decoder:
-    """Texts of ids, each distinct word (ids from one that starts with a mark to the next) decoded once.
+    """Texts of ids, put together from the bytes of their pieces.
 
-    Rows with ids that are no ordinary pieces are left to the library as a whole.
+    A byte piece is its byte, any other its characters with spaces for marks; the first mark of
+    a text is left out.  Rows with ids that are no ordinary pieces, and those whose bytes are no
+    UTF-8 (byte pieces that make no whole character), are left to the library as a whole.
     """
 
     def __init__(self, path: str):
         self.model = processor(path)
-        pieces = range(self.model.get_piece_size())
-        self.marked = np.array([self.model.id_to_piece(i).startswith(MARK) for i in pieces])
+        count = self.model.get_piece_size()
+        names = [self.model.id_to_piece(i) for i in range(count)]
+        self.marked = np.array([name.startswith(MARK) for name in names])
         special = (self.model.is_control, self.model.is_unknown, self.model.is_unused)
-        self.special = np.array([any(test(i) for test in special) for i in pieces])
-        self.before = self.model.encode("a")
-        self.held: dict[bytes, str] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.held) > HELD:
-            self.held.clear()
-        new = [word for word in words if word not in self.held]
+        self.special = np.array([any(test(i) for test in special) for i in range(count)])
+        single = [self.model.is_byte(i) for i in range(count)]
+        # A byte piece is written <0xHH>.
+        self.pieces = pa.array(
+            [bytes([int(name[3:5], 16)]) if byte else name.replace(MARK, " ").encode() for name, byte in zip(names, single)],
+            pa.binary(),
+        )
+        plain = [i for i in range(count) if not (self.special[i] or single[i])]
+        before = self.model.encode("a")
         # Behind another word nothing is stripped.
-        texts = self.model.decode([self.before + np.frombuffer(word, "<i4").tolist() for word in new])
-        self.held.update((word, text[1:]) for word, text in zip(new, texts))
+        alone = self.model.decode([[*before, i] for i in plain])
+        if any(text != "a" + names[i].replace(MARK, " ") for i, text in zip(plain, alone)):
+            raise ValueError(f"{path}: a piece is changed when it is decoded")
 
     def texts(self, column: pa.ListArray) -> list[str]:
         lengths = np.array([x or 0 for x in pc.list_value_length(column).to_pylist()], np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
         values = column.flatten().to_numpy().astype("<i4")
-        starts = np.cumsum(lengths) - lengths
-        marked = self.marked[values]
-        first_marked = np.zeros(len(lengths), bool)
-        first_marked[lengths > 0] = marked[starts[lengths > 0]]
-        marked[starts[lengths > 0]] = True
-        cuts = np.flatnonzero(marked)
-        places = np.searchsorted(cuts, np.r_[starts, len(values)]).tolist()
-        edges = [*(cuts * 4).tolist(), 4 * len(values)]
-        data = values.tobytes()
-        words = [data[i:j] for i, j in zip(edges, edges[1:])]
-        self.learn(list(set(words)))
-        found = list(map(self.held.__getitem__, words))
-        texts = ["".join(found[i:j])[1 if cut else 0 :] for i, j, cut in zip(places, places[1:], first_marked.tolist())]
+        first_marked = np.zeros(len(lengths), np.int64)
+        first_marked[lengths > 0] = self.marked[values[starts[lengths > 0]]]
+        offsets = pa.array(np.r_[0, ends].astype(np.int32))
+        joined = pc.binary_join(pa.ListArray.from_arrays(offsets, self.pieces.take(pa.array(values))), b"")
         odd = np.flatnonzero(self.special[values])
-        for row in set(np.searchsorted(starts + lengths, odd, side="right").tolist()):
-            texts[row] = self.model.decode(values[starts[row] : starts[row] + lengths[row]].tolist())
+        whole = set(np.searchsorted(ends, odd, side="right").tolist())
+        texts = []
+        for row, (data, cut) in enumerate(zip(joined.to_pylist(), first_marked.tolist())):
+            try:
+                text = None if row in whole else data[cut:].decode()
+            except UnicodeDecodeError:
+                text = None
+            if text is None:
+                text = self.model.decode(values[starts[row] : ends[row]].tolist())
+            texts.append(text)
         return texts
 
 

@@ -55,3 +55,13 @@ def test_any_text_and_any_ids(spark, library):
 def test_marked_words():
     assert codec.marked_words("a b  c ") == ["a", "b", " c", ""]
     assert codec.marked_words(" ") == [" "] and codec.marked_words("") == []
+
+
+def test_whole_pieces_are_not_left_to_the_library(library, monkeypatch):
+    import pyarrow as pa
+
+    reader = codec._Decoder(MODEL)
+    texts = ["", "two words", "  dög\n\t漢字 ", "a" * 50]
+    ids = pa.array([library.encode(text) for text in texts], pa.list_(pa.int32()))
+    monkeypatch.setattr(reader, "model", None)
+    assert reader.texts(ids) == [library.decode(found) for found in ids.to_pylist()]

@@ -17,6 +17,9 @@ from ..session import store
 from ..sources.months import in_months
 from .filters import date_range, equal, lot_filter, priced_per_lb
 
+#: Lots on a page at most; so few ids may come to the driver.
+MOST_OF_A_PAGE = 200
+
 
 def _stored_name(column: str) -> str:
     return f"{column}_e4" if column in S.PRICE_COLUMNS else column
@@ -102,7 +105,7 @@ def list_lots_after(
 
 
 def _check_page(page: int, limit: int) -> None:
-    if page < 1 or not 1 <= limit <= 200:
+    if page < 1 or not 1 <= limit <= MOST_OF_A_PAGE:
         raise ValueError("page starts at 1 and limit lies between 1 and 200")
 
 
@@ -168,9 +171,16 @@ def price_weight_scatter(
 
 
 def nearest_lots(lots: DataFrame, target_weight: float, k: int = 5, **conditions) -> DataFrame:
-    """The ``k`` lots closest in weight."""
+    """The ``k`` lots closest in weight.
+
+    Found on weight and id alone, as a page is; whole lots are then read for few ids only.
+    """
     distance = F.abs(F.col("avg_weight") - F.lit(target_weight))
     rows = lot_filter(lots, **conditions).filter(F.col("avg_weight").isNotNull())
+    if k <= MOST_OF_A_PAGE:
+        ids = [row["id"] for row in rows.select("avg_weight", "id").orderBy(distance, "id").limit(k).collect()]
+        of_these = F.col("id").isin([key for key in ids if key is not None])
+        rows = rows.filter(of_these | F.col("id").isNull() if None in ids else of_these)
     return public_lots(rows.orderBy(distance, "id").limit(k))
 
 

@@ -226,3 +226,13 @@ def test_profile_of_many_files(spark):
         counts = (len(values), len(seen), whole + seen.count("+1.5e3\n"), whole)
         assert (row.rows, row.filled, row.numeric, row.whole) == counts
         assert (row.least or []) == sorted(set(seen), key=str.encode)[:3]
+
+
+def test_nearest_lots_are_found_before_whole_lots_are_read(spark):
+    rows = [{"avg_weight": weight, "species": "Goats" if i % 3 else "Sheep"} for i, weight in enumerate((60, 64, 56, 64, None, 61, 99))]
+    frame = lot_frame(spark, *rows, {"id": None, "avg_weight": 59, "species": "Goats"})
+    for k in (1, 3, 5, 300):
+        got = [row.avg_weight for row in listing.nearest_lots(frame, 60, k, species="Goats").collect()]
+        # Equally close lots go by id, a null id first.
+        assert got == [59, 61, 64, 56][:k]
+    assert "0005" in plan(listing.nearest_lots(frame.where("id is not null"), 61, 1, species="Goats"))

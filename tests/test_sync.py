@@ -1,12 +1,14 @@
 """The sync: which fetch counts, retention, and the mart kept by changes."""
 
 import os
+import time
 
 import pytest
 from helpers import lot_frame
 
 from paddock.operators.filters import date_window
 from paddock.plans import mart, mart_changes
+from paddock.session import store
 from paddock.sources import ledger, tables
 from paddock.streaming.sync import MartStep, incremental_sync
 
@@ -216,3 +218,25 @@ def test_a_batch_that_is_run_again_counts_once(spark, tmp_path):
     got = mart.read_mart(spark, mart_path).select(*want.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert {r.id for r in lots.collect()} == {"c", "d", "e", "f", "g", "n", "m"}
+
+
+def shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().iterator()
+    names = []
+    while blocks.hasNext():
+        names.append(str(blocks.next()))
+    return {name for name in names if name.startswith("shuffle")}
+
+
+def test_writes_leave_no_shuffle_files(spark, tmp_path):
+    """A driver that seldom clears its memory would keep those of a whole sync."""
+    lots = lot_frame(spark, *[{"id": f"{i}", "slug_id": i, "report_key": f"{i}|2026-02-09"} for i in range(40)])
+    before, wait = shuffle_files(spark), 0
+    tables.write_lots(lots, str(tmp_path / "table"))
+    store(lots.groupBy("slug_id").count(), "counts", str(tmp_path / "counts"))
+    mart.write_mart(lots, str(tmp_path / "mart"))
+    left = shuffle_files(spark) - before
+    while left and wait < 50:
+        time.sleep(0.1)
+        left, wait = left & shuffle_files(spark), wait + 1
+    assert not left

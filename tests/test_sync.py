@@ -10,6 +10,7 @@ from paddock.operators.filters import date_window
 from paddock.plans import mart, mart_changes
 from paddock.session import store
 from paddock.sources import ledger, tables
+from paddock.sources.reports import scan_reports, with_source_row
 from paddock.streaming.sync import MartStep, incremental_sync
 
 
@@ -240,3 +241,15 @@ def test_writes_leave_no_shuffle_files(spark, tmp_path):
         time.sleep(0.1)
         left, wait = left & shuffle_files(spark), wait + 1
     assert not left
+
+
+def test_the_fetch_of_a_file_is_found_once_a_file(spark, tmp_path):
+    """Parts that one job wrote are numbered through, in order of their names; other files apart."""
+    job = "0ee96b36-a004-440d-915e-6d20d4520570"
+    for name, prices in ((f"part-00000-{job}.c0.csv", "123"), (f"part-00001-{job}.c0.csv", "45"), ("x.csv", "67")):
+        (tmp_path / name).write_text(columns(NAMES, *[row(price=price) for price in prices]))
+    raw = with_source_row(scan_reports(spark, str(tmp_path)))
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
+    got = {(r.fetch.rpartition("/")[2], r.avg_price): r.source_row for r in raw.collect()}
+    assert got == {(job, "1"): 0, (job, "2"): 1, (job, "3"): 2, (job, "4"): 3, (job, "5"): 4, ("x.csv", "6"): 0, ("x.csv", "7"): 1}

@@ -253,3 +253,13 @@ def test_the_fetch_of_a_file_is_found_once_a_file(spark, tmp_path):
     assert "regexp" not in plan
     got = {(r.fetch.rpartition("/")[2], r.avg_price): r.source_row for r in raw.collect()}
     assert got == {(job, "1"): 0, (job, "2"): 1, (job, "3"): 2, (job, "4"): 3, (job, "5"): 4, ("x.csv", "6"): 0, ("x.csv", "7"): 1}
+
+
+def test_fetches_of_days_that_are_not_kept_are_not_listed(landing):
+    """The list says which fetch the table holds; without lots of that day it holds none."""
+    text = columns(NAMES, row(day="02/09/2026", price="1"), row(day="02/09/2025", price="2"), row(day="soon", price="3"))
+    assert landing.run("a", text, keep_days=100, as_of="2026-02-10") == [1, 3]
+    listed = {r.report_key for r in ledger.read_ledger(landing.spark, landing.table).collect()}
+    assert listed == {"7|2026-02-09", "7|soon"}
+    assert landing.run("b", columns(NAMES, row(day="02/09/2025", price="4")), keep_days=1000, as_of="2026-02-10") == [1, 3, 4]
+    landing.check_mart()

@@ -9,7 +9,7 @@ from helpers import lot_frame
 from pyspark.sql import functions
 
 from paddock.operators import aggregates, filters, listing, normalise
-from paddock.sources.star import star_lots
+from paddock.sources.star import star_lots, star_raw
 from paddock.sources.tables import last_write, read_lots, write_lots
 
 FILE_QUERIES = {
@@ -110,3 +110,16 @@ def test_upsert_sorts_no_whole_rows(spark, stored):
     """Winners are found by numbers: no aggregate carries whole lots."""
     text = plan(last_write(stored.withColumn("ingest_seq", functions.lit(1))))
     assert "SortAggregate" not in text
+
+
+def test_raw_rows_meet_orders_before_parts(spark, sf_dir):
+    """All lines are wanted: the texts of parts are not shuffled with them for orders."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        raw, lots = plan(star_raw(spark, sf_dir)), plan(star_lots(spark, sf_dir))
+    finally:
+        spark.conf.set(setting, kept)
+    assert raw.index("hashpartitioning(l_partkey") < raw.index("hashpartitioning(l_orderkey")
+    assert lots.index("hashpartitioning(l_orderkey") < lots.index("hashpartitioning(l_partkey")

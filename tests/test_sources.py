@@ -429,3 +429,76 @@ def test_raw_rows_are_kept_only_where_asked(spark, landed, tmp_path):
     assert set(scratch.glob("bronze-*")) == before
     tables.ingest_if_empty(spark, str(landed), str(tmp_path / "kept"), bronze_path=str(tmp_path / "bronze"))
     assert spark.read.parquet(str(tmp_path / "bronze")).count() == 5
+
+
+ODD = {
+    "plain": 'slug_id,a,b\n1,x,"two\nlines"\n\n2,"say ""x"", y",\n3,"", z \n',
+    "crlf": 'slug_id,a,b\r\n1,x,"two\r\nlines"\r\n\r\n2,y,"one\nend"\r\n',
+    "widths": 'slug_id,a,b\n1\n2,x,y,z\n,,\n3,x',
+    "quotes": 'slug_id,a,b\n1,"q"z,y"y\n2,"q" ,"""q"""\n3,"never, closed\n4,x\n',
+    "return": 'slug_id,a,b\n1,x\ry,z\n2,x,y\r\n',
+    "bytes": b'slug_id,a,b\n1,caf\xe9,"\xc3\xa9"\n',
+    "marked": b'\xef\xbb\xbfslug_id,a,b\n1,x,y\n',
+    "header": 'slug_id,a,b\n',
+}
+
+
+def odd_files(folder):
+    folder.mkdir()
+    for name, text in ODD.items():
+        (folder / f"{name}.csv").write_bytes(text if isinstance(text, bytes) else text.encode())
+    (folder / "_hidden.csv").write_text("slug_id,a,b\n1,x,y\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("piece", [9, 8 << 20])
+def test_files_are_read_as_sparks_reader_does(spark, tmp_path, monkeypatch, piece):
+    from paddock.sources import csv_rows
+
+    folder = odd_files(tmp_path / "odd files")
+    options = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+    wanted = spark.read.schema("slug_id string, a string, b string").options(**options).csv(folder)
+    wanted = wanted.selectExpr("_metadata.file_path as source_file", "slug_id", "a", "b")
+    wanted = {(r.source_file, r.slug_id, r.a, r.b) for r in wanted.collect()}
+    got = reports.scan_reports(spark, folder)
+    assert {(r.source_file, r.slug_id, r.a, r.b) for r in got.collect()} == wanted
+    monkeypatch.setattr(csv_rows, "PIECE", piece)
+    found = set()
+    for name in ODD:
+        rows = [row for batch in csv_rows.file_rows(f"{folder}/{name}.csv", 3) for row in batch.to_pylist()]
+        found |= {(f"file:{tmp_path}/odd%20files/{name}.csv", r["c0"], r["c1"], r["c2"]) for r in rows}
+    assert found == wanted
+
+
+def test_names_of_files_stay_in_tasks(spark, tmp_path):
+    """Neither the plan of a scan nor the driver holds a name for each file."""
+    rows = spark.createDataFrame([(str(i % 30), f"{i}") for i in range(900)], "slug_id string, class string")
+    reports.write_reports(rows, str(tmp_path / "in"), max_rows_per_file=2)
+    raw = reports.scan_reports(spark, str(tmp_path / "in"))
+    assert len(raw.inputFiles()) < 50 and raw.select("source_file").distinct().count() >= 450
+    places = reports.with_source_row(raw).groupBy("fetch").agg(F.max("source_row").alias("last"), F.count_distinct("source_row").alias("n"))
+    assert [(r["last"], r["n"]) for r in places.collect()] == [(29, 30)] * 30
+
+
+def test_a_large_fetch_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "FETCH_BYTES", 0)
+    rows = spark.createDataFrame([("7", f"{i}") for i in range(100)], "slug_id string, class string")
+    reports.write_reports(rows, str(tmp_path / "in"), max_rows_per_file=9)
+    raw = reports.scan_reports(spark, str(tmp_path / "in"))
+    assert raw.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r.source_row for r in raw.collect()) == list(range(100))
+
+
+def test_folders_are_listed_as_by_spark(spark, tmp_path):
+    for name in ("a/report=1/x.csv", "a/_left/x.csv", "a/.x.csv", "a/x.csv.gz", "a/x.txt", "b/c/d/e/x y%20.csv", "x._COPYING_"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    from paddock.sources.files import list_files
+
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", reports.REPORT_FILES)
+    for path in (str(tmp_path), f"{tmp_path}/*/", [f"{tmp_path}/a", f"file:{tmp_path}/b/c/d/e/x y%20.csv"]):
+        want = reader.load(path).selectExpr("path", "length", "unix_millis(modificationTime) as stamp")
+        got = list_files(spark, path, reports.REPORT_FILES)
+        assert sorted(got.collect()) == sorted(want.collect()) and not got.isEmpty()
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, f"{tmp_path}/none", "*.csv")

@@ -502,3 +502,23 @@ def test_folders_are_listed_as_by_spark(spark, tmp_path):
         assert sorted(got.collect()) == sorted(want.collect()) and not got.isEmpty()
     with pytest.raises(FileNotFoundError):
         list_files(spark, f"{tmp_path}/none", "*.csv")
+
+
+def test_raw_rows_are_written_by_the_tasks_that_read_them(spark, tmp_path):
+    """The same rows as a scan gives, of several headers, both spellings of a column in one of them."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.csv").write_text(PLAIN)
+    (folder / "b.csv").write_text(ALIASED)
+    (folder / "c.csv").write_text("price_min,slug_id,avg_price_min\n1,7,2\n3,7,\n")
+    (folder / "d.csv").write_text("class\n")
+    want = reports.scan_reports(spark, str(folder))
+    path = str(tmp_path / "raw")
+    for _ in range(2):
+        got = reports.store_rows(spark, reports.report_files(spark, str(folder)), path)
+    assert set(got.columns) == set(want.columns) and dict(got.dtypes) == dict(want.dtypes)
+    assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert [r.avg_price_min for r in got.where("slug_id = 7").orderBy("source_row").collect()] == ["2", "3"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    assert reports.store_rows(spark, reports.report_files(spark, str(tmp_path / "none")), str(tmp_path / "no")) is None

@@ -263,3 +263,26 @@ def test_fetches_of_days_that_are_not_kept_are_not_listed(landing):
     assert listed == {"7|2026-02-09", "7|soon"}
     assert landing.run("b", columns(NAMES, row(day="02/09/2025", price="4")), keep_days=1000, as_of="2026-02-10") == [1, 3, 4]
     landing.check_mart()
+
+
+def test_months_are_written_by_tasks_in_order(spark, tmp_path):
+    """What replaces a month may be read from it; files are in order and hold no hidden leftovers."""
+    from pyspark.sql import functions as F
+
+    draw = [{"id": f"{i}", "report_date": f"2026-0{1 + i % 3}-05" if i % 4 else None, "species": ["Sheep", None, "Goats"][i % 3],
+             "report_month": f"2026-0{1 + i % 3}" if i % 4 else None, "avg_weight": (i * 7) % 50} for i in range(200)]
+    path, lots = tmp_path / "table", lot_frame(spark, *draw)
+    assert set(tables.write_lots(lots, str(path))) == {"2026-01", "2026-02", "2026-03", None}
+    stored = tables.read_lots(spark, str(path))
+    assert stored.exceptAll(lots).isEmpty() and lots.exceptAll(stored).isEmpty()
+    january = stored.where("report_month = '2026-01'").withColumn("head_count", F.lit(5).cast("bigint"))
+    held = january.count()
+    assert tables.write_lots(january, str(path)) == ["2026-01"]
+    tables.write_lots(tables.read_lots(spark, str(path)).where("head_count = 5").limit(1), str(path), add=True)
+    again = tables.read_lots(spark, str(path))
+    assert again.count() == 201 and again.where("head_count = 5").count() == held + 1
+    files = [file.name for file in path.rglob("*") if file.is_file()]
+    assert files and all(name.startswith("part-") for name in files)
+    for file in path.rglob("part-*"):
+        rows = [(r.species or "", r.avg_weight) for r in spark.read.parquet(str(file)).collect()]
+        assert rows == sorted(rows)
